@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, fingerprints, licenses, pii, url_filters
+from tidemark.llm import decontamination, fingerprints, jaccard_join, licenses, pii, quality, sentencepiece_codec, substring_dedup, toxicity, url_filters
 from tidemark.llm.common import table
 
 #: The contract's rules decide first (tier 0); then a list of ad and spam hosts (tier 1).
@@ -53,6 +53,33 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_document_fingerprints, op3_benchmark_decontamination, op4_pii, op5_license_scans)}
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepiece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return encoded.select("doc_id", "n_ids", "round_trip", "decoded_sha256", "ids")
+
+
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filters, op2_document_fingerprints, op3_benchmark_decontamination, op4_pii, op5_license_scans,
+        op6_quality_classifier, op7_toxicity, op8_sentencepiece, op9_ngram_jaccard_join, op10_substring_dedup,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
