@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from tidemark.plans import days  # noqa: F401
+from tidemark.plans import days, judgement  # noqa: F401
 from tidemark.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
