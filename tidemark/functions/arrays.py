@@ -63,12 +63,12 @@ def sd(values: Column, ddof: int) -> Column:
     return let(mean(values), of)
 
 
-def ratio_up_down(values: Column) -> Column:
-    """Mean rise over mean fall of neighbours; 0 where either is missing, null below two values."""
+def mean_slope(values: Column, fs: float = 1.0, up: bool = True) -> Column:
+    """Mean of the rising (or falling) steps per second; 0 without one, null below two values."""
 
     def of(d: Column) -> Column:
-        up, down = mean(F.filter(d, lambda v: v > 0)), mean(F.filter(d, lambda v: v < 0))
-        return F.when(F.size(d) > 0, F.coalesce(up / F.abs(down), F.lit(0.0)))
+        steps = F.filter(d, lambda v: v > 0 if up else v < 0)
+        return F.when(F.size(d) > 0, F.coalesce(mean(steps) * F.lit(float(fs)), F.lit(0.0)))
 
     return let(diffs(values), of)
 
@@ -87,7 +87,7 @@ def clean_intervals(values: Column, policy: str = "median", tolerance: float = 0
     """Heart-beat intervals within [low, high] that pass a policy.
 
     `median`: within the tolerance of the median of those in range; `previous`: within it of the last one accepted;
-    `neighbour`: within 30 % of the median and within the tolerance of either neighbour.
+    `neighbour`: within 30 % of the median, and within the tolerance of the median of up to two such on either side.
     """
     ranged = F.filter(values, lambda v: v.between(low, high))
     if policy == "median":
@@ -103,19 +103,23 @@ def clean_intervals(values: Column, policy: str = "median", tolerance: float = 0
     if policy == "neighbour":
 
         def near(r: Column) -> Column:
+            """r: the intervals in place, null where they are out of range or 30 % from the median."""
+
             def ok(v: Column, i: Column) -> Column:
-                before, after = F.get(r, i - 1), F.get(r, i + 1)
-                close = lambda o: F.coalesce(F.abs(v - o) <= tolerance * o, F.lit(False))
-                return F.when(close(before) | close(after), v)
+                others = F.filter(F.array(*[F.when(i + k >= 0, F.get(r, i + k)) for k in (-2, -1, 1, 2)]), lambda o: o.isNotNull())
+                return let(others, lambda o: F.when((F.size(o) < 2) | (F.abs(v - median(o)) <= tolerance * median(o)), v))
 
             return F.filter(F.transform(r, ok), lambda v: v.isNotNull())
 
-        return let(let(ranged, lambda r: let(median(r), lambda m: F.filter(r, lambda v: F.abs(v - m) <= 0.3 * m))), near)
+        def marked(r: Column) -> Column:
+            return let(median(r), lambda m: F.transform(values, lambda v: F.when(v.between(low, high) & (F.abs(v - m) <= 0.3 * m), v)))
+
+        return let(let(ranged, marked), near)
     raise ValueError(policy)
 
 
-def stress_index(intervals: Column, width: float = 0.05, floor: float = 0.05) -> Column:
-    """Baevsky's index: share of the modal bin over twice the mode and the range; the lowest bin wins a tie."""
+def stress_index(intervals: Column, width: float = 0.05, floor: float = 0.05, min_n: int = 10) -> Column:
+    """Baevsky's index: share of the modal bin over twice the mode and the range; the lowest bin wins a tie. Null below min_n."""
 
     def of(v: Column) -> Column:
         bins = F.transform(v, lambda x: F.floor(x / width))
@@ -123,6 +127,6 @@ def stress_index(intervals: Column, width: float = 0.05, floor: float = 0.05) ->
         top = F.array_max(counts)
         mode = (-top["b"] + 0.5) * width
         spread = F.greatest(F.array_max(v) - F.array_min(v), F.lit(floor))
-        return F.when(F.size(v) > 0, 100.0 * top["n"] / F.size(v) / (2 * mode * spread))
+        return F.when(F.size(v) >= min_n, 100.0 * top["n"] / F.size(v) / (2 * mode * spread))
 
     return let(intervals, of)

@@ -75,10 +75,11 @@ def lab(red: Column, green: Column, blue: Column) -> list[Column]:
         return F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
 
     def f(t: Column) -> Column:
-        return F.when(t > 216 / 24389, F.cbrt(t)).otherwise((24389 / 27 * t + 16) / 116)
+        return F.when(t > 0.008856, F.cbrt(t)).otherwise(7.787 * t + 16 / 116)
 
+    # fixed values: the sRGB matrix and the D65 white point
     r, g, b = linear(red), linear(green), linear(blue)
-    x = f((0.4124564 * r + 0.3575761 * g + 0.1804375 * b) / 0.95047)
-    y = f(0.2126729 * r + 0.7151522 * g + 0.0721750 * b)
-    z = f((0.0193339 * r + 0.1191920 * g + 0.9503041 * b) / 1.08883)
+    x = f((0.4124 * r + 0.3576 * g + 0.1805 * b) / 0.95047)
+    y = f(0.2126 * r + 0.7152 * g + 0.0722 * b)
+    z = f((0.0193 * r + 0.1192 * g + 0.9505 * b) / 1.08883)
     return [116 * y - 16, 500 * (x - y), 200 * (y - z)]

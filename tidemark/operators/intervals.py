@@ -66,7 +66,8 @@ def minutes_to_nearest(points: DataFrame, events: DataFrame, t: str = "t", subje
     both = p.unionByName(e)
     both = both.withColumn("_before", F.max("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     both = both.withColumn("_after", F.min("_s").over(w.rowsBetween(0, Window.unboundedFollowing)))
-    gap = F.least(F.greatest(F.col("_t") - F.col("_before"), F.lit(0.0)), F.greatest(F.col("_after") - F.col("_t"), F.lit(0.0)))
+    some = lambda d: F.when(d.isNotNull(), F.greatest(d, F.lit(0.0)))
+    gap = F.least(some(F.col("_t") - F.col("_before")), some(F.col("_after") - F.col("_t")))
     return both.where("_kind = 1").select(*cols, (gap / 60.0).alias(out))
 
 
