@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small, stash
+from tidemark.llm.common import stash
 from tidemark.llm.textbytes import Text, chunks, mix
 
 MIN_WORDS = 25
@@ -171,6 +171,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated = spans.groupBy("_hash").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first <> _last").select("_hash", "_first")
     marked = spans.join(repeated, "_hash").select("_id", F.array("_lo", "_hi", (F.col("_id") == F.col("_first")).cast("int")).alias("_span"))
     per_doc = stash(marked.groupBy("_id").agg(F.flatten(F.collect_set("_span")).alias("_spans")))
-    held = rows.join(small(per_doc, 20_000), "_id", "left").select("_id", "_known", "_text", "_spans")
+    held = rows.join(per_doc, "_id", "left").select("_id", "_known", "_text", "_spans")
     out = held.mapInArrow(lambda b: _cut(b, min_words), "_id bigint, _known boolean, n_sentences bigint, n_repeated bigint, n_removed bigint, text string")
     return out.select(F.when(F.col("_known"), F.col("_id")).alias(id_col), "n_sentences", "n_repeated", "n_removed", "text")
