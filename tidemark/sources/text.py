@@ -100,9 +100,10 @@ def lowest_per_local_day(survey: DataFrame, ts: str, value: str, zone: str) -> D
 
 def survey_intervals(sheet: DataFrame, day: str, start: str, end: str, zone: str) -> DataFrame:
     """Local day and HH:mm times -> (start, end) epochs; an end before its start is on the next day. DST is honoured."""
-    at = lambda c: F.unix_timestamp(F.to_utc_timestamp(F.try_to_timestamp(F.concat_ws(" ", F.col(day).cast("string"), F.trim(F.col(c)))), zone))
-    out = sheet.withColumn("start_s", at(start)).withColumn("end_s", at(end)).where("start_s is not null and end_s is not null")
-    return out.withColumn("end_s", F.when(F.col("end_s") < F.col("start_s"), F.col("end_s") + 86400).otherwise(F.col("end_s")))
+    local = lambda c: F.try_to_timestamp(F.concat_ws(" ", F.col(day).cast("string"), F.trim(F.col(c))))
+    finish = F.when(local(end) < local(start), local(end) + F.expr("INTERVAL 1 DAY")).otherwise(local(end))
+    at = lambda t: F.unix_timestamp(F.to_utc_timestamp(t, zone))
+    return sheet.withColumn("start_s", at(local(start))).withColumn("end_s", at(finish)).where("start_s is not null and end_s is not null")
 
 
 def listed_dates(cell: Column) -> Column:
