@@ -1,0 +1,254 @@
+"""URL filters, fingerprints, decontamination, PII and license scans against plain Python."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.conftest import SF
+from tidemark.llm import decontamination, fingerprints, licenses, pii, queries, url_filters
+from tidemark.llm.common import successors
+
+
+# -- op1 ---------------------------------------------------------------------------------------------------
+def split_url(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    raw = re.match(r"[^/?#]*", rest, re.S)[0]
+    return re.sub("[A-Z]", lambda m: m[0].lower(), raw), re.match(r"[^?#]*", rest[len(raw) :], re.S)[0]
+
+
+def judged(host, path):
+    fit = [(-t, len(h + p), len(h), v == "allow", h + p, v, t) for h, p, v, t in queries.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fit)[4:] if fit and host else (None, "allow", None)
+
+
+ODD_URLS = [None, "", "example.net/en/1", "http://", "http://net", "http://net/", "HTTP://A.EXAMPLE.NET/en/x", "http://x.org/fr/1?y", "http://x.org?/fr/", "a://b://net/", "http://ÄX.net/en", "http://anet/", "http://a." * 2000 + "net/x", "http://example.com/de/#", "http://example.net/en"]
+
+
+def test_urls(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    pages = pages.unionByName(spark.createDataFrame([(1000 + k, u) for k, u in enumerate(ODD_URLS)] + [(None, "http://x.org/fr/"), (1000, None)], "page_id bigint, url string")).withColumn("host", F.lit("clash"))
+    got = url_filters.judge_urls(pages, url_filters.rules_table(spark, queries.URL_RULES)).collect()
+    want = Counter((r.page_id, *split_url(r.url), *judged(*split_url(r.url))) for r in pages.collect())
+    assert Counter((r.page_id, r.host, r.path, r.rule, r.verdict, r.tier) for r in got) == want
+
+
+def test_url_rules_of_any_path(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/xyz"), (2, "http://a.b/xy"), (3, "http://b")], "page_id bigint, url string")
+    rules = url_filters.rules_table(spark, [("b", "/xyz", "block", 0), ("b", "/x", "allow", 0), ("b", "", "block", 0)])
+    assert {r.page_id: r.rule for r in url_filters.judge_urls(pages, rules).collect()} == {1: "b/xyz", 2: "b/x", 3: "b"}
+    none = url_filters.judge_urls(pages, rules.limit(0), default="block").collect()
+    assert {(r.rule, r.verdict) for r in none} == {(None, "block")}
+    assert url_filters.judge_urls(pages.limit(0), rules).count() == 0
+
+
+# -- op2 ---------------------------------------------------------------------------------------------------
+def test_successors(spark):
+    rng = random.Random(3)
+    ids = sorted({rng.choice([rng.randrange(100), rng.randrange(10**6)]) for _ in range(500)})
+    got = {r.id: r.next_id for r in successors(spark.createDataFrame([(i,) for i in ids], "id bigint"), 7).collect()}
+    assert got == dict(zip(ids, ids[1:] + ids[:1], strict=True))
+
+
+def test_fingerprints(spark, docs, texts):
+    ids = sorted(texts)
+    got = {r.doc_id: r for r in queries.op2_document_fingerprints(spark, SF).collect()}
+    assert sorted(got) == ids
+    for k, i in enumerate(ids):
+        text, after = texts[i] or "", texts[ids[(k + 1) % len(ids)]] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+    by_text = {}
+    for i in ids:
+        assert by_text.setdefault(texts[i], got[i].fingerprint) == got[i].fingerprint
+    near = [got[i].near_edited for i in ids if len(texts[i] or "") > 500]
+    far = [got[i].near_next for i in ids]
+    assert sum(near) / len(near) > 0.05 > sum(far) / len(far)
+
+
+def test_fingerprint_edges(odd, nothing):
+    out = fingerprints.fingerprint_edits(odd).collect()
+    assert len(out) == odd.count()
+    for r in out:
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    assert fingerprints.fingerprint_edits(nothing).count() == 0
+    one = odd.where("doc_id = 6")
+    assert fingerprints.fingerprint_edits(one).first().near_next == 1.0
+
+
+def test_likeness_counts_agreeing_subsets(spark):
+    d = spark.createDataFrame([([1, None, 3, None], [1, 2, 4, None]), ([None], [None])], "a array<int>, b array<int>")
+    assert [r[0] for r in d.select(fingerprints.likeness(F.col("a"), F.col("b"))).collect()] == [pytest.approx(1 / 3), 1.0]
+
+
+# -- op3 ---------------------------------------------------------------------------------------------------
+def words(text):
+    return [w for w in re.split(r"[^\w]|_", (text or "").lower()) if w]
+
+
+def bag(ws):
+    return Counter(tuple(ws[k : k + 5]) for k in range(len(ws) - 4))
+
+
+def leaks(docs, items, threshold=0.8):
+    """Every item-sized window of every text, by brute force."""
+    out = {}
+    for i, text in docs.items():
+        ws = words(text)
+        for j, item in items.items():
+            wi = words(item)
+            if len(wi) < 5:
+                continue
+            b = bag(wi)
+            for k in range(max(1, len(ws) - len(wi) + 1)):
+                a = bag(ws[k : k + len(wi)])
+                both = sum((a & b).values())
+                s = both / (sum(a.values()) + sum(b.values()) - both) if a else 0
+                if s >= threshold and s > out.get((i, j), 0):
+                    out[i, j] = s
+    return out
+
+
+def test_leaks_of_the_tables(spark, docs, texts):
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    shared = set().union(*(bag(words(t)) for t in items.values()))
+    some = {i: t for i, t in texts.items() if shared & set(bag(words(t)))}  # a window without a common shingle has similarity 0
+    want = leaks(some, items)
+    got = {(r.doc_id, r.item_id): r.similarity for r in queries.op3_benchmark_decontamination(spark, SF).collect()}
+    assert got == pytest.approx(want) and len(want) > 0
+
+
+def test_near_leaks(spark):
+    rng = random.Random(5)
+    vocab = [f"w{k}" for k in range(3000)]
+    items = {k: " ".join(rng.choices(vocab, k=rng.randint(15, 50))) for k in range(30)}
+    docs = {}
+    for k in range(60):
+        ws = items[k % 30].split()
+        for _ in range(k // 30):
+            ws[rng.choice([0, len(ws) - 1, rng.randrange(len(ws))])] = "other"
+        docs[k] = " ".join(rng.choices(vocab, k=rng.randint(0, 60)) + ws + rng.choices(vocab, k=rng.randint(0, 60)))
+    d = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.find_leaks(d, b).collect()}
+    want = leaks(docs, items)
+    assert got == pytest.approx(want)
+    kept = {r.doc_id for r in decontamination.decontaminate(d, b).collect()}
+    assert kept == set(docs) - {i for i, _ in want}
+
+
+def test_simhash_and_radius(spark):
+    masks = decontamination.flips(15)
+    assert len(masks) == 697 and all(bin(m).count("1") <= 3 for m in masks)
+    rng = random.Random(1)
+    for _ in range(2000):  # any two prints within 15 bits agree in some block up to three bits
+        x = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 15)))
+        assert any((x >> 16 * k) & 0xFFFF in masks for k in range(4))
+    d = spark.createDataFrame([([3, 1, 1],)], "s array<bigint>")
+    assert d.select(decontamination.simhash(F.col("s"))).first()[0] == 1
+
+
+def test_leak_edges(odd, nothing, spark):
+    b = spark.createDataFrame([(1, "text stands here twice, with enough words to make"), (2, None), (3, ""), (None, "of of")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(odd, b).collect()}
+    assert got == {(6, 1), (7, 1)}
+    assert decontamination.decontaminate(odd, b).columns == odd.columns
+    assert decontamination.find_leaks(nothing, b).count() == 0 and decontamination.find_leaks(odd, b.limit(0)).count() == 0
+
+
+# -- op4 ---------------------------------------------------------------------------------------------------
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(number):
+    d = [int(c) for c in reversed(number)]
+    return sum(x if k % 2 == 0 else (2 * x - 9 if 2 * x > 9 else 2 * x) for k, x in enumerate(d)) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for n, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {
+                "email": lambda m=m: True,
+                "ip": lambda m=m: all(int(p) <= 255 for p in m[0].split(".")),
+                "card": lambda d=d: 14 <= len(d) <= 19 and luhn(d),
+                "phone": lambda d=d: 10 <= len(d) <= 15,
+            }[kind]()
+            if ok:
+                out.append((m.start(), n, kind, m.end()))
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(out))
+
+
+TRICKY = [
+    "a@b.c", "a@b", "x@y.z@w.v", "a@b.com_x@y.z", "..@-.-", "é a+b%c@d-e.f.g é", "1.2.3.4.5.6.7.8", "256.1.1.1 001.002.003.004", "1.2.3.4444444444", "4111 1111 1111 1111", "4111-1111-1111-1111-", "4111  1111", "+1 (212) 555-0123",
+    "+1)))2", "+12345678901234567890", "++49 30 1234567", "日本 +49 30 1234567 日本 1.1.1.1", "4111111111111111.1.1.1", "a@b.c,d@e.f;+1 212 555 0123+1 212 555 0123", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7", "0000-0000-0000-00",
+]
+
+
+def test_pii_base(spark, docs, texts):
+    rng = random.Random(2)
+    made = ["".join(rng.choices("a1.@+- ()9%_é\n", k=rng.randint(0, 60))) for _ in range(400)]
+    made += ["".join(rng.choices("0123456789", [5, 1, 1, 1, 1, 1, 1, 1, 1, 1], k=15)) + " " + rng.choice(TRICKY) for _ in range(200)]
+    rows = [(k, t) for k, t in enumerate([*TRICKY, *made])] + [(10_000 + i, t) for i, t in texts.items()]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = pii.find_pii(d).select("doc_id", pii.listed(F.filter("pii", lambda x: x["kind"] < 4)).alias("s")).collect()
+    want = {i: base_spans(t) for i, t in rows}
+    assert {r.doc_id: r.s for r in got} == want and sum(map(bool, want.values())) > 100
+
+
+def test_pii_more_kinds_and_masks(spark):
+    t = "My IBAN GB82 WEST 1234 5698 7654 32 and GB82 WEST 1234 5698 7654 33; my social security number 123-45-6789; and quite apart from it, a long way off, part 123-45-6789; mail me at a@b.co"
+    d = spark.createDataFrame([(1, t, 5), (2, None, 0), (3, "clean", 5)], "doc_id bigint, text string, pii int")
+    found = pii.find_pii(d.drop("pii")).where("doc_id = 1").select(pii.listed(F.col("pii"))).first()[0]
+    assert [s.split(":")[0] for s in found.split(",")] == ["iban", "ssn", "email"]
+    m = pii.mask_pii(d)
+    assert m.columns == d.columns
+    got = {r.doc_id: (r.text, r.pii) for r in m.collect()}
+    assert got[2] == (None, 0) and got[3] == ("clean", 5)
+    assert got[1][0] == "My IBAN [IBAN] and GB82 WEST 1234 5698 7654 33; my social security number [SSN]; and quite apart from it, a long way off, part 123-45-6789; mail me at [EMAIL]"
+
+
+def test_pii_query_and_edges(spark, texts, odd, nothing):
+    for r in queries.op4_pii(spark, SF).collect():
+        want = base_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(want.count(k + ":") for k in BASE)
+    assert pii.find_pii(odd).count() == odd.count() and pii.mask_pii(odd).count() == odd.count()
+    assert pii.find_pii(nothing).count() == 0
+
+
+# -- op5 ---------------------------------------------------------------------------------------------------
+def license_base(text):
+    ws = re.findall(licenses.WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    at = [(k, label) for p, label in licenses.PHRASES for k in range(len(ws)) if ws[k : k + len(p.split())] == p.split()]
+    places = [k for k, _ in at]
+    return len(ws), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in at}))
+
+
+def test_licenses(spark, docs, texts):
+    rows = [(5000, "MIT License, mit-license; General Public  License GENERAL\npublic license"), (5001, "Licensed under CC BY-NC 4.0."), (5002, "permission is hereby granted, free of charge, to any person obtaining a copy of the software"), (5003, "mit licenses é.license")]
+    d = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = {r.doc_id: r for r in licenses.scan_licenses(d).collect()}
+    for i, t in [*texts.items(), *rows]:
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == license_base(t)
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    assert (got[5001].labels, got[5002].labels, got[5003].labels) == ("cc-by-nc", "mit", "")
+    assert got[5002].score > 0.6
+
+
+def test_license_edges(odd, nothing):
+    assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(nothing).count() == 0

@@ -82,4 +82,39 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _values(rows: list[tuple]) -> str:
+    quoted = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
+    return ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
+
+
+def _url_sql() -> str:
+    return f"""WITH rules(h, p, v, tier) AS (VALUES {_values(URL_RULES)}),
+u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, coalesce(rest, '') AS rest, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS raw FROM u),
+k AS (SELECT row_number() OVER () AS k, page_id, translate(raw, '{url_filters.UPPER}', '{url_filters.LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM s),
+f AS (SELECT k, h || p AS rule, v, tier, row_number() OVER (PARTITION BY k ORDER BY tier, length(h || p) DESC, length(h) DESC, v) AS r FROM k JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) AND host <> '')
+SELECT page_id, host, path, CASE WHEN tier = 0 THEN rule END AS rule, coalesce(v, 'allow') AS verdict, CASE WHEN tier = 1 THEN rule END AS list_rule FROM k LEFT JOIN f ON k.k = f.k AND r = 1"""
+
+
+def _license_sql() -> str:
+    rows, whole = licenses.postings(licenses.TEMPLATES, 1.0)
+    keys = [(k, f" {p} ") for k, (_, _, ps) in enumerate(licenses.TEMPLATES) for p in ps]
+    starts = " || ".join(
+        f"list_filter(range(len(w)), lambda i: {' AND '.join(f'w[i + {n}] = ' + repr(x) for n, x in enumerate(p.split(' '), 1))})" for p, _ in licenses.PHRASES
+    )
+    base = ", ".join(f"CASE WHEN contains(j, ' {p} ') THEN '{label}' END" for p, label in licenses.PHRASES)
+    return f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filters.UPPER}', '{url_filters.LOWER}'), '{licenses.WORD}') AS w FROM documents),
+b AS (SELECT k, doc_id, w, ' ' || coalesce(array_to_string(w, ' '), '') || ' ' AS j FROM d),
+s AS (SELECT *, {starts} AS st, list_sort(list_distinct(list_filter([{base}], lambda x: x IS NOT NULL))) AS bl FROM b),
+ix(word, t, place, idf) AS (VALUES {_values(rows)}), tw(t, whole, label) AS (VALUES {_values([(k, v, licenses.TEMPLATES[k][0]) for k, v in enumerate(whole)])}), ky(t, p) AS (VALUES {_values(keys)}),
+ok AS (SELECT DISTINCT k, t FROM b JOIN ky ON contains(j, p)),
+ex AS (SELECT k, unnest(w) AS word, unnest(range(len(w))) AS pos FROM b WHERE k IN (SELECT k FROM ok)),
+hit AS (SELECT DISTINCT ex.k, ix.t, pos - place AS off, place, idf FROM ex JOIN ix USING (word) JOIN ok ON ok.k = ex.k AND ok.t = ix.t),
+sh AS (SELECT hit.k, hit.t, off, round(sum(idf) / any_value(whole), 6) AS share, any_value(label) AS label FROM hit JOIN tw USING (t) GROUP BY 1, 2, 3),
+be AS (SELECT k, max(share) AS score, list_distinct(list(label)) AS more, count(*) AS n FROM sh WHERE share >= 0.6 GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(st) AS BIGINT) AS n_base, CAST(list_min(st) AS BIGINT) AS first_word, CAST(list_max(st) AS BIGINT) AS last_word, array_to_string(bl, ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(bl || coalesce(more, []))), ',') AS labels, CAST(CASE WHEN len(bl) > 0 THEN 1.0 ELSE coalesce(score, 0) END AS DOUBLE) AS score, coalesce(n, 0) AS template_hits FROM s LEFT JOIN be USING (k)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": _url_sql(), "op5_license_scans": _license_sql()}
