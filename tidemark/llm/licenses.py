@@ -137,7 +137,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _contains_any(text: Column, words: list[str]) -> Column:
+    """Whether the text may hold one of the words: long ones anywhere, short ones (common as parts of others) standing alone."""
     out = F.lit(False)
     for w in words:
-        out = out | F.contains(text, F.lit(w))
+        out = out | (F.contains(text, F.lit(w)) if len(w) > 3 else F.contains(text, F.lit(w)) & text.rlike(f"(?<![0-9a-z\\x80-\\x{{10FFFF}}]){w}(?![0-9a-z\\x80-\\x{{10FFFF}}])"))
     return out
