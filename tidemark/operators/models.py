@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 
 def with_folds(df: DataFrame, how: str = "group", folds: int = 5, subject: str = "subject_id", label: str = "label", seed: int = 0) -> DataFrame:
-    """`df` with a fold: `group` (a subject's rows together), `loso` (a fold per subject), `random` (stratified rows)."""
+    """`df` with a fold: `group` (a subject's rows together), `loso` (the subject is the fold), `random` (stratified rows)."""
     if how == "loso":
-        return df.withColumn("fold", F.dense_rank().over(Window.orderBy(subject)).cast("bigint") - 1)  # as many as subjects
+        return df.withColumn("fold", F.col(subject))
     if how == "random":
         order = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), *df.columns)))
         return df.withColumn("fold", (order % folds).cast("bigint"))
