@@ -11,6 +11,8 @@ an empty table gives an empty result; further columns are dropped. Null ids come
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,9 +79,11 @@ def as_text(parts: Column) -> Column:
     return F.array_join(F.transform(parts, lambda x: F.coalesce(F.lpad(F.lower(F.hex(x)), 8, "0").substr(-8, 8), F.lit("-"))), ".")
 
 
-def with_next(docs: DataFrame, id_col: str, carry: list[str], per_bucket: int = 500) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, carry: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df, per_bucket: int = 500) -> DataFrame:
     """Each row with the next row's `carry` columns (as next_*), by ascending id; the last row's next is the first.
 
+    `derive` adds columns, computed once for each row and each copy before the rows are dealt.
+
     The rows are dealt once, to buckets of neighbouring ids. Every bucket also gets a copy of the row that
     follows its last one, so a window over the bucket sees all successors; no task holds more than a bucket.
     """
@@ -87,14 +91,14 @@ def with_next(docs: DataFrame, id_col: str, carry: list[str], per_bucket: int =
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit((low or 0) - 1))
     low = (low or 0) - 1 if nulls else (low or 0)
     width = max(1, -(-((high or 0) - low + 1) * per_bucket // max(n, 1)))
-    bucketed = docs.select(id_col, *carry).withColumn("_k", key).withColumn("_b", F.floor((F.col("_k") - F.lit(low)) / F.lit(width)))
+    bucketed = docs.withColumn("_k", key).withColumn("_b", F.floor((F.col("_k") - F.lit(low)) / F.lit(width)))
     firsts = bucketed.select("_k", "_b").groupBy("_b").agg(F.min("_k").alias("_first"))
     after = successors(firsts.select(F.col("_first").alias("id"))).withColumnsRenamed({"id": "_first", "next_id": "_k"})
     ghosts_at = firsts.join(after, "_first").select(F.col("_b").alias("_to"), "_k")
     # of rows that share a bucket's first id the least comes first, in its own bucket and as a ghost
     order = [F.col(c).asc_nulls_first() for c in carry[:1]]
     ghosts = bucketed.join(small(ghosts_at), "_k").drop("_b").withColumnRenamed("_to", "_b").withColumn("_ghost", F.lit(1))
-    both = bucketed.withColumn("_ghost", F.lit(0)).unionByName(ghosts)
+    both = derive(bucketed.withColumn("_ghost", F.lit(0)).unionByName(ghosts))
     w = Window.partitionBy("_b").orderBy("_ghost", "_k", *order)
     led = both.withColumns({f"next_{c}": F.lead(c).over(w) for c in carry})
     return led.where("_ghost = 0").drop("_ghost", "_b", "_k")
@@ -117,9 +121,9 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     `edited`: the last floor(n_chars / 2) code points replaced by the first as many (or all) of the next document.
     """
     words, bits = lexicon(docs, text_col, low, high)
-    own = _with_parts(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text", words, bits)
+    own = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     half = F.floor(F.length("text") / 2).cast("int")
-    led = with_next(own, id_col, ["text", "parts"]).withColumn("n_chars", F.length("text").cast("long"))
+    led = with_next(own, id_col, ["text", "parts"], lambda df: _with_parts(df, "text", words, bits)).withColumn("n_chars", F.length("text").cast("long"))
     led = led.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr("next_text", F.lit(1), half)))
     led = _with_parts(led.select(id_col, "n_chars", "edited", "parts", "next_parts"), "edited", words, bits, "edited_parts")
     return led.select(id_col, "n_chars", "edited", "parts", "edited_parts", likeness(F.col("parts"), F.col("edited_parts")).alias("near_edited"), likeness(F.col("parts"), F.col("next_parts")).alias("near_next"))
