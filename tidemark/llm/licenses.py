@@ -107,9 +107,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     telling = sorted({max(p.split(" "), key=len) for _, _, ks in templates for p in ks})
     rare = sorted({r[0] for r in rows})
     could = d.where(_contains_any(F.col("_low"), telling))
-    could = could.select(F.col(id_col), F.xxhash64("_t").alias("_key"), F.regexp_extract_all("_low", F.lit(WORD), F.lit(0)).alias("_w"))
-    key_ok = [F.array_max(F.array(*[F.size(phrase_starts(F.col("_w"), p)) > 0 for p in ks])) for _, _, ks in templates]
-    could = could.withColumn("_ok", F.array(*key_ok)).where(F.array_contains("_ok", True))
+    # what is bound in a lambda is computed once; words hold no blank, so joined by blanks they tell consecutive ones
+    held = F.transform(F.array(F.regexp_extract_all("_low", F.lit(WORD), F.lit(0))), lambda w: F.struct(w.alias("w"), F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).alias("j")))
+    key_ok = lambda j: F.array(*[F.array_contains(F.array(*[F.contains(j, F.lit(f" {p} ")) for p in ks]), True) for _, _, ks in templates])
+    held = F.transform(held, lambda x: F.struct(x["w"].alias("w"), key_ok(x["j"]).alias("ok")))
+    could = could.select(F.col(id_col), F.xxhash64("_t").alias("_key"), F.explode(F.filter(held, lambda x: F.array_contains(x["ok"], True))).alias("_x"))
+    could = could.select(id_col, "_key", F.col("_x.w").alias("_w"), F.col("_x.ok").alias("_ok"))
     hits = (
         could.select(id_col, "_key", "_ok", F.posexplode("_w").alias("_pos", "_word"))
         .where(F.col("_word").isin(rare))
