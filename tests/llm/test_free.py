@@ -200,6 +200,22 @@ def test_repeat_edges(odd, nothing):
     assert substring_dedup.remove_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_repeats_of_rows_that_share_an_id(spark, shared):
+    """Rows with equal or missing ids are documents of their own: their spans cut no other row's sentences."""
+    rng = random.Random(12)
+    sentence = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n)) + "."
+    clean = lambda n: " ".join(sentence(9) for _ in range(n))
+    passage, other = clean(8), clean(8)
+    texts = [clean(6) + "\n" + passage, clean(2), other, clean(3) + "\n" + other, clean(20), clean(1)]
+    last = clean(2) + "\n" + passage
+    d = spark.createDataFrame([(shared, t) for t in texts] + [(9, last)], "doc_id bigint, text string").coalesce(1)
+    got = {r.text: (r.doc_id, r.n_repeated, r.n_removed) for r in substring_dedup.remove_repeats(d).collect()}
+    want = {t: (shared, 0, 0) for t in texts} | {texts[0]: (shared, 8, 0), other: (shared, 8, 0)}
+    del want[texts[3]]
+    assert got == want | {texts[3][: -len(other)]: (shared, 8, 8), last[: -len(passage)]: (9, 8, 8)}
+
+
 # -- op8 ---------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def unigram():

@@ -6,12 +6,11 @@ every sentence the shortest run backward, of at least two sentences and `min_wor
 words with ASCII case and punctuation ignored; a sentence of twice as many words is also a run alone. Any repeated
 passage of twice `min_words` words in whole sentences is covered by such runs to its ends.
 
-The first occurrence of a run is the one in the document with the smallest id, and there the earliest; every
-sentence covered by another occurrence goes. All occurrences are joined, however many documents share a run.
+The first occurrence of a run is the one in the document with the smallest id (of equal ids, the row written
+first), and there the earliest; every sentence covered by another occurrence goes. All occurrences are joined, however many documents share a run.
 
-Handling of edge cases: null and wordless texts have no sentences and stay as they are; rows that share an id
-count as one document and the first occurrences in each stay; null ids come before all others and their rows
-count as one document; an empty table gives an empty result; further columns are dropped.
+Handling of edge cases: null and wordless texts have no sentences and stay as they are; every row is a document of
+its own under a written row number, also rows that share an id; null ids come before all others; an empty table gives an empty result; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -97,22 +96,21 @@ def _first_in_row(row: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def _spans(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (hash, id, lo, hi) of the runs that are their document's earliest of that hash."""
+    """(id, row, text) -> (hash, id, row, lo, hi) of the runs that are their row's earliest of that hash."""
     for batch in batches:
-        ids = batch.column(0).to_numpy()
-        for at, text in chunks(batch.column(1)):
+        for at, text in chunks(batch.column(2)):
             row, lo, hi, value, _, _ = runs(text, min_words)
             keep = _first_in_row(row, value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(value[keep].view(np.int64)), pa.array(ids[at + row[keep]]), pa.array(lo[keep].astype(np.int32)), pa.array(hi[keep].astype(np.int32))], names=["_hash", "_id", "_lo", "_hi"]
+                [pa.array(value[keep].view(np.int64)), *[batch.column(k).take(pa.array(at + row[keep])) for k in (0, 1)], pa.array(lo[keep].astype(np.int32)), pa.array(hi[keep].astype(np.int32))], names=["_hash", "_id", "_row", "_lo", "_hi"]
             )
 
 
 def _cut(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """(id, known, text, spans as array of lo, hi, first flags) -> (id, known, n_sentences, n_repeated, n_removed, text)."""
+    """(id, text, spans as array of lo, hi, first flags) -> (id, n_sentences, n_repeated, n_removed, text)."""
     for batch in batches:
-        spans = batch.column(3)
-        for at, text in chunks(batch.column(2)):
+        spans = batch.column(2)
+        for at, text in chunks(batch.column(1)):
             row, lo, hi, value, starts, rows_first = runs(text, min_words)
             n = len(starts)
             again = ~_first_in_row(row, value)
@@ -131,7 +129,7 @@ def _cut(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Recor
             begins = starts.copy()
             firsts = rows_first[:-1][np.diff(rows_first) > 0]
             begins[firsts] = text.offsets[:-1][np.diff(rows_first) > 0]
-            texts, per_row = [], batch.column(2).slice(at, len(text))
+            texts, per_row = [], batch.column(1).slice(at, len(text))
             removed = _per_row(gone, rows_first)
             for r in range(len(text)):
                 if not removed[r]:
@@ -141,9 +139,9 @@ def _cut(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Recor
                     texts.append(b"".join(text.raw[begins[s] : stops[s]].tobytes() for s in own if not gone[s]).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(at, len(text)), batch.column(1).slice(at, len(text)), pa.array(np.diff(rows_first).astype(np.int64)), pa.array(_per_row(repeated, rows_first)), pa.array(removed), pa.array(texts, pa.string())
+                    batch.column(0).slice(at, len(text)), pa.array(np.diff(rows_first).astype(np.int64)), pa.array(_per_row(repeated, rows_first)), pa.array(removed), pa.array(texts, pa.string())
                 ],
-                names=["_id", "_known", "n_sentences", "n_repeated", "n_removed", "text"],
+                names=["_id", "n_sentences", "n_repeated", "n_removed", "text"],
             )
 
 
@@ -164,13 +162,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     n_repeated: sentences within some repeated run, first occurrences included; n_removed: those that went; text: the rest.
     """
-    low = docs.agg(F.min(id_col)).first()[0] or 0
-    known = F.col(id_col).isNotNull()
-    rows = docs.select(F.coalesce(F.col(id_col), F.lit(low - 1)).cast("bigint").alias("_id"), known.alias("_known"), F.col(text_col).alias("_text"))
-    spans = stash(rows.select("_id", "_text").mapInArrow(lambda b: _spans(b, min_words), "_hash bigint, _id bigint, _lo int, _hi int"))
-    repeated = spans.groupBy("_hash").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first <> _last").select("_hash", "_first")
-    marked = spans.join(repeated, "_hash").select("_id", F.array("_lo", "_hi", (F.col("_id") == F.col("_first")).cast("int")).alias("_span"))
-    per_doc = stash(marked.groupBy("_id").agg(F.flatten(F.collect_set("_span")).alias("_spans")))
-    held = rows.join(per_doc, "_id", "left").select("_id", "_known", "_text", "_spans")
-    out = held.mapInArrow(lambda b: _cut(b, min_words), "_id bigint, _known boolean, n_sentences bigint, n_repeated bigint, n_removed bigint, text string")
-    return out.select(F.when(F.col("_known"), F.col("_id")).alias(id_col), "n_sentences", "n_repeated", "n_removed", "text")
+    rows = stash(docs.select(F.col(id_col).cast("bigint").alias("_id"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text")))
+    spans = stash(rows.mapInArrow(lambda b: _spans(b, min_words), "_hash bigint, _id bigint, _row bigint, _lo int, _hi int"))
+    # a row has each hash once; the least of structs has null ids first
+    repeated = spans.groupBy("_hash").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_hash", "_first")
+    marked = spans.join(repeated, "_hash").select("_row", F.array("_lo", "_hi", (F.col("_row") == F.col("_first")).cast("int")).alias("_span"))
+    per_row = stash(marked.groupBy("_row").agg(F.flatten(F.collect_set("_span")).alias("_spans")))
+    held = rows.join(per_row, "_row", "left").select("_id", "_text", "_spans")
+    out = held.mapInArrow(lambda b: _cut(b, min_words), "_id bigint, n_sentences bigint, n_repeated bigint, n_removed bigint, text string")
+    return out.withColumnRenamed("_id", id_col)
