@@ -143,6 +143,40 @@ def test_near_leaks(spark):
     assert kept == set(docs) - {i for i, _ in want}
 
 
+def test_leaks_just_above_the_threshold(spark):
+    """Every edited passage of similarity 0.8 to 0.86 is found, however far apart the SimHashes are."""
+    rng = random.Random(15)
+    vocab = [f"w{k}" for k in range(50_000)]
+    items, docs, want = {}, {}, {}
+    for k in range(600):
+        ws = rng.choices(vocab, k=rng.choice([40, 49, 85]))
+        edited = list(ws)
+        n = 0
+        while n < len(ws):  # change words from the end as long as the similarity stays
+            n += 1
+            both = len(ws) - 4 - n
+            if both / (2 * (len(ws) - 4) - both) < 0.8:
+                break
+            edited[-n] = "other"
+        both = len(ws) - 4 - (n - 1)
+        items[k], docs[k], want[k, k] = " ".join(ws), " ".join(rng.choices(vocab, k=5) + edited), both / (2 * (len(ws) - 4) - both)
+    assert 0.8 <= min(want.values()) and max(want.values()) < 0.86
+    d = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.hamming) for r in decontamination.find_leaks(d, b).collect()}
+    assert {k: s for k, (s, _) in got.items()} == pytest.approx(want)
+    assert max(h for _, h in got.values()) > 15
+
+
+def test_items_without_an_id(spark):
+    a, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "ac")
+    d = spark.createDataFrame([(1, f"{a} {c}"), (2, c), (3, "nothing of the kind stands in here")], "doc_id bigint, text string")
+    b = spark.createDataFrame([(None, a), (None, c)], "item_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id, r.similarity, r.first_word) for r in decontamination.find_leaks(d, b).collect())
+    assert got == [(1, None, 1.0, 0), (1, None, 1.0, 20), (2, None, 1.0, 0)]
+    assert [r.doc_id for r in decontamination.decontaminate(d, b).collect()] == [3]
+
+
 def test_simhash_and_radius(spark):
     masks = decontamination.flips(15)
     assert len(masks) == 697 and all(bin(m).count("1") <= 3 for m in masks)

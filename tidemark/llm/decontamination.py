@@ -4,12 +4,14 @@ A window whose five-word shingles share none with an item has similarity 0 with
 some shingle of the text is one of the benchmark's: a window of the item's size at the place that lines the two up.
 Each window's 64-bit SimHash is looked up in four 16-bit blocks; the items' blocks are listed with all values within
 three flipped bits, so every item within a radius of 15 bits is met (16 flips cannot be spread over four blocks with
-at least four each below 16). What is met is verified by weighted Jaccard similarity, the weights being the counts
-of the shingles, of the whole window against the whole item.
+at least four each below 16). A pair at the threshold can lie beyond any radius, so a window is also verified against
+every item that it was laid for, whatever their distance: the radius loses no pair of a window and its own item.
+What is met is verified by weighted Jaccard similarity, the weights being the counts of the shingles, of the whole
+window against the whole item.
 
 Handling of edge cases: null and shorter texts than a shingle hold no window; of equal similarities of one document
 and item the first window is reported; repeated rows each count as a document of their own but give one row per
-(id, item); empty tables give an empty result; further columns are dropped.
+(id, item); items without an id are searched, each gives rows of its own; empty tables give an empty result; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -75,10 +77,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items = stash(
         benchmark.select(F.col(item_col).alias("_item"), words_of(F.col(item_text_col)).alias("_w"))
         .where(F.size("_w") >= N)
-        .select("_item", shingles_of(F.col("_w")).alias("_shingles"))
+        .select(F.monotonically_increasing_id().alias("_key"), "_item", shingles_of(F.col("_w")).alias("_shingles"))
         .withColumn("_simhash", simhash(F.col("_shingles")))
     )
-    postings = items.select("_item", F.size("_shingles").alias("_len"), F.posexplode("_shingles").alias("_at", "_shingle"))
+    postings = items.select("_key", F.size("_shingles").alias("_len"), F.posexplode("_shingles").alias("_at", "_shingle"))
     bits = bits_for(postings.count(), per_key=256, least=1 << 18)
     seen = bitmap(postings, "_shingle", bits, PROBES)
 
@@ -90,29 +92,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     suspects = stash(held.select(F.monotonically_increasing_id().alias("_row"), F.col("_x.id").alias("_doc"), F.col("_x.s").alias("_s"), F.col("_x.hits").alias("_hits")))
 
     hits = suspects.select("_row", F.explode(F.transform("_hits", lambda i: F.struct(i.alias("at"), F.get("_s", i).alias("shingle")))).alias("_h")).select("_row", F.col("_h.at").alias("_pos"), F.col("_h.shingle").alias("_shingle"))
-    places = hits.join(postings, "_shingle").select("_row", F.greatest(F.col("_pos") - F.col("_at"), F.lit(0)).alias("_from"), (F.col("_pos") - F.col("_at") + F.col("_len")).alias("_to")).distinct()
+    laid = hits.join(postings, "_shingle").select("_row", "_key", F.greatest(F.col("_pos") - F.col("_at"), F.lit(0)).alias("_from"), (F.col("_pos") - F.col("_at") + F.col("_len")).alias("_to")).distinct()
+    laid = stash(laid)
+    places = laid.select("_row", "_from", "_to").distinct()
     windows = suspects.select("_row", "_doc", "_s").join(places, "_row")
-    windows = windows.select("_row", "_doc", "_from", F.slice("_s", F.col("_from") + 1, F.least(F.col("_to"), F.size("_s")) - F.col("_from")).alias("_win"))
+    windows = windows.select("_row", "_doc", "_from", "_to", F.slice("_s", F.col("_from") + 1, F.least(F.col("_to"), F.size("_s")) - F.col("_from")).alias("_win"))
     windows = stash(windows.withColumn("_print", simhash(F.col("_win"))))
 
     masks = F.array(*[F.lit(m) for m in flips(radius)])
-    listed = items.select("_item", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), block(F.col("_simhash"), k).alias("v")) for k in range(BLOCKS)])).alias("_b"))
-    listed = listed.select("_item", F.col("_b.k").alias("_k"), F.explode(F.transform(masks, lambda m: F.col("_b.v").bitwiseXOR(m))).alias("_v"))
+    listed = items.select("_key", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), block(F.col("_simhash"), k).alias("v")) for k in range(BLOCKS)])).alias("_b"))
+    listed = listed.select("_key", F.col("_b.k").alias("_k"), F.explode(F.transform(masks, lambda m: F.col("_b.v").bitwiseXOR(m))).alias("_v"))
     # equal windows are looked up and verified once
     distinct = windows.groupBy("_print", "_win").agg(F.count("*").alias("_copies"))
     asked = distinct.select("_print", "_win", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), block(F.col("_print"), k).alias("v")) for k in range(BLOCKS)])).alias("_b"))
-    near = asked.select("_print", "_win", F.col("_b.k").alias("_k"), F.col("_b.v").alias("_v")).join(listed, ["_k", "_v"]).select("_print", "_win", "_item").distinct()
+    near = asked.select("_print", "_win", F.col("_b.k").alias("_k"), F.col("_b.v").alias("_v")).join(listed, ["_k", "_v"]).select("_print", "_win", "_key", F.lit(False).alias("_own"))
+    own = windows.join(laid, ["_row", "_from", "_to"]).select("_print", "_win", "_key", F.lit(True).alias("_own"))
+    near = near.unionByName(own).groupBy("_print", "_win", "_key").agg(F.bool_or("_own").alias("_own"))
     checked = (
-        near.join(items, "_item")
+        near.join(items, "_key")
         .withColumn("_hamming", F.bit_count(F.col("_print").bitwiseXOR(F.col("_simhash"))))
-        .where(F.col("_hamming") <= radius)
+        .where(F.col("_own") | (F.col("_hamming") <= radius))
         .withColumn("_similarity", weighted_jaccard(F.col("_win"), F.col("_shingles")))
         .where(F.col("_similarity") >= threshold)
-        .select("_print", F.xxhash64("_win").alias("_wh"), "_item", "_hamming", "_similarity")
+        .select("_print", F.xxhash64("_win").alias("_wh"), "_key", "_item", "_hamming", "_similarity")
     )
     found = windows.select("_row", "_doc", "_from", "_print", F.xxhash64("_win").alias("_wh"), F.size("_win").alias("_n")).join(checked, ["_print", "_wh"])
     best = F.struct(F.col("_similarity").alias("s"), (-F.col("_hamming")).alias("h"), (-F.col("_from")).alias("f"), F.col("_n").alias("n"))
-    return found.groupBy(F.col("_doc").alias(id_col), F.col("_item").alias(item_col)).agg(F.max(best).alias("_best")).select(
+    return found.groupBy(F.col("_doc").alias(id_col), F.col("_item").alias(item_col), F.when(F.col("_item").isNull(), F.col("_key")).alias("_unnamed")).agg(F.max(best).alias("_best")).select(
         id_col, item_col, F.col("_best.s").alias("similarity"), (-F.col("_best.h")).cast("int").alias("hamming"), (-F.col("_best.f")).cast("long").alias("first_word"), (F.col("_best.n") + (N - 1)).cast("long").alias("n_words")
     )
 
