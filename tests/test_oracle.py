@@ -42,3 +42,10 @@ def test_same_rows(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
 def test_runs(spark, name):
     assert plans.QUERIES[name](spark, SF).count() >= 0
+
+
+def test_risk_labels_hold_every_subjects_events(spark, duck):
+    events = duck.execute("SELECT user_id, CAST(ts AS DATE) FROM events WHERE event_type = 'error' GROUP BY ALL HAVING count(*) >= 2").fetchall()
+    label = {(r.subject_id, r.day): r.label for r in plans.QUERIES["risk_labels"](spark, SF).collect()}
+    on = [label[e] for e in events if e in label]
+    assert any(s % 7 for s, _ in events) and on and set(on) == {1}
