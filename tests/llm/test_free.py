@@ -126,6 +126,19 @@ def test_jaccard_edges(odd, nothing):
     assert jaccard_join.jaccard_classes(nothing).count() == 0 and jaccard_join.drop_near_copies(nothing).count() == 0
 
 
+def test_jaccard_copies_without_an_id(spark):
+    """A copy without an id names no class, and switches the dropping of none off."""
+    rng = random.Random(4)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(60)] for _ in range(4)]
+    near = [*texts[1][:-1], "other"]
+    rows = [(None, texts[0]), (5, texts[0]), (6, texts[0]), (None, texts[1]), (8, near), (9, near), (None, texts[2]), (None, texts[2]), (11, texts[3])]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id bigint, text string")
+    got = Counter((r.doc_id, r.class_id, r.n_copies, r.n_links) for r in jaccard_join.jaccard_classes(d).collect())
+    assert got == Counter([(None, 5, 3, 2), (5, 5, 3, 2), (6, 5, 3, 2), (None, 8, 1, 2), (8, 8, 2, 2), (9, 8, 2, 2), (None, None, 2, 1), (None, None, 2, 1), (11, 11, 1, 0)])
+    kept = sorted(r.doc_id or 0 for r in jaccard_join.drop_near_copies(d).collect())
+    assert kept == [0, 0, 0, 0, 5, 8, 11]
+
+
 # -- op10 --------------------------------------------------------------------------------------------------
 def split_sentences(text):
     """Text pieces with a word each; wordless pieces join the one before, or the first."""

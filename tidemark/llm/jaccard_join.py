@@ -13,8 +13,8 @@ spanning forest. So links are exact within each component that the paths connect
 
 Handling of edge cases: null and wordless texts have no shingles, are similar to nothing and stay alone; a text of one
 to four words has one shingle, all its words; repeated rows and equal texts share a class; rows with equal ids
-count as one document's copies; null ids are compared under the smallest id minus one and come out null; an empty
-table gives an empty result; further columns are dropped.
+count as one document's copies; rows without an id are compared like all others but name no class: class_id is null
+only where no document of the class has an id; an empty table gives an empty result; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -199,6 +199,15 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield whole.filter(right)
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> (id, set_key, text) of the rows with shingles."""
+    for batch in batches:
+        for row, text in chunks(batch.column(1)):
+            out, first = shingles(text)
+            whole = pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(text)), _set_keys(out, first), batch.column(1).slice(row, len(text))], names=["_id", "_set", "_text"])
+            yield whole.filter(pa.array(np.diff(first) > 0))
+
+
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections: products of the incidence matrix, a few thousand columns at a time."""
     n = len(sets)
@@ -260,17 +269,18 @@ def _exact(batches: Iterator[pa.RecordBatch], top: int, bottom: int) -> Iterator
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.999, limit: int = 500, slack: float = 0.12) -> DataFrame:
     """-> (id_col, class_id, n_copies, n_links): one row per input row.
 
-    class_id is the smallest id of the documents connected by links (similarity of at least the threshold),
+    class_id is the smallest id, nulls aside, of the documents connected by links (similarity of at least the threshold),
     n_copies the number of documents with the very same set, n_links the number of other documents linked to this one.
     """
     runs = runs_for(recall, threshold)
     top, bottom = (round(threshold * 1000), 1000)
     low = docs.agg(F.min(id_col)).first()[0] or 0
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(low - 1)).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
+    known = lambda c: F.when(F.col(c) != low - 1, F.col(c))
     sketched = stash(rows.mapInArrow(lambda b: _sketched(b, runs), "_id bigint, _set binary, _size int, _sketch binary, _paths array<bigint>"))
 
     whole = sketched.where("_size > 0").groupBy("_set").agg(
-        F.min("_id").alias("_least"), F.count("*").alias("_copies"), F.any_value("_size").alias("_size"), F.any_value("_sketch").alias("_sketch"), F.any_value("_paths").alias("_paths")
+        F.coalesce(F.min(known("_id")), F.lit(low - 1)).alias("_least"), F.count("*").alias("_copies"), F.any_value("_size").alias("_size"), F.any_value("_sketch").alias("_sketch"), F.any_value("_paths").alias("_paths")
     )
     classes = stash(whole.withColumn("_rep", F.monotonically_increasing_id()))
 
@@ -283,7 +293,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = loose.groupBy("component").count().select("component", F.ceil(F.col("count") / limit).cast("int").alias("_blocks"))
     members = loose.join(counts, "component").withColumnRenamed("node", "_rep").join(classes.select("_rep", "_least", "_set", "_copies"), "_rep")
     members = stash(members.select(F.col("_least").alias("_id"), "_rep", F.col("component").alias("_key"), "_copies", "_blocks", "_set"))
-    texts = rows.join(small(members), "_id").select("_rep", "_key", "_copies", "_blocks", "_set", "_text")
+    # by the set too: many rows may share an id or have none
+    texts = rows.mapInArrow(_keyed, "_id bigint, _set binary, _text string").join(small(members), ["_id", "_set"]).select("_rep", "_key", "_copies", "_blocks", "_set", "_text")
     sets = texts.mapInArrow(_with_sets, "_rep bigint, _key bigint, _copies bigint, _blocks int, _shingles binary").dropDuplicates(["_rep"])
     pairs = _block_pairs(stash(sets))
     pairs = pairs.select(F.xxhash64("_key", "_first", "_second").alias("_k"), "_rep", "_copies", "_block", "_first", "_second", "_shingles")
@@ -292,14 +303,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = found.where("b is null").groupBy(F.col("a").alias("_rep")).agg(F.sum("links").alias("_links"))
 
     own = classes.select("_set", "_rep", "_least", "_copies")
-    least = linked.join(own, "_rep").groupBy("component").agg(F.min("_least").alias("_class"))
+    least = linked.join(own, "_rep").groupBy("component").agg(F.min(known("_least")).alias("_class"))
     per_class = own.join(linked.join(least, "component").select("_rep", "_class"), "_rep", "left").join(links, "_rep", "left")
     per_class = per_class.select("_set", F.coalesce("_class", "_least").alias("_class"), "_copies", F.coalesce("_links", F.lit(0)).alias("_links"))
     out = sketched.select("_id", "_size", "_set").join(per_class, "_set", "left")
     lone = F.col("_size") == 0
-    shown = lambda c: F.when(c != low - 1, c)
     return out.select(
-        shown(F.col("_id")).alias(id_col), F.when(lone, shown(F.col("_id"))).otherwise(shown(F.col("_class"))).alias("class_id"),
+        known("_id").alias(id_col), F.when(lone, known("_id")).otherwise(known("_class")).alias("class_id"),
         F.when(lone, 1).otherwise(F.col("_copies")).cast("bigint").alias("n_copies"), F.when(lone, 0).otherwise(F.col("_links") + F.col("_copies") - 1).cast("bigint").alias("n_links"),
     )
 
