@@ -7,15 +7,18 @@ on a stack while its words follow. Characters without a piece become byte pieces
 
 Handling of edge cases: a null text gives null; an empty text gives no ids and decodes to an empty text; blanks at
 either end, repeated blanks and U+2581 itself (as bytes) survive a round trip; ties go to the shorter last piece;
-repeated rows each keep their row; an empty table gives an empty result; further columns stay.
+repeated rows each keep their row; an empty table gives an empty result; further columns stay, but for those named as an
+output. A very long text is handled alone, a long word is segmented anew wherever it stands, so memory is bounded by
+one text, one Arrow batch and KEPT, whatever the words.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +26,14 @@ import sentencepiece
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from tidemark.llm.textbytes import chunks
+
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-KEPT = 400_000  # words whose ids a task remembers
-GATHER = 8 << 20  # bytes of text whose words are sorted together
+KEPT = 16 << 20  # bytes of words and ids that a worker remembers
+LONGEST_KEPT = 64  # characters of a word that is remembered
+OUTPUTS = ("ids", "n_ids", "round_trip", "decoded_sha256")
+GATHER = 2 << 20  # bytes of text whose words are sorted together
 
 
 class Pieces:
@@ -49,15 +56,16 @@ class Pieces:
                 self.text.append(p.replace(MARK, " ").encode())
                 if MARK not in p[1:]:  # words hold the mark in front only
                     self.id[p], self.score[p] = k, sp.get_score(k)
-        self.longest = max(map(len, self.id))
+        # score of every piece and, as minus infinity, of every end of one: where a stretch is none, no longer one is
+        self.tails = {p[k:]: -inf for p in self.score for k in range(1, len(p))} | self.score
         self.unknown = min(self.score.values()) - 10.0
         self.known: dict[str, tuple[int, ...]] = {}
+        self.kept = 0  # bytes of `known`, about
 
-    def learn(self, words: set[str]) -> None:
-        """Segment words (without mark; U+2581 within them counts as unknown) and remember their ids."""
-        if len(self.known) + len(words) > KEPT:
-            self.known.clear()
-        score, longest, known = self.score, self.longest, self.known
+    def segmented(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of words (without mark; U+2581 within them counts as unknown)."""
+        score, tail, unknown = self.score.get, self.tails.get, self.unknown
+        out: dict[str, tuple[int, ...]] = {}
         best, back = [0.0], [0]  # of each prefix length: forward score, start of the last piece
         before = ""
         for word in sorted(words):
@@ -66,11 +74,15 @@ class Pieces:
             shared = _common(before, marked)
             del best[shared + 1 :], back[shared + 1 :]
             for end in range(shared + 1, n + 1):
-                top, start = best[end - 1] + score.get(marked[end - 1], self.unknown), end - 1
-                for a in range(end - 2, max(-1, end - longest - 1), -1):
-                    s = score.get(marked[a:end])
-                    if s is not None and best[a] + s > top:
-                        top, start = best[a] + s, a
+                start = end - 1
+                top = best[start] + score(marked[start], unknown)
+                for a in range(end - 2, -1, -1):
+                    s = tail(marked[a:end])
+                    if s is None:
+                        break
+                    s += best[a]
+                    if s > top:
+                        top, start = s, a
                 best.append(top)
                 back.append(start)
             before = marked
@@ -86,24 +98,43 @@ class Pieces:
                     ids.append(k)
                 end = a
             ids.reverse()
-            known[word] = tuple(ids)
+            out[word] = tuple(ids)
+        return out
+
+    def learn(self, words: set[str], needed: Iterable[str] = ()) -> None:
+        """Segment words and remember them; if there is no room, what was remembered before goes, but for what is needed."""
+        found = self.segmented(words)
+        size = sum(map(_size, found.items()))
+        if self.kept + size > KEPT:
+            self.known = {w: self.known[w] for w in needed}
+            self.kept = sum(map(_size, self.known.items()))
+        self.known.update(found)
+        self.kept += size
 
     def encode_all(self, texts: list[str | None]) -> list[list[int] | None]:
         split = [t.split(" ") if t else [] for t in texts]
-        fresh = set(chain.from_iterable(split)).difference(self.known)
-        if fresh:
-            if len(self.known) + len(fresh) > KEPT:
-                self.known.clear()
-                fresh = set(chain.from_iterable(split))
-            self.learn(fresh)
+        words = set(chain.from_iterable(split))
+        fresh = words.difference(self.known)
+        self.learn(fresh, words.difference(fresh))
         get = self.known.__getitem__
-        return [None if t is None else list(chain.from_iterable(map(get, words))) for t, words in zip(texts, split, strict=True)]
+        ids = [None if t is None else list(chain.from_iterable(map(get, ws))) for t, ws in zip(texts, split, strict=True)]
+        for w in fresh:
+            if len(w) > LONGEST_KEPT:
+                self.kept -= _size((w, self.known.pop(w)))
+        if self.kept > KEPT:
+            self.known, self.kept = {}, 0
+        return ids
 
     def decode(self, ids) -> str:
         text = self.text
         return b"".join([text[k] for k in ids])[1:].decode("utf-8", "replace")
 
 
+def _size(item: tuple[str, tuple[int, ...]]) -> int:
+    """Bytes of a word, its ids and their place in a table, about."""
+    return 250 + 2 * len(item[0]) + 8 * len(item[1])
+
+
 def _common(a: str, b: str) -> int:
     n = min(len(a), len(b))
     for k in range(n):
@@ -117,34 +148,22 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _gathered(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Row ranges of about GATHER characters."""
-    start = total = 0
-    for k, t in enumerate(texts):
-        total += len(t) if t else 0
-        if total >= GATHER:
-            yield start, k + 1
-            start, total = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _encode(batches: Iterator[pa.RecordBatch], column: int, path: str) -> Iterator[pa.RecordBatch]:
     p = pieces(path)
     for batch in batches:
-        texts = batch.column(column).to_pylist()
-        for a, b in _gathered(texts):
-            ids = p.encode_all(texts[a:b])
+        for a, text in chunks(batch.column(column), GATHER):
+            own = [c.slice(a, len(text)) for c in batch.columns]
+            texts = own[column].to_pylist()
+            ids = p.encode_all(texts)
             decoded = [None if x is None else p.decode(x) for x in ids]
-            same = [None if t is None else t == d for t, d in zip(texts[a:b], decoded, strict=True)]
+            same = [None if t is None else t == d for t, d in zip(texts, decoded, strict=True)]
             sha = [None if d is None else hashlib.sha256(d.encode()).hexdigest() for d in decoded]
             lengths = np.array([0 if x is None else len(x) for x in ids], np.int64)
-            nulls = pa.array([x is None for x in ids])
+            nulls = np.array([x is None for x in ids], bool)
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             flat = np.fromiter(chain.from_iterable(x for x in ids if x), np.int32, int(lengths.sum()))
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=nulls)
-            own = [c.slice(a, b - a) for c in batch.columns]
-            yield pa.RecordBatch.from_arrays([*own, lists, pa.array(lengths), pa.array(same, pa.bool_()), pa.array(sha, pa.string())], names=[*batch.schema.names, "_ids", "_n", "_same", "_sha"])
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array(nulls))
+            yield pa.RecordBatch.from_arrays([*own, lists, pa.array(lengths, mask=nulls), pa.array(same, pa.bool_()), pa.array(sha, pa.string())], names=[*batch.schema.names, *OUTPUTS])
 
 
 def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataFrame:
@@ -152,14 +171,11 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataF
 
     The model is a file that the driver reads and sends to the executors. A row-by-row job without a shuffle.
     """
-    names = ["ids", "n_ids", "round_trip", "decoded_sha256"]
-    if clash := set(names) & set(docs.columns):
-        docs = docs.drop(*clash)
+    docs = docs.drop(*OUTPUTS)
     file = _sent(docs, model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     at = docs.columns.index(text_col)
-    out = docs.mapInArrow(lambda b: _encode(b, at, SparkFiles.get(file)), f"{fields}, _ids array<int>, _n bigint, _same boolean, _sha string")
-    return out.withColumnsRenamed(dict(zip(["_ids", "_n", "_same", "_sha"], names, strict=True)))
+    return docs.mapInArrow(lambda b: _encode(b, at, SparkFiles.get(file)), f"{fields}, ids array<int>, n_ids bigint, round_trip boolean, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "text", model: str = MODEL) -> DataFrame:
@@ -172,8 +188,10 @@ def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "text", mode
     def run(batches):
         p = pieces(SparkFiles.get(file))
         for batch in batches:
-            texts = [None if x is None else p.decode(x) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "_decoded"])
+            for a in range(0, batch.num_rows, 100):
+                own = batch.slice(a, 100)
+                texts = [None if x is None else p.decode(x.values.to_numpy().tolist()) for x in own.column(at)]
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "_decoded"])
 
     return docs.mapInArrow(run, f"{fields}, _decoded string").withColumnRenamed("_decoded", out_col)
 

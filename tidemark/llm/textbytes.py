@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20  # bytes of text handled at once; a longer text is handled alone
+CHUNK = 1 << 19  # bytes of text handled at once; a longer text is handled alone
 
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[128:] = True
