@@ -9,12 +9,15 @@ repeated until a pair at the threshold is met with the probability `recall`.
 Brute force within a bucket compares the embeddings only, loosely, and yields a spanning forest, not all pairs. The
 forests' components are supersets of the true ones; their sets are then compared exactly, every pair of a component,
 in blocks of at most `limit` classes by `limit`, which yields the number of links of each class and again only a
-spanning forest. So links are exact within each component that the paths connected, and no group is expanded.
+spanning forest. Blocks of a large component hold sets of like sizes and meet only where the sizes allow a link. So
+links are exact within each component that the paths connected, and no group is expanded.
 
 Handling of edge cases: null and wordless texts have no shingles, are similar to nothing and stay alone; a text of one
-to four words has one shingle, all its words; repeated rows and equal texts share a class; rows with equal ids
-count as one document's copies; rows without an id are compared like all others but name no class: class_id is null
-only where no document of the class has an id; an empty table gives an empty result; further columns are dropped.
+to four words has one shingle, all its words; a very long text is handled alone, whole; repeated rows and equal texts
+share a class; rows that share an id are documents of their own, each judged by its own text; rows without an id are
+compared like all others but name no class: class_id is null only where no document of the class has an id; an empty
+table gives an empty result; further columns are dropped by `jaccard_classes`, whatever their names, and kept by
+`drop_near_copies`.
 """
 
 from __future__ import annotations
@@ -58,23 +61,22 @@ def embed(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nd
 
 
 def _sketched(batches: Iterator[pa.RecordBatch], runs: int) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, set_key, size, sketch, paths): paths holds each run's bucket keys, level by level."""
+    """(id, row, text) -> (id, row, set_key, size, sketch, paths): paths holds each run's bucket keys, level by level."""
     picks = _picks(runs)
     for batch in batches:
-        ids = batch.column(0)
-        for row, out, first, sketch in embed(batch.column(1)):
+        for row, out, first, sketch in embed(batch.column(2)):
             n = len(first) - 1
             sizes = np.diff(first)
             keys = _paths(sketch, picks)
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.slice(row, n),
+                    *[batch.column(k).slice(row, n) for k in (0, 1)],
                     _set_keys(out, first),
                     pa.array(sizes.astype(np.int32)),
                     _binary(sketch),
                     pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.view(np.int64).ravel())),
                 ],
-                names=["_id", "_set", "_size", "_sketch", "_paths"],
+                names=["_id", "_row", "_set", "_size", "_sketch", "_paths"],
             )
 
 
@@ -266,22 +268,32 @@ def _exact(batches: Iterator[pa.RecordBatch], top: int, bottom: int) -> Iterator
         )
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.999, limit: int = 500, slack: float = 0.12) -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """-> (id_col, class_id, n_copies, n_links): one row per input row.
 
     class_id is the smallest id, nulls aside, of the documents connected by links (similarity of at least the threshold),
     n_copies the number of documents with the very same set, n_links the number of other documents linked to this one.
+    Options are those of `judged_rows`.
+    """
+    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"))
+    return judged_rows(rows, **options).select(F.col("_id").alias(id_col), F.col("_class").alias("class_id"), F.col("_copies").alias("n_copies"), F.col("_links").alias("n_links"))
+
+
+def judged_rows(rows: DataFrame, threshold: float = 0.8, recall: float = 0.999, limit: int = 500, slack: float = 0.12) -> DataFrame:
+    """Rows (_id, _row, _text) -> (_id, _row, _class, _keeper, _copies, _links), one row per input row.
+
+    _class and _keeper are the id and the row number of the class's first document: of the least id, nulls last, and
+    of these of the least row number.
     """
     runs = runs_for(recall, threshold)
     top, bottom = (round(threshold * 1000), 1000)
-    low = docs.agg(F.min(id_col)).first()[0] or 0
-    rows = docs.select(F.coalesce(F.col(id_col), F.lit(low - 1)).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
-    known = lambda c: F.when(F.col(c) != low - 1, F.col(c))
-    sketched = stash(rows.mapInArrow(lambda b: _sketched(b, runs), "_id bigint, _set binary, _size int, _sketch binary, _paths array<bigint>"))
-
-    whole = sketched.where("_size > 0").groupBy("_set").agg(
-        F.coalesce(F.min(known("_id")), F.lit(low - 1)).alias("_least"), F.count("*").alias("_copies"), F.any_value("_size").alias("_size"), F.any_value("_sketch").alias("_sketch"), F.any_value("_paths").alias("_paths")
-    )
+    low = rows.agg(F.min("_id")).first()[0] or 0
+    rows = rows.withColumn("_id", F.coalesce("_id", F.lit(low - 1)))
+    known = lambda c: F.when(c != low - 1, c)
+    sketched = stash(rows.select("_id", "_row", "_text").mapInArrow(lambda b: _sketched(b, runs), "_id bigint, _row bigint, _set binary, _size int, _sketch binary, _paths array<bigint>"))
+
+    first = F.min(F.struct((F.col("_id") == low - 1).alias("unnamed"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("_first")
+    whole = sketched.where("_size > 0").groupBy("_set").agg(first, F.count("*").alias("_copies"), F.any_value("_size").alias("_size"), F.any_value("_sketch").alias("_sketch"), F.any_value("_paths").alias("_paths"))
     classes = stash(whole.withColumn("_rep", F.monotonically_increasing_id()))
 
     dealt = _block_pairs(_buckets(classes.select("_rep", "_paths"), runs, limit))
@@ -290,27 +302,25 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     loose = components(edges)
 
     # exact, within each loose component
-    counts = loose.groupBy("component").count().select("component", F.ceil(F.col("count") / limit).cast("int").alias("_blocks"))
-    members = loose.join(counts, "component").withColumnRenamed("node", "_rep").join(classes.select("_rep", "_least", "_set", "_copies"), "_rep")
-    members = stash(members.select(F.col("_least").alias("_id"), "_rep", F.col("component").alias("_key"), "_copies", "_blocks", "_set"))
+    members = _banded(loose.withColumnsRenamed({"node": "_rep", "component": "_key"}).join(classes.select("_rep", F.col("_first.id").alias("_id"), "_set", "_size", "_copies"), "_rep"), threshold, limit)
     # by the set too: many rows may share an id or have none
-    texts = rows.mapInArrow(_keyed, "_id bigint, _set binary, _text string").join(small(members), ["_id", "_set"]).select("_rep", "_key", "_copies", "_blocks", "_set", "_text")
-    sets = texts.mapInArrow(_with_sets, "_rep bigint, _key bigint, _copies bigint, _blocks int, _shingles binary").dropDuplicates(["_rep"])
-    pairs = _block_pairs(stash(sets))
+    texts = rows.select("_id", "_text").mapInArrow(_keyed, "_id bigint, _set binary, _text string").join(small(members), ["_id", "_set"]).select("_rep", "_key", "_copies", "_band", "_bands", "_set", "_text")
+    sets = texts.mapInArrow(_with_sets, "_rep bigint, _key bigint, _copies bigint, _band int, _bands map<int,int>, _shingles binary").groupBy("_rep").agg(*[F.any_value(c).alias(c) for c in ("_key", "_copies", "_band", "_bands", "_shingles")])
+    pairs = _band_pairs(stash(sets))
     pairs = pairs.select(F.xxhash64("_key", "_first", "_second").alias("_k"), "_rep", "_copies", "_block", "_first", "_second", "_shingles")
     found = stash(pairs.repartition("_k").sortWithinPartitions("_k").mapInArrow(lambda b: _exact(b, top, bottom), "a bigint, b bigint, links bigint"))
     linked = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "_rep")
     links = found.where("b is null").groupBy(F.col("a").alias("_rep")).agg(F.sum("links").alias("_links"))
 
-    own = classes.select("_set", "_rep", "_least", "_copies")
-    least = linked.join(own, "_rep").groupBy("component").agg(F.min(known("_least")).alias("_class"))
-    per_class = own.join(linked.join(least, "component").select("_rep", "_class"), "_rep", "left").join(links, "_rep", "left")
-    per_class = per_class.select("_set", F.coalesce("_class", "_least").alias("_class"), "_copies", F.coalesce("_links", F.lit(0)).alias("_links"))
-    out = sketched.select("_id", "_size", "_set").join(per_class, "_set", "left")
+    own = classes.select("_set", "_rep", "_first", "_copies")
+    least = linked.join(own, "_rep").groupBy("component").agg(F.min("_first").alias("_of_all"))
+    per_class = own.join(linked.join(least, "component").select("_rep", "_of_all"), "_rep", "left").join(links, "_rep", "left")
+    per_class = stash(per_class.select("_set", F.coalesce("_of_all", "_first").alias("_of_all"), "_copies", F.coalesce("_links", F.lit(0)).alias("_links")))
+    out = sketched.select("_id", "_row", "_size", "_set").join(per_class, "_set", "left")
     lone = F.col("_size") == 0
     return out.select(
-        known("_id").alias(id_col), F.when(lone, known("_id")).otherwise(known("_class")).alias("class_id"),
-        F.when(lone, 1).otherwise(F.col("_copies")).cast("bigint").alias("n_copies"), F.when(lone, 0).otherwise(F.col("_links") + F.col("_copies") - 1).cast("bigint").alias("n_links"),
+        known(F.col("_id")).alias("_id"), "_row", known(F.when(lone, F.col("_id")).otherwise(F.col("_of_all.id"))).alias("_class"), F.when(lone, F.col("_row")).otherwise(F.col("_of_all.row")).alias("_keeper"),
+        F.when(lone, 1).otherwise(F.col("_copies")).cast("bigint").alias("_copies"), F.when(lone, 0).otherwise(F.col("_links") + F.col("_copies") - 1).cast("bigint").alias("_links"),
     )
 
 
@@ -347,11 +357,46 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     return other.withColumn("_first", F.least("_block", "_other")).withColumn("_second", F.greatest("_block", "_other")).drop("_other")
 
 
+def _banded(members: DataFrame, threshold: float, limit: int) -> DataFrame:
+    """Members (_rep, _key, _size, ...), written, with _band and _bands: the number of blocks of each band of their component.
+
+    Bands are of sizes within a factor of 1 / threshold, so linked sets are of the same band or of neighbouring ones and
+    a large component's other blocks need not meet. A component of at most `limit` classes is one block.
+    """
+    members = stash(members.withColumn("_own_band", F.floor(F.ln("_size") / (-math.log(threshold) * (1 + 1e-9))).cast("int")))
+    counts = members.groupBy("_key", "_own_band").agg(F.count("*").alias("_n")).groupBy("_key")
+    blocks = F.struct(F.col("_own_band").alias("key"), F.ceil(F.col("_n") / limit).cast("int").alias("value"))
+    crowded = counts.agg(F.sum("_n").alias("_all"), F.map_from_entries(F.collect_list(blocks)).alias("_bands")).where(F.col("_all") > limit).select("_key", "_bands")
+    out = members.join(small(crowded), "_key", "left")
+    one = F.create_map(F.lit(0), F.lit(1))
+    return out.select(*[c for c in members.columns if c != "_own_band"], F.when(F.col("_bands").isNull(), 0).otherwise(F.col("_own_band")).alias("_band"), F.coalesce("_bands", one).alias("_bands"))
+
+
+def _band_pairs(rows: DataFrame) -> DataFrame:
+    """Each row (_key, _rep, _band, _bands, ...) once for each pair of blocks of its own or neighbouring bands that holds its own."""
+    wide = 1 << 32  # blocks of a band, numbered from band * wide
+    blocks = lambda band: F.coalesce(F.col("_bands")[band], F.lit(0))
+    own = rows.withColumn("_block", F.col("_band").cast("bigint") * wide + F.pmod(F.xxhash64("_rep"), blocks(F.col("_band"))))
+
+    def beside(shift: int) -> Column:
+        band = F.col("_band") + shift
+        n = blocks(band)
+        other = lambda j: band.cast("bigint") * wide + j
+        some = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.least("_block", other(j)).alias("first"), F.greatest("_block", other(j)).alias("second")))
+        return F.when(n > 0, some).otherwise(F.array().cast("array<struct<first:bigint,second:bigint>>"))
+
+    met = own.withColumn("_met", F.explode(F.concat(beside(-1), beside(0), beside(1))))
+    return met.withColumns({"_first": F.col("_met.first"), "_second": F.col("_met.second")}).drop("_met", "_band", "_bands")
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` with one document of each class: the one with the smallest id; all columns stay.
+    """`docs` with one document of each class: the one with the smallest id, of equal ids the row written first; all columns stay.
 
-    Rows without an id, and of rows that share an id all, stay: they cannot be told apart by it.
+    Rows are told apart by a written row number, not by their id: a row goes only if its own text is of the class.
+    Rows without an id stay.
     """
-    classes = jaccard_classes(docs, id_col, text_col, **options)
-    out = classes.where(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
-    return docs.join(out, id_col, "left_anti")
+    key = "_row" + "_" * max(map(len, docs.columns))  # clashes with no column
+    rows = stash(docs.withColumn(key, F.monotonically_increasing_id()))
+    judged = judged_rows(rows.select(F.col(id_col).cast("bigint").alias("_id"), F.col(key).alias("_row"), F.col(text_col).alias("_text")), **options)
+    gone = judged.where(F.col("_id").isNotNull() & (F.col("_row") != F.col("_keeper"))).select(F.col("_row").alias(key))
+    return rows.join(gone, key, "left_anti").drop(key)
