@@ -9,9 +9,11 @@ every item that it was laid for, whatever their distance: the radius loses no pa
 What is met is verified by weighted Jaccard similarity, the weights being the counts of the shingles, of the whole
 window against the whole item.
 
-Handling of edge cases: null and shorter texts than a shingle hold no window; of equal similarities of one document
-and item the first window is reported; repeated rows each count as a document of their own but give one row per
-(id, item); items without an id are searched, each gives rows of its own; empty tables give an empty result; further columns are dropped.
+Handling of edge cases: null and shorter texts than a shingle hold no window; a very long text is searched whole; of
+equal similarities of one document and item the first window is reported; repeated rows and rows that share an id each
+count as a document of their own but give one row per (id, item); items without an id are searched, each gives rows of
+its own; empty tables give an empty result; further columns are dropped by `find_leaks`, whatever their names, and kept
+by `decontaminate`.
 """
 
 from __future__ import annotations
@@ -74,6 +76,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     Items below five words cannot be told from chance and are not searched.
     """
+    found = _matches(docs, benchmark, id_col, text_col, item_col, item_text_col, threshold, radius)
+    best = F.struct(F.col("_similarity").alias("s"), (-F.col("_hamming")).alias("h"), (-F.col("_from")).alias("f"), F.col("_n").alias("n"))
+    return found.groupBy(F.col("_doc").alias(id_col), F.col("_item").alias(item_col), F.when(F.col("_item").isNull(), F.col("_key")).alias("_unnamed")).agg(F.max(best).alias("_best")).select(
+        id_col, item_col, F.col("_best.s").alias("similarity"), (-F.col("_best.h")).cast("int").alias("hamming"), (-F.col("_best.f")).cast("long").alias("first_word"), (F.col("_best.n") + (N - 1)).cast("long").alias("n_words")
+    )
+
+
+def _marks(text_col: str) -> list[Column]:
+    """128 bits that tell texts apart; null for a null text."""
+    text = F.col(text_col)
+    return [F.when(text.isNotNull(), F.xxhash64(text)).alias("_mark1"), F.when(text.isNotNull(), F.xxhash64(F.lit(1), text)).alias("_mark2")]
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, threshold: float, radius: int) -> DataFrame:
+    """Every verified window: (_doc, _mark1, _mark2, _key, _item, _from, _n, _similarity, _hamming)."""
     items = stash(
         benchmark.select(F.col(item_col).alias("_item"), words_of(F.col(item_text_col)).alias("_w"))
         .where(F.size("_w") >= N)
@@ -85,18 +102,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     seen = bitmap(postings, "_shingle", bits, PROBES)
 
     # texts with a shingle of the benchmark (and 1 in some hundred others), kept as hashes
-    held = docs.select(F.col(id_col), words_of(F.col(text_col)).alias("_w")).select(id_col, shingles_of(F.col("_w")).alias("_s"))
+    held = docs.select(F.col(id_col).alias("_doc"), *_marks(text_col), words_of(F.col(text_col)).alias("_w")).select("_doc", "_mark1", "_mark2", shingles_of(F.col("_w")).alias("_s"))
     held = with_bitmap(held, F.size("_s") > 0, seen)
     at = lambda s: F.filter(F.transform(s, lambda h, i: F.when(in_bitmap(F.col("_bitmap"), h, bits, PROBES), i)), lambda i: i.isNotNull())
-    held = held.select(F.explode(F.filter(F.array(F.struct(F.col(id_col).alias("id"), F.col("_s").alias("s"), at(F.col("_s")).alias("hits"))), lambda x: F.size(x["hits"]) > 0)).alias("_x"))
-    suspects = stash(held.select(F.monotonically_increasing_id().alias("_row"), F.col("_x.id").alias("_doc"), F.col("_x.s").alias("_s"), F.col("_x.hits").alias("_hits")))
+    held = held.select("_doc", "_mark1", "_mark2", F.explode(F.filter(F.array(F.struct(F.col("_s").alias("s"), at(F.col("_s")).alias("hits"))), lambda x: F.size(x["hits"]) > 0)).alias("_x"))
+    suspects = stash(held.select(F.monotonically_increasing_id().alias("_row"), "_doc", "_mark1", "_mark2", F.col("_x.s").alias("_s"), F.col("_x.hits").alias("_hits")))
 
     hits = suspects.select("_row", F.explode(F.transform("_hits", lambda i: F.struct(i.alias("at"), F.get("_s", i).alias("shingle")))).alias("_h")).select("_row", F.col("_h.at").alias("_pos"), F.col("_h.shingle").alias("_shingle"))
     laid = hits.join(postings, "_shingle").select("_row", "_key", F.greatest(F.col("_pos") - F.col("_at"), F.lit(0)).alias("_from"), (F.col("_pos") - F.col("_at") + F.col("_len")).alias("_to")).distinct()
     laid = stash(laid)
     places = laid.select("_row", "_from", "_to").distinct()
-    windows = suspects.select("_row", "_doc", "_s").join(places, "_row")
-    windows = windows.select("_row", "_doc", "_from", "_to", F.slice("_s", F.col("_from") + 1, F.least(F.col("_to"), F.size("_s")) - F.col("_from")).alias("_win"))
+    windows = suspects.select("_row", "_doc", "_mark1", "_mark2", "_s").join(places, "_row")
+    windows = windows.select("_row", "_doc", "_mark1", "_mark2", "_from", "_to", F.slice("_s", F.col("_from") + 1, F.least(F.col("_to"), F.size("_s")) - F.col("_from")).alias("_win"))
     windows = stash(windows.withColumn("_print", simhash(F.col("_win"))))
 
     masks = F.array(*[F.lit(m) for m in flips(radius)])
@@ -116,14 +133,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         .where(F.col("_similarity") >= threshold)
         .select("_print", F.xxhash64("_win").alias("_wh"), "_key", "_item", "_hamming", "_similarity")
     )
-    found = windows.select("_row", "_doc", "_from", "_print", F.xxhash64("_win").alias("_wh"), F.size("_win").alias("_n")).join(checked, ["_print", "_wh"])
-    best = F.struct(F.col("_similarity").alias("s"), (-F.col("_hamming")).alias("h"), (-F.col("_from")).alias("f"), F.col("_n").alias("n"))
-    return found.groupBy(F.col("_doc").alias(id_col), F.col("_item").alias(item_col), F.when(F.col("_item").isNull(), F.col("_key")).alias("_unnamed")).agg(F.max(best).alias("_best")).select(
-        id_col, item_col, F.col("_best.s").alias("similarity"), (-F.col("_best.h")).cast("int").alias("hamming"), (-F.col("_best.f")).cast("long").alias("first_word"), (F.col("_best.n") + (N - 1)).cast("long").alias("n_words")
-    )
+    return windows.select("_doc", "_mark1", "_mark2", "_from", "_print", F.xxhash64("_win").alias("_wh"), F.size("_win").alias("_n")).join(checked, ["_print", "_wh"])
+
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.8, radius: int = 15) -> DataFrame:
+    """`docs` without the documents that leak an item; all their columns stay.
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` without the documents that leak an item; all their columns stay. A null id is never dropped."""
-    leaks = find_leaks(docs, benchmark, id_col, text_col, **options).select(id_col).distinct()
-    return docs.join(leaks, id_col, "left_anti")
+    Documents are told apart by their texts, not their ids: every row whose text leaks goes, also one without an id,
+    and no other row that shares its id does.
+    """
+    leaks = _matches(docs, benchmark, id_col, text_col, item_col, item_text_col, threshold, radius).select("_mark1", "_mark2").distinct()
+    free = [m + "_" * max(map(len, docs.columns)) for m in leaks.columns]  # clash with no column
+    return docs.withColumns(dict(zip(free, _marks(text_col), strict=True))).join(leaks.toDF(*free), free, "left_anti").drop(*free)
