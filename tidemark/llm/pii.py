@@ -1,11 +1,14 @@
 """PII: regular expressions propose spans, checksums confirm them, nearby context words adjust the score.
 
 Spans are in code points, end exclusive. The base kinds (email, ip, card, phone) are kept whenever their own
-check passes; further kinds (iban, ssn) need a score of `min_score`, which context words raise.
-
-Handling of edge cases: a null text counts as empty and has no spans; repeated rows each keep their row;
-overlapping spans of different kinds are all reported and masked as one stretch under the first one's name;
-an empty table gives an empty result.
+check passes; further kinds (iban, ssn, secret) need a score of `min_score`, which context words raise. Secrets are keys
+and tokens: runs of 20 characters or more with letters, digits and ten different characters, after a word that names
+one or with a well-known prefix. Context is the end of what stands between a match and the one before, and of that one.
+
+Handling of edge cases: a null text counts as empty and has no spans; a very long text is scanned whole, in time
+linear in its matches but for the masking; repeated rows each keep their row; overlapping spans of different kinds are
+all reported and masked as one stretch under the first one's name; an empty table gives an empty result; further
+columns stay, but for one named as the output column, which `find_pii` replaces.
 """
 
 from __future__ import annotations
@@ -23,8 +26,13 @@ KINDS = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+", "call|phone|tel|mobile"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", None, "iban|account|bank"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", "ssn|social|security"),
+    "secret": (r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+", None, "token|secret|key|passw|bearer|credential"),
 }
 BASE = ("email", "ip", "card", "phone")
+#: How keys of well-known services begin.
+SECRET_PREFIX = "^(AKIA|ASIA|gh[pousr]_|xox[abpr]-|sk-|eyJ)"
+CONTEXT = 40  # characters
+STEP = 256  # matches whose places are added up together
 SPAN = "array<struct<start:int,kind:int,stop:int,score:double>>"
 
 
@@ -66,33 +74,52 @@ def _valid(kind: str, m: Column) -> Column:
         return mod97(m)
     if kind == "ssn":
         return ~m.rlike("^(000|666|9)|-00-|-0000$")
+    if kind == "secret":
+        return m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(m, ""))) >= 10)
     return F.lit(True)
 
 
+def _let(value: Column, body) -> Column:
+    """`body(value)`, with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(lengths: Column) -> Column:
+    """Sums of all lengths before each one, by steps, so that no long list is copied for each of its elements."""
+    steps = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / STEP).cast("int"))
+
+    def sums(values: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, first, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    own = lambda c: F.slice(lengths, c * STEP + 1, F.lit(STEP))
+    whole = F.transform(steps, lambda c: F.aggregate(own(c), F.lit(0), lambda acc, x: acc + x))
+    return _let(sums(whole, F.lit(0)), lambda bases: F.flatten(F.transform(steps, lambda c: sums(own(c), F.get(bases, c)))))
+
+
 def _spans(text: Column, kind: str, number: int) -> Column:
     pattern, must, near = KINDS[kind]
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,m:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["g"])
-        b = a + F.length(x["m"])
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("stop"), x["m"].alias("m")))).alias("out"))
-
     pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("g"), matches.alias("m"))
-    placed = F.filter(F.aggregate(pairs, start, step, lambda acc: acc["out"]), lambda x: _valid(kind, x["m"]))
+
+    def placed(found: Column) -> Column:
+        at = _running(F.transform(found, lambda x: F.length(x["g"]) + F.length(x["m"])))
+        return _let(at, lambda starts: F.transform(found, lambda x, i: F.struct((F.get(starts, i) + F.length(x["g"])).alias("start"), x["g"].alias("g"), x["m"].alias("m"), F.coalesce(F.get(found, i - 1)["m"], F.lit("")).alias("before"))))
 
     def scored(x: Column) -> Column:
-        a = F.greatest(x["start"] - 40, F.lit(0))
-        context = F.lower(F.substr(text, a + 1, x["start"] - a))
-        checked = 0.8 if kind in ("card", "iban", "ip") else 0.5
-        return F.struct(x["start"].alias("start"), F.lit(number).alias("kind"), x["stop"].alias("stop"), (F.lit(checked) + F.when(context.rlike(near), 0.2).otherwise(0.0)).alias("score"))
+        context = F.lower(F.right(F.concat(F.right(x["before"], F.lit(CONTEXT)), F.right(x["g"], F.lit(CONTEXT))), F.lit(CONTEXT)))
+        checked = F.lit(0.8 if kind in ("card", "iban", "ip") else 0.5)
+        if kind == "secret":
+            checked = F.when(x["m"].rlike(SECRET_PREFIX), 0.8).otherwise(checked)
+        score = checked + F.when(context.rlike(near), 0.2).otherwise(0.0)
+        return F.struct(x["start"].alias("start"), F.lit(number).alias("kind"), (x["start"] + F.length(x["m"])).alias("stop"), score.alias("score"))
 
     may = F.contains(text, F.lit(must)) if must else F.lit(True)
     if kind not in ("email",):
         may = may & text.rlike("[0-9]")
+    valid = lambda found: F.transform(F.filter(placed(found), lambda x: _valid(kind, x["m"])), scored)
     none = F.array().cast(SPAN)
-    return F.when(may, F.when(F.size(matches) > 0, F.transform(placed, scored)).otherwise(none)).otherwise(none)
+    return F.when(may, _let(pairs, lambda found: F.when(F.size(found) > 0, valid(found)).otherwise(none))).otherwise(none)
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", min_score: float = 0.6, out_col: str = "pii") -> DataFrame:

@@ -45,7 +45,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("pii", lambda x: x["kind"] < len(pii.BASE))
     return found.select(
         "doc_id", *[n(k).alias(f"n_{k}") for k in kinds[: len(pii.BASE)]], F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"),
-        F.array_join(F.transform("pii", lambda x: F.round(x["score"], 1).cast("string")), ",").alias("scores"),
+        F.size("pii").cast("long").alias("n_spans"), n("secret").alias("n_secret"), F.array_join(F.transform("pii", lambda x: F.round(x["score"], 1).cast("string")), ",").alias("scores"),
     )
 
 
