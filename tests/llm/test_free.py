@@ -139,6 +139,31 @@ def test_jaccard_copies_without_an_id(spark):
     assert kept == [0, 0, 0, 0, 5, 8, 11]
 
 
+def test_near_copies_of_rows_that_share_an_id(spark):
+    """A row goes only if its own text is a copy: nothing unique is lost on equal or missing ids."""
+    rng = random.Random(14)
+    p, u, v, w = (" ".join(f"w{rng.randrange(5000)}" for _ in range(40)) for _ in range(4))
+    rows = [(1, p), (7, p), (7, u), (None, v), (None, w), (9, w + " end"), (9, w), (5, u + "."), (5, u), (5, u), (3, "few"), (3, None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("_row", F.lit("clash")).coalesce(1)
+    kept = jaccard_join.drop_near_copies(d)
+    assert kept.columns == d.columns
+    # of u's four rows the first of the least id stays; a row without an id stays and names no class
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, p), (5, u + "."), (None, v), (None, w), (9, w + " end"), (3, "few"), (3, None)])
+
+
+def test_bands_lose_no_link(spark):
+    """A chain of texts of growing length, in blocks of three: only neighbours are linked."""
+    rng = random.Random(16)
+    ws = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
+    sizes = [20]
+    while sizes[-1] < 3000:
+        sizes += [int(sizes[-1] * 1.18)]
+    texts = {k: " ".join(ws[:n]) for k, n in enumerate(sizes)} | {100 + k: " ".join([*ws[:n], "end"]) for k, n in enumerate(sizes)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_classes(d, limit=3, slack=0.3, recall=0.99999).collect()}
+    assert got == links_of(texts)
+
+
 # -- op10 --------------------------------------------------------------------------------------------------
 def split_sentences(text):
     """Text pieces with a word each; wordless pieces join the one before, or the first."""
@@ -278,6 +303,19 @@ def test_shared_prefixes_change_nothing():
     assert together.known == apart.known
 
 
+def test_what_a_worker_remembers_is_bounded(monkeypatch):
+    """Long blank-free texts, over and over, leave nothing behind; forgetting changes no ids."""
+    monkeypatch.setattr(sentencepiece_codec, "KEPT", 20_000)
+    bounded, free = sentencepiece_codec.Pieces(sentencepiece_codec.MODEL), sentencepiece_codec.Pieces(sentencepiece_codec.MODEL)
+    rng = random.Random(3)
+    texts = ["日本語" * 2000 + str(k) for k in range(5)] * 3 + [" ".join(f"w{rng.randrange(300)}" for _ in range(40)) for _ in range(30)] + [None, "", " "]
+    for t in texts:
+        ids = bounded.encode_all([t, t])[0]
+        assert ids == (None if t is None else [i for w in t.split(" ") for i in free.segmented({w})[w]] if t else [])
+        assert bounded.kept <= 20_000 and all(len(w) <= sentencepiece_codec.LONGEST_KEPT for w in bounded.known)
+        assert bounded.kept == sum(map(sentencepiece_codec._size, bounded.known.items()))
+
+
 def test_round_trip(spark, docs, odd, nothing):
     e = sentencepiece_codec.encode(docs)
     assert e.where("not round_trip").count() == 0 and e.count() == docs.count()
