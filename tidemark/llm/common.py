@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -87,22 +88,49 @@ def in_bitmap(words: Column, key: Column, bits: int, probes: int) -> Column:
     return out
 
 
-def successors(ids: DataFrame, per_bucket: int = 2000) -> DataFrame:
-    """Rows of one bigint column `id`, distinct and not null -> (id, next_id), the largest id's next being the smallest.
+def dealt(rows: DataFrame, keys: list[str], per_bucket: int, most_steps: int = 12) -> DataFrame:
+    """`rows` with a bigint column `_b`: buckets of rows that are neighbours by the bigint columns `keys`, none null.
 
-    Ids are dealt to buckets of about `per_bucket` consecutive ones; the successor of a bucket's last id is
-    the first id of the next bucket, found by the same step over the buckets' first ids. No task sorts more
-    than a bucket, whatever the number of ids, unless they cluster within the id range.
+    A bucket above four times `per_bucket` rows is divided into ranges of equal width of its first key that differs within
+    it, and its parts again, until none is: an outlying id or ids in clusters cost a step, not a crowded bucket. Only rows
+    that agree in all keys cannot be divided. Each step counts the buckets; the rows meet the crowded ones by an equi-join.
     """
-    n, low, high = ids.agg(F.count("id"), F.min("id"), F.max("id")).first()
+    ends = [f(k).alias(f"_{n}_{k}") for k in keys for n, f in (("low", F.min), ("high", F.max))]
+    whole = rows.agg(F.count("*").alias("_n"), *ends).first()
+    wide = [k for k in keys if whole["_n"] > 4 * per_bucket and whole[f"_high_{k}"] > whole[f"_low_{k}"]]
+    if not wide:
+        return rows.withColumn("_b", F.lit(0).cast("bigint"))
+    low, high = whole[f"_low_{wide[0]}"], whole[f"_high_{wide[0]}"]
+    width = max(1, -(-(high - low + 1) * per_bucket // whole["_n"]))
+    rows = rows.withColumn("_b", F.floor((F.col(wide[0]).cast("decimal(38,0)") - F.lit(Decimal(low))) / F.lit(Decimal(width))).cast("bigint"))
+    for _ in range(most_steps):
+        counts = rows.groupBy("_b").agg(F.count("*").alias("_n"), *ends).where(F.col("_n") > 4 * per_bucket)
+        differing = [F.when(F.col(f"_high_{k}") > F.col(f"_low_{k}"), F.lit(i)) for i, k in enumerate(keys)]
+        counts = counts.withColumn("_at", F.coalesce(*differing, F.lit(None).cast("int"))).where("_at is not null")
+        chosen = lambda n: F.get(F.array(*[F.col(f"_{n}_{k}") for k in keys]), F.col("_at")).cast("decimal(38,0)")  # noqa: E731, B023
+        crowded = counts.select("_b", "_at", chosen("low").alias("_low"), F.ceil((chosen("high") - chosen("low") + 1) * per_bucket / F.col("_n")).cast("decimal(38,0)").alias("_width"))
+        crowded = stash(crowded)
+        if crowded.isEmpty():
+            break
+        met = rows.join(small(crowded), "_b", "left")
+        place = F.floor((F.get(F.array(*keys), F.col("_at")).cast("decimal(38,0)") - F.col("_low")) / F.greatest("_width", F.lit(1)))
+        rows = met.withColumn("_b", F.when(F.col("_at").isNull(), F.col("_b")).otherwise(F.xxhash64("_b", "_at", place.cast("bigint")))).drop("_at", "_low", "_width")
+    return rows
+
+
+def successors(ids: DataFrame, per_bucket: int = 2000, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Distinct rows of bigint columns `keys`, none null -> (keys, next_ of each), the largest row's next being the smallest.
+
+    Rows are dealt to buckets of about `per_bucket` neighbours; the successor of a bucket's last row is the first row of
+    the next bucket, found by the same step over the buckets' first rows. No task sorts more than four times a bucket.
+    """
+    n, least = ids.agg(F.count("*"), F.min(F.struct(*keys))).first()
+    spread = lambda c: [c[k].alias(f"next_{k}") for k in keys]
     if n <= 2 * per_bucket:
-        w = Window.orderBy("id")
-        return ids.select("id", F.coalesce(F.lead("id").over(w), F.lit(low)).alias("next_id"))
-    width = max(1, -(-(high - low + 1) * per_bucket // n))
-    b = ids.withColumn("_b", F.floor((F.col("id") - F.lit(low)) / F.lit(width)))
-    firsts = b.groupBy("_b").agg(F.min("id").alias("_first"))
-    after = successors(firsts.select(F.col("_first").alias("id")), per_bucket).withColumnsRenamed({"id": "_first", "next_id": "_after"})
-    ends = firsts.join(after, "_first").select("_b", "_after")
-    w = Window.partitionBy("_b").orderBy("id")
-    led = b.withColumn("_lead", F.lead("id").over(w))
-    return led.join(ends, "_b").select("id", F.coalesce("_lead", "_after").alias("next_id"))
+        wrap = F.struct(*[F.lit(least[k] if least else 0).cast("bigint").alias(k) for k in keys])
+        return ids.select(*keys, F.coalesce(F.lead(F.struct(*keys)).over(Window.orderBy(*keys)), wrap).alias("_next")).select(*keys, *spread(F.col("_next")))
+    b = dealt(ids.select(*keys), list(keys), per_bucket)
+    firsts = stash(b.groupBy("_b").agg(F.min(F.struct(*keys)).alias("_first")).select("_b", "_first.*"))
+    ends = firsts.join(successors(firsts.select(*keys), per_bucket, keys), list(keys)).select("_b", F.struct(*[F.col(f"next_{k}").alias(k) for k in keys]).alias("_after"))
+    led = b.withColumn("_lead", F.lead(F.struct(*keys)).over(Window.partitionBy("_b").orderBy(*keys)))
+    return led.join(ends, "_b").select(*keys, F.coalesce("_lead", "_after").alias("_next")).select(*keys, *spread(F.col("_next")))

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bitmap, bits_for, in_bitmap, small, stash, successors, with_bitmap
+from tidemark.llm.common import bitmap, dealt, in_bitmap, small, stash, successors, with_bitmap
 
 LEVELS = (3, 5, 7, 9)  # a subset of level b holds 2**-b of the lexicon
 PER_LEVEL = 8
@@ -76,32 +76,31 @@ def likeness(a: Column, b: Column) -> Column:
 
 def as_text(parts: Column) -> Column:
     """Eight hex digits a subset, `-` for an empty one, dot-joined."""
-    return F.array_join(F.transform(parts, lambda x: F.coalesce(F.lpad(F.lower(F.hex(x)), 8, "0").substr(-8, 8), F.lit("-"))), ".")
+    return F.array_join(F.transform(parts, lambda x: F.coalesce(F.right(F.lpad(F.lower(F.hex(x)), 16, "0"), F.lit(8)), F.lit("-"))), ".")
 
 
 def with_next(docs: DataFrame, id_col: str, carry: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df, per_bucket: int = 500) -> DataFrame:
     """Each row with the next row's `carry` columns (as next_*), by ascending id; the last row's next is the first.
 
-    `derive` adds columns, computed once for each row and each copy before the rows are dealt.
+    `derive` adds columns, computed once for each row and each copy before the rows are dealt. Rows that share an id come
+    in the order of a hash of their first `carry` column, then of that column.
 
-    The rows are dealt once, to buckets of neighbouring ids. Every bucket also gets a copy of the row that
-    follows its last one, so a window over the bucket sees all successors; no task holds more than a bucket.
+    The rows are dealt once, to buckets of neighbours by id and hash, whose numbers are counted first: no bucket holds
+    more than four times `per_bucket` rows, but for rows that agree in both. Every bucket also gets a copy of the row
+    that follows its last one, so a window over the bucket sees all successors.
     """
-    n, low, high, nulls = docs.agg(F.count("*"), F.min(id_col), F.max(id_col), F.count_if(F.col(id_col).isNull())).first()
-    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit((low or 0) - 1))
-    low = (low or 0) - 1 if nulls else (low or 0)
-    width = max(1, -(-((high or 0) - low + 1) * per_bucket // max(n, 1)))
-    bucketed = docs.withColumn("_k", key).withColumn("_b", F.floor((F.col("_k") - F.lit(low)) / F.lit(width)))
-    firsts = bucketed.select("_k", "_b").groupBy("_b").agg(F.min("_k").alias("_first"))
-    after = successors(firsts.select(F.col("_first").alias("id"))).withColumnsRenamed({"id": "_first", "next_id": "_k"})
-    ghosts_at = firsts.join(after, "_first").select(F.col("_b").alias("_to"), "_k")
-    # of rows that share a bucket's first id the least comes first, in its own bucket and as a ghost
-    order = [F.col(c).asc_nulls_first() for c in carry[:1]]
-    ghosts = bucketed.join(small(ghosts_at), "_k").drop("_b").withColumnRenamed("_to", "_b").withColumn("_ghost", F.lit(1))
+    keys = ["_k", "_h"]
+    low = docs.agg(F.min(F.col(id_col).cast("bigint"))).first()[0] or 0
+    bucketed = dealt(docs.withColumn("_k", F.coalesce(F.col(id_col).cast("bigint"), F.lit(low - 1))).withColumn("_h", F.xxhash64(carry[0])), keys, per_bucket)
+    firsts = stash(bucketed.groupBy("_b").agg(F.min(F.struct(*keys)).alias("_first")).select(F.col("_b").alias("_to"), "_first.*"))
+    ghosts_at = firsts.join(successors(firsts.select(*keys), keys=tuple(keys)), keys).select("_to", F.col("next__k").alias("_k"), F.col("next__h").alias("_h"))
+    # rows that agree in both keys have equal texts: one of them follows
+    some = bucketed.drop("_b").join(small(ghosts_at), keys).groupBy("_to", *keys).agg(*[F.any_value(c).alias(c) for c in docs.columns])
+    ghosts = some.withColumnRenamed("_to", "_b").withColumn("_ghost", F.lit(1))
     both = derive(bucketed.withColumn("_ghost", F.lit(0)).unionByName(ghosts))
-    w = Window.partitionBy("_b").orderBy("_ghost", "_k", *order)
+    w = Window.partitionBy("_b").orderBy("_ghost", *keys, F.col(carry[0]).asc_nulls_first())
     led = both.withColumns({f"next_{c}": F.lead(c).over(w) for c in carry})
-    return led.where("_ghost = 0").drop("_ghost", "_b", "_k")
+    return led.where("_ghost = 0").drop("_ghost", "_b", *keys)
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = 0.001, high: float = 0.05) -> DataFrame:
