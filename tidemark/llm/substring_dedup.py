@@ -10,7 +10,8 @@ The first occurrence of a run is the one in the document with the smallest id (o
 first), and there the earliest; every sentence covered by another occurrence goes. All occurrences are joined, however many documents share a run.
 
 Handling of edge cases: null and wordless texts have no sentences and stay as they are; every row is a document of
-its own under a written row number, also rows that share an id; null ids come before all others; an empty table gives an empty result; further columns are dropped.
+its own under a written row number, also rows that share an id; null ids come before all others; a very long text is
+cut whole, alone; an empty table gives an empty result; further columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -164,9 +165,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = stash(docs.select(F.col(id_col).cast("bigint").alias("_id"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text")))
     spans = stash(rows.mapInArrow(lambda b: _spans(b, min_words), "_hash bigint, _id bigint, _row bigint, _lo int, _hi int"))
-    # a row has each hash once; the least of structs has null ids first
+    # a row has each hash once; the least of structs has null ids first. Written, both sides of the join come from plain
+    # exchanges, whose skewed partitions Spark splits: the occurrences of one very common passage are not one task's work
     repeated = spans.groupBy("_hash").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_hash", "_first")
-    marked = spans.join(repeated, "_hash").select("_row", F.array("_lo", "_hi", (F.col("_row") == F.col("_first")).cast("int")).alias("_span"))
+    marked = spans.join(stash(repeated), "_hash").select("_row", F.array("_lo", "_hi", (F.col("_row") == F.col("_first")).cast("int")).alias("_span"))
     per_row = stash(marked.groupBy("_row").agg(F.flatten(F.collect_set("_span")).alias("_spans")))
     held = rows.join(per_row, "_row", "left").select("_id", "_text", "_spans")
     out = held.mapInArrow(lambda b: _cut(b, min_words), "_id bigint, n_sentences bigint, n_repeated bigint, n_removed bigint, text string")
