@@ -1,7 +1,8 @@
 """URL filters: host-suffix x path-prefix expressions, an equi-join on short hash prefixes, full digests, precedence.
 
 Handling of edge cases: a null url or one without `://` has an empty host and path and gets the default verdict;
-repeated rows each keep their own output row; an empty table gives an empty result; further input columns are dropped.
+very long urls are matched whole; repeated rows each keep their own output row; an empty table gives an empty result;
+further input columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small
+from tidemark.llm.common import small, stash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES_SCHEMA = "host string, path string, verdict string, tier int"
@@ -64,7 +65,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     )
     fits = expressions.join(small(keyed), "_short").where(F.col("_full") == F.col("_rule_full"))
     best = F.struct((-F.col("tier")).alias("t"), F.length("_rule").alias("l"), F.col("_host_len").alias("h"), (F.col("verdict") == "allow").alias("a"), F.col("_rule").alias("rule"), "verdict", "tier")
-    won = fits.groupBy("host", "path").agg(F.max(best).alias("_best"))
+    # written, so that the join's sides come from plain exchanges: Spark then splits the partition of one very common url
+    won = stash(fits.groupBy("host", "path").agg(F.max(best).alias("_best")))
     return urls.join(won, ["host", "path"], "left").select(
         id_col, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"), F.col("_best.tier").alias("tier")
     )
