@@ -2,12 +2,14 @@
 
 Categories are predicted one after another; each model sees the hashed words and word prefixes of the text and the
 probabilities of the categories before it. While training, these probabilities are out-of-fold predictions, so that
-a later model does not trust an earlier one's fit to its own training rows. The categories of the chain are kinds of
-abuse, weakly labelled (a toxic document with one of the kind's words), and last `toxic`, the given label.
+a later model does not trust an earlier one's fit to its own training rows. The categories of the chain are learned: the
+kinds of toxic documents are clusters of the labelled ones by their telling words (spherical k-means with fixed starts),
+and last comes `toxic`, the given label.
 
 Models are fitted on the driver on a bounded sample of labelled rows (`sample` documents) over the features with the
 largest chi-square in it; every document is scored. Handling of edge cases: null and empty texts get the models'
-intercepts; with no usable labels every score is 0; repeated rows get equal scores; an empty table gives an empty result.
+intercepts; a very long text is scored whole; with no usable labels every score is 0; repeated rows get equal scores; an
+empty table gives an empty result; further columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.features import rows_of, word_and_prefix_slots
-from tidemark.llm.textbytes import Text, chunks
+from tidemark.llm.textbytes import chunks
 from tidemark.llm.training import held_out, labelled_sample
 
 WIDTH = 1 << 20
@@ -29,12 +31,7 @@ SAMPLE = 12_000  # labelled documents that are trained on, at most
 FEATURES = 1_024  # of the models, at most
 FOLDS = 4
 
-#: Kinds of abuse and words that mark them.
-KINDS = {
-    "insult": ["clown", "idiot", "loser", "moron"],
-    "contempt": ["pathetic", "stupid", "worthless"],
-    "disgust": ["disgusting", "scum", "trash"],
-}
+KINDS = ("kind_1", "kind_2", "kind_3")  # learned categories before the last
 CHAIN = (*KINDS, "toxic")
 
 
@@ -82,21 +79,44 @@ def fit_linear(x: np.ndarray, seen: list[np.ndarray], y: np.ndarray, rounds: int
     return w
 
 
-def fit_chain(first: np.ndarray, slots: np.ndarray, targets: list[np.ndarray]) -> Chain:
-    """Select features by chi-square against the last target, then fit the categories in turn."""
-    n, toxic = len(first) - 1, targets[-1]
-    rows = rows_of(first)
+def telling(first: np.ndarray, slots: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Slots of at least four documents, commoner in toxic ones, with the largest chi-square: FEATURES at most, sorted."""
+    n, rows = len(first) - 1, rows_of(first)
     all_n = np.bincount(slots, minlength=WIDTH).astype(np.float64)
     hit_n = np.bincount(slots, toxic[rows], WIDTH)
     p = min(max(float(toxic.mean()), 1e-6), 1 - 1e-6)
     chi = (hit_n - all_n * p) ** 2 / np.maximum(all_n * p * (1 - p) * (1 - all_n / max(n, 1) + 1e-9), 1e-9)
     chi[(hit_n < all_n * p) | (all_n < 4)] = 0
     best = np.argsort(-chi, kind="stable")[:FEATURES]
-    best = np.sort(best[chi[best] > 15])
+    return np.sort(best[chi[best] > 15])
+
+
+def clusters(x: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
+    """Spherical k-means of rows; the starts are the mean and then, each time, the row least like all starts so far."""
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    centre = unit.mean(0, keepdims=True)
+    for _ in range(k - 1):
+        centre = np.concatenate([centre, unit[[np.argmin((unit @ centre.T).max(1))]]])
+    for _ in range(rounds):
+        own = np.argmax(unit @ centre.T, axis=1)
+        for j in range(k):
+            if (own == j).any():
+                mean = unit[own == j].mean(0)
+                centre[j] = mean / max(float(np.linalg.norm(mean)), 1e-9)
+    return np.argmax(unit @ centre.T, axis=1)
+
+
+def fit_chain(first: np.ndarray, slots: np.ndarray, toxic: np.ndarray) -> Chain:
+    """Select features, cluster the toxic rows into kinds, then fit the categories in turn."""
+    n, best = len(first) - 1, telling(first, slots, toxic)
     columns = np.full(WIDTH, -1, np.int32)
     columns[best] = np.arange(len(best))
     chain = Chain(columns, [])
     x = chain.inputs(first, slots)
+    kind = np.full(n, -1)
+    if toxic.any() and len(best):
+        kind[toxic > 0] = clusters(x[toxic > 0], len(KINDS))
+    targets = [(kind == k).astype(np.float32) for k in range(len(KINDS))] + [toxic]
     fold = np.arange(n) % FOLDS
     seen: list[np.ndarray] = []
     for y in targets:
@@ -111,38 +131,25 @@ def fit_chain(first: np.ndarray, slots: np.ndarray, targets: list[np.ndarray]) -
 
 
 def _inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, label) -> (id, label, kinds, slots as binary); kinds: bits of the kinds whose words the text has."""
-    marks = [_slots_of(words) for words in KINDS.values()]
+    """(id, text, label) -> (id, label, slots as binary)."""
     for batch in batches:
         for at, text in chunks(batch.column(1)):
             first, slots, _ = word_and_prefix_slots(text, WIDTH)
-            kinds = np.zeros(len(text), np.int32)
-            for k, mark in enumerate(marks):
-                kinds[np.unique(rows_of(first)[np.isin(slots, mark)])] |= 1 << k
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, len(text)), batch.column(2).slice(at, len(text)), pa.array(kinds), pa.array([slots[first[r] : first[r + 1]].tobytes() for r in range(len(text))], pa.binary())],
-                names=["_id", "_label", "_kinds", "_slots"],
+                [batch.column(0).slice(at, len(text)), batch.column(2).slice(at, len(text)), pa.array([slots[first[r] : first[r + 1]].tobytes() for r in range(len(text))], pa.binary())], names=["_id", "_label", "_slots"]
             )
 
 
-def _slots_of(words: list[str]) -> np.ndarray:
-    text = Text(pa.array([" ".join(words)]))
-    starts, ends, _ = text.words()
-    return (text.hashes(starts, ends) % np.uint64(WIDTH)).astype(np.int32)
-
-
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Chain | None:
     """The fitted chain; None without a usable label. Collects at most `sample` documents' hashed words."""
     chosen = labelled_sample(docs, labels, label_col, sample, id_col, text_col)
-    got = chosen.mapInArrow(_inputs, "_id bigint, _label int, _kinds int, _slots binary").toArrow()
+    got = chosen.mapInArrow(_inputs, "_id bigint, _label int, _slots binary").toArrow()
     if not got.num_rows:
         return None
     got = got.sort_by("_id")
     slots = [np.frombuffer(x, np.int32) for x in got["_slots"].to_pylist()]
     toxic = (got["_label"].to_numpy() > 0).astype(np.float32)
-    kinds = got["_kinds"].to_numpy()
-    targets = [toxic * ((kinds >> k) & 1) for k in range(len(KINDS))] + [toxic]
-    return fit_chain(np.concatenate([[0], np.cumsum([len(s) for s in slots])]), np.concatenate(slots), [t.astype(np.float32) for t in targets])
+    return fit_chain(np.concatenate([[0], np.cumsum([len(s) for s in slots])]), np.concatenate(slots), toxic)
 
 
 def score_toxicity(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
