@@ -367,6 +367,95 @@ def test_classifier_edges(spark, odd, nothing, module):
     assert module.classify(odd, labels.limit(0)).count() == odd.count() and module.classify(nothing, labels).count() == 0
 
 
+def made_texts(n=400, seed=2):
+    """(row offsets, slots, toxic): toxic rows hold words of one of three groups, and all rows common words."""
+    rng = np.random.default_rng(seed)
+    toxic = (rng.random(n) < 0.3).astype(np.float32)
+    rows = [np.unique(np.concatenate([rng.integers(1000, 1400, 30), 10 * (1 + rng.integers(3)) + rng.integers(0, 4, 3) if toxic[k] and rng.random() < 0.95 else []]).astype(np.int32)) for k in range(n)]
+    return np.concatenate([[0], np.cumsum([len(r) for r in rows])]), np.concatenate(rows), toxic
+
+
+def test_telling_words_by_a_plain_count():
+    first, slots, toxic = made_texts()
+    n, p = len(toxic), toxic.mean()
+    want = []
+    for s in sorted(set(slots.tolist())):
+        docs = [k for k in range(n) if s in slots[first[k] : first[k + 1]]]
+        hit, every = sum(toxic[k] for k in docs), len(docs)
+        if every >= 4 and hit >= every * p and (hit - every * p) ** 2 / (every * p * (1 - p) * (1 - every / n)) > 15:
+            want.append(s)
+    assert toxicity.telling(first, slots, toxic).tolist() == want and set(want) >= {10, 20, 30}
+
+
+def test_linear_model_by_a_plain_loop():
+    rng = np.random.default_rng(5)
+    x, seen, y = (rng.random((60, 3)) < 0.5).astype(np.float32), [rng.random(60).astype(np.float32)], (rng.random(60) < 0.5).astype(np.float32)
+    p = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
+    w, m, v = [0.0] * 4 + [float(np.log(p / (1 - p)))], [0.0] * 5, [0.0] * 5
+    for t in range(1, 401):
+        g = [0.0] * 5
+        for r in range(60):
+            row = [*map(float, x[r]), float(seen[0][r]), 1.0]
+            e = 1 / (1 + np.exp(-sum(a * b for a, b in zip(w, row, strict=True)))) - float(y[r])
+            g = [a + e * b / 60 for a, b in zip(g, row, strict=True)]
+        for k in range(5):
+            g[k] += 2e-4 * w[k] if k < 4 else 0
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.99 * v[k] + 0.01 * g[k] ** 2
+            w[k] -= 0.1 * (m[k] / (1 - 0.9**t)) / ((v[k] / (1 - 0.99**t)) ** 0.5 + 1e-8)
+    assert toxicity.fit_linear(x, seen, y, rounds=400) == pytest.approx(w, abs=5e-3)  # where both have settled
+    assert toxicity.predict(np.array(w), x, seen)[3] == pytest.approx(1 / (1 + np.exp(-(sum(w[k] * x[3, k] for k in range(3)) + w[3] * seen[0][3] + w[4]))))
+
+
+def test_chain_by_a_plain_loop():
+    """Each model's earlier probabilities come, in training, from models that have not seen the row; then from all before it."""
+    first, slots, toxic = made_texts()
+    chain = toxicity.fit_chain(first, slots, toxic)
+    x = np.zeros((len(toxic), 0), np.float32)
+    for s in toxicity.telling(first, slots, toxic):
+        x = np.concatenate([x, np.array([[float(s in slots[first[k] : first[k + 1]])] for k in range(len(toxic))], np.float32)], axis=1)
+    kind = np.full(len(toxic), -1)
+    kind[toxic > 0] = toxicity.clusters(x[toxic > 0], 3)
+    seen = []
+    for c, w in enumerate(chain.weights):
+        y = toxic if c == 3 else (kind == c).astype(np.float32)
+        assert w == pytest.approx(toxicity.fit_linear(x, seen, y), abs=1e-5)
+        out = np.zeros(len(toxic), np.float32)
+        for row in range(len(toxic)):
+            if row < toxicity.FOLDS:
+                others = [r for r in range(len(toxic)) if r % toxicity.FOLDS != row]
+                unseen = toxicity.fit_linear(x[others], [s[others] for s in seen], y[others])
+                for r in range(row, len(toxic), toxicity.FOLDS):
+                    out[r] = toxicity.predict(unseen, x[[r]], [s[[r]] for s in seen])[0]
+        seen.append(out)
+    p = [0.0] * 4
+    for c, w in enumerate(chain.weights):
+        z = w[-1] + float(x[7] @ w[: x.shape[1]]) + sum(float(w[x.shape[1] + k]) * p[k] for k in range(c))
+        p[c] = 1 / (1 + np.exp(-z))
+    assert chain.score(x)[7] == pytest.approx(p, abs=1e-5)
+
+
+def test_clusters_are_kinds():
+    """Rows of a group share a kind, and every row is nearest to its own kind's mean direction."""
+    first, slots, toxic = made_texts(seed=4)
+    hit = [k for k in range(len(toxic)) if toxic[k] and (slots[first[k] : first[k + 1]] < 100).any()]
+    x = np.array([[float(s in slots[first[k] : first[k + 1]]) for s in (10, 11, 12, 13, 20, 21, 22, 23, 30, 31, 32, 33)] for k in hit], np.float32)
+    own, group = toxicity.clusters(x, 3), np.argmax(x.reshape(len(hit), 3, 4).sum(2), axis=1)
+    assert sum(len(set(own[group == g].tolist())) for g in range(3)) == 3 and len(set(own.tolist())) == 3
+
+
+def test_chain_is_no_worse_than_its_last_model_alone(spark):
+    base = SF.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    rows = docs.join(labels, "doc_id").where("toxic is not null").orderBy("doc_id").select("doc_id", "text", "toxic", F.crc32(F.col("doc_id").cast("string")).alias("crc")).collect()
+    train, test = [r for r in rows if r.crc % 3 != 1], [r for r in rows if r.crc % 3 == 1]
+    of = lambda some: toxicity.word_and_prefix_slots(Text(pa.array([r.text for r in some])), toxicity.WIDTH)[:2]
+    label = lambda some: np.array([r.toxic > 0 for r in some], np.float32)
+    chain = toxicity.fit_chain(*of(train), label(train))
+    alone = toxicity.fit_linear(chain.inputs(*of(train)), [], label(train))
+    x = chain.inputs(*of(test))
+    assert auc(label(test), chain.score(x)[:, -1]) >= auc(label(test), toxicity.predict(alone, x, [])) - 0.005
+
+
 # -- pipeline ------------------------------------------------------------------------------------------------
 def test_pipeline(spark, texts):
     corpus = pytest.importorskip("corpus_pipeline")

@@ -6,11 +6,12 @@ import re
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import SF
 from tidemark.llm import decontamination, fingerprints, licenses, pii, queries, url_filters
-from tidemark.llm.common import successors
+from tidemark.llm.common import dealt, successors
 
 
 # -- op1 ---------------------------------------------------------------------------------------------------
@@ -87,6 +88,70 @@ def test_likeness_counts_agreeing_subsets(spark):
     assert [r[0] for r in d.select(fingerprints.likeness(F.col("a"), F.col("b"))).collect()] == [pytest.approx(1 / 3), 1.0]
 
 
+def test_next_rows_of_clustered_ids(spark):
+    """One far id, a crowd of null ids and of equal ids: the next row of each, in buckets of a few rows."""
+    rng = random.Random(9)
+    rows = [(k, f"t{k}") for k in rng.sample(range(1000), 200)] + [(10**17, "far"), (-(10**17), "low")] + [(None, f"n{k}") for k in range(150)] + [(500_000, f"e{k}") for k in range(120)] + [(7_000_000 + k // 3, f"c{k}") for k in range(90)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r.doc_id, r.text, r.next_text) for r in fingerprints.with_next(d, "doc_id", ["text"], per_bucket=5).collect())
+    h = {t: int.from_bytes(xxhash.xxh64(t.encode(), seed=42).digest(), "big", signed=True) for _, t in rows}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h[r[1]], r[1]))
+    assert got == Counter((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+    sizes = [r["count"] for r in dealt(d.where("doc_id is not null").select(F.col("doc_id").alias("k"), F.xxhash64("text").alias("h")), ["k", "h"], 5).groupBy("_b").count().collect()]
+    assert max(sizes) <= 20 and sum(sizes) == len(rows) - 150
+
+
+# a plain I-Match over the same lexicon: Spark's xxhash64 and hash, and the subsets, in Python
+def murmur_of_longs(values):
+    m = 0xFFFFFFFF
+    rot = lambda x, r: ((x << r) | (x >> (32 - r))) & m
+    h = 42
+    for v in values:
+        for word in (v & m, (v >> 32) & m):
+            h = (rot(h ^ (rot(word * 0xCC9E2D51 & m, 15) * 0x1B873593 & m), 13) * 5 + 0xE6546B64) & m
+        h ^= 8
+        h = ((h ^ (h >> 16)) * 0x85EBCA6B) & m
+        h = ((h ^ (h >> 13)) * 0xC2B2AE35) & m
+        h ^= h >> 16
+    return h
+
+
+def test_fingerprints_equal_a_plain_i_match(spark, docs, texts):
+    ids = sorted(texts)
+    hashed = lambda w: int.from_bytes(xxhash.xxh64(w.encode(), seed=42).digest(), "big", signed=True)
+    terms = lambda t: sorted({hashed(w) for w in words(t)})
+    df = Counter(x for i in ids for x in terms(texts[i] or ""))
+    n = len(ids)
+    band = {x for x, k in df.items() if max(2, 0.001 * n) <= k <= max(2, 0.05 * n)}
+    bits = 1 << fingerprints.BITS
+    probes = lambda x: [((x & (1 << 64) - 1) >> 20 * p) % bits for p in range(fingerprints.PROBES)]
+    marked = {b for x in band for b in probes(x)}
+    admitted = lambda x: all(b in marked for b in probes(x))
+    assert all(map(admitted, band)) and sum(admitted(x) for x in df if x not in band) < 0.01 * len(df)
+
+    def parts(text):
+        every = terms(text)
+        kept = [x for x in every if admitted(x)] or every
+        out = []
+        for level in fingerprints.LEVELS:
+            for k in range(fingerprints.PER_LEVEL):
+                few = [x for x in kept if ((x & (1 << 64) - 1) >> (6 + 5 * (level // 2))) % (1 << level) == k]
+                out.append(f"{murmur_of_longs(few):08x}" if few else "-")
+        return out
+
+    def alike(a, b):
+        some = [(x, y) for x, y in zip(a, b, strict=True) if (x, y) != ("-", "-")]
+        return sum(x == y for x, y in some) / len(some) if some else 1.0
+
+    got = {r.doc_id: r for r in queries.op2_document_fingerprints(spark, SF).collect()}
+    for k, i in enumerate(ids):
+        text, after = texts[i] or "", texts[ids[(k + 1) % n]] or ""
+        half = len(text) // 2
+        own, edited = parts(text), parts(text[: len(text) - half] + after[:half])
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (".".join(own), ".".join(edited))
+        assert (got[i].near_edited, got[i].near_next) == pytest.approx((alike(own, edited), alike(own, parts(after))))
+
+
 # -- op3 ---------------------------------------------------------------------------------------------------
 def words(text):
     return [w for w in re.split(r"[^\w]|_", (text or "").lower()) if w]

@@ -4,8 +4,9 @@ Every file's rare licence words are looked up in the templates' postings; postin
 agree on the relative position add up their IDF weight; the template is accepted if enough of its weight
 lines up and one of its mandatory key phrases stands in the file.
 
-Handling of edge cases: a null text counts as empty (no words, score 0); repeated rows each keep their row;
-equal scores list all their labels; an empty table gives an empty result; further input columns are dropped.
+Handling of edge cases: a null text counts as empty (no words, score 0); a very long text is searched whole; repeated
+rows each keep their row; equal scores list all their labels; an empty table gives an empty result; further input
+columns are dropped, whatever their names.
 """
 
 from __future__ import annotations

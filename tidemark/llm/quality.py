@@ -5,8 +5,9 @@ time linear in the number of words. Inputs are a text's hashed words (log counts
 statistics and length of the same text; labels, language, source and id are no inputs.
 
 The machine is fitted on the driver on a bounded sample of labelled rows (`sample` documents); every document is
-scored. Handling of edge cases: null and empty texts are scored by their statistics alone; with no usable labels
-every score is 0.5; repeated rows get equal scores; an empty table gives an empty result.
+scored. Handling of edge cases: null and empty texts are scored by their statistics alone; a very long text is scored
+whole; with no usable labels every score is 0.5; repeated rows get equal scores; an empty table gives an empty result;
+further columns are dropped by `classify`, whatever their names, and kept by `keep_good`.
 """
 
 from __future__ import annotations
