@@ -194,3 +194,65 @@ def test_streams(spark):
     assert [(r.scan, r.bpm) for r in run_to_end(spark, live.early_stop(e)).collect()] == [(1, 70.0)]
     a = as_stream(spark, spark.createDataFrame([(1, t / 10, 5 <= t < 30) for t in range(60)], "scan bigint, t double, ok boolean"))
     assert [(r.t, r.aligned) for r in run_to_end(spark, live.steady(a)).orderBy("t").collect()] == [(1.5, True), (3.3, False)]
+
+
+def test_early_stop_compares_with_the_latest_and_asks_the_gates(spark):
+    est = lambda rows: as_stream(spark, spark.createDataFrame(rows, "scan bigint, t double, bpm double, snr double, passed boolean"))
+    rows = [(1, 10.0, 70.0, 5.0, True), (1, 11.0, 72.0, 5.0, True), (1, 12.0, 74.0, 5.0, True), (1, 13.0, 74.0, 5.0, True)]  # 70, 72, 74 is too wide
+    rows += [(2, 10.0, 70.0, 5.0, True), (2, 11.0, 70.0, -5.0, True), (2, 12.0, 70.0, 5.0, True)]  # an earlier weak one does not matter
+    rows += [(3, 10.0, 70.0, 5.0, True), (3, 11.0, 70.0, 5.0, True), (3, 12.0, 70.0, 5.0, False), (3, 13.0, 70.0, 5.0, True)]  # the gates wait
+    rows += [(4, 10.0, 70.0, 5.0, True), (4, 11.0, None, 5.0, True), (4, 12.0, 70.0, 5.0, True), (4, 13.0, 70.0, 2.0, True)]
+    got = {r.scan: r.t for r in run_to_end(spark, live.early_stop(est(rows))).collect()}
+    assert got == {1: 13.0, 2: 12.0, 3: 13.0}
+
+
+def test_resampling_by_the_definition():
+    rng = np.random.default_rng(3)
+    t, x = np.cumsum(rng.random(50)), rng.random((50, 3))
+    got = signals.resample(t, x, 7.0)
+    assert len(got) == int((t[-1] - t[0]) * 7)
+    for k, row in enumerate(got):
+        at = t[0] + k / 7
+        j = max(i for i in range(49) if t[i] <= at)
+        assert row == pytest.approx(x[j] + (x[j + 1] - x[j]) * (at - t[j]) / (t[j + 1] - t[j]))
+    assert signals.known_at(np.array([0.0, 0.1, 1.1, 1.2]), 10.0).tolist() == [True, *[False] * 10, True][:11] + [True] * (int(1.2 * 10) - 11)
+
+
+def test_bands_of_a_modulated_heart():
+    at = np.cumsum(np.full(400, 0.8))
+    got = signals.interval_bands(0.8 + 0.05 * np.sin(2 * np.pi * 0.1 * at) + 0.02 * np.sin(2 * np.pi * 0.25 * at), at)
+    power = lambda size, f: size**2 / 2 * np.sinc(0.8 * f) ** 4  # noqa: E731  what linear interpolation leaves of a sine
+    assert got["LF_power"] == pytest.approx(power(0.05, 0.1), rel=0.05) and got["HF_power"] == pytest.approx(power(0.02, 0.25), rel=0.05)
+    assert (got["LF_peak"], got["HF_peak"]) == (pytest.approx(0.1, abs=0.01), pytest.approx(0.25, abs=0.01))
+    assert got["LF_n"] + got["HF_n"] == pytest.approx(1) and got["LF_HF_ratio"] == pytest.approx(got["LF_power"] / got["HF_power"])
+    assert signals.interval_bands(np.full(29, 0.8), np.arange(29) * 0.8) == {}
+
+
+def test_second_estimator():
+    fs, n = 30.0, 600
+    x = np.sin(2 * np.pi * 1.2 * np.arange(n) / fs) + 0.02 * np.arange(n)
+    d = np.diff(np.eye(n), 2, axis=0)
+    assert signals.smooth_detrend(x) == pytest.approx(x - np.linalg.solve(np.eye(n) + 1e4 * d.T @ d, x), abs=1e-8)
+    bpm, snr = signals.spectrum_peak(x, fs)
+    assert bpm == pytest.approx(72, abs=1.8) and snr > 5 and (bpm / 60 * 1024 / fs) == pytest.approx(round(bpm / 60 * 1024 / fs))
+    # windows of the ceiling's length, without the last one
+    rgb = 100 + np.random.default_rng(1).random((70, 3))
+    w, out = int(np.ceil(1.6 * 29.0)), np.zeros(70)
+    for m in range(70 - w):
+        c = rgb[m : m + w] / rgb[m : m + w].mean(0)
+        a, b = c[:, 1] - c[:, 2], c[:, 1] + c[:, 2] - 2 * c[:, 0]
+        h = a + a.std() / b.std() * b
+        out[m : m + w] += h - h.mean()
+    assert signals.plane_orthogonal(rgb, 29.0, "v2") == pytest.approx(out)
+
+
+def test_scan_peak_and_its_half():
+    fs, t = 30.0, np.arange(600) / 30
+    assert signals.scan_peak(np.sin(2 * np.pi * 1.37 * t), fs)[0] == pytest.approx(82.2, abs=0.1)
+    slow = 0.7 * np.sin(2 * np.pi * 0.85 * t) + np.sin(2 * np.pi * 1.7 * t)
+    assert signals.scan_peak(slow, fs)[0] == pytest.approx(51, abs=0.5)  # half the strongest rate
+    assert signals.amplitude_at(3 * np.sin(2 * np.pi * 1.5 * t), fs, 1.5) == (pytest.approx(3, abs=0.05), pytest.approx(1, abs=0.02))
+    noise = np.random.default_rng(2).normal(0, 3, 600)
+    clear = np.sin(2 * np.pi * 1.2 * t)
+    joined = signals.fused([clear, clear + noise], fs)
+    assert signals.scan_peak(joined, fs)[1] > signals.scan_peak((clear + clear + noise) / 2, fs)[1]

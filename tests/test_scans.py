@@ -77,3 +77,40 @@ def test_splits_and_model(spark):
     assert metrics.class_metrics(p, "label", "pred_label", ["A", "B"]).first().accuracy == 1.0 and p.count() == len(rows)
     share = models.subject_split(d, 0.3).groupBy("subject_id").agg(F.countDistinct("is_test").alias("n")).where("n > 1").count()
     assert share == 0
+
+
+@pytest.mark.parametrize(("figures", "reason"), [((0.006, 0.3, 0.1, 0.1), "interference"), ((0.006, 0.1, 0.1, 0.1), None), ((0.001, 0.9, 1.0, 0.0004), "interference"), ((0.001, 0.9, 1.0, 0.0002), None), ((None, None, None, None), None)])
+def test_interference_gate(spark, figures, reason):
+    table = spark.createDataFrame([(1, 3.0, 3, *figures)], "scan bigint, snr double, agree int, motion_amp double, motion_frac double, light_ratio double, light_amp double")
+    assert scans.quality_gates(frames(spark), ["scan"], table).first().reason == reason
+    weak = table.withColumn("snr", F.lit(-9.0))
+    assert scans.quality_gates(frames(spark), ["scan"], weak).first().reason == (reason or "snr")
+
+
+def test_windows_of_a_scan(spark):
+    spans = spark.createDataFrame([(1, 0.0, 29.97), (2, 0.0, 19.97), (3, 100.0, 120.0), (4, 0.0, 20.4)], "scan bigint, t0 double, t1 double")
+    got = {}
+    for r in scans.lay_windows(spans).collect():
+        got.setdefault(r.scan, []).append(round(r.start, 2))
+    assert got == {1: [0.0, 5.0, 10.0, 14.97], 3: [0.0, 5.0], 4: [0.0, 5.0]}
+
+
+def camera(spark, scan, bpm, seconds=30, still=lambda t: True, noise=0.0):
+    import numpy as np
+
+    rng, rows = np.random.default_rng(scan), []
+    for k in range(seconds * 30):
+        t = k / 30
+        p = np.sin(2 * np.pi * bpm / 60 * t)
+        shake = 0.0 if still(t) else 9.0 * (k % 2)
+        region = [[float(v) for v in (120 + 0.3 * p + e[0], 90 + 0.8 * p + e[1], 80 + 0.5 * p + e[2])] for e in rng.normal(0, noise + (0 if still(t) else 2.0), (3, 3))]
+        rows.append((scan, t, *region, 50.0 + shake, 50.0, 100.0, 120.0 if still(t) else 20.0, 0.1, 0.1))
+    return spark.createDataFrame(rows, "scan bigint, t double, forehead array<double>, left array<double>, right array<double>, x double, y double, width double, brightness double, blink double, mouth double")
+
+
+def test_scans_are_judged_whole_or_by_windows(spark):
+    d = camera(spark, 1, 72.0, noise=0.05).unionByName(camera(spark, 2, 84.0, still=lambda t: t < 22, noise=0.05)).unionByName(camera(spark, 3, 66.0, still=lambda t: False))
+    got = {r.scan: r for r in scans.judge_scans(d, ["scan"]).collect()}
+    assert (got[1].method, got[1].passed, got[1].start, got[1].agree) == ("fused", True, None, 3) and got[1].bpm == pytest.approx(72, abs=1.5)
+    assert got[2].passed and got[2].method.endswith("+window") and got[2].start in (0.0, 5.0) and got[2].bpm == pytest.approx(84, abs=1.5)
+    assert (got[3].passed, got[3].reason) == (False, "brightness")

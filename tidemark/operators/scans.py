@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import arrays
+from tidemark.operators import signals
 
 
 def quality_gates(samples: DataFrame, keys: list[str], snr: DataFrame | None = None, t: str = "t", least: int = 240, hole: float = 0.25) -> DataFrame:
-    """Samples (keys, t, brightness, x, y, width, blink, mouth) and a table (keys, snr, agree) -> one row a scan.
+    """Samples (keys, t, brightness, x, y, width, blink, mouth) and a table (keys, snr, agree and perhaps motion_amp,
+    motion_frac, light_ratio, light_amp) -> one row a scan.
 
-    Gates in the order in which they give the reason: brightness, motion, blink, coverage, snr, roi; `short` below
-    `least` samples (or coverage, if that is what is missing). One shuffle on the keys serves window and fold.
+    Gates in the order in which they give the reason: brightness, motion, blink, coverage, interference (the face moves or
+    the light flickers at the pulse's rate), snr, roi; `short` below `least` samples (or coverage, if that is what is
+    missing). Unknown figures pass, but for the SNR. One shuffle on the keys serves window and fold.
     """
     w = Window.partitionBy(*keys).orderBy(t)
     gap = F.col(t) - F.lag(t).over(w)
@@ -23,7 +26,11 @@ def quality_gates(samples: DataFrame, keys: list[str], snr: DataFrame | None = N
         F.count("*").alias("n"), share(F.col("brightness").between(55, 225)).alias("bright_share"), share(F.col("_still")).alias("still_share"), share((F.col("blink") > 0.5) | (F.col("mouth") > 0.5)).alias("blink_share"),
         (F.sum(F.when(F.col("_gap") <= hole, F.col("_gap")).otherwise(0.0)) / F.nullif(F.max(t) - F.min(t), F.lit(0.0))).alias("coverage"), F.max("_gap").alias("max_gap"),
     )
-    out = out.join(snr, keys, "left") if snr is not None else out.withColumn("snr", F.lit(None).cast("double")).withColumn("agree", F.lit(None).cast("int"))
+    figures = {"snr": "double", "agree": "int", "motion_amp": "double", "motion_frac": "double", "light_ratio": "double", "light_amp": "double"}
+    out = out.join(snr.select(*keys, *[c for c in snr.columns if c in figures]), keys, "left") if snr is not None else out
+    out = out.withColumns({c: F.lit(None).cast(kind) for c, kind in figures.items() if c not in out.columns})
+    moving = (F.col("motion_amp") >= 0.005) & (F.col("motion_frac") >= 0.2)
+    flicker = (F.col("light_amp") >= 0.0003) & (F.col("light_ratio") >= 0.95)
     covered = F.coalesce((F.col("coverage") >= 0.85) & (F.col("max_gap") <= 1.5), F.lit(True))
     reason = (
         F.when(F.col("n") < least, F.when(covered, "short").otherwise("coverage"))
@@ -31,6 +38,7 @@ def quality_gates(samples: DataFrame, keys: list[str], snr: DataFrame | None = N
         .when(F.col("still_share") < 0.85, "motion")
         .when(F.col("blink_share") >= 0.3, "blink")
         .when(~covered, "coverage")
+        .when(F.coalesce(moving, F.lit(False)) | F.coalesce(flicker, F.lit(False)), "interference")
         .when(~F.coalesce(F.col("snr") >= -3, F.lit(False)), "snr")
         .when(F.coalesce(F.col("agree") < 2, F.lit(False)), "roi")
     )
@@ -73,13 +81,57 @@ def head_movement(samples: DataFrame, keys: list[str]) -> DataFrame:
     return f.select(*keys, (upper(F.transform("_p", lambda p: F.hypot(p["x"] - F.col("_cx"), p["y"] - F.col("_cy")))) * 100).alias("move"))
 
 
-def best_window(windows: DataFrame, keys: list[str], agree: float = 3.0, least: int = 2) -> DataFrame:
-    """Windows (keys, start, bpm, snr, passed) -> (keys, start, bpm, snr): the clearest passing one that enough others support."""
+def best_window(windows: DataFrame, keys: list[str], agree: float = 3.0, least: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Windows (keys, start, bpm, snr, passed) -> (keys, start, bpm, snr and `carry`): the clearest passing one that enough others support."""
     w = Window.partitionBy(*keys)
     some = windows.where("passed")
     top = F.max(F.struct("snr", (-F.col("start")).alias("s"), "bpm")).over(w)
     marked = some.withColumn("_top", top).withColumn("_near", F.count_if(F.abs(F.col("bpm") - F.col("_top.bpm")) <= agree).over(w))
-    return marked.where((F.col("snr") == F.col("_top.snr")) & (F.col("start") == -F.col("_top.s")) & (F.col("_near") >= least)).select(*keys, "start", "bpm", "snr")
+    return marked.where((F.col("snr") == F.col("_top.snr")) & (F.col("start") == -F.col("_top.s")) & (F.col("_near") >= least)).select(*keys, "start", "bpm", "snr", *carry)
+
+
+def lay_windows(spans: DataFrame, seconds: float = 15.0, step: float = 5.0) -> DataFrame:
+    """Spans (keys, t0, t1) -> the same with `start`, seconds from t0, of each window: one every `step`, and one at the end
+    if more than half a second would be left. Spans below one window and a step have none."""
+    whole = F.col("t1") - F.col("t0")
+    tail = whole - seconds
+    n = F.floor((tail + 1e-6) / step).cast("int")
+    starts = F.transform(F.sequence(F.lit(0), n), lambda k: k * F.lit(float(step)))
+    starts = F.when(tail - n * F.lit(float(step)) > 0.5, F.concat(starts, F.array(tail))).otherwise(starts)
+    return spans.where(whole >= seconds + step).withColumn("start", F.explode(starts))
+
+
+def judge_scans(samples: DataFrame, keys: list[str], fs: float = 30.0, seconds: float = 15.0, step: float = 5.0, least: int = 240) -> DataFrame:
+    """Samples (keys and signals.SAMPLE, blink, mouth) -> keys, bpm, snr, agree, reason, passed, method, start: one row a scan.
+
+    A scan is judged whole; if it fails, once more with the face's movement cancelled; if it still fails, its windows are
+    judged in the same two ways, and the clearest that passes and that another one supports is taken, with its `start`. A
+    scan without any keeps its first judgement. Scans, windows and ways are rows of one table: each unit's samples are
+    gathered once, and Spark spreads the units.
+    """
+    spans = samples.groupBy(*keys).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    whole = spans.withColumn("start", F.lit(None).cast("double")).withColumn("_lo", F.col("t0")).withColumn("_hi", F.col("t1"))
+    part = lay_windows(spans, seconds, step).withColumn("_lo", F.col("t0") + F.col("start")).withColumn("_hi", F.col("_lo") + seconds)
+    units = whole.unionByName(part).withColumn("_unit", F.coalesce(F.col("start"), F.lit(-1.0))).drop("t0", "t1")
+    own = [*keys, "_unit"]
+    held = samples.join(units, keys).where(F.col("t").between(F.col("_lo"), F.col("_hi")))
+    ordered = F.array_sort(F.collect_list(F.struct(*signals.SAMPLE)))
+    arrays = held.groupBy(*own).agg(ordered.alias("_s")).select(*own, *[F.col(f"_s.{c}").alias(c) for c in signals.SAMPLE])
+    ways = []
+    for k, cancelled in enumerate((False, True)):
+        figures = signals.scan_figures(arrays, own, fs, cancelled)
+        gates = quality_gates(held, own, figures, least=least).select(*own, "reason", "passed")
+        ways.append(figures.join(gates, own).withColumn("_way", F.lit(k)))
+    both = ways[0].unionByName(ways[1])
+    first = F.min_by(F.struct("bpm", "snr", "agree", "reason", "passed", "_way"), F.when(F.col("passed"), F.col("_way")).otherwise(F.col("_way") * 10 + 2))
+    judged = both.groupBy(*own).agg(first.alias("_j")).select(*own, "_j.*")
+    at = judged.where("_unit < 0").drop("_unit")
+    best = best_window(judged.where("_unit >= 0").select(*keys, F.col("_unit").alias("start"), "bpm", "snr", "passed", "agree", "_way"), keys, carry=("agree", "_way"))
+    best = best.select(*keys, F.struct("bpm", "snr", "agree", F.lit(None).cast("string").alias("reason"), F.lit(True).alias("passed"), "_way", "start").alias("_window"))
+    out = at.join(best, keys, "left").withColumn("_whole", F.struct("bpm", "snr", "agree", "reason", "passed", "_way", F.lit(None).cast("double").alias("start")))
+    out = out.select(*keys, F.when(F.col("passed") | F.col("_window").isNull(), F.col("_whole")).otherwise(F.col("_window")).alias("_c")).select(*keys, "_c.*")
+    method = F.concat(F.lit("fused"), F.when(F.col("_way") == 1, "+motion").otherwise(""), F.when(F.col("start").isNotNull(), "+window").otherwise(""))
+    return out.withColumn("method", method).drop("_way")
 
 
 def routine_of(hour: Column, hint: Column | None = None) -> Column:

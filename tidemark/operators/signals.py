@@ -7,6 +7,7 @@ arrays (interval statistics, slopes, activity) is in functions.arrays as Column
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,10 +34,25 @@ def zero_phase(x: np.ndarray, fs: float, low: float | None, high: float | None,
     return np.fft.irfft(np.fft.rfft(ext) * gain, len(ext))[pad : pad + n]
 
 
+def values_at(t: np.ndarray, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """`x`, known at the ascending times `t`, at other times: the two neighbours weighted by nearness, the ends held."""
+    right = np.clip(np.searchsorted(t, at, "right"), 1, len(t) - 1)
+    gap = t[right] - t[right - 1]
+    share = np.clip(np.divide(at - t[right - 1], gap, out=np.ones(len(at)), where=gap > 0), 0, 1).reshape(-1, *[1] * (x.ndim - 1))
+    return x[right - 1] * (1 - share) + x[right] * share
+
+
 def resample(t: np.ndarray, x: np.ndarray, fs: float) -> np.ndarray:
-    """Samples at irregular times to a regular rate, linear."""
-    tt = t[0] + np.arange(int((t[-1] - t[0]) * fs)) / fs
-    return np.interp(tt, t, x) if x.ndim == 1 else np.stack([np.interp(tt, t, x[:, j]) for j in range(x.shape[1])], axis=1)
+    """Samples at irregular times, at whole multiples of 1 / fs after the first of them and before the last."""
+    n = int((t[-1] - t[0]) * fs)
+    return values_at(t, x, t[0] + np.arange(n) / fs)
+
+
+def known_at(t: np.ndarray, fs: float, hole: float = 0.25) -> np.ndarray:
+    """Which samples of that regular rate lie between two samples at most `hole` seconds apart."""
+    at = t[0] + np.arange(int((t[-1] - t[0]) * fs)) / fs
+    right = np.clip(np.searchsorted(t, at, "right"), 1, len(t) - 1)
+    return t[right] - t[right - 1] <= hole
 
 
 def moving_detrend(x: np.ndarray, fs: float) -> np.ndarray:
@@ -48,12 +64,21 @@ def moving_detrend(x: np.ndarray, fs: float) -> np.ndarray:
     return x - (c[b] - c[a]) / (b - a)
 
 
-def smooth_detrend(x: np.ndarray, strength: float = 100.0) -> np.ndarray:
-    """Smoothness-priors detrending: less the minimiser of squared error plus strength^2 times squared second differences.
+@lru_cache(maxsize=4)
+def _trend(n: int, strength: float) -> np.ndarray:
+    """The matrix (I + strength^2 D'D)^-1 whose product with a signal is its smooth trend; D takes second differences."""
+    d = np.diff(np.eye(n), 2, axis=0)
+    return np.linalg.inv(np.eye(n) + strength**2 * d.T @ d)
 
-    Solved in the cosine basis, in which second differences of a mirrored signal are diagonal.
-    """
+
+def smooth_detrend(x: np.ndarray, strength: float = 100.0) -> np.ndarray:
+    """Smoothness-priors detrending (Tarvainen et al. 2002): less the minimiser of squared error plus strength^2 times
+    squared second differences. Signals of more than 2,048 samples are solved in the cosine basis, which mirrors the ends."""
     n = len(x)
+    if n < 3:
+        return x - x.mean() if n else x
+    if n <= 2048:
+        return x - _trend(n, strength) @ x
     both = np.concatenate([x, x[::-1]])
     k = 2 - 2 * np.cos(np.pi * np.arange(n + 1) / n)
     return x - np.fft.irfft(np.fft.rfft(both) / (1 + strength**2 * k**2), 2 * n)[:n]
@@ -141,24 +166,24 @@ def welch(x: np.ndarray, fs: float, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.fft.rfftfreq(size, 1 / fs), power
 
 
-def interval_bands(ibi: np.ndarray, at: np.ndarray, least: int = 30) -> dict[str, float]:
-    """Power and peak of each band of the intervals at 4 Hz, their total, shares and ratio; empty below `least` beats."""
-    if len(ibi) < least:
-        return {}
-    grid = np.arange(at[0], at[-1], 0.25)
-    if len(grid) < 16:
+def interval_bands(ibi: np.ndarray, at: np.ndarray, least: int = 30, fs: float = 4.0) -> dict[str, float | None]:
+    """Power and peak of each band of the intervals, their total, and what LF and HF are of each other.
+
+    The intervals become a regular series first, of four minutes a window at most; nothing is said of fewer than
+    `least` beats or of less than four seconds.
+    """
+    n = int(np.ceil((at[-1] - at[0]) * fs)) if len(ibi) >= least else 0
+    if n < 4 * fs:
         return {}
-    x = np.interp(grid, at, ibi)
-    f, p = welch(x - x.mean(), 4.0, min(len(x), 240))
-    out = {}
-    for name, (lo, hi) in BANDS.items():
-        m = (f >= lo) & (f < hi)
-        out[f"{name}_power"] = float(np.trapezoid(p[m], f[m])) if m.sum() > 1 else 0.0
-        out[f"{name}_peak"] = float(f[m][np.argmax(p[m])]) if m.any() else None
-    out["total_power"] = sum(out[f"{b}_power"] for b in BANDS)
-    lf, hf = out["LF_power"], out["HF_power"]
-    out |= {"LF_n": lf / (lf + hf) if lf + hf > 0 else None, "HF_n": hf / (lf + hf) if lf + hf > 0 else None, "LF_HF_ratio": lf / hf if hf > 0 else None}
-    return out
+    series = values_at(at, ibi, at[0] + np.arange(n) / fs)
+    f, density = welch(series - series.mean(), fs, min(n, int(60 * fs)))
+    bands = {name: slice(*np.searchsorted(f, edges)) for name, edges in BANDS.items()}
+    power = {name: float(((density[b][1:] + density[b][:-1]) / 2 * np.diff(f[b])).sum()) for name, b in bands.items()}
+    peak = {name: float(f[b][density[b].argmax()]) if len(f[b]) else None for name, b in bands.items()}
+    of = lambda part, whole: part / whole if whole > 0 else None
+    both = power["LF"] + power["HF"]
+    shares = {"LF_n": of(power["LF"], both), "HF_n": of(power["HF"], both), "LF_HF_ratio": of(power["LF"], power["HF"])}
+    return {f"{k}_power": v for k, v in power.items()} | {f"{k}_peak": v for k, v in peak.items()} | {"total_power": sum(power.values())} | shares
 
 
 def strongest(x: np.ndarray, fs: float, low: float = 0.7, high: float = 3.0, near: float = 0.1) -> tuple[float, float]:
@@ -170,19 +195,68 @@ def strongest(x: np.ndarray, fs: float, low: float = 0.7, high: float = 3.0, nea
     return float(top * 60), float(10 * np.log10(max(signal, 1e-12) / max(p.sum() - signal, 1e-12)))
 
 
+def spectrum_peak(x: np.ndarray, fs: float, low: float = 0.6, high: float = 3.3, near: float = 0.1) -> tuple[float, float]:
+    """(beats per minute, SNR in dB) as the second estimator judges a pulse: detrended and band-passed once more, then the
+    top of a periodogram padded to a power of two; the first two harmonics within `near` count as signal."""
+    y = zero_phase(smooth_detrend(x), fs, low, high, 1)
+    size = 1 << max(0, (len(y) - 1).bit_length())
+    f, p = np.fft.rfftfreq(size, 1 / fs), np.abs(np.fft.rfft(y, size)) ** 2
+    f, p = f[(f >= low) & (f <= high)], p[(f >= low) & (f <= high)]
+    top = f[p.argmax()]
+    signal = np.minimum(np.abs(f - top), np.abs(f - 2 * top)) <= near
+    return float(top * 60), float(10 * np.log10(max(p[signal].sum(), 1e-12) / max(p[~signal].sum(), 1e-12)))
+
+
+#: The camera scan's pulse filter and search band in Hz, the band in which half a peak's rate may be the
+#: true one, the power it then needs, and the harmonics that count as signal.
+PULSE_BAND, SEARCH_BAND, HALF_BAND, HALF_SHARE, HARMONICS = (0.5, 4.0), (0.7, 4.0), (0.75, 0.95), 0.2, 3
+
+
+def scan_peak(x: np.ndarray, fs: float, least: int = 4096, near: float = 0.1) -> tuple[float, float]:
+    """(beats per minute, SNR in dB) of a camera scan's pulse: Hann window, the peak refined by a parabola, and half its
+    rate instead if that lies in HALF_BAND and has a local peak of HALF_SHARE of its power."""
+    size = max(least, 4 << max(0, (len(x) - 1).bit_length()))
+    f, p = np.fft.rfftfreq(size, 1 / fs), np.abs(np.fft.rfft((x - x.mean()) * np.hanning(len(x)), size)) ** 2
+    inside = (f >= SEARCH_BAND[0]) & (f <= SEARCH_BAND[1])
+    f, p = f[inside], p[inside]
+    top = int(p.argmax())
+    if HALF_BAND[0] <= f[top] / 2 <= HALF_BAND[1]:
+        local = np.flatnonzero((p[1:-1] >= p[:-2]) & (p[1:-1] >= p[2:]) & (np.abs(f[1:-1] - f[top] / 2) <= 0.05)) + 1
+        local = local[p[local] >= HALF_SHARE * p[top]]
+        top = int(local[p[local].argmax()]) if len(local) else top
+    rate = f[top]
+    if 0 < top < len(f) - 1:
+        y0, y1, y2 = p[top - 1 : top + 2]
+        rate += (y0 - y2) / (2 * ((y0 - 2 * y1 + y2) or 1)) * (f[1] - f[0])
+    signal = np.min([np.abs(f - k * rate) for k in range(1, HARMONICS + 1)], axis=0) <= near
+    return float(rate * 60), float(10 * np.log10(max(p[signal].sum(), 1e-12) / max(p[~signal].sum(), 1e-12)))
+
+
+def amplitude_at(x: np.ndarray, fs: float, rate: float) -> tuple[float, float]:
+    """(amplitude of the sine of that rate, its share of the variance)."""
+    w = np.exp(-2j * np.pi * rate * np.arange(len(x)) / fs)
+    size = 2 * abs(((x - x.mean()) * w).mean())
+    var = float(x.var())
+    return float(size), float(min(1.0, size**2 / 2 / var)) if var > 0 else 0.0
+
+
 # -- pulse from colour ---------------------------------------------------------------------------------------
-def plane_orthogonal(rgb: np.ndarray, fs: float, seconds: float = 1.6) -> np.ndarray:
-    """Pulse from mean colours (Wang et al. 2017): every window divided by its mean, projected, overlap-added."""
-    n, w = len(rgb), int(round(seconds * fs))
-    if n < w:
+def plane_orthogonal(rgb: np.ndarray, fs: float, how: str = "v1", seconds: float = 1.6) -> np.ndarray:
+    """Pulse from mean colours (Wang et al. 2017): every window divided by its mean, projected, overlap-added.
+
+    v1 rounds the window's length and uses every window; v2 takes the ceiling and leaves the last window out.
+    """
+    w = int(np.ceil(seconds * fs)) if how == "v2" else int(round(seconds * fs))
+    n, laid = len(rgb), len(rgb) - w + (how != "v2")
+    if laid < 1:
         return np.zeros(n)
-    win = np.lib.stride_tricks.sliding_window_view(rgb, w, axis=0)  # windows, colours, samples
+    win = np.lib.stride_tricks.sliding_window_view(rgb, w, axis=0)[:laid]  # windows, colours, samples
     c = win / win.mean(2, keepdims=True)
     s1, s2 = c[:, 1] - c[:, 2], c[:, 1] + c[:, 2] - 2 * c[:, 0]
     sd = s2.std(1)
     h = s1 + (s1.std(1) / np.where(sd > 0, sd, 1))[:, None] * s2
     h = h - h.mean(1, keepdims=True)
-    at = np.arange(n - w + 1)[:, None] + np.arange(w)
+    at = np.arange(laid)[:, None] + np.arange(w)
     return np.bincount(at.ravel(), h.ravel(), n)
 
 
@@ -191,14 +265,24 @@ def pulse_v1(rgb: np.ndarray, fs: float) -> np.ndarray:
 
 
 def pulse_v2(rgb: np.ndarray, fs: float) -> np.ndarray:
-    return zero_phase(smooth_detrend(plane_orthogonal(rgb, fs)), fs, 0.75, 3.0, 1)
-
-
-def fused(regions: list[np.ndarray], fs: float) -> np.ndarray:
-    """Pulses of several skin regions, weighted by the power ratio of each one's SNR."""
-    pulses = [pulse_v2(r, fs) for r in regions]
-    weights = [10 ** (strongest(p, fs)[1] / 10) for p in pulses]
-    return sum(w * p / (p.std() or 1) for w, p in zip(weights, pulses, strict=True)) / max(sum(weights), 1e-12)
+    return zero_phase(smooth_detrend(plane_orthogonal(rgb, fs, "v2")), fs, 0.75, 3.0, 1)
+
+
+def fused(pulses: list[np.ndarray], fs: float, seconds: float = 6.0) -> np.ndarray:
+    """One pulse of several: in windows a second apart each is scaled to unit size and weighted by its SNR as a power
+    ratio; the windows are joined under Hann tapers."""
+    n = len(pulses[0])
+    size = min(n, int(round(seconds * fs)))
+    starts = sorted({*range(0, n - size + 1, max(1, int(round(fs)))), n - size})
+    taper = 0.5 - 0.5 * np.cos(2 * np.pi * (np.arange(size) + 0.5) / size)
+    out, weight = np.zeros(n), np.zeros(n)
+    for a in starts:
+        for pulse in pulses:
+            part = pulse[a : a + size]
+            if part.std() > 0:
+                out[a : a + size] += taper * 10 ** (scan_peak(part, fs, 1024)[1] / 10) * part / part.std()
+        weight[a : a + size] += taper
+    return out / np.where(weight > 0, weight, 1)
 
 
 def cancel(x: np.ndarray, refs: np.ndarray, rate: float = 0.05, taps: int = 8) -> np.ndarray:
@@ -286,17 +370,53 @@ def skin_features(df: DataFrame, keys: list[str], eda: str, fs: float) -> DataFr
 
 
 def scan_features(df: DataFrame, keys: list[str], t: str, rgb: str, fs: float = 30.0, how: str = "v2") -> DataFrame:
-    """Face scans (times in seconds, colours) -> keys, hr, snr, n_beats, rr; null below 8 seconds."""
+    """Face scans (times in seconds, colours) -> keys, hr, snr, n_beats, rr; null below 8 seconds. Each way has its estimator."""
 
     def kernel(t: np.ndarray, rgb: np.ndarray) -> dict:
         if len(t) < 2 or t[-1] - t[0] < 8:
             return {}
         x = resample(t, rgb, fs)
         pulse = pulse_v1(x, fs) if how == "v1" else pulse_v2(x, fs)
-        hr, snr = strongest(pulse, fs)
+        hr, snr = strongest(pulse, fs) if how == "v1" else spectrum_peak(pulse, fs)
         y = zero_phase(smooth_detrend(pulse), fs, max(0.5, hr / 60 - 0.4), hr / 60 + 0.4, 1)
         at, _ = beats(y / (y.std() or 1), fs, hr)
         rr, share = breathing(np.arange(len(x)) / fs, x[:, 1] / x[:, 1].mean())
         return {"hr": hr, "snr": snr, "n_beats": len(at), "rr": rr if share >= 0.3 else None}
 
     return per_row(df, keys, [t, rgb], kernel, "hr double, snr double, n_beats bigint, rr double")
+
+
+#: Columns of a camera sample: time in seconds, three regions' colours, the face's place and size, brightness.
+SAMPLE = ("t", "forehead", "left", "right", "x", "y", "width", "brightness")
+
+
+def scan_figures(scans: DataFrame, keys: list[str], fs: float = 30.0, cancelled: bool = False) -> DataFrame:
+    """Scans, one row with the arrays SAMPLE -> keys, bpm, snr, agree, motion_amp, motion_frac, light_ratio, light_amp.
+
+    The pulses of the mean colour and of each region are fused; `agree` counts the regions within 3 bpm of the result. The
+    interference figures are the amplitudes of the face's movement and of the light at the rate found. With `cancelled`,
+    what the face's movement predicts is first taken out of each pulse, forward and backward. Null below 60 grid samples.
+    """
+
+    def kernel(t, forehead, left, right, x, y, width, brightness) -> dict:
+        if len(t) < 2 or (t[-1] - t[0]) * fs < 60:
+            return {}
+        grid = lambda v: resample(t, v, fs)
+        passed = lambda v: zero_phase(v, fs, *PULSE_BAND, 1)
+        colours = [grid(c) for c in (forehead, left, right)]
+        whole = np.mean(colours, axis=0)
+        moves = [passed(grid(v) / np.maximum(grid(width), 1)) for v in (x, y)]
+        pulses = [passed(plane_orthogonal(c, fs)) for c in (whole, *colours)]
+        if cancelled:
+            refs = np.stack([m / (m.std() or 1) for m in moves], axis=1)
+            pulses = [(cancel(p, refs, 0.02) + cancel(p[::-1], refs[::-1], 0.02)[::-1]) / 2 for p in pulses]
+        bpm, snr = scan_peak(fused(pulses, fs), fs)
+        motion = max(amplitude_at(m, fs, bpm / 60) for m in moves)
+        relative = lambda v: amplitude_at(passed(v / v.mean() - 1), fs, bpm / 60)[0] if v.mean() else 0.0
+        light, green = relative(grid(brightness)), relative(whole[:, 1])
+        return {
+            "bpm": bpm, "snr": snr, "agree": sum(abs(scan_peak(p, fs)[0] - bpm) <= 3 for p in pulses[1:]), "motion_amp": motion[0], "motion_frac": motion[1],
+            "light_ratio": light / green if green > 0 else float("inf"), "light_amp": light,
+        }
+
+    return per_row(scans, keys, list(SAMPLE), kernel, "bpm double, snr double, agree int, motion_amp double, motion_frac double, light_ratio double, light_amp double")

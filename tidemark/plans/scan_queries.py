@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores
@@ -28,6 +29,31 @@ def quality_gates(spark, read):
     return rounded(out.select("subject_id", "n", "bright_share", "still_share", "blink_share", "reason"), "bright_share", "still_share", "blink_share")
 
 
+
+@query(f"""WITH {EVENTS}, f AS (SELECT subject_id, count(*) AS n FROM p GROUP BY 1), g AS (SELECT *, n % 7 - 4.0 AS snr, n % 4 AS agree, (n % 10) / 1000.0 AS ma, (n % 5) / 10.0 AS mf, (n % 11) / 10.0 AS lr, (n % 3) / 1000.0 AS la FROM f)
+SELECT subject_id, n, CASE WHEN n < 5 THEN 'short' WHEN (ma >= 0.005 AND mf >= 0.2) OR (la >= 0.0003 AND lr >= 0.95) THEN 'interference' WHEN snr < -3 THEN 'snr' WHEN agree < 2 THEN 'roi' END AS reason,
+  NOT (n < 5 OR (ma >= 0.005 AND mf >= 0.2) OR (la >= 0.0003 AND lr >= 0.95) OR snr < -3 OR agree < 2) AS passed FROM g""")
+def pulse_gates(spark, read):
+    """The gates that judge the pulse, over frames that pass all others."""
+    s = points(read).select("subject_id", F.col("event_id").cast("double").alias("t"), *[F.lit(v).alias(c) for c, v in (("brightness", 120.0), ("x", 50.0), ("y", 50.0), ("width", 100.0), ("blink", 0.1), ("mouth", 0.1))])
+    n = F.col("n")
+    figures = s.groupBy("subject_id").agg(F.count("*").alias("n")).select(
+        "subject_id", (n % 7 - 4.0).alias("snr"), (n % 4).cast("int").alias("agree"), (n % 10 / 1000.0).alias("motion_amp"), (n % 5 / 10.0).alias("motion_frac"), (n % 11 / 10.0).alias("light_ratio"), (n % 3 / 1000.0).alias("light_amp")
+    )
+    # frames a tick apart, so that coverage is whole
+    w = Window.partitionBy("subject_id").orderBy("t")
+    even = s.withColumn("t", F.row_number().over(w) / 30.0)
+    return scans.quality_gates(even, ["subject_id"], figures, least=5).select("subject_id", "n", "reason", "passed")
+
+
+@query(f"""WITH {EVENTS}, s AS (SELECT subject_id, min(t) / 3600.0 AS t0, max(t) / 3600.0 AS t1 FROM p GROUP BY 1), n AS (SELECT *, t1 - t0 - 15 AS tail, CAST(floor((t1 - t0 - 15 + 1e-6) / 5) AS INT) AS n FROM s WHERE t1 - t0 >= 20)
+SELECT subject_id, round(unnest(list_concat(list_transform(range(n + 1), lambda k: k * 5.0), CASE WHEN tail - n * 5.0 > 0.5 THEN [tail] ELSE [] END)), 6) AS start FROM n""")
+def scan_windows(spark, read):
+    """Windows of 15 a step of 5 apart and one at the end, over each subject's hours."""
+    spans = points(read).groupBy("subject_id").agg((F.min("t") / 3600.0).alias("t0"), (F.max("t") / 3600.0).alias("t1"))
+    return rounded(scans.lay_windows(spans).select("subject_id", "start"), "start")
+
+
 @query(f"""WITH RECURSIVE {SAMPLES}, o AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY t) AS i, count(*) OVER (PARTITION BY subject_id) AS n, coalesce(t - lag(t) OVER (PARTITION BY subject_id ORDER BY t), 0.0) AS dt FROM sm),
 f AS (SELECT subject_id, 1 AS i, n, blink >= 0.5 AS shut, CAST(blink >= 0.5 AS INT) AS blinks FROM o WHERE i = 1 UNION ALL
   SELECT o.subject_id, o.i, o.n, CASE WHEN f.shut AND NOT o.dt > 1.0 THEN o.blink >= 0.35 ELSE o.blink >= 0.5 END, f.blinks + CAST(NOT (f.shut AND NOT o.dt > 1.0) AND o.blink >= 0.5 AS INT) FROM f JOIN o ON o.subject_id = f.subject_id AND o.i = f.i + 1),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import scans as judging
 from tidemark.operators import signals
 from tidemark.plans.registry import query, rounded
 
@@ -75,3 +76,32 @@ def nlms_cancel(spark, read):
 
     df = pulses(read).withColumn("noise", F.transform("pulse", lambda p, k: F.sin(k * 0.9)))
     return rounded(signals.per_row(df, ["vec_id"], ["pulse", "noise"], kernel, "before double, after double"), "before", "after", digits=4)
+
+
+def camera_samples(read, seconds: int = 12, fs: int = 30):
+    """Frames of one camera scan for each embedding: three regions with the pulse of `scans`, a steady face and light."""
+    t = F.transform(F.sequence(F.lit(0), F.lit(seconds * fs - 1)), lambda k: F.struct(k.alias("k"), (k / float(fs)).alias("t")))
+    rate = (F.col("label") * 3 + 60) / 60.0
+    frames = read("embeddings").withColumn("rate", rate).select("vec_id", "label", "rate", "embedding", F.inline(t))
+    noise = lambda shift: F.coalesce(F.get("embedding", (F.col("k") + shift) % 64), F.lit(0.0)) * 0.05
+    p = F.sin(F.col("t") * F.col("rate") * 6.283185307179586)
+    region = lambda n: F.array(120.0 + 0.3 * p + noise(n), 90.0 + 0.8 * p + noise(n + 7), 80.0 + 0.5 * p + noise(n + 13))
+    still = lambda size, turn: F.lit(size) + F.sin(F.col("t") * turn) * 0.05
+    return frames.select(
+        "vec_id", "label", "t", region(0).alias("forehead"), region(21).alias("left"), region(42).alias("right"), still(50.0, 3.1).alias("x"), still(40.0, 1.7).alias("y"), F.lit(100.0).alias("width"),
+        (120.0 + F.sin(F.col("t") * 0.9)).alias("brightness"), F.lit(0.1).alias("blink"), F.lit(0.1).alias("mouth"),
+    )
+
+
+@query()
+def scan_judgement(spark, read):
+    """Every camera scan judged whole, with its movement cancelled, and by windows."""
+    return rounded(judging.judge_scans(camera_samples(read), ["vec_id", "label"]), "bpm", "snr", "start", digits=3)
+
+
+@query()
+def fused_hr(spark, read):
+    """Rate and agreement of the three regions' fused pulse."""
+    arrays = camera_samples(read).groupBy("vec_id", "label").agg(F.array_sort(F.collect_list(F.struct(*signals.SAMPLE))).alias("s"))
+    arrays = arrays.select("vec_id", "label", *[F.col(f"s.{c}").alias(c) for c in signals.SAMPLE])
+    return rounded(signals.scan_figures(arrays, ["vec_id", "label"]), "bpm", "snr", "motion_amp", "motion_frac", "light_ratio", "light_amp", digits=3)

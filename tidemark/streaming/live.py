@@ -71,20 +71,24 @@ def alerts(days: DataFrame, limit: float = 0.5, k: int = 3, max_gap: int = 2, re
 
 
 def early_stop(estimates: DataFrame, n: int = 3, within: float = 2.0, snr: float = 3.0, seconds: float = 10.0, scan: str = "scan", kind: str = "bigint") -> DataFrame:
-    """Estimates (scan, t, bpm, snr) -> one row (scan, t, bpm) for each scan: when its last n agree, are clear and long enough.
+    """Estimates (scan, t, bpm, snr and perhaps passed) -> one row (scan, t, bpm) for each scan: the first time, not before
+    `seconds`, that its last n lie within `within` of the latest, that one is clear, and the scan so far passes its gates.
 
-    State: the last n estimates and whether the scan has stopped.
+    State: the last n estimates and whether the scan has stopped. An unknown estimate agrees with none.
     """
+    gated = "passed" in estimates.columns
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ring, done = state.get if state.exists else ([], False)
         ring = list(ring)
         out = []
-        for t, bpm, q in pd.concat(list(frames)).sort_values("t")[["t", "bpm", "snr"]].itertuples(index=False):
+        rows = pd.concat(list(frames)).sort_values("t")
+        for t, bpm, q, ok in zip(rows["t"], rows["bpm"], rows["snr"], rows["passed"] if gated else [True] * len(rows), strict=True):
             if done:
                 break
-            ring = [*ring, float(bpm)][-n:] if q >= snr else []
-            if len(ring) == n and max(ring) - min(ring) <= 2 * within and t >= seconds:
+            ring = [*ring, float("nan") if bpm is None else float(bpm)][-n:]
+            near = all(abs(x - ring[-1]) <= within for x in ring)  # not so for an unknown one
+            if len(ring) == n and near and q is not None and q >= snr and t >= seconds and not pd.isna(ok) and bool(ok):
                 out.append((key[0], float(t), float(bpm)))
                 done = True
         state.update((ring, bool(done)))
