@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import arrays
+from tidemark.functions import arrays, ranges
 
 MAD_SCALE = 1.4826
 
@@ -102,18 +102,17 @@ def subject_percentile(df: DataFrame, col: str, ref: str = "is_ref", subject: st
 
 
 def _share_below(df: DataFrame, col: str, keys: list[str], out: str) -> DataFrame:
-    bins = 1 << 10
-    lo, hi, n = df.agg(F.min(col), F.max(col), F.count(col)).first()
+    """Counts of distinct values, ranked within ranges between quantiles: no task orders more than some of the ranges."""
+    n = df.agg(F.count(col)).first()[0]
     if not n:
         return df.withColumn(out, F.lit(None).cast("double"))
-    width = (hi - lo) / bins or 1.0
-    binned = df.withColumn("_bin", F.least(F.floor((F.col(col) - lo) / width), F.lit(bins - 1)))
-    per_value = binned.where(F.col(col).isNotNull()).groupBy("_bin", col).agg(F.count("*").alias("_n"))
-    per_bin = per_value.groupBy("_bin").agg(F.sum("_n").alias("_in_bin"))  # at most `bins` rows
+    cuts = ranges.bounds(df, col)
+    per_value = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_n")).withColumn("_bin", ranges.range_of(F.col(col), cuts))
+    per_bin = per_value.groupBy("_bin").agg(F.sum("_n").alias("_in_bin"))  # at most one row a range
     before = per_bin.withColumn("_before", F.sum("_in_bin").over(Window.orderBy("_bin")) - F.col("_in_bin")).select("_bin", "_before")
     running = F.sum("_n").over(Window.partitionBy("_bin").orderBy(col)) - F.col("_n")
     shares = per_value.withColumn("_less", running).join(F.broadcast(before), "_bin").select(F.col(col).alias("_v"), ((F.col("_less") + F.col("_before")) / n).alias("_share"))
-    return df.join(shares, F.col(col) == F.col("_v"), "left").withColumn(out, (F.col("_share") - 0.5) * 4.0).drop("_v", "_share")
+    return df.join(ranges.narrow(shares), F.col(col) == F.col("_v"), "left").withColumn(out, (F.col("_share") - 0.5) * 4.0).drop("_v", "_share")
 
 
 def subject_z(df: DataFrame, col: str, ref: str = "is_ref", subject: str = "subject_id", out: str = "score") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import ranges
+
 
 def _share(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0))
@@ -56,11 +58,9 @@ def auc(df: DataFrame, score: str, positive: Column, keys: tuple[str, ...] = (),
     known = df.where(F.col(score).isNotNull())
     counts = known.groupBy(*keys, F.col(score).alias("_s")).agg(F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_n"))
     if not keys:
-        lo, hi = known.agg(F.min(score), F.max(score)).first()
-        width = ((hi or 0) - (lo or 0)) / 1024 or 1.0
-        counts = counts.withColumn("_b", F.least(F.floor((F.col("_s") - F.lit(lo or 0.0)) / width), F.lit(1023)))
+        counts = counts.withColumn("_b", ranges.range_of(F.col("_s"), ranges.bounds(known, score)))
         inner = Window.partitionBy("_b").orderBy("_s")
-        per = counts.groupBy("_b").agg(F.sum("_n").alias("_nb"))  # at most 1024 rows
+        per = counts.groupBy("_b").agg(F.sum("_n").alias("_nb"))  # at most one row a range
         offset = per.withColumn("_off", F.sum("_nb").over(Window.orderBy("_b")) - F.col("_nb")).select("_b", "_off")
         counts = counts.withColumn("_in", F.sum("_n").over(inner) - F.col("_n")).join(F.broadcast(offset), "_b").withColumn("_below", F.col("_in") + F.col("_off"))
     else:
@@ -76,8 +76,9 @@ def average_rank(value: Column | str, by: Window, all_of: Window) -> Column:
 
 
 def wilcoxon(df: DataFrame, a: str, b: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """-> keys, n, n_nonzero, median_diff, r_plus, r_minus, effect_size, p_value (normal approximation, tie-corrected).
+    """-> keys, n, n_nonzero, median_diff, r_plus, r_minus, effect_size, p_value.
 
+    p_value is two-sided: exact for at most 50 pairs without ties and zeros, else by the normal approximation, tie-corrected.
     effect_size is the rank-biserial correlation; NULL with p_value below 3 differences. The pairs are one row a
     subject, a small table; with keys they are ranked per key.
     """
@@ -93,7 +94,22 @@ def wilcoxon(df: DataFrame, a: str, b: str, keys: tuple[str, ...] = ()) -> DataF
     var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_ties") / 48.0
     z = F.abs(F.col("r_plus") - n * (n + 1) / 4.0) / F.sqrt(var)
     enough = n >= 3
-    return out.select(*keys, "n", F.coalesce(n, F.lit(0)).alias("n_nonzero"), "median_diff", "r_plus", "r_minus", F.when(enough, 2 * F.col("r_plus") / (n * (n + 1) / 2.0) - 1).alias("effect_size"), F.when(enough, normal_tail(z)).alias("p_value"))
+    exact = (F.col("_ties") == 0) & (n == F.col("n")) & (n <= 50)
+    p = F.when(exact, signed_rank_tail(n, F.least("r_plus", "r_minus"))).otherwise(normal_tail(z))
+    return out.select(*keys, "n", F.coalesce(n, F.lit(0)).alias("n_nonzero"), "median_diff", "r_plus", "r_minus", F.when(enough, 2 * F.col("r_plus") / (n * (n + 1) / 2.0) - 1).alias("effect_size"), F.when(enough, p).alias("p_value"))
+
+
+def signed_rank_tail(n: Column, least: Column) -> Column:
+    """Two-sided exact tail of the signed-rank statistic: twice the share of sign patterns whose sum is at most `least`.
+
+    The patterns are counted by their sums, rank after rank: at most n (n + 1) / 2 + 1 counts.
+    """
+    top = (n * (n + 1) / 2).cast("int")
+    first = F.transform(F.sequence(F.lit(0), top), lambda v: F.when(v == 0, 1.0).otherwise(0.0))
+    add = lambda acc, r: F.transform(acc, lambda c, v: c + F.when(v >= r, F.get(acc, (v - r).cast("int"))).otherwise(0.0))
+    counts = F.aggregate(F.sequence(F.lit(1), n.cast("int")), first, add)
+    low = F.aggregate(F.slice(counts, F.lit(1), least.cast("int") + 1), F.lit(0.0), lambda a, c: a + c)
+    return F.least(F.lit(1.0), 2 * low / F.pow(F.lit(2.0), n))
 
 
 def normal_tail(z: Column) -> Column:
@@ -136,3 +152,33 @@ def paired_effect(df: DataFrame, value: str, on: str, subject: str = "subject_id
 def group_split(subjects: DataFrame, folds: int, subject: str = "subject_id") -> DataFrame:
     """(subject, fold) by a hash of the subject: stable as subjects are added, and never splits one."""
     return subjects.select(subject).distinct().withColumn("fold", F.pmod(F.xxhash64(F.col(subject).cast("string")), F.lit(folds)).cast("bigint"))
+
+
+def split_summary(df: DataFrame, subject: str = "subject_id", label: str = "label", fold: str = "fold") -> DataFrame:
+    """Rows with a fold -> (fold, n_train, n_test, train_subjects, test_subjects, test_classes, leak), one row a test fold.
+
+    leak: some subject of the fold has rows outside it, so it is trained on too.
+    """
+    per = df.groupBy(fold, subject).agg(F.count("*").alias("_n"))
+    inside = per.withColumn("_folds", F.count("*").over(Window.partitionBy(subject)))
+    per_fold = inside.groupBy(fold).agg(F.sum("_n").alias("n_test"), F.count("*").alias("test_subjects"), F.count_if(F.col("_folds") > 1).alias("_shared"))
+    classes = df.groupBy(fold).agg(F.countDistinct(label).alias("test_classes"))
+    whole = F.broadcast(per.agg(F.sum("_n").alias("_rows"), F.countDistinct(subject).alias("_subjects")))  # one row
+    out = per_fold.join(classes, fold).join(whole, F.lit(True))
+    only_here = F.col("test_subjects") - F.col("_shared")
+    return out.select(fold, (F.col("_rows") - F.col("n_test")).alias("n_train"), "n_test", (F.col("_subjects") - only_here).alias("train_subjects"), "test_subjects", "test_classes", (F.col("_shared") > 0).alias("leak"))
+
+
+def effect_over_noise(segments: DataFrame, pairs: DataFrame, value: str, keys: tuple[str, ...], before: str = "before", after: str = "after") -> DataFrame:
+    """Segments (keys, value) and pairs (before, after) -> one row: within_sd, between_sd, effect_median, up_after, effect_over_noise.
+
+    within_sd is the median over groups of the sd within them, between_sd the sd of the values before, up_after the share of
+    pairs that rise, and the last one the median size of the change in within_sd's. Incomplete pairs are left out.
+    """
+    sds = segments.groupBy(*keys).agg(F.stddev_samp(value).alias("_sd"))
+    within = sds.agg(F.percentile("_sd", F.lit(0.5)).alias("within_sd"))
+    d = F.col(after) - F.col(before)
+    change = pairs.agg(
+        F.stddev_samp(before).alias("between_sd"), F.percentile(d, F.lit(0.5)).alias("effect_median"), F.avg(F.when(d.isNotNull(), (d > 0).cast("int"))).alias("up_after"), F.percentile(F.abs(d), F.lit(0.5)).alias("_size")
+    )
+    return change.join(F.broadcast(within), F.lit(True)).select("within_sd", "between_sd", "effect_median", "up_after", (F.col("_size") / F.nullif(F.col("within_sd"), F.lit(0.0))).alias("effect_over_noise"))

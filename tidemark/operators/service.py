@@ -99,3 +99,23 @@ def share_gauge(total: Column, causes: list[tuple[Column, Column]]) -> Column:
         return F.struct((acc["left"] - take).alias("left"), F.concat(acc["out"], F.array(take)).alias("out"))
 
     return F.aggregate(wanted, start, step, lambda acc: acc["out"])
+
+
+def final_state(days: DataFrame, min_night: int = 60) -> DataFrame:
+    """Days (valid, deviated, pending, held, alert, night_hr, night_min, face_valid) -> the same with `state`.
+
+    Without a verdict: learning if there is a night of enough minutes or a face scan, else none. Deviating days ask, are
+    explained, alert or are left open, in this order; all others are calm.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    night = F.col("night_hr").isNotNull() & F.coalesce(F.col("night_min") >= min_night, F.lit(False))
+    unknown = F.when(night | yes("face_valid"), "learning").otherwise("none")
+    state = F.when(~yes("valid"), unknown).when(~yes("deviated"), "calm").when(yes("pending"), "ask").when(yes("held"), "explained").when(yes("alert"), "alert").otherwise("left")
+    return days.withColumn("state", state)
+
+
+def shown_run(days: DataFrame, keys: tuple[str, ...] = ("subject_id",), day: str = "day") -> DataFrame:
+    """-> (keys, run): the run length of the latest judged day; a day without verdict or held shows the one before it."""
+    judged = F.coalesce(F.col("valid"), F.lit(False)) & ~F.coalesce(F.col("held"), F.lit(False))
+    return days.groupBy(*keys).agg(F.coalesce(F.max_by("run_len", F.when(judged, F.col(day))), F.lit(0)).cast("bigint").alias("run"))
+

@@ -115,3 +115,11 @@ def slice_between(values: Column, fs: Column | float, t_first: Column, start: Co
     i, j = (F.ceil(a), F.floor(b)) if how == "ceil_floor" else (F.bround(a), F.bround(b))
     i = F.greatest(i.cast("int"), F.lit(0))
     return F.slice(values, i + 1, F.greatest(F.least(j.cast("int"), F.size(values)) - i, F.lit(0)))
+
+
+def first_half_of_days(df: DataFrame, subject: str = "subject_id", day: str = "day", out: str = "is_train") -> DataFrame:
+    """`df` with is_train: the day is not after the subject's distinct day number n // 2, counted from 0."""
+    w = Window.partitionBy(subject)
+    rank = F.dense_rank().over(w.orderBy(day))
+    ranked = df.withColumn("_rank", F.when(F.col(day).isNotNull(), rank - F.coalesce(F.max(F.when(F.col(day).isNull(), 1)).over(w), F.lit(0))))
+    return ranked.withColumn(out, F.coalesce(F.col("_rank") - 1 <= F.floor(F.max("_rank").over(w) / 2), F.lit(False))).drop("_rank")

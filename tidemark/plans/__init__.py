@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from tidemark.plans import days, judgement, report_queries, scan_queries, signal_queries, stream_queries, time_queries  # noqa: F401
+from tidemark.plans import days, feature_queries, judgement, report_queries, scan_queries, signal_queries, stream_queries, time_queries  # noqa: F401
 from tidemark.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

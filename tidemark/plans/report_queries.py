@@ -142,11 +142,11 @@ def study_mode(spark, read):
 
 
 @query(f"""WITH {DAY}, l AS (SELECT subject_id, arg_max(x, day) AS x, max(day) AS day, count(*) AS n FROM day GROUP BY 1)
-SELECT subject_id, day, round(x, 6) AS x, CASE WHEN x > 80 THEN 0 WHEN day < DATE '2024-01-29' THEN 2 ELSE 1 END AS urgency FROM l ORDER BY urgency, day DESC NULLS LAST, subject_id LIMIT 20""")
+SELECT subject_id, day, round(x, 6) AS x, CASE WHEN x > 80 THEN 0 WHEN day < DATE '2024-01-29' THEN 2 ELSE 1 END AS urgency FROM l ORDER BY urgency, day DESC NULLS LAST, subject_id""")
 def group_board_order(spark, read):
     d = folds.event_days(read("events")).groupBy("subject_id").agg(F.max_by("x", "day").alias("x"), F.max("day").alias("day"))
     urgency = F.when(F.col("x") > 80, 0).when(F.col("day") < F.lit("2024-01-29").cast("date"), 2).otherwise(1)
-    return rounded(d.withColumn("urgency", urgency).orderBy("urgency", F.col("day").desc_nulls_last(), "subject_id").limit(20), "x").select("subject_id", "day", "x", "urgency")
+    return rounded(d.withColumn("urgency", urgency).orderBy("urgency", F.col("day").desc_nulls_last(), "subject_id"), "x").select("subject_id", "day", "x", "urgency")
 
 
 @query(f"""WITH {DAY}, n AS (SELECT event_type, count(*) AS n, median(value) AS m, min(CAST(ts AS DATE)) FILTER (value < 1) AS first_low FROM events GROUP BY 1)

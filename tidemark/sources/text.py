@@ -139,13 +139,18 @@ ROLES = {
 }
 
 
-def import_nights(spark: SparkSession, rows: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
+def import_nights(spark: SparkSession, rows: DataFrame, col: str = "value", head: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Delimited text lines with a header -> (accepted nights, counts of accepted and rejected rows).
 
-    The separator is the one of tab, semicolon and comma that the header has most of; roles follow header aliases; a
+    The header is `head` if given, else the line that holds most of the roles' names, the least of equals: lines of a table
+    come in no order. The separator is the one of tab, semicolon and comma that the header has most of; roles follow header aliases; a
     heart rate must lie within 30 to 120, a date must parse.
     """
-    head = rows.limit(1).first()[0]  # the header line
+    if head is None:
+        names = F.split(F.lower(F.regexp_replace(col, '"', "")), "[\\t;,]")
+        known = F.array(*[F.lit(n) for alias in ROLES.values() for n in alias])
+        n = F.size(F.array_intersect(F.transform(names, F.trim), known))
+        head = rows.where(F.col(col).isNotNull()).agg(F.min(F.struct((-n).alias("n"), F.col(col).alias("line")))["line"]).first()[0] or ""
     sep = max("\t;,", key=head.count)
     names = [h.strip().strip('"').lower() for h in head.split(sep)]
     at = {role: next((k for k, n in enumerate(names) if n in alias), None) for role, alias in ROLES.items()}
