@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RANGES, STEP = 1024, 32
+RANGES, STEP = 256, 16
 
 
 def bounds(df: DataFrame, col: str, ranges: int = RANGES) -> list[float]:
@@ -19,8 +19,10 @@ def range_of(value: Column, cuts: list[float]) -> Column:
     if not cuts:
         return F.lit(0)
     below = lambda some: F.size(F.filter(some, lambda c: c < value))
-    every = F.array(*[F.lit(c) for c in cuts])
-    return F.get(F.transform(F.array(below(F.array(*[F.lit(c) for c in cuts[STEP - 1 :: STEP]]))), lambda n: n * STEP + below(F.slice(every, n * STEP + 1, F.lit(STEP)))), F.lit(0))
+    listed = lambda some: F.expr(f"array({', '.join(f'{float(c)!r}D' for c in some)})")
+    coarse = cuts[STEP - 1 :: STEP]
+    steps = below(listed(coarse)) if coarse else F.lit(0)
+    return F.get(F.transform(F.array(steps), lambda n: n * STEP + below(F.slice(listed(cuts), n * STEP + 1, F.lit(STEP)))), F.lit(0))
 
 
 def narrow(df: DataFrame, rows: int = 200_000) -> DataFrame:

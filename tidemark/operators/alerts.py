@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +12,8 @@ def alerts(days: DataFrame, limit: Column | float = 0.5, k: Column | int = 3, ma
     """`days` with unresolved, run_len and alert.
 
     Days that are not valid or held neither break nor extend a run; a calendar gap above max_gap breaks it. Runs are
-    islands between resets (windows over one sort); the refractory choice is greedy, so it folds each key's candidate
-    days, once, and joins the choice on the keys, of which both sides are already partitioned.
+    islands between resets (windows over one sort); the refractory choice is greedy, so each key's days (a row a day) are
+    gathered, in the same partitioning, and its candidate days are folded once.
     """
     limit = limit if isinstance(limit, Column) else F.lit(limit)
     k = k if isinstance(k, Column) else F.lit(k)
@@ -29,15 +26,14 @@ def alerts(days: DataFrame, limit: Column | float = 0.5, k: Column | int = 3, ma
     out = out.withColumn("_island", F.sum(reset.cast("int")).over(w))
     run = F.sum((F.col("_judged") & F.col("unresolved")).cast("int")).over(Window.partitionBy(*keys, "_island").orderBy(day))
     out = out.withColumn("run_len", F.when(F.col("_judged") & F.col("unresolved"), run).otherwise(0).cast("bigint"))
-    candidate = F.col("_judged") & (F.col("run_len") >= k)
-    # the greedy choice is folded once per key; both sides stay partitioned by the keys
+    out = out.withColumn("_candidate", F.col("_judged") & (F.col("run_len") >= k)).drop("_judged", "_island")
+    # the greedy choice is folded once per key, over the rows that the windows have already brought together
     none = F.array().cast("array<int>")
     step = lambda acc, d: F.when((F.size(acc) == 0) | (d - F.coalesce(F.get(acc, F.size(acc) - 1), d) >= refractory), F.concat(acc, F.array(d))).otherwise(acc)
-    per_key = out.where(candidate).groupBy(*[F.col(c).alias(f"_of_{c}") for c in keys]).agg(F.array_sort(F.collect_set(F.unix_date(day))).alias("_days"))
-    per_key = per_key.select(*[f"_of_{c}" for c in keys], F.aggregate("_days", none, step).alias("_fired"))
-    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
-    out = out.join(per_key, reduce(and_, same), "left").withColumn("alert", candidate & F.coalesce(F.array_contains("_fired", F.unix_date(day)), F.lit(False)))
-    return out.drop("_judged", "_island", "_fired", *[f"_of_{c}" for c in keys])
+    chosen_from = F.array_sort(F.transform(F.filter("_rows", lambda r: r["_candidate"]), lambda r: F.unix_date(r[day])))
+    per_key = out.groupBy(*keys).agg(F.collect_list(F.struct(*out.columns)).alias("_rows")).select("_rows", F.aggregate(chosen_from, none, step).alias("_fired"))
+    rows = per_key.select(F.explode("_rows").alias("_r"), "_fired").select("_r.*", "_fired")
+    return rows.withColumn("alert", F.col("_candidate") & F.array_contains("_fired", F.unix_date(day))).drop("_candidate", "_fired")
 
 
 def evaluate(days: DataFrame, events: DataFrame, before: int = 1, after: int = 1, keys: tuple[str, ...] = (), subject: str = "subject_id", day: str = "day") -> DataFrame:
