@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions import arrays
+
 
 def sigmoid(z: Column) -> Column:
     return 1 / (1 + F.exp(-z))
@@ -83,3 +85,18 @@ def lab(red: Column, green: Column, blue: Column) -> list[Column]:
     y = f(0.2126 * r + 0.7152 * g + 0.0722 * b)
     z = f((0.0193 * r + 0.1192 * g + 0.9505 * b) / 1.08883)
     return [116 * y - 16, 500 * (x - y), 200 * (y - z)]
+
+
+def complexion(forehead: Column, cheeks: Column) -> dict[str, Column]:
+    """Mean colours of both regions by frame -> a_rel (redness of the cheeks less the forehead's), a_cheek, s_rel (saturation)
+    and rg_rel (red over green), medians over the frames in which all six numbers are known; NULL without one."""
+    known = lambda c: F.coalesce((F.size(c) == 3) & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v)), F.lit(False))
+    frames = F.filter(F.arrays_zip(forehead.alias("f"), cheeks.alias("c")), lambda p: known(p["f"]) & known(p["c"]))
+    redness = lambda c: lab(c[0], c[1], c[2])[1]
+    top = lambda c: F.array_max(c)
+    saturation = lambda c: F.when(top(c) > 0, (top(c) - F.array_min(c)) / top(c)).otherwise(0.0)
+    middle = lambda of: arrays.median(F.transform(frames, of))
+    return {
+        "a_rel": middle(lambda p: redness(p["c"]) - redness(p["f"])), "a_cheek": middle(lambda p: redness(p["c"])),
+        "s_rel": middle(lambda p: saturation(p["c"]) - saturation(p["f"])), "rg_rel": middle(lambda p: p["c"][0] / p["c"][1] - p["f"][0] / p["f"][1]),
+    }

@@ -74,3 +74,17 @@ def chance_level(days: DataFrame, events: DataFrame, n_perm: int = 200, seed: in
     drawn = valid.withColumn("_n", n).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
     rank = F.row_number().over(Window.partitionBy("perm", "subject_id").orderBy(F.xxhash64(F.lit(seed), "perm", "subject_id", "day"), "day"))
     return evaluate(drawn.withColumn("alert", rank <= F.col("_n")), events, before, after, ("perm",))
+
+
+def matched(days: DataFrame, score: str, cuts: list[float], other: DataFrame, k: int = 1, limit: float = 0.5, hold: str | None = None, keys: tuple[str, ...] = ("subject_id",)) -> DataFrame:
+    """-> one row (cut, n_alerts, target): the cut of `score` whose number of alerts is nearest to that of another arm, the least of equals.
+
+    `other` is the arm to match, with its alerts marked. All cuts are judged in one plan; one row a cut is gathered.
+    """
+    grid = days.withColumn("cut", F.explode(F.array(*[F.lit(float(c)) for c in sorted(cuts)])))
+    grid = grid.withColumn("carried_frac", F.coalesce(F.col("valid") & (F.col(score) >= F.col("cut")), F.lit(False)).cast("double"))
+    n = alerts(grid, limit, k, hold=hold, keys=(*keys, "cut")).groupBy("cut").agg(F.count_if("alert").alias("n"))
+    both = n.unionByName(other.agg(F.lit(None).cast("double").alias("cut"), F.count_if("alert").alias("n")))
+    rows = both.agg(F.max(F.when(F.col("cut").isNull(), F.col("n"))).alias("target"), F.collect_list(F.when(F.col("cut").isNotNull(), F.struct("cut", "n"))).alias("_cuts"))
+    best = F.array_min(F.transform("_cuts", lambda c: F.struct(F.abs(c["n"] - F.col("target")).alias("gap"), c["cut"].alias("cut"), c["n"].alias("n"))))
+    return rows.select(best["cut"].alias("cut"), best["n"].alias("n_alerts"), "target")

@@ -182,3 +182,10 @@ def effect_over_noise(segments: DataFrame, pairs: DataFrame, value: str, keys: t
         F.stddev_samp(before).alias("between_sd"), F.percentile(d, F.lit(0.5)).alias("effect_median"), F.avg(F.when(d.isNotNull(), (d > 0).cast("int"))).alias("up_after"), F.percentile(F.abs(d), F.lit(0.5)).alias("_size")
     )
     return change.join(F.broadcast(within), F.lit(True)).select("within_sd", "between_sd", "effect_median", "up_after", (F.col("_size") / F.nullif(F.col("within_sd"), F.lit(0.0))).alias("effect_over_noise"))
+
+
+def median_by_state(df: DataFrame, value: str, state: str, states: list[str], subject: str = "subject_id") -> DataFrame:
+    """-> (subject, one column a state): medians of the subjects that have a value in every one of the states."""
+    known = df.where(F.col(state).isin(states) & F.col(value).isNotNull())
+    wide = known.groupBy(subject).pivot(state, states).agg(F.percentile(value, F.lit(0.5)))
+    return wide.dropna(subset=states)

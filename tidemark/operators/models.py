@@ -83,3 +83,22 @@ def importance(model, features: list[str], top: int = 25) -> list[tuple[str, flo
     return sorted(zip(features, model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])[:top]
 
 
+def risk_out_of_fold(days: DataFrame, features: list[str], folds: int = 5, label: str = "label", subject: str = "subject_id", day: str = "day", seed: int = 0) -> DataFrame:
+    """Days labelled 1, 0 or NULL -> (subject, day, label, fold, p): the probability of 1 by a class-weighted logistic model of the other subjects.
+
+    Models learn from labelled days and predict unlabelled ones too; a day that is not valid or lacks a feature has no p.
+    """
+    whole = F.coalesce(F.col("valid"), F.lit(False)) & reduce(lambda a, b: a & b, [F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")) for f in features])
+    df = with_folds(days, folds=folds, subject=subject, seed=seed).withColumn("_whole", whole)
+    vector = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
+    parts = [df.where(~F.col("_whole")).select(subject, day, label, "fold", F.lit(None).cast("double").alias("p"))]
+    for f in range(folds):
+        known = df.where(F.col("_whole") & F.col(label).isNotNull() & (F.col("fold") != f))
+        if known.select(label).distinct().count() < 2:
+            raise ValueError(f"the days outside fold {f} have labels of one kind")
+        train = weighted(known, label)
+        # the penalty is that of a unit inverse strength: half the squared weights beside the sum of the losses
+        model = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_w", probabilityCol="_prob", standardization=False, regParam=1.0 / train.count(), maxIter=200)
+        got = model.fit(vector.transform(train)).transform(vector.transform(df.where(F.col("_whole") & (F.col("fold") == f))))
+        parts.append(got.select(subject, day, label, "fold", vector_to_array("_prob")[1].alias("p")))
+    return reduce(DataFrame.unionByName, parts)

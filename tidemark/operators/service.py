@@ -119,3 +119,15 @@ def shown_run(days: DataFrame, keys: tuple[str, ...] = ("subject_id",), day: str
     judged = F.coalesce(F.col("valid"), F.lit(False)) & ~F.coalesce(F.col("held"), F.lit(False))
     return days.groupBy(*keys).agg(F.coalesce(F.max_by("run_len", F.when(judged, F.col(day))), F.lit(0)).cast("bigint").alias("run"))
 
+
+
+def judge_complexion(change: Column, made_up: Column, base: Column, spread: Column, ready: Column, k: float = 2.5) -> Column:
+    """Redness as a second sign: excluded under make-up, building without a baseline, else diff or same."""
+    unknown = change.isNull() | ~F.coalesce(ready, F.lit(False))
+    return F.when(F.coalesce(made_up, F.lit(False)), "excluded").when(unknown, "building").when(F.abs(change - base) >= k * spread, "diff").otherwise("same")
+
+
+def unexplained_share(total: Column, shares: Column, streaking: Column, least: int = 60) -> tuple[Column, Column]:
+    """(percent of the total that the shares leave, whether it alerts): a streak whose rest is at least `least` percent."""
+    rest = F.greatest(F.lit(0), F.round((total - arrays.total(shares)) / F.nullif(total, F.lit(0.0)) * 100).cast("int"))
+    return rest, streaking & (rest >= least)

@@ -105,3 +105,28 @@ def fused_hr(spark, read):
     arrays = camera_samples(read).groupBy("vec_id", "label").agg(F.array_sort(F.collect_list(F.struct(*signals.SAMPLE))).alias("s"))
     arrays = arrays.select("vec_id", "label", *[F.col(f"s.{c}").alias(c) for c in signals.SAMPLE])
     return rounded(signals.scan_figures(arrays, ["vec_id", "label"]), "bpm", "snr", "motion_amp", "motion_frac", "light_ratio", "light_amp", digits=3)
+
+
+@query()
+def pulse_rhythm(spark, read):
+    """Intervals of every pulse around its planted rate, with a hole of two seconds."""
+    known = F.transform("pulse", lambda p, k: ((k < 320) | (k >= 352)).cast("double"))
+    d = pulses(read).select("vec_id", "label", "pulse", (F.col("label") * 3 + 60).alias("rate"), known.alias("known"))
+    out = signals.pulse_rhythm(d, ["vec_id", "label"], "pulse", "rate", 16.0, "known")
+    return rounded(out, "mean_rr", "rmssd", "sdnn", "pnn50", "stress_index", digits=3)
+
+
+@query()
+def ecg_features(spark, read):
+    """Chest signals with a narrow wave at each beat of the planted rate."""
+    i = F.sequence(F.lit(0), F.lit(40 * 100 - 1))
+    rate = (F.col("label") * 3 + 60) / 60.0
+    wave = lambda k: F.exp(-F.pow((F.pmod(k / 100.0 * rate, F.lit(1.0)) - 0.5) / rate / 0.02, F.lit(2.0))) + 0.05 * F.coalesce(F.get("embedding", k % 64), F.lit(0.0))
+    d = read("embeddings").select("vec_id", "label", F.transform(i, wave).alias("ecg"))
+    return rounded(signals.ecg_features(d, ["vec_id", "label"], "ecg", 100.0), "hr", "rmssd", "sdnn", "LF_power", "HF_power", "total_power", digits=4)
+
+
+@query()
+def short_scans(spark, read):
+    """What each scan would have shown had it been allowed to stop early."""
+    return rounded(signals.short_scans(scans(read), ["vec_id", "label"], "t", "rgb"), "hr", "snr", digits=3)

@@ -6,8 +6,9 @@ than the watermark are dropped; the reference's live loops define no policy for
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +98,46 @@ def early_stop(estimates: DataFrame, n: int = 3, within: float = 2.0, snr: float
     return estimates.groupBy(scan).applyInPandasWithState(step, f"{scan} {kind}, t double, bpm double", "ring array<double>, done boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def preview(samples: DataFrame, estimate: Callable[[np.ndarray, np.ndarray], tuple[float, float]], window: float = 10.0, least: float = 10.0, gap: float = 0.25, longest: float = 1.0, covered: float = 0.8, fresh: float = 1.5, forget: float = 60.0, late: str = "0 seconds", scan: str = "scan", kind: str = "bigint") -> DataFrame:
+    """Camera samples (scan, ts, rgb) -> (scan, t, bpm, snr) after each batch, t in epoch seconds of the newest sample, from its last `window` seconds.
+
+    No rate is shown (NULL) before `least` valid seconds, for a window with a hole above `longest` or less covered than
+    `covered`, and once the watermark is `fresh` seconds past the newest sample. Steps above `gap` are holes. A sample not after
+    the newest one seen is dropped. State: the window's samples and the valid seconds, until `forget` seconds after the rate went blank.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, colours, valid, blank = state.get if state.exists else ([], [], 0.0, False)
+        if state.hasTimedOut:
+            if blank:
+                state.remove()
+                return
+            state.update((times, colours, valid, True))
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + int(forget * 1000))
+            yield pd.DataFrame([(key[0], times[-1], None, None)], columns=[scan, "t", "bpm", "snr"])
+            return
+        new = pd.concat(list(frames)).sort_values("ts")
+        t = np.array([v.timestamp() for v in new["ts"]])
+        newer = t > (times[-1] if len(times) else -np.inf)
+        t, first = np.unique(t[newer], return_index=True)
+        c = np.array([list(v) for v in new["rgb"]], float).reshape(len(new), -1)[newer][first]
+        steps = np.diff(np.concatenate([list(times)[-1:], t]))
+        valid += float(steps[steps <= gap].sum())
+        t = np.concatenate([np.array(times, float), t])
+        c = np.concatenate([np.array([list(v) for v in colours], float).reshape(-1, c.shape[1]), c])
+        c, t = c[t >= t[-1] - window], t[t >= t[-1] - window]
+        bpm = snr = None
+        d = np.diff(t)
+        if valid >= least - 0.1 and len(t) > 1 and d.max() <= longest and d[d <= gap].sum() >= covered * (t[-1] - t[0]):
+            bpm, snr = estimate(t - t[0], c)
+        state.update((t.tolist(), c.tolist(), valid, False))
+        state.setTimeoutTimestamp(max(int((t[-1] + fresh) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], float(t[-1]), bpm, snr)], columns=[scan, "t", "bpm", "snr"])
+
+    watched = samples.withWatermark("ts", late)
+    return watched.groupBy(scan).applyInPandasWithState(step, f"{scan} {kind}, t double, bpm double, snr double", "t array<double>, rgb array<array<double>>, valid double, blank boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def steady(stream: DataFrame, hold: float = 1.0, release: float = 0.3, scan: str = "scan", kind: str = "bigint") -> DataFrame:
     """Alignment flags (scan, t, ok) -> (scan, t, aligned) at each change: on after `hold` seconds of ok, off after `release` without."""
 
