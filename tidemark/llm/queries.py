@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, fingerprints, jaccard_join, licenses, pii, quality, sentencepiece_codec, substring_dedup, toxicity, url_filters
+from tidemark.llm import decontamination, fill_in_middle, fingerprints, jaccard_join, licenses, packing, pii, quality, sentencepiece_codec, substring_dedup, toxicity, url_filters
 from tidemark.llm.common import table
 
 #: The contract's rules decide first (tier 0); then a list of ad and spam hosts (tier 1).
@@ -74,11 +74,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", F.col("units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_document_fingerprints, op3_benchmark_decontamination, op4_pii, op5_license_scans,
         op6_quality_classifier, op7_toxicity, op8_sentencepiece, op9_ngram_jaccard_join, op10_substring_dedup,
+        op12_packing, op13_fill_in_middle,
     )
 }
 
@@ -117,4 +127,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(st) AS BIGINT) AS n_b
   array_to_string(list_sort(list_distinct(bl || coalesce(more, []))), ',') AS labels, CAST(CASE WHEN len(bl) > 0 THEN 1.0 ELSE coalesce(score, 0) END AS DOUBLE) AS score, coalesce(n, 0) AS template_hits FROM s LEFT JOIN be USING (k)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": _url_sql(), "op5_license_scans": _license_sql()}
+def _fill_in_middle_sql() -> str:
+    h = [f"CAST('0x' || substr(sha, {8 * k + 1}, 8) AS BIGINT)" for k in range(4)]
+    units = lambda k: f"array_to_string(p[1:{k}], chr(10)) || CASE WHEN {k} > 0 AND {k} < len(p) THEN chr(10) ELSE '' END"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS sha FROM documents),
+s AS (SELECT *, string_split(text, chr(10)) AS p, {', '.join(f'{x} AS h{k}' for k, x in enumerate(h, 1))} FROM d),
+n AS (SELECT *, CAST(len(p) - CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS n FROM s),
+k AS (SELECT *, CAST(least(h1 % (n + 1), h2 % (n + 1)) AS INT) AS ka, CAST(greatest(h1 % (n + 1), h2 % (n + 1)) AS INT) AS kb,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM n),
+c AS (SELECT *, {units('ka')} AS head, {units('kb')} AS upto FROM k),
+o AS (SELECT *, substr(upto, length(head) + 1) AS mid, substr(text, length(upto) + 1) AS tail FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(head) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || mid ELSE '<S>' || tail || '<P>' || head || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM o"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": _url_sql(), "op5_license_scans": _license_sql(), "op13_fill_in_middle": _fill_in_middle_sql()}

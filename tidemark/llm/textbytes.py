@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 1 << 19  # bytes of text handled at once; a longer text is handled alone
 
@@ -105,6 +106,18 @@ def chunks(column: pa.Array | pa.ChunkedArray, most: int = CHUNK) -> Iterator[tu
         row = stop
 
 
+def parts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `most` bytes of the text column each; a longer text stands alone."""
+    row, held = 0, 0
+    for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if held and held + n > most:
+            yield batch.slice(row, k - row)
+            row, held = k, 0
+        held += n
+    if row < batch.num_rows:
+        yield batch.slice(row)
+
+
 def shingles(text: Text, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of each row's runs of n words, end to end, and their offsets (rows + 1).
 
