@@ -7,10 +7,10 @@ through them is its key. Rows are range-sorted by the key and each range is laid
 sequences whose lengths are powers of two, which need no padding: no id is padding anywhere. A range adds at most
 log2(length) such short sequences, and only ranges are counted, not documents.
 
-Tokenising: the vocabulary drops white space and no token crosses it, so texts are cut at blanks and newlines and a worker
-remembers the ids of what lies between. What it has not met is cut further into ASCII marks around a run of letters,
-no apostrophe among them (these are tokens of their own by the vocabulary's pattern, contractions apart); distinct runs of
-letters are tokenised in long lines, and every id that ends a word closes a run. Anything else is tokenised alone.
+Tokenising: the vocabulary drops white space and case and no token crosses white space, a run of letters or a run of marks
+(contractions apart), so texts are cut at blanks and newlines, and a worker remembers the ids of what lies between. What it has
+not met is cut further into ASCII marks around a run of letters; runs of letters are tokenised in long lines, and every id
+that ends a word closes a run. Anything else is tokenised alone. A text that names a special token is tokenised whole, as the vocabulary's library would.
 
 Handling of edge cases: a null or blank text is the end id alone; repeated rows are packed each; rows with a null id come
 with a null id; rows that agree in key and id are ordered by their ids' hash, and equal rows are interchangeable, so a lost
@@ -21,19 +21,22 @@ dropped, whatever their names. A worker holds one batch, one unfinished sequence
 
 from __future__ import annotations
 
+import os
 import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
+from tokenizers.normalizers import Lowercase
+from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit, Sequence
 
 from tidemark.llm.common import stash
 from tidemark.llm.textbytes import mix, parts
@@ -43,74 +46,110 @@ END = 2  # id that closes a document
 LENGTH = 4096
 BUCKETS, DIMENSIONS, BITS = 256, 4, 15
 REACH = 4.0  # projections of a unit vector lie within about four standard deviations
-KEPT = 64 << 20  # bytes of words and ids that a worker remembers, about
-SLICE = 2 << 20  # bytes of text tokenised together
+KEPT = 128 << 20  # bytes of words and ids that a worker remembers, about
+SLICE = 4 << 20  # bytes of text tokenised together
 LINE = 500  # runs of letters in a line
-MARKS = string.punctuation.replace("'", "")
+MARKS = string.punctuation.replace("'", "").encode()
 IDS = np.dtype("<u4")
 
 
 class Words:
-    """Ids of a text, remembered by the pieces between blanks."""
+    """Ids of a text, remembered by the pieces between blanks and marks."""
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends_word[[k for w, k in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.whole = Tokenizer.from_file(path)
+        self.plain = Tokenizer.from_file(path)  # for lines of lower-case ASCII words: nothing to normalise, nothing to cut but blanks
+        self.plain.normalizer = Lowercase()
+        self.plain.pre_tokenizer = Sequence([CharDelimiterSplit(" "), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends_word = np.zeros(self.whole.get_vocab_size(), bool)
+        self.ends_word[[k for w, k in self.whole.get_vocab().items() if w.endswith("</w>")]] = True
+        self.special = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}  # runs of letters (ASCII ones in lower case) and of marks
+        self.known: dict[bytes, bytes] = {b"": b""}
         self.kept = 0
 
-    def _alone(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, IDS).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _alone(self, pieces: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, IDS).tobytes() for e in self.whole.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)]
 
-    def _lines(self, letters: list[str]) -> list[bytes]:
+    def _lines(self, letters: list[bytes], tokenizer: Tokenizer) -> list[bytes]:
         """Ids of runs of letters, tokenised in lines; a line in which some run is not one word is tokenised run by run."""
         lines = [letters[k : k + LINE] for k in range(0, len(letters), LINE)]
         out: list[bytes] = []
-        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+        for line, e in zip(lines, tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, IDS)
             closes = np.flatnonzero(self.ends_word[ids]) + 1
             if len(closes) == len(line) and closes[-1] == len(ids):
                 raw, at = ids.tobytes(), (closes * IDS.itemsize).tolist()
-                out.extend(raw[a:b] for a, b in zip([0, *at[:-1]], at, strict=True))
+                out.extend([raw[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)])
             else:
                 out.extend(self._alone(line))
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        split: list[tuple[str, str, str, str]] = []
-        alone: list[str] = []
+    def learn(self, pieces: list[bytes]) -> None:
+        known = self.known
+        words = {p for p in pieces if p.isalpha()}  # of bytes: ASCII letters
+        beyond: set[bytes] = set()  # other runs of letters
+        marks: set[bytes] = set()
+        split: list[tuple[bytes, bytes, bytes, bytes]] = []  # letters between ASCII marks
+        alone: list[bytes] = []
         for p in pieces:
+            if p in words:
+                continue
             core = p.strip(MARKS)
             if core.isalpha():
-                head, _, tail = p.partition(core)
-                split.append((p, head, core.lower() if core.isascii() else core, tail))
+                words.add(core)
+            elif core and not core.isascii() and core.decode("utf-8", "replace").isalpha():
+                beyond.add(core)
             else:
                 alone.append(p)
-        parts = self.parts
-        letters = list({s[2] for s in split}.difference(parts))
-        marks = list({m for s in split for m in (s[1], s[3])}.difference(parts))
-        parts.update(zip(letters, self._lines(letters), strict=True))
-        parts.update(zip(marks, self._alone(marks), strict=True))
-        self.known.update((p, parts[head] + parts[core] + parts[tail]) for p, head, core, tail in split)
-        self.known.update(zip(alone, self._alone(alone), strict=True))
-        self.kept += sum(250 + 6 * len(w) for w in pieces) + sum(250 + 6 * len(w) for w in letters)
-
-    def ids_of(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        fresh = set(chain.from_iterable(split)).difference(self.known)
+                continue
+            if core != p:
+                head, _, tail = p.partition(core)
+                split.append((p, head, core, tail))
+                marks.add(head)
+                marks.add(tail)
+        for fresh, tokenizer in ((words, self.plain), (beyond, self.whole)):
+            fresh = list(fresh.difference(known))
+            known.update(zip(fresh, self._lines(fresh, tokenizer), strict=True))
+            self.kept += sum(map(len, fresh)) * 4 + len(fresh) * 180
+        alone.extend(marks.difference(known, alone))
+        known.update(zip(alone, self._alone(alone), strict=True))
+        known.update([(p, known[head] + known[core] + known[tail]) for p, head, core, tail in split])
+        self.kept += (len(alone) + len(split)) * 220 + sum(map(len, alone)) * 4
+
+    def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a string column's rows, end to end, and their offsets (rows + 1). The distinct pieces of the column meet the memory once."""
+        low = pc.ascii_lower(texts)
+        odd = np.zeros(len(texts), bool)
+        for s in self.special:
+            odd |= pc.match_substring(low, s).to_numpy(zero_copy_only=False)
+        if odd.any():
+            low = pc.if_else(pa.array(odd), pa.scalar("", low.type), low)
+        lists = pc.split_pattern(pc.replace_substring(low, "\n", " "), " ")
+        coded = pc.dictionary_encode(lists.flatten())
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
         if self.kept > KEPT:
             self._forget()
-            fresh = set(chain.from_iterable(split)).difference(self.known)
-        if fresh:
-            self.learn(fresh)
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        found = list(map(self.known.get, distinct))
+        if None in found:
+            self.learn([p for p, x in zip(distinct, found, strict=True) if x is None])
+            found = list(map(self.known.__getitem__, distinct))
+        size = np.array(list(map(len, found)), np.int64) // IDS.itemsize
+        begin = np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        each = size[which]
+        total = np.concatenate([[0], np.cumsum(each)])
+        ids = np.frombuffer(b"".join(found), IDS)[np.repeat(begin[which] - total[:-1], each) + np.arange(total[-1])]
+        first = total[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        if odd.any():
+            rows = [ids[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+            for k in np.flatnonzero(odd):
+                rows[k] = np.frombuffer(self._alone([texts[int(k)].as_py().encode()])[0], IDS)
+            ids, first = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+        return ids, first
 
 
 @lru_cache(maxsize=2)
@@ -173,15 +212,12 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = words(SparkFiles.get(file))
         narrow = np.dtype("<u2") if len(w.ends_word) <= 1 << 16 and end < 1 << 16 else IDS
-        close = np.array([end], IDS).tobytes()
         for batch in batches:
             for own in parts(batch, 1, SLICE):
-                each = [x + close for x in w.ids_of(own.column(1).to_pylist())]
-                first = np.concatenate([[0], np.cumsum([len(x) for x in each])]) // IDS.itemsize
-                ids = np.frombuffer(b"".join(each), IDS)
-                packed = ids.astype(narrow)
-                raw = pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer((first * narrow.itemsize).astype(np.int32)), pa.py_buffer(packed)])
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(keys_of(ids, first)), pa.array(np.full(len(each), narrow.itemsize, np.int32)), raw], names=["_id", "_key", "_width", "_ids"])
+                ids, first = w.ids_of(pc.fill_null(own.column(1), ""))
+                ids, first = np.insert(ids, first[1:], end), first + np.arange(len(first))
+                raw = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((first * narrow.itemsize).astype(np.int32)), pa.py_buffer(ids.astype(narrow))])
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(keys_of(ids, first)), pa.array(np.full(len(own), narrow.itemsize, np.int32)), raw], names=["_id", "_key", "_width", "_ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, _key bigint, _width int, _ids binary")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, fill_in_middle, fingerprints, jaccard_join, licenses, packing, pii, quality, sentencepiece_codec, substring_dedup, toxicity, url_filters
+from tidemark.llm import alignment, decontamination, fill_in_middle, fingerprints, jaccard_join, licenses, packing, pii, quality, sentencepiece_codec, substring_dedup, toxicity, url_filters
 from tidemark.llm.common import table
 
 #: The contract's rules decide first (tier 0); then a list of ad and spam hosts (tier 1).
@@ -74,6 +74,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -88,7 +92,7 @@ QUERIES = {
     for f in (
         op1_url_filters, op2_document_fingerprints, op3_benchmark_decontamination, op4_pii, op5_license_scans,
         op6_quality_classifier, op7_toxicity, op8_sentencepiece, op9_ngram_jaccard_join, op10_substring_dedup,
-        op12_packing, op13_fill_in_middle,
+        op11_tokenizer_alignment, op12_packing, op13_fill_in_middle,
     )
 }
 
