@@ -1,20 +1,21 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers of one text end at the same bytes.
 
-A Python step only tokenises: it gives each text's token ids and byte ends for a byte-level BPE (A, over a blank and the
-text) and a sentence-piece model (B, over the text, which puts a blank before it itself). The rest is Spark's own higher-order
-functions: `array_intersect` of the end arrays lists the ends that both share; they cut the tokens into groups, and the two
-tokens that end at one of them are linked. Links are counted over the whole corpus per pair of ids; a link is a best one if no
-other A id is linked to its B id more often.
-
-Both tokenizers never join across a blank or newline that follows a visible character: a worker remembers the tokens of what
-lies between. A run of white space belongs to what follows it; where it ends a text it is tokenised with what precedes.
+A Python step only tokenises, by a byte-level BPE (A, over a blank and the text) and a sentence-piece model (B, over the
+text, which puts a blank before it itself). Neither ever joins across a blank or newline that follows a visible character,
+so texts are cut there and every cut is an end that both share. The step gives, for each slice of texts, the distinct words
+of the slice with the ids and byte ends of their tokens, and each text as the numbers of its words. The rest is Spark's own
+higher-order functions: `array_intersect` of a word's end arrays lists the ends that both share; they cut its tokens into
+groups, and the two tokens that end at one of them are linked; a text's groups and links are its words' in order. Links are
+counted over the whole corpus per pair of ids; a link is a best one if no other A id is linked to its B id more often.
 
 Handling of edge cases: null and empty texts, and those that A or B does not give back byte for byte (as where U+2581 stands
-in a text), have no tokens: zeros and an empty groups text; strings of special tokens are plain text; a very long text
-is tokenised and aligned alone and whole; rows that share an id are rows of their own; ids may be null; an empty table gives an
-empty result; further columns are dropped, whatever their names. A worker remembers at most KEPT bytes of words. Links are
-counted with partial sums before the shuffle; the counts travel to every task only if a count proves them few, else both
-sides are shuffled by the pair, the counts copied to as many parts as a common pair is dealt to.
+in a text), have no tokens: zeros and an empty groups text; strings of special tokens are plain text; a run of white space is
+read with the word after it, at a text's end with the one before; a very long text is tokenised and aligned alone and
+whole, a very long word in time linear in its length; rows that share an id are rows of their own; ids may be null; an empty
+table gives an empty result; further columns are dropped, whatever their names. A worker holds one slice and remembers
+at most KEPT bytes of words, about. Links are counted with partial sums before the shuffle; the counts travel to every task
+only if a count proves them few, else both sides are shuffled by the pair, the counts copied to as many parts as a common
+pair is dealt to.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
@@ -38,9 +39,13 @@ from tidemark.llm.textbytes import parts
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-KEPT = 64 << 20  # bytes of words and tokens that a worker remembers, about
-SLICE = 1 << 20  # bytes of text tokenised together
+KEPT = 128 << 20  # bytes of words and tokens that a worker remembers, about
+SLICE = 4 << 20  # bytes of text tokenised together
 DEAL = 32  # parts that the links of one pair are dealt to where the counts are too many to send
+LINE = 500  # words in a line
+HIGH = 1 << 32
+WORD = ["a_ids", "a_ends", "b_ids", "b_ends"]
+TEXT = ["id", "n_a", "n_b", "order"]
 PAIR = np.dtype([("id", "<i4"), ("n", "<i4")])  # a token: its id and how many bytes it covers
 
 
@@ -65,6 +70,9 @@ class Tokens:
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.b_bytes = [self._piece(k) for k in range(self.b.get_piece_size())]
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int32) for t in (self.a_bytes, self.b_bytes))
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.bad: dict[str, tuple[bytes, bytes]] = {}  # words that come back otherwise, with what came back
         self.kept = 0
@@ -75,59 +83,107 @@ class Tokens:
             return bytes([int(p[3:5], 16)])
         return b"" if self.b.is_control(k) or self.b.is_unknown(k) else p.replace("▁", " ").encode()
 
-    @staticmethod
-    def _pairs(ids: list[list[int]], lengths: np.ndarray) -> list[bytes]:
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
-        out = np.empty(len(flat), PAIR)
-        out["id"], out["n"] = flat, lengths[flat]
-        raw, at = out.tobytes(), np.cumsum([0, *map(len, ids)]) * PAIR.itemsize
-        return [raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-
-    def learn(self, keys: list[str]) -> None:
-        """Keys begin with a blank, which B adds itself, or with a newline, before which B's blank is a token to be left out."""
-        a = [e.ids for e in self.a.encode_batch_fast(keys, add_special_tokens=False)]
-        b = self.b.encode([k[1:] if k[0] == " " else k for k in keys], num_threads=1)
-        b = [x if k[0] == " " else x[1:] for k, x in zip(keys, b, strict=True)]
-        for k, x, y in zip(keys, a, b, strict=True):
-            raw, a_text, b_text = k.encode(), b"".join([self.a_bytes[i] for i in x]), b"".join([self.b_bytes[i] for i in y])
-            if a_text != raw or b_text != raw:
-                self.bad[k] = a_text, b_text
-        self.known.update(zip(keys, zip(self._pairs(a, self.a_len), self._pairs(b, self.b_len), strict=True), strict=True))
-        self.kept += sum(400 + 8 * len(k) for k in keys)
-
-    def of(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """(A's, B's) tokens of each text as PAIRs; empty where there are none."""
-        split = [words_of(" " + t) if t else [] for t in texts]
+    def encoded(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of both. Words begin with a blank, which B adds itself, or with a newline, before which B's blank is a token to be left out."""
+        a = [e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)]
+        b = self.b.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
+        return a, [x if w[0] == " " else x[1:] for w, x in zip(words, b, strict=True)]
+
+    def learn(self, words: list[str]) -> None:
+        """Words are tokenised in lines, which both cut at the words; a line that comes back otherwise, or has no token end there, word by word."""
+        firm = [w for w in words if not w[-1].isspace()]
+        lines = [firm[k : k + LINE] for k in range(0, len(firm), LINE)]
+        alone = [w for w in words if w[-1].isspace()]
+        for line, ids, other in zip(lines, *self.encoded(["".join(x) for x in lines]), strict=True):
+            ends = np.cumsum([len(w.encode()) for w in line])
+            a, b = (_cut(np.array(x, np.int32), n, ends) for x, n in ((ids, self.a_len), (other, self.b_len)))
+            raw = "".join(line).encode()
+            if a is None or b is None or b"".join([self.a_bytes[k] for k in ids]) != raw or b"".join([self.b_bytes[k] for k in other]) != raw:
+                alone.extend(line)
+            else:
+                self.known.update(zip(line, zip(a, b, strict=True), strict=True))
+        for w, ids, other in zip(alone, *self.encoded(alone), strict=True) if alone else ():
+            raw, a, b = w.encode(), b"".join([self.a_bytes[k] for k in ids]), b"".join([self.b_bytes[k] for k in other])
+            if (a, b) != (raw, raw):
+                self.bad[w] = a, b
+            self.known[w] = tuple(_cut(np.array(x, np.int32), n, None)[0] for x, n in ((ids, self.a_len), (other, self.b_len)))
+        self.kept += sum(300 + 10 * len(w) for w in words)
+
+    def of(self, texts: pa.Array) -> tuple[list[tuple[bytes, bytes]], np.ndarray, np.ndarray]:
+        """A string column's distinct words as (A's, B's) tokens, its rows' words as their numbers end to end, and the rows' offsets."""
+        cut = lambda sign, t: pc.replace_substring(t, sign, "\0" + sign)
+        odd = pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(cut(" ", cut("\n", pc.binary_join_element_wise("", pc.if_else(pa.array(odd), "", texts), " "))), "\0")
+        coded = pc.dictionary_encode(lists.flatten())
+        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        keep = np.ones(len(which), bool)
+        keep[first[:-1]] = False  # what stands before the first blank: nothing
+        which, first = which[keep], first - np.arange(len(first))
+        odd |= _rows_with(which, first, np.array([w[-1:].isspace() for w in words], bool))
+        if odd.any():
+            number = {w: k for k, w in enumerate(words)}
+            rows = [which[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+            for k in np.flatnonzero(odd):
+                rows[k] = np.array([number.setdefault(w, len(number)) for w in words_of(" " + texts[int(k)].as_py())], which.dtype)
+            words, which, first = list(number), np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+        empty = np.flatnonzero(pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        which, first = _without(which, first, empty)
+        used = np.zeros(len(words), bool)
+        used[which] = True
+        words, which = [w for w, u in zip(words, used, strict=True) if u], (np.cumsum(used) - 1)[which]
         if self.kept > KEPT:
-            self.known, self.bad, self.kept = {}, {}, 0
-        fresh = set(chain.from_iterable(split)).difference(self.known)
-        if fresh:
-            self.learn(list(fresh))
-        out, get, bad = [], self.known.__getitem__, self.bad
-        for t, words in zip(texts, split, strict=True):
-            own = list(map(get, words))
-            if bad and not bad.keys().isdisjoint(words) and any((" " + t).encode() != b"".join([bad[w][side] if w in bad else w.encode() for w in words]) for side in (0, 1)):
-                own = []
-            out.append((b"".join([x for x, _ in own]), b"".join([y for _, y in own])))
-        return out
+            self.forget()
+        found = list(map(self.known.get, words))
+        if None in found:
+            self.learn([w for w, x in zip(words, found, strict=True) if x is None])
+            found = list(map(self.known.__getitem__, words))
+        if self.bad:
+            wrong = np.array([w in self.bad for w in words], bool)
+            spoilt = [k for k in np.flatnonzero(_rows_with(which, first, wrong)) if not self._whole([words[w] for w in which[first[k] : first[k + 1]]])]
+            which, first = _without(which, first, np.array(spoilt, np.int64))
+        return found, which, first
+
+    def _whole(self, words: list[str]) -> bool:
+        """Whether both give the words back, end to end."""
+        return all("".join(words).encode() == b"".join([self.bad[w][side] if w in self.bad else w.encode() for w in words]) for side in (0, 1))
+
+
+def _cut(ids: np.ndarray, lengths: np.ndarray, ends: np.ndarray | None) -> list[bytes] | None:
+    """Tokens as PAIRs, cut at byte offsets `ends` (None: not at all); None if no token ends at one of them."""
+    out = np.empty(len(ids), PAIR)
+    out["id"], out["n"] = ids, lengths[ids]
+    if ends is None:
+        return [out.tobytes()]
+    stops = np.cumsum(out["n"])
+    at = np.searchsorted(stops, ends)
+    if at[-1] != len(ids) - 1 or (stops[at] != ends).any():
+        return None
+    raw, at = out.tobytes(), ((at + 1) * PAIR.itemsize).tolist()
+    return [raw[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)]
+
+
+def _rows_with(which: np.ndarray, first: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """Whether a row holds a marked word."""
+    return np.diff(np.concatenate([[0], np.cumsum(marked[which])])[first]) > 0 if len(marked) else np.zeros(len(first) - 1, bool)
+
+
+def _without(which: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same with some rows emptied."""
+    if not len(rows):
+        return which, first
+    n = np.diff(first)
+    keep = np.ones(len(n), bool)
+    keep[rows] = False
+    return which[np.repeat(keep, n)], np.cumsum([0, *np.where(keep, n, 0)])
 
 
 def words_of(text: str) -> list[str]:
     """`text`, which begins with a blank, cut before every blank and newline that follows a visible character."""
-    if "\0" in text:
-        return [text]
-    cut = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")[1:]
-    if not any(w[-1].isspace() for w in set(cut)):
-        return cut
-    out, held = [], []
-    for w in cut:
-        held.append(w)
-        if not w[-1].isspace():
-            out.append("".join(held))
-            held = []
-    if held:
-        out[-1:] = ["".join([*out[-1:], *held])]  # white space at the end is read with the word before it
-    return out
+    at = [k for k, c in enumerate(text) if k and c in " \n" and not text[k - 1].isspace()]
+    if at and text[at[-1] :].isspace():
+        at.pop()  # white space at the end is read with the word before it
+    return [text[a:b] for a, b in zip([0, *at], [*at, len(text)], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -135,18 +191,22 @@ def tokens(byte_bpe: str, pieces: str) -> Tokens:
     return Tokens(byte_bpe, pieces)
 
 
-def _lists(raw: list[bytes]) -> tuple[pa.Array, pa.Array]:
-    """Ids and byte ends of each text's tokens."""
+def _lists(raw: list[bytes]) -> list[pa.Array]:
+    """Ids and byte ends of each word's tokens."""
     flat = np.frombuffer(b"".join(raw), PAIR)
     first = np.cumsum([0, *[len(x) // PAIR.itemsize for x in raw]])
     total = np.concatenate([[0], np.cumsum(flat["n"], dtype=np.int64)])
     ends = total[1:] - np.repeat(total[first[:-1]], np.diff(first))
     offsets = pa.array(first.astype(np.int32))
-    return tuple(pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x).astype(np.int32))) for x in (flat["id"], ends))
+    return [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x).astype(np.int32))) for x in (flat["id"], ends)]
+
+
+def _one(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_bpe: str = BYTE_BPE, pieces: str = PIECES) -> DataFrame:
-    """-> (_id, a_ids, a_ends, b_ids, b_ends): the tokens and the byte offsets where they end, ascending. Row by row."""
+    """Slices (words, texts): an array of (a_ids, a_ends, b_ids, b_ends) and one of (id, n_a, n_b, order), order numbering the words from 0."""
     for f in (byte_bpe, pieces):
         docs.sparkSession.sparkContext.addFile(f)
     names = [f.rsplit("/", 1)[-1] for f in (byte_bpe, pieces)]
@@ -155,12 +215,20 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
         t = tokens(*map(SparkFiles.get, names))
         for batch in batches:
             for own in parts(batch, 1, SLICE):
-                both = t.of(own.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([own.column(0), *_lists([x for x, _ in both]), *_lists([y for _, y in both])], names=["_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+                found, which, first = t.of(pc.fill_null(own.column(1), ""))
+                sides = [[x for x, _ in found], [y for _, y in found]]
+                words = pa.StructArray.from_arrays([x for side in sides for x in _lists(side)], WORD)
+                n = []
+                for side in sides:
+                    each = np.array([len(x) // PAIR.itemsize for x in side], np.int64)
+                    n.append(pa.array(np.diff(np.concatenate([[0], np.cumsum(each[which])])[first])))
+                order = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(which.astype(np.int32)))
+                texts = pa.StructArray.from_arrays([own.column(0), *n, order], TEXT)
+                yield pa.RecordBatch.from_arrays([_one(words), _one(texts)], names=["words", "texts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    lists = ", ".join(f"{c} array<int>" for c in ("a_ids", "a_ends", "b_ids", "b_ends"))
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, {lists}")
+    word = ", ".join(f"{c}: array<int>" for c in WORD)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"words array<struct<{word}>>, texts array<struct<id: {kind}, n_a: bigint, n_b: bigint, `order`: array<int>>>")
 
 
 def _let(value: Column, body) -> Column:
@@ -180,37 +248,42 @@ def _grouped(ids: Column, ends: Column, marks: Column) -> Column:
     return F.split(F.array_join(F.transform(ids, lambda x, i: F.concat(x.cast("string"), F.when(shared(i), F.lit(";")).otherwise(F.lit(",")))), ""), ";")
 
 
-def aligned(tokenised: DataFrame) -> DataFrame:
-    """-> the rows with n_groups, groups (array of `a1,a2|b1` texts) and links (array of (a, b), one for each shared end)."""
-    last = lambda g: F.substring_index(g, ",", -1).cast("int")
-    groups = lambda marks: F.zip_with(_grouped(F.col("a_ids"), F.col("a_ends"), marks), _grouped(F.col("b_ids"), F.col("b_ends"), marks), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    cut = lambda ends: F.slice(_let(_marked(ends), groups), F.lit(1), F.size(ends))
-    built = _let(_let(F.array_intersect("a_ends", "b_ends"), cut), lambda g: F.struct(
-        F.size(g).alias("n"), F.sha2(F.array_join(F.transform(g, lambda x: F.concat(x["a"], F.lit("|"), x["b"])), ";"), 256).alias("sha"),
-        F.transform(g, lambda x: F.struct(last(x["a"]).alias("a"), last(x["b"]).alias("b"))).alias("links"),
+def _word(w: Column) -> Column:
+    """(groups, links) of a word: its groups' text, and for each end that both share the two tokens' ids in one number."""
+    last = lambda g: F.substring_index(g, ",", -1).cast("bigint")
+    pairs = lambda marks: F.arrays_zip(_grouped(w["a_ids"], w["a_ends"], marks).alias("a"), _grouped(w["b_ids"], w["b_ends"], marks).alias("b"))
+    whole = lambda ends: F.slice(_let(_marked(ends), pairs), F.lit(1), F.size(ends))
+    return _let(_let(F.array_intersect(w["a_ends"], w["b_ends"]), whole), lambda g: F.struct(
+        F.array_join(F.transform(g, lambda x: F.concat(x["a"], F.lit("|"), x["b"])), ";").alias("groups"),
+        F.transform(g, lambda x: last(x["a"]) * F.lit(HIGH) + last(x["b"])).alias("links"),
     ))
-    return tokenised.withColumn("_x", F.explode(F.array(built)))
+
+
+def aligned(slices: DataFrame) -> DataFrame:
+    """-> (id, n_a, n_b, sha, links): each text's tokens, hashed groups and links (A's id times HIGH plus B's)."""
+    of = lambda t, words, part: F.transform(t["order"], lambda k: F.get(words, k)[part])
+    row = lambda t, words: F.struct(
+        t["id"].alias("id"), t["n_a"].alias("n_a"), t["n_b"].alias("n_b"), F.sha2(F.array_join(of(t, words, "groups"), ";"), 256).alias("sha"), F.flatten(of(t, words, "links")).alias("links")
+    )
+    made = _let(F.transform("words", _word), lambda words: F.transform(F.col("texts"), lambda t: row(t, words)))
+    return slices.select(F.inline(made))
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_bpe: str = BYTE_BPE, pieces: str = PIECES) -> DataFrame:
     """-> (id_col, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), one row for each row of `docs`."""
     made = aligned(tokenized(docs, id_col, text_col, byte_bpe, pieces))
-    size = lambda c: F.size(c).cast("long")
-    rows = stash(made.select(
-        F.monotonically_increasing_id().alias("_row"), "_id", size("a_ids").alias("n_a"), size("b_ids").alias("n_b"), F.col("_x.n").cast("long").alias("n_groups"), size("_x.links").alias("n_links"),
-        F.when(F.col("_x.n") > 0, F.col("_x.sha")).otherwise("").alias("groups_sha256"), F.col("_x.links").alias("links"),
-    ))
-    links = rows.select("_row", F.inline("links").alias("_a", "_b"))
-    counts = stash(links.groupBy("_a", "_b").agg(F.count("*").alias("_count")))
-    counts = counts.withColumn("_best", F.col("_count") == F.max("_count").over(Window.partitionBy("_b")))
-    keys = ["_a", "_b"]
+    n = F.size("links").cast("long")
+    rows = stash(made.select(F.monotonically_increasing_id().alias("_row"), "id", "n_a", "n_b", n.alias("n_groups"), n.alias("n_links"), F.when(n > 0, F.col("sha")).otherwise("").alias("groups_sha256"), "links"))
+    links = rows.select("_row", F.explode("links").alias("_pair"))
+    counts = stash(links.groupBy("_pair").agg(F.count("*").alias("_count")))
+    counts = counts.withColumn("_best", F.col("_count") == F.max("_count").over(Window.partitionBy(F.col("_pair") % HIGH)))
     if counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        met = links.join(F.broadcast(counts), keys)
+        met = links.join(F.broadcast(counts), "_pair")
     else:
-        per_row = links.groupBy("_row", *keys).agg(F.count("*").alias("_times")).withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(DEAL)))
-        met = per_row.join(counts.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(DEAL - 1).cast("bigint")))), [*keys, "_part"])
+        per_row = links.groupBy("_row", "_pair").agg(F.count("*").alias("_times")).withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(DEAL)))
+        met = per_row.join(counts.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(DEAL - 1).cast("bigint")))), ["_pair", "_part"])
     times = F.col("_times") if "_times" in met.columns else F.lit(1)
     sums = met.groupBy("_row").agg(F.sum(F.when(F.col("_best"), times).otherwise(0)).alias("_n_best"), F.sum(F.col("_count") * times).alias("_count_sum"))
     out = rows.drop("links").join(sums, "_row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return out.select(F.col("_id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", zero("_n_best").alias("n_best"), zero("_count_sum").alias("count_sum"), "groups_sha256")
+    return out.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", zero("_n_best").alias("n_best"), zero("_count_sum").alias("count_sum"), "groups_sha256")

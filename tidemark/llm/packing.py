@@ -46,8 +46,8 @@ END = 2  # id that closes a document
 LENGTH = 4096
 BUCKETS, DIMENSIONS, BITS = 256, 4, 15
 REACH = 4.0  # projections of a unit vector lie within about four standard deviations
-KEPT = 128 << 20  # bytes of words and ids that a worker remembers, about
-SLICE = 4 << 20  # bytes of text tokenised together
+KEPT = 96 << 20  # bytes of words and ids that a worker remembers, about
+SLICE = 3 << 20  # bytes of text tokenised together
 LINE = 500  # runs of letters in a line
 MARKS = string.punctuation.replace("'", "").encode()
 IDS = np.dtype("<u4")
@@ -218,6 +218,7 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
                 ids, first = np.insert(ids, first[1:], end), first + np.arange(len(first))
                 raw = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((first * narrow.itemsize).astype(np.int32)), pa.py_buffer(ids.astype(narrow))])
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(keys_of(ids, first)), pa.array(np.full(len(own), narrow.itemsize, np.int32)), raw], names=["_id", "_key", "_width", "_ids"])
+            pa.default_memory_pool().release_unused()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, _key bigint, _width int, _ids binary")
@@ -276,6 +277,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     names = ["_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.cache_clear()  # a worker that has tokenised before needs its memory now
+        pa.default_memory_pool().release_unused()
+
         def rows():
             for batch in batches:
                 for doc_id, width, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
