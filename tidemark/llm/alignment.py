@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +40,15 @@ from tidemark.llm.textbytes import parts
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-KEPT = 128 << 20  # bytes of words and tokens that a worker remembers, about
-SLICE = 4 << 20  # bytes of text tokenised together
+KEPT = 112 << 20  # bytes of words and tokens that a worker remembers, about
+SLICE = 6 << 20  # bytes of text tokenised together
 DEAL = 32  # parts that the links of one pair are dealt to where the counts are too many to send
 LINE = 500  # words in a line
 HIGH = 1 << 32
 WORD = ["a_ids", "a_ends", "b_ids", "b_ends"]
 TEXT = ["id", "n_a", "n_b", "order"]
-PAIR = np.dtype([("id", "<i4"), ("n", "<i4")])  # a token: its id and how many bytes it covers
+UNIT = np.dtype("<u4")  # a token: its id, and above BITS how many bytes it covers
+BITS = 20
 
 
 def _byte_level() -> dict[str, int]:
@@ -70,10 +72,12 @@ class Tokens:
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.b_bytes = [self._piece(k) for k in range(self.b.get_piece_size())]
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int32) for t in (self.a_bytes, self.b_bytes))
+        if max(len(self.a_len), len(self.b_len)) > 1 << BITS or max(self.a_len.max(), self.b_len.max()) >= 1 << 32 - BITS:
+            raise ValueError("a vocabulary beyond 2**20 tokens, or a token of 4096 bytes")
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}  # word -> how many tokens A has, A's, B's
         self.bad: dict[str, tuple[bytes, bytes]] = {}  # words that come back otherwise, with what came back
         self.kept = 0
 
@@ -101,16 +105,16 @@ class Tokens:
             if a is None or b is None or b"".join([self.a_bytes[k] for k in ids]) != raw or b"".join([self.b_bytes[k] for k in other]) != raw:
                 alone.extend(line)
             else:
-                self.known.update(zip(line, zip(a, b, strict=True), strict=True))
+                self.known.update(zip(line, map(_joined, a, b), strict=True))
         for w, ids, other in zip(alone, *self.encoded(alone), strict=True) if alone else ():
             raw, a, b = w.encode(), b"".join([self.a_bytes[k] for k in ids]), b"".join([self.b_bytes[k] for k in other])
             if (a, b) != (raw, raw):
                 self.bad[w] = a, b
-            self.known[w] = tuple(_cut(np.array(x, np.int32), n, None)[0] for x, n in ((ids, self.a_len), (other, self.b_len)))
-        self.kept += sum(300 + 10 * len(w) for w in words)
+            self.known[w] = _joined(*(_cut(np.array(x, np.int32), n, None)[0] for x, n in ((ids, self.a_len), (other, self.b_len))))
+        self.kept += len(words) * 190 + sum(map(len, words)) * 6
 
-    def of(self, texts: pa.Array) -> tuple[list[tuple[bytes, bytes]], np.ndarray, np.ndarray]:
-        """A string column's distinct words as (A's, B's) tokens, its rows' words as their numbers end to end, and the rows' offsets."""
+    def of(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The tokens of a string column's distinct words, its rows' words as their numbers end to end, and the rows' offsets."""
         cut = lambda sign, t: pc.replace_substring(t, sign, "\0" + sign)
         odd = pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(cut(" ", cut("\n", pc.binary_join_element_wise("", pc.if_else(pa.array(odd), "", texts), " "))), "\0")
@@ -120,7 +124,7 @@ class Tokens:
         keep = np.ones(len(which), bool)
         keep[first[:-1]] = False  # what stands before the first blank: nothing
         which, first = which[keep], first - np.arange(len(first))
-        odd |= _rows_with(which, first, np.array([w[-1:].isspace() for w in words], bool))
+        odd |= _rows_with(which, first, pc.utf8_is_space(pc.utf8_slice_codeunits(coded.dictionary, -1)).to_numpy(zero_copy_only=False))
         if odd.any():
             number = {w: k for k, w in enumerate(words)}
             rows = [which[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -131,7 +135,7 @@ class Tokens:
         which, first = _without(which, first, empty)
         used = np.zeros(len(words), bool)
         used[which] = True
-        words, which = [w for w, u in zip(words, used, strict=True) if u], (np.cumsum(used) - 1)[which]
+        words, which = list(compress(words, used.tolist())), (np.cumsum(used) - 1)[which]
         if self.kept > KEPT:
             self.forget()
         found = list(map(self.known.get, words))
@@ -150,19 +154,23 @@ class Tokens:
 
 
 def _cut(ids: np.ndarray, lengths: np.ndarray, ends: np.ndarray | None) -> list[bytes] | None:
-    """Tokens as PAIRs, cut at byte offsets `ends` (None: not at all); None if no token ends at one of them."""
-    out = np.empty(len(ids), PAIR)
-    out["id"], out["n"] = ids, lengths[ids]
+    """Tokens as UNITs, cut at byte offsets `ends` (None: not at all); None if no token ends at one of them."""
+    n = lengths[ids]
+    raw = (ids.astype(UNIT) | n.astype(UNIT) << BITS).tobytes()
     if ends is None:
-        return [out.tobytes()]
-    stops = np.cumsum(out["n"])
+        return [raw]
+    stops = np.cumsum(n)
     at = np.searchsorted(stops, ends)
     if at[-1] != len(ids) - 1 or (stops[at] != ends).any():
         return None
-    raw, at = out.tobytes(), ((at + 1) * PAIR.itemsize).tolist()
+    at = ((at + 1) * UNIT.itemsize).tolist()
     return [raw[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)]
 
 
+def _joined(a: bytes, b: bytes) -> bytes:
+    return (len(a) // UNIT.itemsize).to_bytes(UNIT.itemsize, "little") + a + b
+
+
 def _rows_with(which: np.ndarray, first: np.ndarray, marked: np.ndarray) -> np.ndarray:
     """Whether a row holds a marked word."""
     return np.diff(np.concatenate([[0], np.cumsum(marked[which])])[first]) > 0 if len(marked) else np.zeros(len(first) - 1, bool)
@@ -191,14 +199,21 @@ def tokens(byte_bpe: str, pieces: str) -> Tokens:
     return Tokens(byte_bpe, pieces)
 
 
-def _lists(raw: list[bytes]) -> list[pa.Array]:
-    """Ids and byte ends of each word's tokens."""
-    flat = np.frombuffer(b"".join(raw), PAIR)
-    first = np.cumsum([0, *[len(x) // PAIR.itemsize for x in raw]])
-    total = np.concatenate([[0], np.cumsum(flat["n"], dtype=np.int64)])
-    ends = total[1:] - np.repeat(total[first[:-1]], np.diff(first))
-    offsets = pa.array(first.astype(np.int32))
-    return [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x).astype(np.int32))) for x in (flat["id"], ends)]
+def _lists(found: list[bytes]) -> list[tuple[np.ndarray, pa.Array, pa.Array]]:
+    """For A and for B: how many tokens each word has, their ids, the byte ends."""
+    flat = np.frombuffer(b"".join(found), UNIT)
+    size = np.array(list(map(len, found)), np.int64) // UNIT.itemsize
+    begin = np.cumsum(size) - size
+    n_a = flat[begin].astype(np.int64)
+    place = np.arange(len(flat)) - np.repeat(begin, size)
+    ours = place <= np.repeat(n_a, size)
+    out = []
+    for n, units in ((n_a, flat[ours & (place > 0)]), (size - n_a - 1, flat[~ours])):
+        first = np.concatenate([[0], np.cumsum(n)])
+        total = np.concatenate([[0], np.cumsum(units >> BITS, dtype=np.int64)])
+        lists = (units & ((1 << BITS) - 1), total[1:] - np.repeat(total[first[:-1]], n))
+        out.append((n, *(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(x.astype(np.int32))) for x in lists)))
+    return out
 
 
 def _one(values: pa.Array) -> pa.ListArray:
@@ -216,12 +231,9 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
         for batch in batches:
             for own in parts(batch, 1, SLICE):
                 found, which, first = t.of(pc.fill_null(own.column(1), ""))
-                sides = [[x for x, _ in found], [y for _, y in found]]
-                words = pa.StructArray.from_arrays([x for side in sides for x in _lists(side)], WORD)
-                n = []
-                for side in sides:
-                    each = np.array([len(x) // PAIR.itemsize for x in side], np.int64)
-                    n.append(pa.array(np.diff(np.concatenate([[0], np.cumsum(each[which])])[first])))
+                sides = _lists(found)
+                words = pa.StructArray.from_arrays([x for _, *lists in sides for x in lists], WORD)
+                n = [pa.array(np.diff(np.concatenate([[0], np.cumsum(each[which])])[first])) for each, *_ in sides]
                 order = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(which.astype(np.int32)))
                 texts = pa.StructArray.from_arrays([own.column(0), *n, order], TEXT)
                 yield pa.RecordBatch.from_arrays([_one(words), _one(texts)], names=["words", "texts"])
@@ -249,11 +261,23 @@ def _grouped(ids: Column, ends: Column, marks: Column) -> Column:
 
 
 def _word(w: Column) -> Column:
-    """(groups, links) of a word: its groups' text, and for each end that both share the two tokens' ids in one number."""
+    """(groups, links) of a word: its groups' text, and for each end that both share the two tokens' ids in one number.
+
+    Where A and B end all their tokens together every group is a pair; other words are cut at their shared ends.
+    """
+    paired = lambda e: (F.size(e) == F.size(w["a_ids"])) & (F.size(e) == F.size(w["b_ids"]))
+    pairs = F.struct(
+        F.array_join(F.zip_with(w["a_ids"], w["b_ids"], lambda a, b: F.concat(a.cast("string"), F.lit("|"), b.cast("string"))), ";").alias("groups"),
+        F.zip_with(w["a_ids"], w["b_ids"], lambda a, b: a * F.lit(HIGH) + b).alias("links"),
+    )
+    return _let(F.array_intersect(w["a_ends"], w["b_ends"]), lambda e: F.when(paired(e), pairs).otherwise(_cut_word(w, e)))
+
+
+def _cut_word(w: Column, ends: Column) -> Column:
     last = lambda g: F.substring_index(g, ",", -1).cast("bigint")
     pairs = lambda marks: F.arrays_zip(_grouped(w["a_ids"], w["a_ends"], marks).alias("a"), _grouped(w["b_ids"], w["b_ends"], marks).alias("b"))
     whole = lambda ends: F.slice(_let(_marked(ends), pairs), F.lit(1), F.size(ends))
-    return _let(_let(F.array_intersect(w["a_ends"], w["b_ends"]), whole), lambda g: F.struct(
+    return _let(whole(ends), lambda g: F.struct(
         F.array_join(F.transform(g, lambda x: F.concat(x["a"], F.lit("|"), x["b"])), ";").alias("groups"),
         F.transform(g, lambda x: last(x["a"]) * F.lit(HIGH) + last(x["b"])).alias("links"),
     ))
