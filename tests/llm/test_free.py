@@ -401,8 +401,8 @@ def test_linear_model_by_a_plain_loop():
         for k in range(5):
             g[k] += 2e-4 * w[k] if k < 4 else 0
             m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.99 * v[k] + 0.01 * g[k] ** 2
-            w[k] -= 0.1 * (m[k] / (1 - 0.9**t)) / ((v[k] / (1 - 0.99**t)) ** 0.5 + 1e-8)
-    assert toxicity.fit_linear(x, seen, y, rounds=400) == pytest.approx(w, abs=5e-3)  # where both have settled
+            w[k] -= 0.1 * (1 - (t - 1) / 400) * (m[k] / (1 - 0.9**t)) / ((v[k] / (1 - 0.99**t)) ** 0.5 + 1e-8)
+    assert toxicity.fit_linear(x, seen, y, rounds=400) == pytest.approx(w, abs=1e-6)
     assert toxicity.predict(np.array(w), x, seen)[3] == pytest.approx(1 / (1 + np.exp(-(sum(w[k] * x[3, k] for k in range(3)) + w[3] * seen[0][3] + w[4]))))
 
 
@@ -434,13 +434,33 @@ def test_chain_by_a_plain_loop():
     assert chain.score(x)[7] == pytest.approx(p, abs=1e-5)
 
 
-def test_clusters_are_kinds():
+@pytest.mark.parametrize("seed", range(8))
+def test_clusters_are_kinds(seed):
     """Rows of a group share a kind, and every row is nearest to its own kind's mean direction."""
-    first, slots, toxic = made_texts(seed=4)
+    first, slots, toxic = made_texts(seed=seed)
     hit = [k for k in range(len(toxic)) if toxic[k] and (slots[first[k] : first[k + 1]] < 100).any()]
     x = np.array([[float(s in slots[first[k] : first[k + 1]]) for s in (10, 11, 12, 13, 20, 21, 22, 23, 30, 31, 32, 33)] for k in hit], np.float32)
     own, group = toxicity.clusters(x, 3), np.argmax(x.reshape(len(hit), 3, 4).sum(2), axis=1)
     assert sum(len(set(own[group == g].tolist())) for g in range(3)) == 3 and len(set(own.tolist())) == 3
+    with_nothing = np.concatenate([np.zeros((5, 12), np.float32), x])
+    assert (toxicity.clusters(with_nothing, 3)[:5] == -1).all() and (toxicity.clusters(with_nothing, 3)[5:] == own).all()
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_kinds_of_the_tables(spark, sf):
+    """Every kind has several rows and is another category than `toxic`, in the labels and in what the chain predicts."""
+    base = SF.replace("sf0.001", sf)
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    rows = toxicity.labelled_sample(docs, labels, "toxic", toxicity.SAMPLE).orderBy("_id").collect()
+    first, slots, _ = toxicity.word_and_prefix_slots(Text(pa.array([r._text for r in rows])), toxicity.WIDTH)
+    toxic = np.array([r._label > 0 for r in rows], np.float32)
+    chain = toxicity.fit_chain(first, slots, toxic)
+    x = chain.inputs(first, slots)
+    kind = toxicity.clusters(x[toxic > 0], 3)
+    counts = np.bincount(kind[kind >= 0], minlength=3)
+    assert counts.min() >= 3 and counts.max() <= 0.9 * toxic.sum()
+    said = chain.score(x) >= 0.5
+    assert all(said[:, k].sum() >= 3 and (said[:, k] != said[:, 3]).sum() >= 3 for k in range(3))
 
 
 def test_chain_is_no_worse_than_its_last_model_alone(spark):

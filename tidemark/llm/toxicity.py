@@ -3,8 +3,8 @@
 Categories are predicted one after another; each model sees the hashed words and word prefixes of the text and the
 probabilities of the categories before it. While training, these probabilities are out-of-fold predictions, so that
 a later model does not trust an earlier one's fit to its own training rows. The categories of the chain are learned: the
-kinds of toxic documents are clusters of the labelled ones by their telling words (spherical k-means with fixed starts),
-and last comes `toxic`, the given label.
+kinds of toxic documents are clusters of the labelled ones by their telling words (spherical k-means with seeded starts;
+a toxic row without a telling word is of no kind), and last comes `toxic`, the given label.
 
 Models are fitted on the driver on a bounded sample of labelled rows (`sample` documents) over the features with the
 largest chi-square in it; every document is scored. Handling of edge cases: null and empty texts get the models'
@@ -65,17 +65,18 @@ def predict(w: np.ndarray, x: np.ndarray, seen: list[np.ndarray]) -> np.ndarray:
 
 
 def fit_linear(x: np.ndarray, seen: list[np.ndarray], y: np.ndarray, rounds: int = 150, rate: float = 0.1, decay: float = 2e-4) -> np.ndarray:
-    """Logistic regression by Adam on all rows."""
-    full = np.concatenate([x, *[s[:, None].astype(np.float32) for s in seen], np.ones((len(x), 1), np.float32)], axis=1)
+    """Logistic regression by Adam on all rows, its rate falling to 0; in float64, so that machines agree."""
+    full = np.concatenate([x, *[s[:, None] for s in seen], np.ones((len(x), 1))], axis=1, dtype=np.float64)
+    y = y.astype(np.float64)
     p = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
-    w = np.zeros(full.shape[1], np.float32)
+    w = np.zeros(full.shape[1])
     w[-1] = np.log(p / (1 - p))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        g = full.T @ ((1 / (1 + np.exp(-np.clip(full @ w, -30, 30))) - y).astype(np.float32)) / len(y)
+        g = full.T @ (1 / (1 + np.exp(-np.clip(full @ w, -30, 30))) - y) / len(y)
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        w -= rate * (1 - (t - 1) / rounds) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w
 
 
@@ -91,19 +92,35 @@ def telling(first: np.ndarray, slots: np.ndarray, toxic: np.ndarray) -> np.ndarr
     return np.sort(best[chi[best] > 15])
 
 
-def clusters(x: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
-    """Spherical k-means of rows; the starts are the mean and then, each time, the row least like all starts so far."""
-    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    centre = unit.mean(0, keepdims=True)
-    for _ in range(k - 1):
-        centre = np.concatenate([centre, unit[[np.argmin((unit @ centre.T).max(1))]]])
-    for _ in range(rounds):
-        own = np.argmax(unit @ centre.T, axis=1)
-        for j in range(k):
-            if (own == j).any():
-                mean = unit[own == j].mean(0)
-                centre[j] = mean / max(float(np.linalg.norm(mean)), 1e-9)
-    return np.argmax(unit @ centre.T, axis=1)
+def clusters(x: np.ndarray, k: int, rounds: int = 20, restarts: int = 8) -> np.ndarray:
+    """Spherical k-means: the cluster of each row, -1 for rows without a feature.
+
+    Each of the seeded restarts starts from rows, drawn one after another with a chance that grows with their distance from
+    those drawn before; the result in which rows lie closest to their centres stays.
+    """
+    out = np.full(len(x), -1)
+    length = np.linalg.norm(x.astype(np.float64), axis=1)
+    rows = np.flatnonzero(length > 0)
+    if not len(rows):
+        return out
+    unit = x[rows] / length[rows, None]
+    best = -1.0
+    for seed in range(restarts):
+        draw = np.random.default_rng(seed)
+        centre = unit[[draw.integers(len(rows))]]
+        while len(centre) < k:
+            far = np.maximum(1 - (unit @ centre.T).max(1), 0) ** 2 + 1e-12
+            centre = np.concatenate([centre, unit[[np.searchsorted(np.cumsum(far), draw.random() * far.sum())]]])
+        for _ in range(rounds):
+            own = np.argmax(unit @ centre.T, axis=1)
+            for j in range(k):
+                if (own == j).any():
+                    mean = unit[own == j].mean(0)
+                    centre[j] = mean / np.linalg.norm(mean)
+        near = unit @ centre.T
+        if near.max(1).sum() > best + 1e-9:
+            best, out[rows] = near.max(1).sum(), np.argmax(near, axis=1)
+    return out
 
 
 def fit_chain(first: np.ndarray, slots: np.ndarray, toxic: np.ndarray) -> Chain:
@@ -120,7 +137,7 @@ def fit_chain(first: np.ndarray, slots: np.ndarray, toxic: np.ndarray) -> Chain:
     fold = np.arange(n) % FOLDS
     seen: list[np.ndarray] = []
     for y in targets:
-        out = np.zeros(n, np.float32)
+        out = np.zeros(n)
         for k in range(FOLDS):
             train, test = fold != k, fold == k
             w = fit_linear(x[train], [s[train] for s in seen], y[train])
