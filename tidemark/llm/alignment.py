@@ -40,8 +40,8 @@ from tidemark.llm.textbytes import parts
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-KEPT = 112 << 20  # bytes of words and tokens that a worker remembers, about
-SLICE = 6 << 20  # bytes of text tokenised together
+KEPT = 56 << 20  # bytes of words and tokens that a worker remembers, about
+SLICE = 2 << 20  # bytes of text tokenised together
 DEAL = 32  # parts that the links of one pair are dealt to where the counts are too many to send
 LINE = 500  # words in a line
 HIGH = 1 << 32
@@ -237,6 +237,7 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
                 order = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(which.astype(np.int32)))
                 texts = pa.StructArray.from_arrays([own.column(0), *n, order], TEXT)
                 yield pa.RecordBatch.from_arrays([_one(words), _one(texts)], names=["words", "texts"])
+            pa.default_memory_pool().release_unused()
 
     kind = docs.schema[id_col].dataType.simpleString()
     word = ", ".join(f"{c}: array<int>" for c in WORD)
