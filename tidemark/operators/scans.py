@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import arrays
 from tidemark.operators import signals
+from tidemark.session import written
 
 
 def quality_gates(samples: DataFrame, keys: list[str], snr: DataFrame | None = None, t: str = "t", least: int = 240, hole: float = 0.25) -> DataFrame:
@@ -101,37 +102,57 @@ def lay_windows(spans: DataFrame, seconds: float = 15.0, step: float = 5.0) -> D
     return spans.where(whole >= seconds + step).withColumn("start", F.explode(starts))
 
 
-def judge_scans(samples: DataFrame, keys: list[str], fs: float = 30.0, seconds: float = 15.0, step: float = 5.0, least: int = 240) -> DataFrame:
-    """Samples (keys and signals.SAMPLE, blink, mouth) -> keys, bpm, snr, agree, reason, passed, method, start: one row a scan.
+#: What a judged scan carries besides its rate: rhythm and breathing of the samples that were chosen.
+CARRIED = [part.split()[0] for part in f"{signals.RHYTHM}, {signals.BREATHS}".split(", ")]
+
+
+def _judged(units: DataFrame, held: DataFrame, keys: list[str], fs: float, cancelled: bool, least: int) -> DataFrame:
+    """Units (keys and signals.SAMPLE as arrays) and their samples -> (keys, bpm, snr, agree, reason, passed, CARRIED), written."""
+    figures = signals.scan_figures(units, keys, fs, cancelled)
+    gates = quality_gates(held, keys, figures, least=least).select(*keys, "reason", "passed")
+    return written(figures.join(gates, keys).select(*keys, "bpm", "snr", "agree", "reason", "passed", *CARRIED))
+
+
+def _retried(first: DataFrame, units: DataFrame, held: DataFrame, keys: list[str], fs: float, least: int) -> DataFrame:
+    """The judgements, those that failed replaced by one with the movement cancelled if that passes; `_way` is then 1.
 
-    A scan is judged whole; if it fails, once more with the face's movement cancelled; if it still fails, its windows are
-    judged in the same two ways, and the clearest that passes and that another one supports is taken, with its `start`. A
-    scan without any keeps its first judgement. Scans, windows and ways are rows of one table: each unit's samples are
-    gathered once, and Spark spreads the units.
+    Only the failures' samples are read again.
+    """
+    failed = first.where(~F.col("passed")).select(*keys)
+    second = _judged(units.join(failed, keys, "left_semi"), held.join(failed, keys, "left_semi"), keys, fs, True, least).where("passed")
+    kept = first.join(second.select(*keys), keys, "left_anti").withColumn("_way", F.lit(0))
+    return kept.unionByName(second.withColumn("_way", F.lit(1)))
+
+
+def judge_scans(samples: DataFrame, keys: list[str], fs: float = 30.0, seconds: float = 15.0, step: float = 5.0, least: int = 240) -> DataFrame:
+    """Samples (keys and signals.SAMPLE, blink, mouth) -> one row a scan: keys, bpm, snr, agree, reason, passed, CARRIED,
+    hrv_reliable, method, start.
+
+    A cascade of which every stage sees the failures of the one before: scans whole; with the face's movement cancelled; their
+    windows, whole and then with the movement cancelled. The clearest window that passes and that another one supports is
+    taken, with its `start`; a scan without any keeps its first judgement. Each stage's judgements are written, so that no stage
+    is run twice; a unit's samples are gathered by its keys, and Spark spreads the units. `hrv_reliable`: it passed, at an SNR of
+    10 dB or more and with 20 pairs of usable intervals.
     """
-    spans = samples.groupBy(*keys).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    whole = spans.withColumn("start", F.lit(None).cast("double")).withColumn("_lo", F.col("t0")).withColumn("_hi", F.col("t1"))
-    part = lay_windows(spans, seconds, step).withColumn("_lo", F.col("t0") + F.col("start")).withColumn("_hi", F.col("_lo") + seconds)
-    units = whole.unionByName(part).withColumn("_unit", F.coalesce(F.col("start"), F.lit(-1.0))).drop("t0", "t1")
-    own = [*keys, "_unit"]
-    held = samples.join(units, keys).where(F.col("t").between(F.col("_lo"), F.col("_hi")))
-    ordered = F.array_sort(F.collect_list(F.struct(*signals.SAMPLE)))
-    arrays = held.groupBy(*own).agg(ordered.alias("_s")).select(*own, *[F.col(f"_s.{c}").alias(c) for c in signals.SAMPLE])
-    ways = []
-    for k, cancelled in enumerate((False, True)):
-        figures = signals.scan_figures(arrays, own, fs, cancelled)
-        gates = quality_gates(held, own, figures, least=least).select(*own, "reason", "passed")
-        ways.append(figures.join(gates, own).withColumn("_way", F.lit(k)))
-    both = ways[0].unionByName(ways[1])
-    first = F.min_by(F.struct("bpm", "snr", "agree", "reason", "passed", "_way"), F.when(F.col("passed"), F.col("_way")).otherwise(F.col("_way") * 10 + 2))
-    judged = both.groupBy(*own).agg(first.alias("_j")).select(*own, "_j.*")
-    at = judged.where("_unit < 0").drop("_unit")
-    best = best_window(judged.where("_unit >= 0").select(*keys, F.col("_unit").alias("start"), "bpm", "snr", "passed", "agree", "_way"), keys, carry=("agree", "_way"))
-    best = best.select(*keys, F.struct("bpm", "snr", "agree", F.lit(None).cast("string").alias("reason"), F.lit(True).alias("passed"), "_way", "start").alias("_window"))
-    out = at.join(best, keys, "left").withColumn("_whole", F.struct("bpm", "snr", "agree", "reason", "passed", "_way", F.lit(None).cast("double").alias("start")))
-    out = out.select(*keys, F.when(F.col("passed") | F.col("_window").isNull(), F.col("_whole")).otherwise(F.col("_window")).alias("_c")).select(*keys, "_c.*")
+    gathered = lambda rows, own: rows.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct(*signals.SAMPLE))).alias("_s")).select(*own, *[F.col(f"_s.{c}").alias(c) for c in signals.SAMPLE])
+    whole = written(gathered(samples, keys))
+    first = _judged(whole, samples, keys, fs, False, least)
+    scans = written(_retried(first, whole, samples, keys, fs, least))
+
+    failed = scans.where(~F.col("passed")).select(*keys)
+    rest = samples.join(failed, keys, "left_semi")
+    spans = rest.groupBy(*keys).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    laid = lay_windows(spans, seconds, step).select(*keys, "start", (F.col("t0") + F.col("start")).alias("_lo"))
+    own = [*keys, "start"]
+    held = written(rest.join(laid, keys).where(F.col("t").between(F.col("_lo"), F.col("_lo") + seconds)).drop("_lo"))
+    parts = gathered(held, own)
+    windows = _retried(_judged(parts, held, own, fs, False, least), parts, held, own, fs, least)
+    best = best_window(windows, keys, carry=("agree", "_way", *CARRIED)).withColumns({"passed": F.lit(True), "reason": F.lit(None).cast("string")})
+
+    out = scans.join(best.select(*keys), keys, "left_anti").withColumn("start", F.lit(None).cast("double")).unionByName(best)
     method = F.concat(F.lit("fused"), F.when(F.col("_way") == 1, "+motion").otherwise(""), F.when(F.col("start").isNotNull(), "+window").otherwise(""))
-    return out.withColumn("method", method).drop("_way")
+    reliable = F.col("passed") & F.coalesce((F.col("snr") >= 10) & (F.col("pairs") >= 20), F.lit(False))
+    return out.select(*keys, "bpm", "snr", "agree", "reason", "passed", *CARRIED, reliable.alias("hrv_reliable"), method.alias("method"), "start")
 
 
 def routine_of(hour: Column, hint: Column | None = None) -> Column:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import scores
+
 
 # -- filters -------------------------------------------------------------------------------------------------
 def zero_phase(x: np.ndarray, fs: float, low: float | None, high: float | None, order: int) -> np.ndarray:
@@ -177,22 +179,25 @@ def local_peaks(x: np.ndarray, near: int, share: float) -> np.ndarray:
 def rhythm(pulse: np.ndarray, fs: float, bpm: float, known: np.ndarray | None = None, to: float = 250.0) -> dict:
     """Intervals of a scan's pulse around its known rate -> n_rr, pairs, mean_rr, rmssd, sdnn, pnn50, stress_index (ms, %).
 
-    The pulse is narrowed to 0.6 to 1.5 times the rate and drawn at `to` Hz before its peaks are taken. Intervals over unknown
-    samples or 25 % from the median go; differences are taken only where both neighbours stay.
+    The pulse is narrowed to 0.6 to 1.5 times the rate (75 if unknown) and drawn at `to` Hz; its peaks lie at least the period
+    of 1.6 times the rate (90 if unknown, 240 at most) apart. Usable intervals hold no unknown sample and, of three or more,
+    lie within 25 % of the median; differences are those of neighbours that are both usable.
     """
-    f0 = (bpm if np.isfinite(bpm) and bpm > 0 else 75.0) / 60
-    y = upsample(zero_phase(pulse, fs, max(0.5, 0.6 * f0), min(fs / 2 - 0.5, 1.5 * f0), 1), fs, to)
-    at = local_peaks(y, int(round(to / min(4.0, 1.6 * f0))), 0.3) / to
-    rr = np.diff(at) * 1000
-    keep = np.ones(len(rr), bool)
+    given = np.isfinite(bpm) and bpm > 0
+    centre, fastest = (bpm if given else 75.0) / 60, min(240.0, 1.6 * (bpm if given else 90.0)) / 60
+    narrow = zero_phase(pulse, fs, max(0.5, 0.6 * centre), min(fs / 2 - 0.5, 1.5 * centre), 1)
+    at = local_peaks(upsample(narrow, fs, to), int(round(to / fastest)), 0.3) / to
+    table = pd.DataFrame({"from": at[:-1], "to": at[1:], "rr": np.diff(at) * 1000})
+    table["usable"] = True
     if known is not None:
-        holes = np.concatenate([[0], np.cumsum(~known)])
-        a, b = np.floor(at[:-1] * fs).astype(int), np.minimum(np.ceil(at[1:] * fs).astype(int) + 1, len(known))
-        keep = holes[b] == holes[a]
-    if keep.sum() >= 3:
-        middle = np.median(rr[keep])
-        keep &= np.abs(rr - middle) <= 0.25 * middle
-    left, steps = rr[keep], np.diff(rr)[keep[1:] & keep[:-1]]
+        unknown_before = np.concatenate([[0], np.cumsum(~known)])
+        ends = lambda t, up: np.clip((np.ceil if up else np.floor)(t * fs).astype(int) + up, 0, len(known))
+        table["usable"] = unknown_before[ends(table["to"], 1)] == unknown_before[ends(table["from"], 0)]
+    if table["usable"].sum() >= 3:
+        middle = table.loc[table["usable"], "rr"].median()
+        table["usable"] &= (table["rr"] - middle).abs() <= 0.25 * middle
+    left = table.loc[table["usable"], "rr"].to_numpy()
+    steps = table["rr"].diff()[table["usable"] & table["usable"].shift(fill_value=False)].to_numpy()
     out = {"n_rr": len(left), "pairs": len(steps)}
     if len(left) >= 3:
         bins, counts = np.unique(np.floor(left / 50), return_counts=True)
@@ -285,11 +290,13 @@ def scan_peak(x: np.ndarray, fs: float, least: int = 4096, near: float = 0.1) ->
 
 
 def amplitude_at(x: np.ndarray, fs: float, rate: float) -> tuple[float, float]:
-    """(amplitude of the sine of that rate, its share of the variance)."""
-    w = np.exp(-2j * np.pi * rate * np.arange(len(x)) / fs)
-    size = 2 * abs(((x - x.mean()) * w).mean())
-    var = float(x.var())
-    return float(size), float(min(1.0, size**2 / 2 / var)) if var > 0 else 0.0
+    """(amplitude of the sine of that rate, under a Hann window; its share of the variance). Nothing below four samples."""
+    if len(x) < 4 or not np.isfinite(rate):
+        return 0.0, 0.0
+    apart, taper = x - x.mean(), np.hanning(len(x))
+    size = 2 * abs((taper * apart) @ np.exp(-2j * np.pi * rate * np.arange(len(x)) / fs)) / taper.sum()
+    spread = float((apart**2).mean())
+    return float(size), min(1.0, float(size**2 / 2 / spread)) if spread > 0 else 0.0
 
 
 # -- pulse from colour ---------------------------------------------------------------------------------------
@@ -364,6 +371,116 @@ def breathing(t: np.ndarray, v: np.ndarray, fs: float = 4.0, low: float = 0.1, h
     return float(top * 60), float(p[band & (np.abs(f - top) <= 0.03)].sum() / p[band].sum())
 
 
+#: The band of breathing in a camera scan (Hz), how far from its ends a peak must lie, how far it must rise above
+#: the band's median power, and how far head and light may differ (breaths a minute).
+BREATH_BAND, BREATH_EDGE, BREATH_RISE, BREATH_AGREE = (0.13, 0.5), 0.02, 10.0, 2.0
+
+
+def breath_peak(x: np.ndarray, fs: float) -> tuple[float | None, float]:
+    """(breaths per minute, power over the band's median) of the highest local maximum inside the band: slow drift that leaks in
+    at its lower end is no breath, and a flat floor has some highest point too, so the rise above the median tells them apart."""
+    y = zero_phase(x, fs, *BREATH_BAND, 1)
+    size = max(8192, 4 << max(0, (len(y) - 1).bit_length()))
+    f, p = np.fft.rfftfreq(size, 1 / fs), np.abs(np.fft.rfft((y - y.mean()) * np.hanning(len(y)), size)) ** 2
+    band = (f >= BREATH_BAND[0]) & (f <= BREATH_BAND[1])
+    f, p = f[band], p[band]
+    top = np.flatnonzero((p[1:-1] >= p[:-2]) & (p[1:-1] >= p[2:])) + 1
+    top = top[(f[top] - BREATH_BAND[0] >= BREATH_EDGE) & (BREATH_BAND[1] - f[top] >= BREATH_EDGE)]
+    if not len(top):
+        return None, 0.0
+    best = top[p[top].argmax()]
+    return float(f[best] * 60), float(p[best] / (np.sort(p)[len(p) // 2] or 1e-30))
+
+
+def breath_of_two(head: np.ndarray, light: np.ndarray, fs: float, least: float = 15.0) -> dict:
+    """Breathing as the head's nodding and the face's light show it -> breaths, head_breaths, light_breaths; `breaths` only where both
+    stand out and agree. Nothing below `least` seconds."""
+    if len(head) < least * fs:
+        return {}
+    (a, rise_a), (b, rise_b) = breath_peak(head, fs), breath_peak(light, fs)
+    agreed = a is not None and b is not None and abs(a - b) <= BREATH_AGREE and min(rise_a, rise_b) >= BREATH_RISE
+    return {"breaths": (a + b) / 2 if agreed else None, "head_breaths": a, "light_breaths": b}
+
+
+#: Usable beat intervals (s), how far one may lie from the median of all and of its neighbours, and the half
+#: width (Hz) of the band around the rate in which beats are timed.
+INTERVALS, FROM_ALL, FROM_NEAR, BEAT_HALF = (0.33, 1.5), 0.30, 0.20, 0.4
+
+
+def usable_intervals(ibi: np.ndarray, near: bool = True) -> np.ndarray:
+    """Which intervals are in range, near the median of all and, with `near`, near that of two usable neighbours on either side."""
+    ok = (ibi >= INTERVALS[0]) & (ibi <= INTERVALS[1])
+    if ok.sum() < 3:
+        return ok
+    middle = np.median(ibi[ok])
+    ok = ok & (np.abs(ibi - middle) <= FROM_ALL * middle)
+    if not near:
+        return ok
+    some = np.where(ok, ibi, np.nan)
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(some, 2, constant_values=np.nan), 5)[:, [0, 1, 3, 4]]
+    n = np.isfinite(around).sum(1)
+    local = np.array([np.median(a[np.isfinite(a)]) if k >= 2 else np.nan for a, k in zip(around, n, strict=True)])
+    return ok & ~(np.abs(ibi - local) > FROM_NEAR * local)  # where too few are known, nothing speaks against it
+
+
+def beat_figures(at: np.ndarray) -> dict:
+    """Beat times -> beats, ok_share, all_share, jumps and, of ten usable intervals and eight pairs, hr_beats, rmssd, sdnn, pnn50, si."""
+    ibi = np.diff(at)
+    ok, rough = (usable_intervals(ibi), usable_intervals(ibi, near=False)) if len(ibi) else (np.zeros(0, bool),) * 2
+    pairs = lambda keep: np.diff(ibi)[keep[1:] & keep[:-1]] if len(ibi) > 1 else np.zeros(0)
+    steps, rough_steps = pairs(ok) * 1000, pairs(rough)
+    out = {"beats": len(at), "ok_share": float(ok.mean()) if len(ibi) else 0.0, "all_share": float(rough.mean()) if len(ibi) else 0.0}
+    out["jumps"] = float((np.abs(rough_steps) > 0.2 * ibi[rough].mean()).mean()) if len(rough_steps) >= 8 else None
+    good = ibi[ok]
+    if len(good) >= 10 and len(steps) >= 8:
+        bins, counts = np.unique(np.floor(good * 20), return_counts=True)
+        mode = (bins[counts.argmax()] + 0.5) / 20
+        out |= {
+            "hr_beats": float(60 / good.mean()), "rmssd": float(np.sqrt((steps**2).mean())), "sdnn": float(good.std(ddof=1) * 1000), "pnn50": float((np.abs(steps) > 50).mean() * 100),
+            "si": float(100 * counts.max() / len(good) / (2 * mode * max(np.ptp(good), 0.05))),
+        }
+    return out
+
+
+def respiration(series: dict[str, tuple[np.ndarray, np.ndarray]], least: float = 0.3, agree: float = 4.0) -> tuple[float | None, str]:
+    """(breaths per minute, trust) of several irregular series: those clear enough that agree with the clearest are averaged; trust is
+    high of two or more, mid of one that is very clear, else low."""
+    found = [breathing(t, v) for t, v in series.values()]
+    good = sorted(((share, rate) for rate, share in found if rate is not None and share >= least), reverse=True)
+    if not good:
+        return None, "low"
+    rates = [rate for _, rate in good if abs(rate - good[0][1]) <= agree]
+    return float(np.mean(rates)), "high" if len(rates) >= 2 else "mid" if good[0][0] >= 0.5 else "low"
+
+
+def scan_vitals_of(t: np.ndarray, rgb: np.ndarray, fs: float = 30.0) -> dict:
+    """Everything a face scan tells (see scan_vitals), unrounded."""
+    colours = resample(t, rgb, fs)
+    pulse = pulse_v2(colours, fs)
+    hr, snr = spectrum_peak(pulse, fs)
+    y = smooth_detrend(pulse)
+    for _ in range(2):
+        y = zero_phase(y, fs, max(0.5, hr / 60 - BEAT_HALF), hr / 60 + BEAT_HALF, 1)
+    at, height = beats((y - y.mean()) / (y.std() or 1), fs, hr)
+    figures = beat_figures(at)
+    series = {"light": (np.arange(len(colours)) / fs, colours[:, 1] / colours[:, 1].mean())}
+    if len(at) >= 6:
+        series["height"] = (at, height)
+        ok = usable_intervals(np.diff(at))
+        if ok.sum() >= 6:
+            series["interval"] = ((at[1:] + at[:-1])[ok] / 2, np.diff(at)[ok])
+    rr, rr_conf = respiration(series)
+    signal = "high" if snr >= 3 else "mid" if snr >= 0 else "low"
+    weak = signal == "low" or "rmssd" not in figures or figures["ok_share"] < 0.7
+    hrv_conf = "low" if weak else "high" if signal == "high" and figures["ok_share"] >= 0.85 else "mid"
+    judged = signal == "high" and figures["all_share"] >= 0.8 and figures["jumps"] is not None
+    shown = {k: figures.get(k) if hrv_conf != "low" else None for k in ("rmssd", "sdnn", "pnn50", "si")}
+    return {
+        "hr": hr, "snr": snr, "signal": signal, "hr_beats": figures.get("hr_beats"), **shown, "hrv_conf": hrv_conf, "irregular": figures["jumps"] > 0.3 if judged else None,
+        "rr": rr if signal != "low" else None, "rr_conf": rr_conf if signal != "low" else "low", "beats": figures["beats"], "ok_share": figures["ok_share"],
+    }
+
+
 # -- Spark forms ---------------------------------------------------------------------------------------------
 def per_row(df: DataFrame, keys: list[str], arrays: list[str], kernel: Callable[..., dict], schema: str) -> DataFrame:
     """`keys` and the kernel's outputs for each row: kernel(*arrays as NumPy) -> dict by the schema's names.
@@ -391,14 +508,18 @@ def _matrix(a) -> np.ndarray:
 FIGURES = "n_beats bigint, hr double, rmssd double, sdnn double, LF_power double, HF_power double, total_power double"
 
 
-def interval_figures(at: np.ndarray) -> dict:
-    """FIGURES of the beats at these times: intervals of 0.3 to 1.5 s that lie within 30 % of their median (ms but for hr)."""
+def near_intervals(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals of 0.3 to 1.5 s between beats that lie within 30 % of their median, and when each ends."""
     ibi, t = np.diff(at), at[1:]
     ok = (ibi >= 0.3) & (ibi <= 1.5)
     ibi, t = ibi[ok], t[ok]
-    if len(ibi) > 1:
-        ok = np.abs(ibi - np.median(ibi)) <= 0.3 * np.median(ibi)
-        ibi, t = ibi[ok], t[ok]
+    ok = np.abs(ibi - np.median(ibi)) <= 0.3 * np.median(ibi) if len(ibi) > 1 else np.ones(len(ibi), bool)
+    return ibi[ok], t[ok]
+
+
+def interval_figures(at: np.ndarray) -> dict:
+    """FIGURES of the beats at these times (ms but for hr), by their near_intervals."""
+    ibi, t = near_intervals(at)
     out = {"n_beats": len(ibi)}
     if len(ibi) > 1:
         d = np.diff(ibi) * 1000
@@ -420,7 +541,7 @@ def pulse_rhythm(df: DataFrame, keys: list[str], pulse: str, bpm: str, fs: float
     """Scan pulses, the rate found for each and perhaps which samples are known -> keys and the figures of `rhythm`."""
     kernel = lambda x, b, *k: rhythm(x, fs, float(b[0]), k[0] > 0 if k else None)
     rows = df.withColumn("_bpm", F.array(F.col(bpm).cast("double")))
-    return per_row(rows, keys, [pulse, "_bpm", *([known] if known else [])], kernel, "n_rr bigint, pairs bigint, mean_rr double, rmssd double, sdnn double, pnn50 double, stress_index double")
+    return per_row(rows, keys, [pulse, "_bpm", *([known] if known else [])], kernel, RHYTHM)
 
 
 def short_scans(df: DataFrame, keys: list[str], t: str, rgb: str, start: float = 0.0, least: int = 8, most: int = 20, fs: float = 30.0) -> DataFrame:
@@ -475,12 +596,34 @@ def scan_features(df: DataFrame, keys: list[str], t: str, rgb: str, fs: float =
     return per_row(df, keys, [t, rgb], kernel, "hr double, snr double, n_beats bigint, rr double")
 
 
+RHYTHM = "n_rr bigint, pairs bigint, mean_rr double, rmssd double, sdnn double, pnn50 double, stress_index double"
+BREATHS = "breaths double, head_breaths double, light_breaths double"
+VITALS = "hr double, snr double, signal string, hr_beats double, rmssd double, sdnn double, pnn50 double, si double, hrv_conf string, irregular boolean, rr double, rr_conf string, beats bigint, ok_share double"
+
+
+def scan_vitals(df: DataFrame, keys: list[str], t: str, rgb: str, fs: float = 30.0) -> DataFrame:
+    """Face scans (times in seconds, colours) -> keys, VITALS, stress (0 to 100) and stress_zone.
+
+    `signal` grades the SNR, `hrv_conf` the beat intervals; figures of the rhythm are shown above low only. `irregular` is judged on a
+    clear signal alone. Breathing is what the skin's light, the beats' heights and their intervals agree on. Null below 8 seconds.
+    """
+    kernel = lambda t, c: scan_vitals_of(t, c, fs) if len(t) > 1 and t[-1] - t[0] >= 8 else {}
+    out = per_row(df, keys, [t, rgb], kernel, VITALS)
+    return out.withColumn("stress", scores.stress_score(F.col("si"))).withColumn("stress_zone", scores.stress_zone(F.col("stress")))
+
+
+def scan_breathing(df: DataFrame, keys: list[str], head: str, light: str, fs: float = 30.0) -> DataFrame:
+    """Regular series of the head's height and the face's light -> keys, BREATHS."""
+    return per_row(df, keys, [head, light], lambda a, b: breath_of_two(a, b, fs), BREATHS)
+
+
 #: Columns of a camera sample: time in seconds, three regions' colours, the face's place and size, brightness.
 SAMPLE = ("t", "forehead", "left", "right", "x", "y", "width", "brightness")
 
 
 def scan_figures(scans: DataFrame, keys: list[str], fs: float = 30.0, cancelled: bool = False, extract: Callable = plane_orthogonal, fuse: Callable = fused, clean: Callable = cancel) -> DataFrame:
-    """Scans, one row with the arrays SAMPLE -> keys, bpm, snr, agree, motion_amp, motion_frac, light_ratio, light_amp.
+    """Scans, one row with the arrays SAMPLE -> keys, bpm, snr, agree, motion_amp, motion_frac, light_ratio, light_amp, and what the
+    pulse's rhythm (n_rr, pairs, mean_rr, rmssd, sdnn, pnn50, stress_index) and breath_of_two tell.
 
     The pulses of the mean colour and of each region are fused; `agree` counts the regions within 3 bpm of the result. The
     interference figures are the amplitudes of the face's movement and of the light at the rate found. With `cancelled`,
@@ -500,13 +643,15 @@ def scan_figures(scans: DataFrame, keys: list[str], fs: float = 30.0, cancelled:
         if cancelled:
             refs = np.stack([m / (m.std() or 1) for m in moves], axis=1)
             pulses = [(clean(p, refs, 0.02) + clean(p[::-1], refs[::-1], 0.02)[::-1]) / 2 for p in pulses]
-        bpm, snr = scan_peak(fuse(pulses, fs), fs)
+        pulse = fuse(pulses, fs)
+        bpm, snr = scan_peak(pulse, fs)
         motion = max(amplitude_at(m, fs, bpm / 60) for m in moves)
         relative = lambda v: amplitude_at(passed(v / v.mean() - 1), fs, bpm / 60)[0] if v.mean() else 0.0
         light, green = relative(grid(brightness)), relative(whole[:, 1])
         return {
             "bpm": bpm, "snr": snr, "agree": sum(abs(scan_peak(p, fs)[0] - bpm) <= 3 for p in pulses[1:]), "motion_amp": motion[0], "motion_frac": motion[1],
             "light_ratio": light / green if green > 0 else float("inf"), "light_amp": light,
+            **rhythm(pulse, fs, bpm, known_at(t, fs)), **breath_of_two(grid(y / np.maximum(width, 1)), whole[:, 1], fs),
         }
 
-    return per_row(scans, keys, list(SAMPLE), kernel, "bpm double, snr double, agree int, motion_amp double, motion_frac double, light_ratio double, light_amp double")
+    return per_row(scans, keys, list(SAMPLE), kernel, f"bpm double, snr double, agree int, motion_amp double, motion_frac double, light_ratio double, light_amp double, {RHYTHM}, {BREATHS}")

@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics, models
 from tidemark.plans import judgement
 from tidemark.plans.registry import QUERIES, query, rounded
+from tidemark.session import shared
 from tidemark.streaming import live
 
 
-def shared(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a local session without one gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if "cluster" in spark.sparkContext.master or not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def run_to_end(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """All the rows that the stream emits over what its source holds now, as a table in the shared folder."""
     path = shared(spark)

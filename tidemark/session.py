@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,3 +33,20 @@ def clean_nans(df: DataFrame) -> DataFrame:
     """NaN -> NULL in every float and double column: Spark orders NaN above all numbers, the operators want it unknown."""
     kinds = (T.DoubleType, T.FloatType)
     return df.select(*[F.nanvl(F.col(f"`{f.name}`"), F.lit(None).cast(f.dataType)).alias(f.name) if isinstance(f.dataType, kinds) else F.col(f"`{f.name}`") for f in df.schema])
+
+
+def shared(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; a local session without one gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if "cluster" in spark.sparkContext.master or not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return f"{base}/run-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read again: what follows does not compute it anew, and lost executors lose nothing."""
+    path = shared(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
