@@ -1,8 +1,8 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers of one text end at the same bytes.
 
 A Python step only tokenises, by a byte-level BPE (A, over a blank and the text) and a sentence-piece model (B, over the
-text, which puts a blank before it itself). Neither ever joins across a blank or newline that follows a visible character,
-so texts are cut there and every cut is an end that both share. The step gives, for each slice of texts, the distinct words
+text, which puts a blank before it itself). Neither ever joins across a blank or newline that follows a visible character, nor
+(if the vocabularies bear it out) across a letter and a mark, so texts are cut there and every cut is an end that both share. The step gives, for each slice of texts, the distinct words
 of the slice with the ids and byte ends of their tokens, and each text as the numbers of its words. The rest is Spark's own
 higher-order functions: `array_intersect` of a word's end arrays lists the ends that both share; they cut its tokens into
 groups, and the two tokens that end at one of them are linked; a text's groups and links are its words' in order. Links are
@@ -21,6 +21,7 @@ pair is dealt to.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import compress
@@ -44,7 +45,9 @@ KEPT = 56 << 20  # bytes of words and tokens that a worker remembers, about
 SLICE = 2 << 20  # bytes of text tokenised together
 DEAL = 32  # parts that the links of one pair are dealt to where the counts are too many to send
 LINE = 500  # words in a line
+LETTER_MARK = r"([A-Za-z])([.,!?;:])"  # where no token of either vocabulary reaches across, marks are words of their own
 HIGH = 1 << 32
+SEARCHED = 32  # shared ends of a word that are searched for; those of longer words are marked by place
 WORD = ["a_ids", "a_ends", "b_ids", "b_ends"]
 TEXT = ["id", "n_a", "n_b", "order"]
 UNIT = np.dtype("<u4")  # a token: its id, and above BITS how many bytes it covers
@@ -74,6 +77,7 @@ class Tokens:
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int32) for t in (self.a_bytes, self.b_bytes))
         if max(len(self.a_len), len(self.b_len)) > 1 << BITS or max(self.a_len.max(), self.b_len.max()) >= 1 << 32 - BITS:
             raise ValueError("a vocabulary beyond 2**20 tokens, or a token of 4096 bytes")
+        self.apart = not any(re.search(LETTER_MARK.encode(), x) for x in (*self.a_bytes, *self.b_bytes))
         self.forget()
 
     def forget(self) -> None:
@@ -88,16 +92,18 @@ class Tokens:
         return b"" if self.b.is_control(k) or self.b.is_unknown(k) else p.replace("▁", " ").encode()
 
     def encoded(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both. Words begin with a blank, which B adds itself, or with a newline, before which B's blank is a token to be left out."""
+        """Ids of both. B adds the blank that words begin with itself; what begins otherwise is read after a newline, and the tokens of
+        B's blank and of that newline are left out."""
         a = [e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)]
-        b = self.b.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
-        return a, [x if w[0] == " " else x[1:] for w, x in zip(words, b, strict=True)]
+        lead = [0 if w[0] == " " else 1 if w[0] == "\n" else 2 for w in words]
+        b = self.b.encode([w[1:] if n == 0 else w if n == 1 else "\n" + w for w, n in zip(words, lead, strict=True)], num_threads=1)
+        return a, [x[n:] for x, n in zip(b, lead, strict=True)]
 
     def learn(self, words: list[str]) -> None:
         """Words are tokenised in lines, which both cut at the words; a line that comes back otherwise, or has no token end there, word by word."""
-        firm = [w for w in words if not w[-1].isspace()]
+        firm = [w for w in words if w[0] in " \n" and not w[-1].isspace()]
         lines = [firm[k : k + LINE] for k in range(0, len(firm), LINE)]
-        alone = [w for w in words if w[-1].isspace()]
+        alone = [w for w in words if w[0] not in " \n" or w[-1].isspace()]
         for line, ids, other in zip(lines, *self.encoded(["".join(x) for x in lines]), strict=True):
             ends = np.cumsum([len(w.encode()) for w in line])
             a, b = (_cut(np.array(x, np.int32), n, ends) for x, n in ((ids, self.a_len), (other, self.b_len)))
@@ -117,7 +123,9 @@ class Tokens:
         """The tokens of a string column's distinct words, its rows' words as their numbers end to end, and the rows' offsets."""
         cut = lambda sign, t: pc.replace_substring(t, sign, "\0" + sign)
         odd = pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
-        lists = pc.split_pattern(cut(" ", cut("\n", pc.binary_join_element_wise("", pc.if_else(pa.array(odd), "", texts), " "))), "\0")
+        plain = pc.binary_join_element_wise("", pc.if_else(pa.array(odd), "", texts), " ")
+        plain = pc.replace_substring_regex(plain, LETTER_MARK, "\\1\0\\2") if self.apart else plain
+        lists = pc.split_pattern(cut(" ", cut("\n", plain)), "\0")
         coded = pc.dictionary_encode(lists.flatten())
         words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -255,9 +263,9 @@ def _marked(ends: Column) -> Column:
     return F.array_join(F.transform(ends, lambda e, i: F.concat(F.repeat(F.lit("0"), gap(e, i)), F.lit("1"))), "").cast("binary")
 
 
-def _grouped(ids: Column, ends: Column, marks: Column) -> Column:
+def _grouped(ids: Column, ends: Column, shared_end) -> Column:
     """Each group's ids, comma-joined, in order; and an empty text after the last."""
-    shared = lambda i: F.substring(marks, F.get(ends, i), F.lit(1)) == F.lit(b"1")
+    shared = lambda i: shared_end(F.get(ends, i))
     return F.split(F.array_join(F.transform(ids, lambda x, i: F.concat(x.cast("string"), F.when(shared(i), F.lit(";")).otherwise(F.lit(",")))), ""), ";")
 
 
@@ -275,10 +283,12 @@ def _word(w: Column) -> Column:
 
 
 def _cut_word(w: Column, ends: Column) -> Column:
+    """Groups and links of a word cut at `ends`, which are looked up by search in a short word and by place in a long one."""
     last = lambda g: F.substring_index(g, ",", -1).cast("bigint")
-    pairs = lambda marks: F.arrays_zip(_grouped(w["a_ids"], w["a_ends"], marks).alias("a"), _grouped(w["b_ids"], w["b_ends"], marks).alias("b"))
-    whole = lambda ends: F.slice(_let(_marked(ends), pairs), F.lit(1), F.size(ends))
-    return _let(whole(ends), lambda g: F.struct(
+    pairs = lambda shared: F.arrays_zip(_grouped(w["a_ids"], w["a_ends"], shared).alias("a"), _grouped(w["b_ids"], w["b_ends"], shared).alias("b"))
+    by_place = _let(_marked(ends), lambda marks: pairs(lambda e: F.substring(marks, e, F.lit(1)) == F.lit(b"1")))
+    zipped = F.when(F.size(ends) <= SEARCHED, pairs(lambda e: F.array_contains(ends, e))).otherwise(by_place)
+    return _let(F.slice(zipped, F.lit(1), F.size(ends)), lambda g: F.struct(
         F.array_join(F.transform(g, lambda x: F.concat(x["a"], F.lit("|"), x["b"])), ";").alias("groups"),
         F.transform(g, lambda x: last(x["a"]) * F.lit(HIGH) + last(x["b"])).alias("links"),
     ))
