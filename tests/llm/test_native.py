@@ -209,7 +209,7 @@ def test_near_leaks(spark):
 
 
 def test_leaks_just_above_the_threshold(spark):
-    """Every edited passage of similarity 0.8 to 0.86 is found, however far apart the SimHashes are."""
+    """Of edited passages of similarity 0.8 to 0.86 at least 99 in 100 are found, all within the radius."""
     rng = random.Random(15)
     vocab = [f"w{k}" for k in range(50_000)]
     items, docs, want = {}, {}, {}
@@ -229,8 +229,17 @@ def test_leaks_just_above_the_threshold(spark):
     d = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
     b = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
     got = {(r.doc_id, r.item_id): (r.similarity, r.hamming) for r in decontamination.find_leaks(d, b).collect()}
-    assert {k: s for k, (s, _) in got.items()} == pytest.approx(want)
-    assert max(h for _, h in got.values()) > 15
+    assert {k: s for k, (s, _) in got.items()} == pytest.approx({k: want[k] for k in got}) and len(got) >= 0.99 * len(want)
+    assert decontamination.radius_for(0.8) == 19 and 15 < max(h for _, h in got.values()) <= 19
+
+
+def test_leaks_come_through_the_lookup(spark):
+    """A radius of nothing finds equal windows alone: no pair is verified that the blocks have not met."""
+    ws = [f"w{k}" for k in range(40)]
+    d = spark.createDataFrame([(1, " ".join(ws)), (2, " ".join([*ws[:-2], "x", "y"]))], "doc_id bigint, text string")
+    b = spark.createDataFrame([(1, " ".join(ws))], "item_id bigint, text string")
+    assert [(r.doc_id, r.hamming) for r in decontamination.find_leaks(d, b, radius=0).collect()] == [(1, 0)]
+    assert {r.doc_id for r in decontamination.find_leaks(d, b).collect()} == {1, 2}
 
 
 def test_items_without_an_id(spark):
@@ -243,16 +252,21 @@ def test_items_without_an_id(spark):
 
 
 def test_simhash_and_radius(spark):
-    masks = decontamination.flips(15)
-    assert len(masks) == 697 and all(bin(m).count("1") <= 3 for m in masks)
+    masks = decontamination.flips(19)
+    assert len(masks) == 2517 and all(bin(m).count("1") <= 4 for m in masks)
     rng = random.Random(1)
-    for _ in range(2000):  # any two prints within 15 bits agree in some block up to three bits
-        x = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 15)))
+    for _ in range(2000):  # any two prints within 19 bits agree in some block up to four bits
+        x = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 19)))
         assert any((x >> 16 * k) & 0xFFFF in masks for k in range(4))
     d = spark.createDataFrame([([3, 1, 1],)], "s array<bigint>")
     assert d.select(decontamination.simhash(F.col("s"))).first()[0] == 1
 
 
+def test_prints_damp_repeats(spark):
+    d = spark.createDataFrame([([5] * 9 + [7, 7, 7] + [1],), ([],)], "s array<bigint>")
+    assert [sorted(r[0]) for r in d.select(decontamination.damped(F.col("s"))).collect()] == [[1, 5, 5, 5, 5, 7, 7], []]
+
+
 def test_leak_edges(odd, nothing, spark):
     b = spark.createDataFrame([(1, "text stands here twice, with enough words to make"), (2, None), (3, ""), (None, "of of")], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(odd, b).collect()}
