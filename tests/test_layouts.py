@@ -206,3 +206,42 @@ def test_matched_cut(spark):
     r = alerts.matched(d, "z", [1.0, 2.0, 3.0, 4.0, 5.0], other).first()
     want = min((abs(sum(x[3] >= c for x in rows) - 6), c) for c in (1.0, 2.0, 3.0, 4.0, 5.0))
     assert (r.cut, r.target) == (want[1], 6) and r.n_alerts == sum(x[3] >= r.cut for x in rows)
+
+
+def test_a_subject_in_two_kinds_of_session(spark, tmp_path):
+    """Folders of one name below two kinds are two sessions; the parts of a split recording are one subject's."""
+    for folder, t0 in {"STRESS/S01": 100, "AEROBIC/S01": 500, "STRESS/S11_a": 100, "STRESS/S11_b": 300}.items():
+        (tmp_path / folder).mkdir(parents=True)
+        for name in ("EDA", "BVP"):
+            (tmp_path / folder / f"{name}.csv").write_text(f"{t0}\n2.0\n" + "0.5\n" * 8)
+        (tmp_path / folder / "IBI.csv").write_text(f"{t0}, IBI\n1.0,0.8\n")
+        (tmp_path / folder / "tags.csv").write_text(f"{t0 + 5}\n{t0 + 2}\n")
+    (tmp_path / "STRESS/readme.txt").write_text("x")
+    bundles = {(r.session_type, r.session): r for r in layouts.read_sessions(spark, str(tmp_path)).collect()}
+    assert sorted(bundles) == [("AEROBIC", "S01"), ("STRESS", "S01"), ("STRESS", "S11_a"), ("STRESS", "S11_b")]
+    for (kind, folder), t0 in {("STRESS", "S01"): 100.0, ("AEROBIC", "S01"): 500.0, ("STRESS", "S11_b"): 300.0}.items():
+        r = bundles[kind, folder]
+        assert r.signals["EDA"].t0 == t0 and r.tags == [t0 + 2, t0 + 5] and [(b.t, b.ibi) for b in r.intervals] == [(t0 + 1, 0.8)]
+    assert (bundles["STRESS", "S11_b"].subject_id, bundles["STRESS", "S11_b"].part, bundles["STRESS", "S01"].part) == ("S11", "b", "")
+    spans = {(r.session_type, r.session): (r.start, r.end) for r in layouts.session_spans(text.read_signals(spark, str(tmp_path))).collect()}
+    assert spans["STRESS", "S01"] == (100.0, 104.0) and spans["AEROBIC", "S01"] == (500.0, 504.0) and len(spans) == 4
+    found = sorted((r.session_type, r.session, r.subject_id, r.part, r.n_files) for r in layouts.discover_sessions(spark, str(tmp_path)).collect())
+    assert found == [("AEROBIC", "S01", "S01", "", 4), ("STRESS", "S01", "S01", "", 4), ("STRESS", "S11_a", "S11", "a", 4), ("STRESS", "S11_b", "S11", "b", 4)]
+    merged = {(r.session_type, r.subject_id, r.name): [p.t0 for p in r.pieces] for r in layouts.merged_parts(text.read_signals(spark, str(tmp_path))).collect()}
+    assert merged["STRESS", "S11", "EDA"] == [100.0, 300.0] and merged["STRESS", "S01", "BVP"] == [100.0]
+
+
+def test_features_from_session_folders(spark, tmp_path):
+    """From files to the feature bundle: discovered sessions, their tags as segments, windows, features."""
+    from tidemark.operators import bundle
+    from tidemark.operators.windows import sliding_windows
+
+    for kind, level in {"STRESS": 80, "AEROBIC": 120}.items():
+        (tmp_path / kind / "S01").mkdir(parents=True)
+        (tmp_path / kind / "S01/HR.csv").write_text("1000\n1.0\n" + "".join(f"{level + k % 2}\n" for k in range(200)))
+        (tmp_path / kind / "S01/ACC.csv").write_text("1000\n4.0\n" + "0,0,64\n" * 800)
+        (tmp_path / kind / "S01/tags.csv").write_text("1010\n1130\n")
+    spans = text.read_tags(spark, str(tmp_path)).select("session_type", "session", F.get("tags", F.lit(0)).alias("start"), F.get("tags", F.lit(1)).alias("end"))
+    windows = sliding_windows(spans, 60.0, 30.0).select("session_type", "session", F.col("t0").alias("start"), F.col("t1").alias("end"))
+    got = bundle.window_features(text.read_signals(spark, str(tmp_path)), windows, text.SESSION).collect()
+    assert len(got) == 6 and {(r.session_type, r.hr_mean, r.acc_mean) for r in got} == {("STRESS", 80.5, 1.0), ("AEROBIC", 120.5, 1.0)} and all(r.ibi_mean is None for r in got)

@@ -61,22 +61,44 @@ def list_sessions(spark: SparkSession, path: str, kind: str = "SHIFT") -> DataFr
     return names.select("subject_id", "session", F.lit(kind).alias("session_type"), session_start(F.col("session")).alias("t0"))
 
 
+def discover_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """Folders `type/subject` that hold files -> (session_type, session, subject_id, part, n_files, path). File contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    named = files.select(*text.session_of(F.col("path")), F.regexp_replace("path", "/[^/]*$", "").alias("path")).where("session_type <> ''")
+    return named.groupBy(*named.columns).agg(F.count("*").alias("n_files")).select("session_type", "session", "subject_id", "part", "n_files", "path")
+
+
 def session_spans(signals: DataFrame, name: str = "BVP") -> DataFrame:
-    """Signals (sources.text.read_signals) -> (session, start, end, seconds) by the samples of one of them."""
+    """Signals (sources.text.read_signals) -> (session_type, session, subject_id, part, start, end, seconds) by the samples of one of them."""
     seconds = F.size("values") / F.col("fs")
-    return signals.where((F.col("name") == name) & (F.size("values") > 0)).select("session", F.col("t0").alias("start"), (F.col("t0") + seconds).alias("end"), seconds.alias("seconds"))
+    ours = signals.where((F.col("name") == name) & (F.size("values") > 0))
+    return ours.select(*WHO, F.col("t0").alias("start"), (F.col("t0") + seconds).alias("end"), seconds.alias("seconds"))
+
+
+#: What tells a session, whose it is, and its part.
+WHO = ["session_type", "session", "subject_id", "part"]
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """One row a session -> (session, signals map<name, struct<t0, fs, values>>, intervals array<struct<t, ibi>>, tags).
+    """One row a session -> (WHO, signals map<name, struct<t0, fs, values>>, intervals array<struct<t, ibi>>, tags).
+
+    A session is a folder below one of a kind: a subject's folders of two kinds, and its parts, are sessions of their own. It
+    has a row if any of its files can be read; what is missing is an empty map or array.
+    """
+    folded = text.read_signals(spark, path).groupBy(*WHO).agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("t0", "fs", "values")))).alias("signals"))
+    beats = text.read_intervals(spark, path).groupBy(*WHO).agg(F.array_sort(F.collect_list(F.struct("t", "ibi"))).alias("intervals"))
+    joined = folded.join(beats, WHO, "full").join(text.read_tags(spark, path), WHO, "full")
+    empty = {f.name: "map()" if f.name == "signals" else "array()" for f in joined.schema if f.name not in WHO}
+    return joined.select(*WHO, *[F.coalesce(c, F.expr(e).cast(joined.schema[c].dataType)).alias(c) for c, e in empty.items()])
+
+
+def merged_parts(signals: DataFrame) -> DataFrame:
+    """Signals of split recordings -> one row for each (session_type, subject_id, name): parts in order of their starts.
 
-    A session has a row if any of its files can be read; what is missing is an empty map or array.
+    -> (session_type, subject_id, name, pieces array<struct<t0, fs, values>>). The gap between parts stays one: samples are not joined.
     """
-    folded = text.read_signals(spark, path).groupBy("session").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("t0", "fs", "values")))).alias("signals"))
-    beats = text.read_intervals(spark, path).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("t", "ibi"))).alias("intervals"))
-    joined = folded.join(beats, "session", "full").join(text.read_tags(spark, path), "session", "full")
-    empty = {f.name: "map()" if f.name == "signals" else "array()" for f in joined.schema if f.name != "session"}
-    return joined.select("session", *[F.coalesce(c, F.expr(e).cast(joined.schema[c].dataType)).alias(c) for c, e in empty.items()])
+    pieces = F.array_sort(F.collect_list(F.struct("t0", "fs", "values")))
+    return signals.groupBy("session_type", "subject_id", "name").agg(pieces.alias("pieces"))
 
 
 # -- device files --------------------------------------------------------------------------------------------

@@ -16,6 +16,23 @@ def base_subject(folder: Column) -> Column:
     return F.when((F.length(folder) > 3) & folder.rlike("_[a-z]$"), F.regexp_replace(folder, "_[a-z]$", "")).otherwise(folder)
 
 
+#: Folders that hold the sessions of one kind.
+SESSION_TYPES = ("STRESS", "AEROBIC", "ANAEROBIC")
+#: What tells sessions apart: a subject's folder may stand below several kinds.
+SESSION = ["session_type", "session"]
+
+
+def session_of(path: Column) -> list[Column]:
+    """(session_type, session, subject_id, part) of a file's path `.../STRESS/S11_a/EDA.csv`: the kind's folder (empty if the one above
+    is no kind), the subject's folder, its subject, and the letter of a split recording (empty if it is not split)."""
+    parts = F.split(path, "/")
+    above, folder = F.coalesce(F.get(parts, F.size(parts) - 3), F.lit("")), F.coalesce(F.get(parts, F.size(parts) - 2), F.lit(""))
+    kind = F.when(above.isin(*SESSION_TYPES), above).otherwise("")
+    subject = base_subject(folder)
+    part = F.when(subject != folder, F.substring(folder, -1, 1)).otherwise("")
+    return [kind.alias("session_type"), folder.alias("session"), subject.alias("subject_id"), part.alias("part")]
+
+
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """(path, text) of whole files below a folder; a file is one row, read where its block is."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
@@ -23,32 +40,33 @@ def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 
 def read_signals(spark: SparkSession, path: str, names: tuple[str, ...] = ("BVP", "EDA", "TEMP", "HR", "ACC")) -> DataFrame:
-    """Wristband CSVs -> (session, name, t0, fs, values array<array<double>>): line 1 the start, line 2 the rate, then samples.
+    """Wristband CSVs -> (session_of, name, t0, fs, values array<array<double>>): line 1 the start, line 2 the rate, then samples.
 
     Files that are missing, too short or without a readable head are left out.
     """
     f = _files(spark, path, "*.csv").withColumn("name", F.upper(F.regexp_extract("path", r"([^/]+)\.csv$", 1))).where(F.col("name").isin(*names))
     lines = F.filter(F.split("text", r"\r?\n"), lambda s: F.trim(s) != "")
-    f = f.withColumn("_l", lines).where(F.size("_l") >= 3).withColumn("session", F.regexp_extract("path", r"([^/]+)/[^/]+\.csv$", 1))
+    f = f.withColumn("_l", lines).where(F.size("_l") >= 3)
     head = lambda k: F.trim(F.get(F.split(F.get("_l", F.lit(k)), ","), F.lit(0)))
     body = F.transform(F.slice("_l", F.lit(3), F.size("_l") - 2), lambda s: F.transform(F.split(s, ","), lambda x: F.trim(x).try_cast("double")))
-    out = f.select(base_subject(F.col("session")).alias("subject_id"), "session", "name", as_epoch(head(0)).alias("t0"), head(1).try_cast("double").alias("fs"), body.alias("values"))
+    out = f.select(*session_of(F.col("path")), "name", as_epoch(head(0)).alias("t0"), head(1).try_cast("double").alias("fs"), body.alias("values"))
     return out.where(F.col("t0").isNotNull() & (F.col("fs") > 0))
 
 
 def read_intervals(spark: SparkSession, path: str) -> DataFrame:
-    """Beat-interval CSVs (start in line 1, then offset, interval) -> (session, t, ibi); malformed lines are left out."""
-    f = _files(spark, path, "IBI.csv").select(F.regexp_extract("path", r"([^/]+)/[^/]+\.csv$", 1).alias("session"), F.split("text", r"\r?\n").alias("_l"))
+    """Beat-interval CSVs (start in line 1, then offset, interval) -> (session_of, t, ibi); malformed lines are left out."""
+    f = _files(spark, path, "IBI.csv").select(*session_of(F.col("path")), F.split("text", r"\r?\n").alias("_l"))
+    who = ["session_type", "session", "subject_id", "part"]
     start = as_epoch(F.trim(F.get(F.split(F.get("_l", F.lit(0)), ","), F.lit(0))))
-    rows = f.select("session", start.alias("_t0"), F.explode(F.slice("_l", F.lit(2), F.greatest(F.size("_l") - 1, F.lit(0)))).alias("_s"))
+    rows = f.select(*who, start.alias("_t0"), F.explode(F.slice("_l", F.lit(2), F.greatest(F.size("_l") - 1, F.lit(0)))).alias("_s"))
     at = lambda k: F.trim(F.get(F.split("_s", ","), F.lit(k))).try_cast("double")
-    return rows.select("session", (F.col("_t0") + at(0)).alias("t"), at(1).alias("ibi")).where("t is not null and ibi is not null")
+    return rows.select(*who, (F.col("_t0") + at(0)).alias("t"), at(1).alias("ibi")).where("t is not null and ibi is not null")
 
 
 def read_tags(spark: SparkSession, path: str) -> DataFrame:
-    """Tag files -> (session, tags): sorted epochs."""
-    f = _files(spark, path, "tags.csv").select(F.regexp_extract("path", r"([^/]+)/[^/]+\.csv$", 1).alias("session"), F.split("text", r"\r?\n").alias("_l"))
-    return f.select("session", F.array_sort(F.filter(F.transform("_l", lambda s: as_epoch(F.trim(s))), lambda t: t.isNotNull())).alias("tags"))
+    """Tag files -> (session_of, tags): sorted epochs."""
+    f = _files(spark, path, "tags.csv").select(*session_of(F.col("path")), F.split("text", r"\r?\n").alias("_l"))
+    return f.select("session_type", "session", "subject_id", "part", F.array_sort(F.filter(F.transform("_l", lambda s: as_epoch(F.trim(s))), lambda t: t.isNotNull())).alias("tags"))
 
 
 def read_columns(spark: SparkSession, path: str, schema: str, renames: dict[str, str], optional: tuple[str, ...] = (), pattern: str = "*.csv") -> DataFrame:
