@@ -1,7 +1,7 @@
 """Structured Streaming forms of the live operators.
 
 State is per subject or scan, bounded (a few numbers, a short ring), and watermarks close what is complete. Rows later
-than the watermark are dropped; the reference's live loops define no policy for them.
+than the watermark are dropped by Spark's operators; `with_late` sets them apart first, so that none goes uncounted.
 """
 
 from __future__ import annotations
@@ -10,10 +10,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.session import written
+
+#: transformWithState keeps its state in this store; set it on the session before such a stream starts.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
 def distinct_frames(stream: DataFrame, keys: list[str], ts: str = "ts", late: str = "10 seconds") -> DataFrame:
     """Frames without repeats of (keys, ts), however they are ordered within the allowed lateness."""
@@ -169,16 +177,166 @@ def newest(stream: DataFrame, keep: int = 240, subject: str = "subject_id", kind
     return stream.groupBy(subject).applyInPandasWithState(step, f"{subject} {kind}, n bigint, oldest double, median double", "t array<double>, v array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str):
-    """Start a query that keeps a parquet table with the last row of each key: each batch writes a new version folder."""
+class Debounce(StatefulProcessor):
+    """A flag's state: `steady` since when it has been ok, whether it is shown, and the samples not yet settled.
+
+    Samples are settled in order of time once the watermark has passed them, so that batches and their order change nothing.
+    A timer stands `release` after the last ok sample: samples that stop release the flag too. A flag that is released, with no
+    sample waiting, has no state (a time to live is for processing time only).
+    """
+
+    def __init__(self, scan: str, hold: float, release: float):
+        self.scan, self.hold, self.release = scan, int(hold * 1000), int(release * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        shape = T.StructType([T.StructField("since", T.LongType()), T.StructField("last_ok", T.LongType()), T.StructField("shown", T.BooleanType())])
+        sample = T.StructType([T.StructField("ms", T.LongType()), T.StructField("ok", T.BooleanType())])
+        self.steady = handle.getValueState("steady", shape)
+        self.waiting = handle.getListState("waiting", sample)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        ms = (pd.to_datetime(new["ts"]).astype("datetime64[ns]").astype("int64") // 1_000_000).tolist()
+        self.waiting.appendList([(int(t), bool(ok)) for t, ok in zip(ms, new["ok"], strict=True)])
+        for t in ms:  # each sample settles when the watermark passes it, and may release the flag somewhat later
+            self.handle.registerTimer(int(t) + 1)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due, later = [s for s in held if s[0] < now], [s for s in held if s[0] >= now]
+        since, last_ok, shown = self.steady.get() if self.steady.exists() else (-1, -1, False)
+        out = []
+
+        def released(at: int) -> None:
+            nonlocal since, shown
+            if since >= 0 and at - last_ok >= self.release:
+                if shown:
+                    out.append((key[0], (last_ok + self.release) / 1000.0, False))
+                since, shown = -1, False
+
+        for ms, ok in due:
+            released(ms)
+            if ok:
+                since, last_ok = (ms if since < 0 else since), ms
+                if not shown and ms - since >= self.hold:
+                    shown = True
+                    out.append((key[0], ms / 1000.0, True))
+        if not later:
+            released(now)
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
+        if since >= 0 or later:
+            self.steady.update((since, last_ok, shown))
+        else:
+            self.steady.clear()
+        if since >= 0 and not later and now < last_ok + self.release:
+            self.handle.registerTimer(last_ok + self.release)
+        return iter([pd.DataFrame(out, columns=[self.scan, "t", "aligned"])] if out else [])
+
+    def close(self) -> None:
+        pass
+
+
+def debounced(stream: DataFrame, hold: float = 1.0, release: float = 0.3, late: str = "0 seconds", scan: str = "scan") -> DataFrame:
+    """Alignment flags (scan, ts, ok) -> (scan, t, aligned) at each change, t in epoch seconds: on once the flag has been ok for `hold`
+    seconds, off `release` seconds after its last ok sample, whether other samples follow or none does.
+
+    Dips shorter than `release` neither release the flag nor start `hold` anew. Needs STATE_STORE; the end of the stream's
+    time is the watermark, so the last release comes once any scan's samples have moved it on.
+    """
+    kind = stream.schema[scan].dataType.simpleString()
+    watched = stream.select(scan, "ts", "ok").withWatermark("ts", late)
+    return watched.groupBy(scan).transformWithStateInPandas(Debounce(scan, hold, release), f"{scan} {kind}, t double, aligned boolean", "append", "eventTime")
+
+
+class Counts(StreamingQueryListener):
+    """The last totals that each named stream has observed, summed over its batches: {name: {metric: total}}."""
+
+    def __init__(self) -> None:
+        self.totals: dict[str, dict[str, int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        for name, row in event.progress.observedMetrics.items():
+            own = self.totals.setdefault(name, {})
+            for metric, n in row.asDict().items():
+                own[metric] = own.get(metric, 0) + (n or 0)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def split_late(batch: DataFrame, newest: float | None, ts: str, late: float) -> tuple[DataFrame, DataFrame]:
+    """(in time, late) rows of a batch, given the newest time of all batches before: late is what lies `late` seconds or more before it."""
+    if newest is None:
+        return batch, batch.limit(0)
+    behind = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000.0 <= newest - late, F.lit(False))
+    return batch.where(~behind), batch.where(behind)
+
+
+def with_late(stream: DataFrame, path: str, checkpoint: str, ts: str = "ts", late: float = 3600.0, name: str = "late_rows"):
+    """Start a query that writes each batch's rows to `path`/in_time or `path`/late (partitioned by `_batch`) and observes both counts
+    under `name` (`sent`, `late`), so that emitted + late = sent for every batch and in sum.
+
+    The newest time seen so far is the largest of the written rows, read from one row a batch: a restart goes on where the
+    last batch ended, and a batch that is replayed overwrites its own folders.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        from tidemark.operators.facts import keep_last
+        spark = batch.sparkSession
+        clock = f"{path}/clock"
+        seen = spark.read.schema("newest double, _batch bigint").parquet(clock) if number else None
+        newest = seen.where(F.col("_batch") < number).agg(F.max("newest")).first()[0] if seen is not None else None
+        batch.persist()
+        kept, behind = split_late(batch, newest, ts, late)
+        counted = Observation(name)
+        kept.withColumn("_batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{path}/in_time/_batch={number}")
+        marked = behind.observe(counted, F.count("*").alias("late"))
+        marked.write.mode("overwrite").parquet(f"{path}/late/_batch={number}")
+        top = batch.agg(F.max(F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000.0).alias("newest"), F.count("*").alias("sent"))
+        top = top.withColumn("late", F.lit(counted.get["late"])).withColumn("newest", F.greatest("newest", F.lit(newest)))
+        top.withColumn("_batch", F.lit(number).cast("bigint")).coalesce(1).write.mode("overwrite").parquet(f"{path}/clock/part={number}")
+        batch.unpersist()
+
+    watched = stream.observe(name, F.count("*").alias("sent"))
+    return watched.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, parts: int = 64):
+    """Start a query that keeps a parquet table with the last row of each key.
+
+    Rows lie in `parts` partitions by their key's hash. A batch reads the partitions that it touches, and replaces only these, by
+    dynamic partition overwrite; the others keep their files. Each partition remembers its last batch (`_batch`): rows of a
+    batch that is replayed are already in it, and of equal rows one stays, so a replay changes nothing.
+    """
+    from tidemark.operators.facts import keep_last
 
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = f"{path}/v{number - 1}"
-        old = spark.read.parquet(before) if number else None
-        both = old.unionByName(batch) if old is not None else batch
-        keep_last(both, keys, order).write.mode("overwrite").parquet(f"{path}/v{number}")
+        part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+        new = batch.withColumn("_batch", F.lit(number).cast("bigint")).withColumn("_part", part)
+        touched = sorted(r[0] for r in new.select("_part").distinct().collect())  # at most `parts` numbers
+        if not touched:
+            return
+        try:
+            old = spark.read.schema(new.schema).parquet(path).where(F.col("_part").isin(touched))
+        except Exception as error:  # the first batch has no table to read
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            old = new.limit(0)
+        both = old.where(F.col("_batch") != number).unionByName(new).withColumn("_order", F.struct(order, "_batch"))  # of equal rows the later batch's
+        kept = keep_last(both, keys, "_order").drop("_order")
+        held = written(kept)  # a table is not overwritten while it is read
+        held.repartition("_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
