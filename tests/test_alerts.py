@@ -103,6 +103,25 @@ def test_chance_keeps_the_number_of_alerts(spark):
     assert {r.n_alerts for r in al.chance_level(d, d.limit(0), 5).collect()} == {n}
 
 
+def test_chance_by_counting(spark):
+    """Of 10 valid days 3 are drawn: an event is detected within a day as often as some of the days about it is drawn."""
+    import datetime as dt
+    from math import comb
+
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k)
+    rows = [(s, day(k), k < 3, k != 10) for s in range(30) for k in range(11)] + [(99, day(k), False, True) for k in range(5)]
+    d = spark.createDataFrame(rows, "subject_id bigint, day date, alert boolean, valid boolean")
+    events = spark.createDataFrame([(s, day(5)) for s in range(30)] + [(s, day(5)) for s in range(30)] + [(0, day(10)), (99, day(2)), (1234, day(2))], "subject_id bigint, day date")
+    got = {r.perm: r for r in al.chance_level(d, events, 2000, seed=3, before=1, after=1).collect()}
+    assert sorted(got) == list(range(2000)) and {(r.observed_days, r.n_alerts, r.n_events) for r in got.values()} == {(305, 90, 33)}
+    one, two = 1 - comb(7, 3) / comb(10, 3), 3 / 10  # days 4 to 6 of 10; the event of day 10 has day 9 alone
+    assert sum(r.n_detected for r in got.values()) / 2000 == pytest.approx(30 * one + two, rel=0.01)
+    assert sum(r.n_matched for r in got.values()) / 2000 == pytest.approx(30 * 3 * 0.3 + 0.3, rel=0.01)
+    apart = {r.perm: r for r in al.chance_level(d.repartition(7), events.repartition(2), 2000, seed=3, before=1, after=1).collect()}
+    assert apart == got and {r.perm: r.n_detected for r in al.chance_level(d, events, 50, seed=4).collect()} != {k: got[k].n_detected for k in range(50)}
+    assert {r.n_detected for r in al.chance_level(d.where("false"), events, 5).collect()} == {0}
+
+
 def test_sweep(spark):
     d = days(spark, run_of(4))
     got = {r.k: r.n_alerts for r in al.sweep(d, d.limit(0), [1, 3, 5]).collect()}

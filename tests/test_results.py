@@ -113,8 +113,12 @@ def test_cancelled_noise(spark):
 def test_chance_keeps_each_subjects_number(spark):
     alerts = sum(r.alert for r in rows_of(spark, "alerts_k"))
     rows = rows_of(spark, "chance_level")
-    assert {r.n_alerts for r in rows} == {alerts} and len({r.perm for r in rows}) == len(rows) == 50
+    assert {r.n_alerts for r in rows} == {alerts} and len({r.perm for r in rows}) == len(rows) == 2000
     assert all(0 <= r.detection_rate <= 1 for r in rows)
+    chance = rows_of(spark, "chance_summary")[0]
+    seen = rows_of(spark, "alert_eval")[0]
+    assert chance.detection_rate == pytest.approx(seen.detection_rate, abs=1e-4) and chance.chance_detection_rate == pytest.approx(sum(r.detection_rate for r in rows) / 2000, abs=1e-4)
+    assert chance.p_detection == pytest.approx(sum(r.detection_rate >= seen.detection_rate - 1e-9 for r in rows) / 2000, abs=1e-9)
 
 
 def test_random_drop_keeps_numbers(spark):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,13 +72,55 @@ def sweep(days: DataFrame, events: DataFrame, ks: list[int], before: int = 1, af
     return evaluate(alerts(each, k=F.col("k"), keys=("subject_id", "k"), **options), events, before, after, ("k",))
 
 
-def chance_level(days: DataFrame, events: DataFrame, n_perm: int = 200, seed: int = 0, before: int = 1, after: int = 1) -> DataFrame:
-    """One row per permutation: `evaluate` with each subject's alerts on as many of its valid days, drawn by a seeded hash."""
+def _drawn(frames: Iterator[pd.DataFrame], n_perm: int, seed: int, before: int, after: int, block: int = 250) -> Iterator[pd.DataFrame]:
+    """Subjects as (key, days, events, n_alerts), day numbers in arrays -> (perm, n_detected, n_matched) summed over a task's subjects."""
+    detected, matched = np.zeros(n_perm, np.int64), np.zeros(n_perm, np.int64)
+    for frame in frames:
+        for key, days, events, n in frame.itertuples(index=False):
+            days, events = np.sort(np.asarray(days, np.int64)), np.asarray(events if events is not None else [], np.int64)
+            hit = (events >= days[:, None] - after) & (events <= days[:, None] + before)  # days x events
+            draw = np.random.default_rng([seed, int(key) & 0xFFFFFFFF, int(key) >> 32 & 0xFFFFFFFF])
+            for a in range(0, n_perm, block):
+                order = draw.random((min(block, n_perm - a), len(days)))
+                chosen = np.zeros(order.shape, np.float32)
+                np.put_along_axis(chosen, np.argpartition(order, n - 1, axis=1)[:, :n], 1.0, axis=1)
+                detected[a : a + block] += ((chosen @ hit.astype(np.float32)) > 0).sum(1)
+                matched[a : a + block] += (chosen @ hit.any(1).astype(np.float32)).astype(np.int64)
+    yield pd.DataFrame({"perm": np.arange(n_perm), "n_detected": detected, "n_matched": matched})
+
+
+def chance_level(days: DataFrame, events: DataFrame, n_perm: int = 2000, seed: int = 0, before: int = 1, after: int = 1, subject: str = "subject_id", day: str = "day") -> DataFrame:
+    """One row (perm, the columns of `evaluate`) a permutation: each subject's alerts on as many of its valid days, drawn anew.
+
+    A subject's days and events are one row of day numbers, and all its permutations are drawn inside one task by a generator
+    seeded with the subject, whatever its task; only counts for each permutation leave it, summed over the task's subjects.
+    """
     valid = days.where(F.coalesce(F.col("valid"), F.lit(False)))
-    n = F.count_if("alert").over(Window.partitionBy("subject_id"))
-    drawn = valid.withColumn("_n", n).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    rank = F.row_number().over(Window.partitionBy("perm", "subject_id").orderBy(F.xxhash64(F.lit(seed), "perm", "subject_id", "day"), "day"))
-    return evaluate(drawn.withColumn("alert", rank <= F.col("_n")), events, before, after, ("perm",))
+    ev = events.select(F.col(subject).alias(subject), F.col(day).alias("_e")).distinct()
+    per = valid.groupBy(subject).agg(F.collect_list(F.unix_date(day)).alias("days"), F.count_if("alert").cast("int").alias("n"))
+    totals = per.agg(F.sum(F.size("days")).cast("bigint").alias("observed_days"), F.sum("n").cast("bigint").alias("n_alerts"))
+    totals = totals.join(F.broadcast(ev.agg(F.count("*").alias("n_events"))), F.lit(True))  # one row each
+    theirs = ev.groupBy(subject).agg(F.collect_list(F.unix_date("_e")).alias("events"))
+    rows = per.where("n > 0").join(theirs, subject, "left").select(F.xxhash64(subject).alias("key"), "days", "events", "n")
+    counts = rows.mapInPandas(lambda f: _drawn(f, n_perm, seed, before, after), "perm bigint, n_detected bigint, n_matched bigint")
+    whole = rows.sparkSession.range(n_perm).select(F.col("id").alias("perm"), F.lit(0).cast("bigint").alias("n_detected"), F.lit(0).cast("bigint").alias("n_matched"))
+    sums = counts.unionByName(whole).groupBy("perm").agg(F.sum("n_detected").alias("n_detected"), F.sum("n_matched").alias("n_matched"))
+    share = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
+    return sums.join(F.broadcast(totals), F.lit(True)).select(
+        "perm", "observed_days", "n_alerts", (F.col("n_alerts") / F.nullif(F.col("observed_days") / F.lit(DAYS_PER_MONTH), F.lit(0.0))).alias("alerts_per_person_month"), "n_events", "n_detected",
+        share("n_detected", "n_events").alias("detection_rate"), "n_matched", share("n_matched", "n_alerts").alias("alert_precision"),
+    )
+
+
+def chance_summary(days: DataFrame, events: DataFrame, before: int = 1, after: int = 1, **options) -> DataFrame:
+    """-> one row: the observed detection_rate and alert_precision, their means by chance, and the shares of permutations that reach them."""
+    seen = evaluate(days, events, before, after).select("detection_rate", "alert_precision")
+    by_chance = chance_level(days, events, before=before, after=after, **options).select(F.col("detection_rate").alias("_d"), F.col("alert_precision").alias("_p"))
+    reached = lambda c, o: F.avg(F.coalesce(F.col(c) >= F.col(o), F.lit(False)).cast("double"))
+    return by_chance.join(F.broadcast(seen), F.lit(True)).agg(
+        F.first("detection_rate").alias("detection_rate"), F.first("alert_precision").alias("alert_precision"), F.avg("_d").alias("chance_detection_rate"), F.avg("_p").alias("chance_alert_precision"),
+        reached("_d", "detection_rate").alias("p_detection"), reached("_p", "alert_precision").alias("p_precision"),
+    )
 
 
 def matched(days: DataFrame, score: str, cuts: list[float], other: DataFrame, k: int = 1, limit: float = 0.5, hold: str | None = None, keys: tuple[str, ...] = ("subject_id",)) -> DataFrame:

@@ -290,8 +290,14 @@ def matched_alerts(spark, read):
 
 @query()
 def chance_level(spark, read):
-    """Alert days drawn anew within each subject, 50 times."""
-    return al.chance_level(alert_table(read), events_of(read), 50, 0, 1, 2)
+    """Alert days drawn anew within each subject, 2,000 times."""
+    return al.chance_level(alert_table(read), events_of(read), 2000, 0, 1, 2)
+
+
+@query()
+def chance_summary(spark, read):
+    """What the alerts detect, beside 2,000 draws by chance."""
+    return rounded(al.chance_summary(alert_table(read), events_of(read), 1, 2, n_perm=2000), "detection_rate", "alert_precision", "chance_detection_rate", "chance_alert_precision", digits=4)
 
 
 @query()
