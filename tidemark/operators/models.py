@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.session import written
 
 
 def with_folds(df: DataFrame, how: str = "group", folds: int = 5, subject: str = "subject_id", label: str = "label", seed: int = 0) -> DataFrame:
@@ -83,22 +89,77 @@ def importance(model, features: list[str], top: int = 25) -> list[tuple[str, flo
     return sorted(zip(features, model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])[:top]
 
 
-def risk_out_of_fold(days: DataFrame, features: list[str], folds: int = 5, label: str = "label", subject: str = "subject_id", day: str = "day", seed: int = 0) -> DataFrame:
+def _step_sums(frames: Iterator[pd.DataFrame], features: list[str], betas: np.ndarray, weights: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Rows (_f, _y, features) -> (fold number, sums): of the weighted loss's gradient and Hessian for every fold's model, over rows of other folds."""
+    folds, width = betas.shape
+    gradient, hessian = np.zeros((folds, width)), np.zeros((folds, width, width))
+    for frame in frames:
+        x = np.concatenate([np.ones((len(frame), 1)), frame[features].to_numpy(float)], axis=1)
+        y, own = frame["_y"].to_numpy(int), frame["_f"].to_numpy(int)
+        for a in range(0, len(x), 4096):
+            part = slice(a, a + 4096)
+            p = 1 / (1 + np.exp(-np.clip(x[part] @ betas.T, -30, 30)))
+            w = weights[:, y[part]].T * (np.arange(folds) != own[part, None])
+            gradient += (w * (p - y[part, None])).T @ x[part]
+            hessian += np.einsum("nf,ni,nj->fij", w * p * (1 - p), x[part], x[part], optimize=True)
+    yield pd.DataFrame({"_f": np.arange(folds), "sums": list(np.concatenate([gradient, hessian.reshape(folds, -1)], axis=1))})
+
+
+def logistic_by_fold(train: DataFrame, fold: str, features: list[str], label: str, more: tuple = (), strength: float = 1.0, steps: int = 25, close: float = 1e-9) -> dict:
+    """Rows with a fold and a label of 0 or 1 -> {fold: coefficients, the intercept first} of a class-weighted logistic model of the
+    other folds' rows; also of the folds named in `more`, which may have no such row.
+
+    All folds are fitted at once by Newton steps: a step is one aggregate, in which each task adds up the gradients and
+    Hessians of all models over its rows and sends one row a fold. Class weights come from one count table, each fold's
+    taken from the whole. The penalty is half of `strength` times the squared weights, beside the sum of the losses. The driver holds
+    a few numbers a fold.
+    """
+    rows = written(train.select(F.col(fold).alias("_fold"), F.col(label).cast("int").alias("_y"), *features))
+    counts: dict = {}
+    for f, y, n in rows.groupBy("_fold", "_y").agg(F.count("*")).collect():  # two rows a fold
+        counts.setdefault(f, [0, 0])[y] += n
+    if not counts:
+        return {}
+    order = sorted({*counts, *more})
+    own = np.array([counts.get(f, [0, 0]) for f in order], float)
+    others = own.sum(0) - own
+    if (others == 0).any():
+        raise ValueError(f"the days outside fold {order[int(np.argmax((others == 0).any(1)))]} have labels of one kind")
+    weights = others.sum(1, keepdims=True) / (2 * others)
+    width = len(features) + 1
+    betas, ridge = np.zeros((len(order), width)), strength * np.diag([0.0] + [1.0] * len(features))
+    numbered = rows.join(F.broadcast(rows.sparkSession.createDataFrame(list(enumerate(order)), T.StructType([T.StructField("_f", T.IntegerType()), T.StructField("_fold", rows.schema["_fold"].dataType)]))), "_fold")
+    for _ in range(steps):
+        now = betas.copy()
+        sums = numbered.select("_f", "_y", *features).mapInPandas(lambda it, b=now: _step_sums(it, features, b, weights), "_f int, sums array<double>")
+        got = dict(sums.select("_f", F.posexplode("sums").alias("at", "v")).groupBy("_f", "at").agg(F.sum("v").alias("v")).groupBy("_f").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("s")).select("_f", "s.v").collect())
+        flat = np.array([got[k] for k in range(len(order))])
+        gradient, hessian = flat[:, :width] + betas @ ridge, flat[:, width:].reshape(-1, width, width) + ridge
+        move = np.linalg.solve(hessian + 1e-12 * np.eye(width), gradient[:, :, None])[:, :, 0]
+        betas = betas - move * np.minimum(1.0, 5.0 / np.maximum(np.abs(move).max(1, keepdims=True), 1e-12))
+        if np.abs(move).max() < close:
+            break
+    return {f: [float(v) for v in b] for f, b in zip(order, betas, strict=True)}
+
+
+def risk_out_of_fold(days: DataFrame, features: list[str], folds: int = 5, label: str = "label", subject: str = "subject_id", day: str = "day", seed: int = 0, how: str = "group") -> DataFrame:
     """Days labelled 1, 0 or NULL -> (subject, day, label, fold, p): the probability of 1 by a class-weighted logistic model of the other subjects.
 
     Models learn from labelled days and predict unlabelled ones too; a day that is not valid or lacks a feature has no p.
+    `how` is that of with_folds: with `loso` every subject is a fold, fitted with all the others at once.
     """
     whole = F.coalesce(F.col("valid"), F.lit(False)) & reduce(lambda a, b: a & b, [F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")) for f in features])
-    df = with_folds(days, folds=folds, subject=subject, seed=seed).withColumn("_whole", whole)
-    vector = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
-    parts = [df.where(~F.col("_whole")).select(subject, day, label, "fold", F.lit(None).cast("double").alias("p"))]
-    for f in range(folds):
-        known = df.where(F.col("_whole") & F.col(label).isNotNull() & (F.col("fold") != f))
-        if known.select(label).distinct().count() < 2:
-            raise ValueError(f"the days outside fold {f} have labels of one kind")
-        train = weighted(known, label)
-        # the penalty is that of a unit inverse strength: half the squared weights beside the sum of the losses
-        model = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_w", probabilityCol="_prob", standardization=False, regParam=1.0 / train.count(), maxIter=200)
-        got = model.fit(vector.transform(train)).transform(vector.transform(df.where(F.col("_whole") & (F.col("fold") == f))))
-        parts.append(got.select(subject, day, label, "fold", vector_to_array("_prob")[1].alias("p")))
-    return reduce(DataFrame.unionByName, parts)
+    df = with_folds(days, how, folds, subject, label, seed).withColumn("_whole", whole)
+    every = tuple(r[0] for r in df.where("fold is not null").select("fold").distinct().collect())  # a value a fold
+    betas = logistic_by_fold(df.where(F.col("_whole") & F.col(label).isNotNull()), "fold", features, label, every)
+    kind = df.schema["fold"].dataType
+    table = df.sparkSession.createDataFrame(list(betas.items()), T.StructType([T.StructField("fold", kind), T.StructField("_beta", T.ArrayType(T.DoubleType()))]))
+    z = sum((F.get("_beta", F.lit(k)) * F.col(f) for k, f in enumerate(features, 1)), F.get("_beta", F.lit(0)))
+    return df.join(table, "fold", "left").select(subject, day, label, "fold", F.when(F.col("_whole"), 1 / (1 + F.exp(-z))).alias("p"))
+
+
+def risk_levels(risks: DataFrame, quantiles: tuple[float, ...] = (0.90, 0.97, 0.99), label: str = "label", p: str = "p") -> DataFrame:
+    """Out-of-fold risks -> the rows with level: how many of the cuts p reaches, cuts being quantiles of p over the days far from every event."""
+    cuts = risks.where((F.col(label) == 0) & F.col(p).isNotNull()).agg(F.percentile(p, F.array(*[F.lit(q) for q in quantiles])).alias("_cuts"))  # one row
+    reached = F.size(F.filter("_cuts", lambda c: F.col(p) >= c))
+    return risks.join(F.broadcast(cuts), F.lit(True)).withColumn("level", F.when(F.col(p).isNotNull() & F.col("_cuts").isNotNull(), reached)).drop("_cuts")

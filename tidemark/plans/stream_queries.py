@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics, models
@@ -62,3 +62,12 @@ def model_out_of_fold(spark, read):
 def risk_labels(spark, read):
     """Days labelled by their distance from events, those of all subjects."""
     return models.label_around(judgement.verdicts(read).select("subject_id", "day", "z"), judgement.events_of(read))
+
+
+@query()
+def risk_out_of_fold(spark, read):
+    """The risk of each day by a model of all other subjects, every subject a fold of its own, and its level."""
+    w = Window.partitionBy("subject_id").orderBy("day").rowsBetween(-2, 0)
+    days = judgement.verdicts(read).select("subject_id", "day", "valid", "z").withColumn("z3", F.avg("z").over(w)).withColumn("dev3", F.sum(F.coalesce(F.col("z") >= 1.0, F.lit(False)).cast("double")).over(w))
+    labelled = models.label_around(days, judgement.events_of(read))
+    return rounded(models.risk_levels(models.risk_out_of_fold(labelled, ["z", "z3", "dev3"], how="loso")), "p", digits=4)
