@@ -100,11 +100,20 @@ def read_daily_value(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def read_heart_rate(df: DataFrame, col: str = "text") -> DataFrame:
     """Large heart-rate exports read by pattern instead of parsed: text -> (ts, bpm)."""
-    pattern = r'"dateTime"\s*:\s*"([^"]+)"[^}]*?"bpm"\s*:\s*(\d+)'
+    pattern = r'"dateTime"\s*:\s*"([^"]+)"[^}]*?"bpm"\s*:\s*(\d+(?:\.\d+)?)'
     pairs = F.arrays_zip(F.regexp_extract_all(col, F.lit(pattern), F.lit(1)).alias("t"), F.regexp_extract_all(col, F.lit(pattern), F.lit(2)).alias("b"))
     return df.select(F.explode(pairs).alias("p")).select(F.try_to_timestamp("p.t").alias("ts"), F.col("p.b").try_cast("double").alias("bpm"))
 
 
+def read_heart_rate_files(spark: SparkSession, path: str) -> DataFrame:
+    """Large heart-rate exports, arrays without line ends, -> (ts, bpm), a row a record with a rate.
+
+    A file is read as lines that end with a closing brace, so Spark splits it by bytes: a record that a split cuts belongs to the
+    split in which its line begins. No task holds more than a split and a record.
+    """
+    return read_heart_rate(spark.read.option("lineSep", "}").option("recursiveFileLookup", True).text(path), "value")
+
+
 def any_yes_per_day(survey: DataFrame, day: str, answer: str, out: str) -> DataFrame:
     """Survey rows with dd/MM/yyyy days and Yes/No/other answers -> (day, out): any yes; other answers are unknown."""
     said = F.when(F.col(answer) == "Yes", True).when(F.col(answer) == "No", False)
