@@ -202,6 +202,8 @@ def removed(texts, least=25):
                     break
             if len(ws[a]) >= 2 * least:
                 runs.add((a, a))
+            if a + 2 < n and sum(map(len, ws[a : a + 3])) >= 12:
+                runs.add((a, a + 2))
         for a, b in sorted(runs):
             spans[tuple(w for x in ws[a : b + 1] for w in x)].append((i, a, b))
     gone, seen = defaultdict(set), defaultdict(set)
@@ -232,6 +234,17 @@ def test_planted_repeats(spark):
     assert all(got[k][1] >= 9 for k in range(5, 30)) and all(got[k][1] == 0 for k in [*range(5), *range(30, 40)])
 
 
+def test_short_passages_that_many_share(spark):
+    """Three sentences of 16 words in all of 50 documents go from all but the first; two, or three of 11 words, stay."""
+    rng = random.Random(21)
+    own = lambda: " ".join(f"w{rng.randrange(90_000)}" for _ in range(9)) + "."
+    notice, two, brief = "All rights are reserved here. Do not copy these pages. Ask us first by letter or mail.", "See the next page. It goes on.", "One two three four. Five six seven. Eight nine ten eleven."
+    texts = {k: f"{own()}\n{notice}\n{own()}\n{two}\n{own()}\n{brief}\n{own()}" for k in range(50)}
+    got = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in substring_dedup.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    assert got == removed(texts) and [n for _, n, _ in got.values()].count(3) == 49 and got[0][1] == 0
+    assert all(notice not in t and two in t and brief in t for k, (_, _, t) in got.items() if k)
+
+
 def test_repeat_edges(odd, nothing):
     got = substring_dedup.remove_repeats(odd).collect()
     assert len(got) == odd.count() and {r.text for r in got if r.doc_id in (1, 2)} == {None, ""}

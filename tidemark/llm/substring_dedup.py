@@ -4,7 +4,8 @@ A sentence ends after a newline or after `.`, `!` or `?` and a blank; stretches
 sentence before (at a text's start, to the one after). From every sentence the shortest run forward, and to
 every sentence the shortest run backward, of at least two sentences and `min_words` words is hashed, by its
 words with ASCII case and punctuation ignored; a sentence of twice as many words is also a run alone. Any repeated
-passage of twice `min_words` words in whole sentences is covered by such runs to its ends.
+passage of twice `min_words` words in whole sentences is covered by such runs to its ends. Every run of FEW sentences is
+hashed too, from FEW_WORDS words on, so that short passages which stand in many documents are met.
 
 The first occurrence of a run is the one in the document with the smallest id (of equal ids, the row written
 first), and there the earliest; every sentence covered by another occurrence goes. All occurrences are joined, however many documents share a run.
@@ -27,6 +28,7 @@ from tidemark.llm.common import stash
 from tidemark.llm.textbytes import Text, chunks, mix
 
 MIN_WORDS = 25
+FEW, FEW_WORDS = 3, 12  # sentences and words of the short runs
 
 
 def sentences(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,8 +59,10 @@ def runs(text: Text, min_words: int) -> tuple[np.ndarray, ...]:
     forward = np.maximum(np.searchsorted(c_end, c_start + min_words), i + 1)
     backward = np.minimum(np.searchsorted(c_start, c_end - min_words, "right") - 1, i - 1)
     f_ok, b_ok, alone = forward < end, backward >= begin, c_end - c_start >= 2 * min_words
-    lo = np.concatenate([i[f_ok], backward[b_ok], i[alone]])
-    hi = np.concatenate([forward[f_ok], i[b_ok], i[alone]])
+    few = i[i + FEW - 1 < end]
+    few = few[words_first[few + FEW] - words_first[few] >= FEW_WORDS]
+    lo = np.concatenate([i[f_ok], backward[b_ok], i[alone], few])
+    hi = np.concatenate([forward[f_ok], i[b_ok], i[alone], few + FEW - 1])
     pair = np.unique(lo * np.int64(n + 1) + hi)
     lo, hi = pair // (n + 1), pair % (n + 1)
     # polynomial over the words of each run, from one running sum
