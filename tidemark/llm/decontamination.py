@@ -157,7 +157,8 @@ def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     distinct = windows.select("_print", F.xxhash64("_win").alias("_wh"), "_win").dropDuplicates(["_print", "_wh"])
     asked = distinct.select("_print", "_wh", blocks("_print").alias("_b")).select("_print", "_wh", F.col("_b.k").alias("_k"), F.col("_b.v").alias("_v"))
     distance = F.bit_count(F.col("_print").bitwiseXOR(F.col("_simhash")))
-    near = asked.join(listed, ["_k", "_v"]).where(distance <= radius).select("_print", "_wh", "_key", distance.alias("_hamming")).distinct()
+    # a few thousand rows an item, which shrink in a shuffle but not as a broadcast: never sent whole
+    near = asked.join(listed.hint("merge"), ["_k", "_v"]).where(distance <= radius).select("_print", "_wh", "_key", distance.alias("_hamming")).distinct()
     checked = (
         near.join(distinct, ["_print", "_wh"])
         .join(items.select("_key", "_item", "_shingles"), "_key")
