@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.test_oracle import SF
 from tidemark import plans
-from tidemark.operators import facts, metrics, models
+from tidemark.operators import explain, facts, metrics, models
 
 
 def fitted_one_by_one(rows, grid, default):
@@ -116,3 +116,16 @@ def test_other_models_and_their_importance(spark):
     model = models.classifier("forest", ["a", "b"]).fit(models.weighted(d))
     (first, share), (second, _) = models.importance(model, ["a", "b"])
     assert (first, second) == ("a", "b") and share > 0.7
+
+
+@pytest.mark.parametrize(("folds", "n"), [(5, 40), (60, 12), (3, 1)])
+def test_quantiles_of_the_other_folds(spark, folds, n):
+    """The quantile of all other folds' values, fold by fold, with ties, unknown values and a fold for each subject."""
+    rng = np.random.default_rng(folds)
+    rows = [(g, f, None if rng.random() < 0.05 else float(np.round(rng.normal() * (1 + f % 3), 1))) for g in ("a", "b") for f in range(folds) for _ in range(int(rng.integers(0, n + 1)) + (f == 0))]
+    got = {(r.g, r.f): (r.cap, r.n) for r in explain.others_quantile(spark.createDataFrame(rows, "g string, f int, z double"), "g", "f", "z", 0.95, 20).collect()}
+    want = {}
+    for g, f in {(g, f) for g, f, z in rows if z is not None}:
+        others = [z for h, e, z in rows if h == g and e != f and z is not None]
+        want[g, f] = (pytest.approx(float(np.quantile(others, 0.95)), abs=1e-9) if len(others) >= 20 else None, len(others))
+    assert got == want

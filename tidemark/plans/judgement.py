@@ -219,6 +219,27 @@ def crossfit_explanation(spark, read):
     return rounded(out.select("subject_id", "day", "cap_exercise", "explained_by", "carried_frac", "held"), "cap_exercise")
 
 
+@query(f"""WITH {CAUSED}, k AS (SELECT subject_id, cause, z FROM (SELECT subject_id, z, valid, unnest([CASE WHEN exercise THEN 'e' END, CASE WHEN sleep_debt THEN 's' END]) AS cause FROM ca) WHERE cause IS NOT NULL AND valid AND z IS NOT NULL),
+caps AS (SELECT s.subject_id, cause, CASE WHEN count(*) >= 20 THEN quantile_cont(z, 0.95) END AS cap FROM (SELECT DISTINCT subject_id FROM ca) s JOIN k ON k.subject_id <> s.subject_id GROUP BY 1, 2),
+e AS (SELECT ca.*, a.cap AS ce, b.cap AS cs, coalesce(valid AND z >= 1.0, false) AS deviated FROM ca LEFT JOIN caps a ON a.subject_id = ca.subject_id AND a.cause = 'e' LEFT JOIN caps b ON b.subject_id = ca.subject_id AND b.cause = 's'),
+b AS (SELECT *, CASE WHEN NOT deviated THEN '' WHEN exercise AND coalesce(z <= ce, true) THEN 'exercise' WHEN sleep_debt AND coalesce(z <= cs, true) THEN 'sleep_debt' ELSE '' END AS explained_by FROM e)
+SELECT subject_id, day, round(ce, 6) AS cap_exercise, round(cs, 6) AS cap_sleep_debt, explained_by FROM b""")
+def crossfit_each_subject(spark, read):
+    """Ceilings that all the other subjects set, every subject a fold of its own."""
+    out = explain.crossfit_explanation(caused(read), "subject_id", limit=1.0)
+    return rounded(out.select("subject_id", "day", "cap_exercise", "cap_sleep_debt", "explained_by"), "cap_exercise", "cap_sleep_debt")
+
+
+@query(f"""WITH {SCORED}, t AS (SELECT g.subject_id, cut, count(*) AS n, count(*) FILTER (label <> 'REST') AS np, count(*) FILTER (label = 'REST') AS nn, count(*) FILTER (s_hr > cut AND label <> 'REST') AS tp, count(*) FILTER (s_hr > cut AND label = 'REST') AS fp
+  FROM sc, {_grid_sql(facts.Z_GRID)}, (SELECT DISTINCT subject_id FROM sc) g WHERE sc.subject_id <> g.subject_id AND s_hr IS NOT NULL GROUP BY 1, 2),
+j AS (SELECT *, round(tp / np - fp / nn, 12) AS j FROM t WHERE n >= 10 AND np > 0 AND nn > 0), b AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY j DESC, cut) AS r FROM j)
+SELECT sc.subject_id, day, coalesce(b.cut, 0.5) AS cut, coalesce(s_hr > coalesce(b.cut, 0.5), false) AS hr FROM sc LEFT JOIN b ON sc.subject_id = b.subject_id AND r = 1""")
+def facts_each_subject(spark, read):
+    """A fact whose cut all the other subjects fit, every subject a fold of its own."""
+    out = facts.cross_fitted(scored(read), "subject_id", None, "HR_HIGH", F.col("label") != "REST", facts.Z_GRID, 0.5)
+    return out.select("subject_id", "day", F.col("cut_HR_HIGH").alias("cut"), F.col("HR_HIGH").alias("hr"))
+
+
 def _alert_sql(k: str = "2", more: str = "", refractory: int = 7) -> str:
     keys = "subject_id" + more
     return f"""g AS (SELECT *, datediff('day', lag(day) OVER w, day) AS gap, carried_frac >= 0.5 AND valid AS unresolved, valid AND NOT held AS judged FROM src WINDOW w AS (PARTITION BY {keys} ORDER BY day)),
