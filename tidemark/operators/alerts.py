@@ -31,14 +31,13 @@ def alerts(days: DataFrame, limit: Column | float = 0.5, k: Column | int = 3, ma
     run = F.sum((F.col("_judged") & F.col("unresolved")).cast("int")).over(Window.partitionBy(*keys, "_island").orderBy(day))
     out = out.withColumn("run_len", F.when(F.col("_judged") & F.col("unresolved"), run).otherwise(0).cast("bigint"))
     out = out.withColumn("_candidate", F.col("_judged") & (F.col("run_len") >= k)).drop("_judged", "_island")
-    # the greedy choice is folded once per key, over the candidate days alone; what fired meets the rows in the same partitioning
-    none = F.array().cast("array<int>")
+    # the greedy choice is folded at each key's last row, over its candidate days alone, and shown to its other rows: windows
+    # over the one sort that is there
+    none, every = F.array().cast("array<int>"), Window.partitionBy(*keys)
     step = lambda acc, d: F.when((F.size(acc) == 0) | (d - F.coalesce(F.get(acc, F.size(acc) - 1), d) >= refractory), F.concat(acc, F.array(d))).otherwise(acc)
-    number = F.when(F.col("_candidate"), F.unix_date(day))
-    fired = out.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(number)), none, step).alias("_fired"))
-    same = [f"_{k}_" for k in keys]
-    met = out.join(fired.toDF(*same, "_fired"), [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, same, strict=True)])
-    return met.withColumn("alert", F.col("_candidate") & F.array_contains("_fired", F.unix_date(day))).drop("_candidate", "_fired", *same)
+    out = out.withColumn("_days", F.collect_list(F.when(F.col("_candidate"), F.unix_date(day))).over(every)).withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
+    out = out.withColumn("_fired", F.max(F.when(F.col("_last"), F.aggregate(F.array_sort("_days"), none, step))).over(every))
+    return out.withColumn("alert", F.col("_candidate") & F.array_contains("_fired", F.unix_date(day))).drop("_candidate", "_days", "_last", "_fired")
 
 
 def evaluate(days: DataFrame, events: DataFrame, before: int = 1, after: int = 1, keys: tuple[str, ...] = (), subject: str = "subject_id", day: str = "day") -> DataFrame:
