@@ -208,3 +208,21 @@ def test_breathing_goes_with_the_scan(spark):
     lit = [F.transform(c, lambda v: v * (1 + 0.003 * F.sin(t * (2 * math.pi * 16 / 60)))).alias(c) for c in ("forehead", "left", "right")]
     r = scans.judge_scans(nodding.select(*[c for c in nodding.columns if c not in ("forehead", "left", "right")], *lit), ["scan"]).first()
     assert r.passed and r.breaths == pytest.approx(16, abs=0.8)
+
+
+# -- first phase -----------------------------------------------------------------------------------------------
+def test_first_phase_by_plain_loops(spark):
+    t = np.arange(60 * 64) / 64
+    x = np.sin(2 * np.pi * 1.25 * t) + 0.02 * np.random.default_rng(1).normal(size=len(t))
+    r = bundle.first_pulse(x, 64.0)
+    assert r["HR_mean"] == pytest.approx(75, abs=0.5) and r["bvp_quality"] == 1 and r["HR_min"] <= r["HR_mean"] <= r["HR_max"] and r["n_ibi"] in (73, 74)
+    assert bundle.first_pulse(x[:600], 64.0) == {"n_ibi": 0, "bvp_quality": 0} and bundle.first_pulse(np.zeros(1000), 64.0)["n_ibi"] == 0
+    assert bundle.steady_intervals(np.array([800.0, 1000, 810, 500, 790, 800])).tolist() == [800, 810, 790, 800] and bundle.steady_intervals(np.array([1.0, 9.0])).tolist() == [1, 9]
+    eda = 2 + np.where(np.arange(240) % 60 == 30, 0.5, 0.0)
+    s = bundle.first_skin(eda, 4.0)
+    assert s["SCR_count"] == 4 and 0.02 < s["SCR_mean_amplitude"] < 0.5 and s["EDA_mean"] == pytest.approx(eda.mean(), abs=0.01) and bundle.first_skin(eda[:19], 4.0) == {}
+
+
+def test_first_phase_query(spark):
+    rows = plans.QUERIES["first_phase"](spark, SF).collect()
+    assert all(r.HR_mean == pytest.approx(60 + 3 * r.label, abs=1.5) and r.bvp_quality == 1 and r.TEMP_slope == pytest.approx(0.01, abs=0.002) and r.ACC_energy > 0 and r.EDA_mean is not None for r in rows)

@@ -98,3 +98,29 @@ def test_directional_error_and_group_split(spark):
     first = {r.subject_id: r.fold for r in metrics.group_split(some, 4).collect()}
     more = {r.subject_id: r.fold for r in metrics.group_split(some.unionByName(spark.range(100, 120).toDF("subject_id")), 4).collect()}
     assert len(first) == 40 and set(first.values()) == {0, 1, 2, 3} and all(more[s] == f for s, f in first.items()) and len(more) == 60
+
+
+def test_label_sheets(spark):
+    import datetime as dt
+
+    day = lambda d: dt.date(2020, 3, d)
+    sheet = spark.createDataFrame(
+        [("A1", "COVID-19", "[Timestamp('2020-03-01 00:00:00'), Timestamp('2020-03-01 00:00:00'), Timestamp('2020-03-05 00:00:00')]", "[NaT]", None), ("B", "Other", "[Timestamp('2020-03-02 00:00:00')]", "", ""), (None, "COVID-19", "[Timestamp('2020-03-03 00:00:00')]", "", "")],
+        "ParticipantID string, Category string, Symptom_dates string, covid_diagnosis_dates string, recovery_dates string",
+    )
+    labels = text.label_sheet(sheet)
+    assert [tuple(r) for r in labels.orderBy("subject_id").collect()] == [("A1", "COVID-19", [day(1), day(1), day(5)], [], []), ("B", "Other", [day(2)], [], [])]
+    assert sorted(map(tuple, text.label_events(labels, "COVID-19").collect())) == [("A1", day(1)), ("A1", day(5))]
+
+
+def test_tables_are_found_by_name(spark, tmp_path):
+    for f in ("b/deep/day.csv", "a/day.csv", "x/lab.csv.bak", "m/minutes/part-0.parquet", "m/minutes/part-1.parquet", "minutes"):
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_text("x")
+    got = {r.name: r.path.split(str(tmp_path))[1] for r in text.find_tables(spark, str(tmp_path), ["day", "lab"], ["minutes"]).collect()}
+    assert got == {"day": "/a/day.csv", "minutes": "/m/minutes"}
+
+
+def test_columns_are_arranged(spark):
+    d = spark.createDataFrame([(1, 2, 3, 4)], "a int, b int, c int, d int")
+    assert sinks.arranged(d, ["c", "z", "x"], {"a": "x"}).columns == ["c", "x", "b", "d"] and sinks.arranged(d, ["d"], rest=False).columns == ["d"]

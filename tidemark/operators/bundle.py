@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidemark.functions import bundles
 from tidemark.operators import signals
 
 HEART_RATE = ("hr_mean", "hr_std", "hr_ratio_up", "hr_ratio_down")
@@ -79,6 +80,62 @@ def movement_features(x: np.ndarray, fs: float) -> dict:
 KINDS = {"BVP": (pulse_features, 1), "EDA": (skin_features, 1), "HR": (heart_rate_features, 1), "ACC": (movement_features, 3)}
 
 
+#: The first phase's slowest and fastest pulse (a minute), usable intervals for a good window, and the largest step
+#: from the interval kept before.
+PULSE_RANGE, GOOD_INTERVALS, LARGEST_STEP = (40.0, 180.0), 20, 0.20
+FIRST_PHASE = "HR_mean double, HR_std double, HR_min double, HR_max double, RMSSD double, SDNN double, mean_IBI double, n_ibi bigint, bvp_quality int, EDA_mean double, EDA_std double, SCL_mean double, SCR_count bigint, SCR_mean_amplitude double"
+
+
+def steady_intervals(ms: np.ndarray) -> np.ndarray:
+    """Intervals without those that differ from the last one kept by more than LARGEST_STEP; fewer than three stay as they are."""
+    if len(ms) < 3:
+        return ms
+    kept = [0]
+    for k in range(1, len(ms)):
+        if abs(ms[k] - ms[kept[-1]]) <= LARGEST_STEP * ms[kept[-1]]:
+            kept.append(k)
+    return ms[kept]
+
+
+def first_pulse(x: np.ndarray, fs: float) -> dict:
+    """Heart rate and its variation from a pulse of ten seconds or more; `bvp_quality` is 1 from GOOD_INTERVALS intervals on."""
+    none = {"n_ibi": 0, "bvp_quality": 0}
+    if len(x) < 10 * fs:
+        return none
+    y = signals.zero_phase(x, fs, 0.5, 8.0, 2)
+    peaks = signals.find_peaks(y, int(fs * 60 / PULSE_RANGE[1]), max(0.4 * float(y.std()), 1e-6))
+    ms = np.diff(peaks) / fs * 1000
+    ms = steady_intervals(ms[(ms >= 60_000 / PULSE_RANGE[1]) & (ms <= 60_000 / PULSE_RANGE[0])])
+    if len(peaks) < 3 or len(ms) < 3:
+        return none
+    hr = 60_000 / ms
+    return {
+        "HR_mean": float(hr.mean()), "HR_std": float(hr.std(ddof=1)), "HR_min": float(hr.min()), "HR_max": float(hr.max()), "RMSSD": float(np.sqrt((np.diff(ms) ** 2).mean())), "SDNN": float(ms.std(ddof=1)),
+        "mean_IBI": float(ms.mean()), "n_ibi": len(ms), "bvp_quality": int(len(ms) >= GOOD_INTERVALS),
+    }
+
+
+def first_skin(x: np.ndarray, fs: float) -> dict:
+    """Skin conductance of five seconds or more: level, and responses as peaks of half a deviation (0.02 at least), a second apart."""
+    if len(x) < 5 * fs:
+        return {}
+    clean = signals.zero_phase(x, fs, None, 1.0, 2)
+    level = signals.zero_phase(clean, fs, None, 0.05, 2)
+    fast = clean - level
+    peaks = signals.find_peaks(fast, max(int(fs), 1), height=max(0.5 * float(fast.std()), 0.02))
+    return {"EDA_mean": float(clean.mean()), "EDA_std": float(clean.std(ddof=1)), "SCL_mean": float(level.mean()), "SCR_count": len(peaks), "SCR_mean_amplitude": float(fast[peaks].mean()) if len(peaks) else 0.0}
+
+
+def first_phase_features(df: DataFrame, keys: list[str], bvp: str, eda: str, temp: str, axes: dict[str, str], fs_bvp: float = 64.0, fs_eda: float = 4.0, fs_temp: float = 4.0) -> DataFrame:
+    """Windows as arrays -> keys, FIRST_PHASE, TEMP_mean, TEMP_std, TEMP_slope, ACC_magnitude_mean, ACC_magnitude_std, ACC_energy.
+
+    What is arithmetic over arrays is Column expressions; pulse and skin are kernels over one row's samples. No shuffle.
+    """
+    plain = bundles.temperature(F.col(temp), fs_temp) | bundles.movement({k: F.col(c) for k, c in axes.items()})
+    kernel = lambda x, y: first_pulse(x, fs_bvp) | first_skin(y, fs_eda)
+    return signals.per_row(df.withColumns(plain), [*keys, *plain], [bvp, eda], kernel, FIRST_PHASE)
+
+
 def sliced(t0: float, fs: float, x: np.ndarray, start: float, end: float) -> np.ndarray:
     first = max(0, int(np.ceil((start - t0) * fs)))
     return x[first : max(first, min(len(x), int(np.floor((end - t0) * fs))))]

@@ -88,3 +88,16 @@ def scan_breathing(spark, read):
         "vec_id", "label", F.transform(i, lambda k: 0.4 + 0.004 * wave(k, 0.0) + 0.001 * _value(k)).alias("head"), F.transform(i, lambda k: 100 + 0.3 * wave(k, apart) + 0.05 * _value(k + 13)).alias("light")
     )
     return rounded(signals.scan_breathing(d, ["vec_id", "label"], "head", "light"), "breaths", "head_breaths", "light_breaths", digits=3)
+
+
+@query()
+def first_phase(spark, read):
+    """All first-phase features of a minute of each vector's recording."""
+    i = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    rate = (F.col("label") * 3 + 60) / 60.0
+    d = read("embeddings").select(
+        "vec_id", "label", F.transform(i(60 * 64), lambda k: F.sin(k / 64.0 * rate * TURN) + 0.1 * _value(k)).alias("bvp"), F.transform(i(240), lambda k: 2.0 + 0.3 * _value(F.floor(k / 8))).alias("eda"),
+        F.transform(i(240), lambda k: 33.0 + k / 400.0 + 0.01 * _value(k)).alias("temp"), *[F.transform(i(320), lambda k, s=s: _value(k + s)).alias(c) for c, s in (("x", 0), ("y", 21), ("z", 42))],
+    )
+    out = bundle.first_phase_features(d, ["vec_id", "label"], "bvp", "eda", "temp", {c: c for c in "xyz"})
+    return rounded(out, *[f.name for f in out.schema if f.dataType.simpleString() == "double"], digits=4)

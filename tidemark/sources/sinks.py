@@ -11,11 +11,18 @@ PREDICTIONS = ["experiment", "model", "split", "feature_set", "fold", "sample_id
 LEDGER_KEYS = ["experiment", "model", "split", "feature_set", "metric"]
 
 
+def arranged(df: DataFrame, first: list[str], renames: dict[str, str] | None = None, rest: bool = True) -> DataFrame:
+    """`df` renamed, with the columns `first` (those it has) in that order, then, unless `rest` is false, all others in theirs."""
+    named = df.withColumnsRenamed(renames or {})
+    head = [c for c in first if c in named.columns]
+    return named.select(*head, *([c for c in named.columns if c not in head] if rest else []))
+
+
 def write_predictions(df: DataFrame, path: str) -> None:
     """Write a prediction table; a missing column is an error before anything is written."""
     if missing := [c for c in PREDICTIONS if c not in df.columns]:
         raise ValueError(f"missing columns: {missing}")
-    df.select(*PREDICTIONS, *[c for c in df.columns if c not in PREDICTIONS]).write.mode("append").parquet(path)
+    arranged(df, PREDICTIONS).write.mode("append").parquet(path)
 
 
 def write_windows(df: DataFrame, path: str) -> None:

@@ -138,6 +138,27 @@ def listed_dates(cell: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(cell, F.lit("")), F.lit(r"(\d{4}-\d{2}-\d{2})"), F.lit(1)), lambda d: F.to_date(d))
 
 
+def label_sheet(sheet: DataFrame, subject: str = "ParticipantID", category: str = "Category", dates: dict[str, str] | None = None) -> DataFrame:
+    """A sheet with timestamp-list cells -> (subject_id, category, an array of dates for each of `dates`); rows without a subject go."""
+    dates = dates or {"symptom": "Symptom_dates", "diagnosis": "covid_diagnosis_dates", "recovery": "recovery_dates"}
+    known = sheet.where(F.col(subject).isNotNull())
+    return known.select(F.col(subject).cast("string").alias("subject_id"), F.col(category).cast("string").alias("category"), *[listed_dates(F.col(c)).alias(n) for n, c in dates.items()])
+
+
+def label_events(labels: DataFrame, category: str, which: str = "symptom") -> DataFrame:
+    """Labels -> (subject_id, day): the listed days of a category's subjects, once each."""
+    return labels.where(F.col("category") == category).select("subject_id", F.explode(which).alias("day")).distinct()
+
+
+def find_tables(spark: SparkSession, path: str, files: list[str], folders: list[str] = ()) -> DataFrame:
+    """Tables below a folder, however deep -> (name, path): `name`.csv files and folders of that name, the first path of each. No content is read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    pieces = F.split("path", "/")
+    last, kinds = F.element_at(pieces, -1), [F.struct(F.lit(n).alias("name"), F.when(F.element_at(pieces, -1) == f"{n}.csv", F.col("path")).alias("path")) for n in files]
+    kinds += [F.struct(F.lit(n).alias("name"), F.when((last != n) & F.array_contains(F.slice(pieces, F.lit(1), F.size(pieces) - 1), n), F.array_join(F.slice(pieces, F.lit(1), F.array_position(pieces, n).cast("int")), "/")).alias("path")) for n in folders]
+    return listed.select(F.inline(F.array(*kinds))).where("path is not null").groupBy("name").agg(F.min("path").alias("path"))
+
+
 def json_items(df: DataFrame, col: str, schema: str) -> DataFrame:
     """`df` without the JSON text column, with one row (key, value) for each of its entries; text that is no object has none."""
     rest = [c for c in df.columns if c != col]
