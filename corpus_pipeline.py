@@ -1,6 +1,10 @@
 """A corpus pipeline of five of the operators: quality, near copies, benchmark leaks, personal data, encoding.
 
-Each stage takes all that its predecessor kept and returns the columns of its input (the last one adds the ids).
+Each stage takes all that its predecessor kept and returns the columns of its input (the last one adds the ids). Rows of any kind
+pass: a null or empty text is scored as such and stays if the classifier keeps it, has no near copies, leaks nothing, holds no
+personal data and gets no ids (null for null); very long texts are handled whole; repeated rows are near copies of each other, of
+which one stays; rows without an id or with a shared one are judged each by its own text; further columns stay, whatever their
+names, but for those that the last stage adds; an empty table runs through.
 """
 
 from __future__ import annotations

@@ -74,7 +74,7 @@ def bitmap(keys: DataFrame, key: str, bits: int, probes: int) -> DataFrame:
 
 
 def with_bitmap(df: DataFrame, wanted: Column, keys: DataFrame, name: str = "_bitmap") -> DataFrame:
-    """`df` with the one-row bitmap as column `name` where `wanted` holds, else null: an equi-join with one broadcast row."""
+    """`df` with the one-row bitmap as column `name` where `wanted` holds, else null: a join with one broadcast row, a nested loop in Spark's plan."""
     one = F.broadcast(keys.select(F.col("bitmap").alias(name), F.lit(True).alias("_bitmap_on")))
     return df.withColumn("_bitmap_for", wanted).join(one, F.col("_bitmap_for") == F.col("_bitmap_on"), "left").drop("_bitmap_for", "_bitmap_on")
 

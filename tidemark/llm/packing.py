@@ -46,7 +46,7 @@ END = 2  # id that closes a document
 LENGTH = 4096
 BUCKETS, DIMENSIONS, BITS = 256, 4, 15
 REACH = 4.0  # projections of a unit vector lie within about four standard deviations
-KEPT = 96 << 20  # bytes of words and ids that a worker remembers, about
+KEPT = 144 << 20  # bytes of words and ids that a worker remembers, about
 SLICE = 3 << 20  # bytes of text tokenised together
 LINE = 500  # runs of letters in a line
 MARKS = string.punctuation.replace("'", "").encode()
