@@ -165,3 +165,24 @@ def test_repeated_frames_and_medians(spark):
     values = spark.createDataFrame([(1, at(t), float(t)) for t in range(30)], "scan bigint, ts timestamp, v double")
     got = {since(r.end.replace(tzinfo=dt.timezone.utc).timestamp()): (r.n, r.median) for r in run_to_end(spark, live.sliding_median(as_stream(spark, values), ["scan"], "v")).collect()}
     assert got[10.0] == (10, 4.5) and got[20.0] == (10, 14.5) and 2.0 not in got and got[3.0] == (3, 1.0)
+
+
+def test_debounce_query(spark):
+    """The flags of the events by a plain loop, up to the watermark at the newest event."""
+    from collections import defaultdict
+
+    from tests.test_oracle import SF
+    from tidemark import plans
+
+    got = defaultdict(list)
+    for r in plans.QUERIES["stream_debounce"](spark, SF).collect():
+        got[r.scan].append((round(r.t, 2), r.aligned))
+    events = defaultdict(list)
+    rows = spark.read.parquet(f"{SF}/events.parquet").select("user_id", (F.unix_millis(F.col("ts").cast("timestamp")) / 1000).alias("t"), (F.col("value") > 50).alias("ok")).collect()
+    newest = max(r.t for r in rows)
+    for r in rows:
+        events[r.user_id].append((r.t, r.ok))
+    for s, samples in events.items():
+        want = [(round(t, 2), up) for t, up in debounced_plainly([x for x in samples if x[0] < newest], 21600.0, 21600.0) if t <= newest]
+        assert sorted(got[s]) == sorted(want), s
+    assert sum(map(len, got.values())) > 5

@@ -71,3 +71,43 @@ def risk_out_of_fold(spark, read):
     days = judgement.verdicts(read).select("subject_id", "day", "valid", "z").withColumn("z3", F.avg("z").over(w)).withColumn("dev3", F.sum(F.coalesce(F.col("z") >= 1.0, F.lit(False)).cast("double")).over(w))
     labelled = models.label_around(days, judgement.events_of(read))
     return rounded(models.risk_levels(models.risk_out_of_fold(labelled, ["z", "z3", "dev3"], how="loso")), "p", digits=4)
+
+
+@query("SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def stream_upsert(spark, read):
+    """A table of each user's last event, kept by partition from a stream of events."""
+    path = shared(spark)
+    source = as_stream(spark, read("events").select("user_id", "event_id", "value"))
+    live.upsert_batches(source, f"{path}/table", ["user_id"], "event_id", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/table").select("user_id", "event_id", "value")
+
+
+@query("SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at FROM events")
+def stream_distinct(spark, read):
+    """Events that come twice, in any order, once each."""
+    e = read("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    got = run_to_end(spark, live.distinct_frames(as_stream(spark, e.unionByName(e)), ["user_id"], late="400 days"))
+    return got.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
+
+
+@query("""WITH s AS (SELECT user_id, value, time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS a FROM events, range(4) r(k))
+SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(median(value), 6) AS median FROM s
+GROUP BY user_id, a HAVING count(*) >= 3 AND a + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 SECOND FROM events)""")
+def stream_median(spark, read):
+    """Every six hours each user's median of a day, as windows that the watermark has closed."""
+    e = read("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    got = run_to_end(spark, live.sliding_median(as_stream(spark, e), ["user_id"], "value", length="1 day", step="6 hours"))
+    return rounded(got.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "median"), "median")
+
+
+@query()
+def stream_debounce(spark, read):
+    """Changes of a flag a user, shown after six hours of high values and released six hours after the last, by timers."""
+    e = read("events").select(F.col("user_id").alias("scan"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 50).alias("ok"))
+    key, store = live.STATE_STORE
+    before = spark.conf.get(key)
+    spark.conf.set(key, store)
+    try:
+        return run_to_end(spark, live.debounced(as_stream(spark, e), hold=6 * 3600.0, release=6 * 3600.0))
+    finally:
+        spark.conf.set(key, before)
