@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import written
+
 #: Fact -> (feature, direction, absolute cut or None).
 FACTS = {
     "HR_HIGH": ("hr_mean", 1, None),
@@ -51,20 +53,23 @@ def apply_cuts(df: DataFrame, cuts: dict[str, tuple[Column | float, Column | flo
     return df.withColumns(new)
 
 
-def candidates(df: DataFrame, score: str, target: Column, grid: list[float], groups: list[Column] | None = None, at_least: bool = False) -> DataFrame:
-    """One row for each cut of the grid (and group): cut, n, tp, fp, n_pos, n_neg.
+def candidates(df: DataFrame, score: str, target: Column, grid: list[float], groups: list[Column] | None = None, at_least: bool = False, all_groups: bool = False) -> DataFrame:
+    """One row for each cut of the grid (and group): cut, n, tp, fp, n_pos, n_neg. Groups are columns _g0, _g1, ...; with `all_groups` those
+    without a known score have rows of zeros.
 
-    A row is counted once, under the number of cuts that it passes; what passes a cut is then added up from these counts, which are
-    as many as the grid has cuts, for each group. Groups are columns _g0, _g1, ...
+    Every row meets every cut inside its own task and is added up there: no join, one small shuffle.
     """
-    s, cuts = F.col(score), sorted(float(g) for g in grid)
-    passed = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: (s >= c) if at_least else (s > c)))
+    s = F.col(score)
+    hit = s >= F.col("_cut") if at_least else s > F.col("_cut")
+    rows = (df if all_groups else df.where(s.isNotNull())).withColumn("_known", s.isNotNull())
+    known = rows.withColumn("_cut", F.explode(F.array(*[F.lit(float(g)) for g in grid]))).withColumn("_pos", true(target))
     names = [f"_g{k}" for k in range(len(groups or []))]
-    known = df.where(s.isNotNull()).withColumns({n: g for n, g in zip(names, groups or [], strict=True)} | {"_pos": true(target), "_passed": passed})
-    counts = known.groupBy(*names, "_passed").agg(F.count_if("_pos").alias("p"), F.count_if(~F.col("_pos")).alias("q"))
-    each = F.inline(F.array(*[F.struct(F.lit(c).alias("cut"), (F.col("_passed") > k).alias("hit")) for k, c in enumerate(cuts)]))
-    sums = counts.select(*names, "p", "q", each).groupBy(*names, "cut")
-    return sums.agg(F.sum(F.col("p") + F.col("q")).alias("n"), *[F.coalesce(F.sum(F.when(F.col("hit"), F.col(c))), F.lit(0)).alias(a) for c, a in (("p", "tp"), ("q", "fp"))], F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
+    for name, g in zip(names, groups or [], strict=True):
+        known = known.withColumn(name, g)
+    pos, neg = F.col("_known") & F.col("_pos"), F.col("_known") & ~F.col("_pos")
+    return known.groupBy(*names, "_cut").agg(
+        F.count_if("_known").alias("n"), F.count_if(hit & pos).alias("tp"), F.count_if(hit & neg).alias("fp"), F.count_if(pos).alias("n_pos"), F.count_if(neg).alias("n_neg")
+    ).withColumnRenamed("_cut", "cut")
 
 
 def youden(table: DataFrame, keys: list[str], default: float) -> DataFrame:
@@ -87,8 +92,7 @@ def precise(table: DataFrame, keys: list[str], default: float, least: float = 0.
 def complement(table: DataFrame, key: str, keys: tuple[str, ...] = ("cut",)) -> DataFrame:
     """Counts of each `key` (and of `keys`) -> the counts of all others: the whole less its own. No row meets another fold."""
     counts = [c for c in table.columns if c not in (key, *keys)]
-    whole = table.groupBy(*keys).agg(*[F.sum(c).alias(f"_{c}") for c in counts])
-    return table.join(whole, list(keys)).select(key, *keys, *[(F.col(f"_{c}") - F.col(c)).alias(c) for c in counts])
+    return table.withColumns({c: F.sum(c).over(Window.partitionBy(*keys)) - F.col(c) for c in counts})
 
 
 def cross_fitted(df: DataFrame, fold: str, folds: list | None, fact: str, target: Column, grid: list[float], default: float, absolute: bool = False) -> DataFrame:
@@ -96,13 +100,11 @@ def cross_fitted(df: DataFrame, fold: str, folds: list | None, fact: str, target
 
     With `folds`, rows of other folds get the default, as do rows without one. A fold without a known score is cut by all others.
     """
-    own = candidates(df, f"s_{fact}", target, grid, [F.col(fold)])
-    cuts = youden(complement(own, "_g0"), ["_g0"], default).select(F.col("_g0").alias(fold), F.col("cut").alias("_others"))
-    whole = own.groupBy("cut").agg(*[F.sum(c).alias(c) for c in ("n", "tp", "fp", "n_pos", "n_neg")])
-    every = youden(whole.withColumn("_all", F.lit(1)), ["_all"], default).select(F.col("cut").alias("_whole"))  # one row
-    high = F.coalesce("_others", "_whole", F.lit(default))
+    own = candidates(df, f"s_{fact}", target, grid, [F.col(fold)], all_groups=True)
+    # written: a row a fold, whose size Spark then knows, so that it is sent to the rows if it is small and shuffled if not
+    cuts = written(youden(complement(own, "_g0"), ["_g0"], default).select(F.col("_g0").alias(fold), F.col("cut").alias("_others")))
     ours = F.col(fold).isin(*folds) if folds is not None else F.col(fold).isNotNull()
-    out = df.join(cuts, fold, "left").join(F.broadcast(every), F.lit(True), "left").withColumn(f"cut_{fact}", F.when(ours, high).otherwise(default)).drop("_others", "_whole")
+    out = df.join(cuts, fold, "left").withColumn(f"cut_{fact}", F.coalesce(F.when(ours, F.col("_others")), F.lit(default))).drop("_others")
     high = F.col(f"cut_{fact}")
     return apply_cuts(out, {fact: (high, high if absolute else -high)})
 
