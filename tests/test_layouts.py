@@ -91,6 +91,21 @@ def test_complexion_without_known_frames(spark):
     assert all(v is None for r in rows for v in r)
 
 
+def test_complexion_of_halves(spark, tmp_path):
+    """Colours halfway between two numbers are rounded as in SQL, which reckons in the table's floats."""
+    import duckdb
+
+    rng = np.random.default_rng(5)
+    values = (rng.integers(-80, 80, (60, 64)) + 0.5) / 100
+    vectors = [(k, [float(v) for v in np.float32(row)]) for k, row in enumerate(values)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(plans.SQL["complexion"]).fetchall()}
+    got = {r[0]: r[1:] for r in plans.QUERIES["complexion"](spark, str(tmp_path)).select("vec_id", "a_rel", "a_cheek", "s_rel", "rg_rel").collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1.1e-6) for k in want)
+
+
 def test_rhythm_against_plain_loops():
     """The cubic and the local peaks by their definitions, one sample at a time."""
     rng = np.random.default_rng(3)

@@ -104,7 +104,8 @@ v AS (SELECT vec_id, {_lab_sql("f")} AS af, {_lab_sql("c")} AS ac, {_saturation_
 SELECT vec_id, round(median(ac - af), 6) AS a_rel, round(median(ac), 6) AS a_cheek, round(median(sc - sf), 6) AS s_rel, round(median(rc - rf), 6) AS rg_rel FROM v GROUP BY 1""")
 def complexion(spark, read):
     """Redness of one region against another over twenty frames, of which every fifth is unknown."""
-    value = lambda k, base: F.round(base + F.get("embedding", k).cast("double") * 100).cast("double")
+    single = lambda v: F.lit(v).cast("float")  # noqa: E731 - SQL reckons the table's floats as floats: in doubles some halves are none
+    value = lambda k, base: F.round(single(base) + F.get("embedding", k).cast("float") * single(100)).cast("double")
     frame = lambda k: F.array(value(3 * k, 150), value(3 * k + 1, 110), value(3 * k + 2, 90))
     numbers = F.sequence(F.lit(0), F.lit(19))
     d = read("embeddings").withColumn("f", F.transform(numbers, lambda k: F.when(k % 5 != 4, frame(k)))).withColumn("c", F.transform(numbers, lambda k: frame(19 - k)))
