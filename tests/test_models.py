@@ -4,6 +4,7 @@ import datetime as dt
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,49 @@ def test_every_subject_a_fold(spark):
         models.risk_out_of_fold(one_kind, ["a", "b"], how="loso")
 
 
+@pytest.mark.parametrize("shift", [0.0, 40.0])
+def test_many_folds_by_the_loss_polynomial(spark, shift):
+    """More folds than are fitted by passes: the same models, also where a subject far off moves its own a lot, and no state of folds x folds."""
+    rows = [(s, y, a + (shift if s == 3 else 0.0), b) for s, _, valid, a, b, y in labelled(7, 150, 20) if valid and a is not None and y is not None]
+    train = spark.createDataFrame(rows, "s int, y int, a double, b double")
+    many, every = models.logistic_by_fold(train, "s", ["a", "b"], "y", block=40)
+    plain, same = models.logistic_by_fold(train, "s", ["a", "b"], "y", block=1000)
+    want, got = ({r[0]: r[1] for r in d.collect()} for d in (plain, many))
+    assert every == pytest.approx(same, abs=1e-9) and got.keys() == want.keys() and len(got) == 149
+    assert all(got[s] == pytest.approx(want[s], abs=1e-8) for s in want)
+
+
+def test_polynomial_knows_where_it_ends():
+    """A model of all rows but a few is proved exact where little is left out, and is not where much is."""
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(3000, 2)), (rng.random(3000) < 0.4).astype(int)
+    full, total = np.concatenate([np.ones((3000, 1)), x], axis=1), np.bincount(y, minlength=2).astype(float)
+
+    def newton(keep):
+        w, beta, ridge = (total - np.bincount(y[~keep], minlength=2)), np.zeros(3), np.diag([0.0, 1.0, 1.0])
+        w = (w.sum() / (2 * w))[y[keep]]
+        for _ in range(40):
+            q = 1 / (1 + np.exp(-full[keep] @ beta))
+            beta = beta - np.linalg.solve((full[keep] * (w * q * (1 - q))[:, None]).T @ full[keep] + ridge, full[keep].T @ (w * (q - y[keep])) + ridge @ beta)
+        return beta
+
+    loss = models.LossPolynomial(newton(np.ones(3000, bool)), np.array([1.0, *np.sqrt((x**2).mean(0))]))
+    frame = pd.DataFrame({"_y": y, "a": x[:, 0], "b": x[:, 1]})
+    sums = np.array(next(loss.sums(iter([frame]), ["a", "b"]))["sums"].tolist())
+    n = len(loss.powers)
+    for left, proved in ((np.arange(3000) < 10, True), ((x[:, 0] > -0.5) & (y == 1), False)):
+        beta, sure = loss.without(x[left], y[left], total, loss.derivatives(sums[:, :n]), sums[:, n:], 1.0, 25, 1e-9)
+        assert sure == proved and (not sure or beta == pytest.approx(newton(~left), abs=1e-8))
+
+
+def test_quantiles_by_rank(spark):
+    rng = np.random.default_rng(4)
+    for values in (rng.normal(size=5000), np.round(rng.normal(size=3000)), np.array([2.5]), np.array([1.0, 4.0])):
+        got = models.quantiles_by_rank(spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double"), "v", (0.0, 0.5, 0.97, 1.0))
+        assert got == pytest.approx(np.quantile(values, [0.0, 0.5, 0.97, 1.0]).tolist(), abs=1e-12)
+    assert models.quantiles_by_rank(spark.createDataFrame([(None,)], "v double"), "v", (0.5,)) is None
+
+
 def test_levels_are_quantiles_of_quiet_days(spark):
     rows = [(k, 0, k / 1000) for k in range(1000)] + [(2000, 1, 0.95), (2001, None, 0.975), (2002, 1, None), (2003, 1, 0.5)]
     got = {r.k: r.level for r in models.risk_levels(spark.createDataFrame(rows, "k int, label int, p double")).collect()}
