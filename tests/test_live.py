@@ -186,3 +186,36 @@ def test_debounce_query(spark):
         want = [(round(t, 2), up) for t, up in debounced_plainly([x for x in samples if x[0] < newest], 21600.0, 21600.0) if t <= newest]
         assert sorted(got[s]) == sorted(want), s
     assert sum(map(len, got.values())) > 5
+
+
+def test_debounce_sets_a_timer_a_batch():
+    """A hundred samples of a key need one timer, and so does what is left once the watermark has passed some of them."""
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.held = None
+
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held if self.held is not None else []
+        put = update = lambda self, v: setattr(self, "held", v)
+        appendList = lambda self, v: setattr(self, "held", [*(self.held or []), *v])
+        clear = lambda self: setattr(self, "held", None)
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        getValueState = getListState = lambda self, *_: State()
+        registerTimer = lambda self, at: self.timers.append(at)
+
+    class Now:
+        getCurrentWatermarkInMs = lambda self: int(at(5).replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+
+    handle, flag = Handle(), live.Debounce("scan", 1.0, 0.3)
+    flag.init(handle)
+    list(flag.handleInputRows((1,), iter([pd.DataFrame({"ts": [at(k / 10) for k in range(100)], "ok": [True] * 100})]), None))
+    assert [since(t / 1000) for t in handle.timers] == [0.001]
+    got = [r for f in flag.handleExpiredTimer((1,), Now(), None) for r in f.itertuples(index=False)]
+    assert [(since(r.t), r.aligned) for r in got] == [(1.0, True)]
+    assert [since(t / 1000) for t in handle.timers] == [0.001, 5.001] and len(flag.waiting.get()) == 50
