@@ -114,3 +114,28 @@ def test_scans_are_judged_whole_or_by_windows(spark):
     assert (got[1].method, got[1].passed, got[1].start, got[1].agree) == ("fused", True, None, 3) and got[1].bpm == pytest.approx(72, abs=1.5)
     assert got[2].passed and got[2].method.endswith("+window") and got[2].start in (0.0, 5.0) and got[2].bpm == pytest.approx(84, abs=1.5)
     assert (got[3].passed, got[3].reason) == (False, "brightness")
+
+
+def test_rows_reach_kernels_as_views_of_a_batch():
+    """Rows of a batch, sliced or null, come out as they are, and a thousand scans take little more than their numbers."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    import pytest
+
+    from tidemark.operators import signals
+
+    nested = pa.array([[[9.0, 9.0]], [[1.0, 2.0], [3.0, None]], None, [], [[5.0, 6.0]]], pa.list_(pa.list_(pa.float64()))).slice(1)
+    a, b, c, d = signals._row_arrays(nested)
+    assert np.array_equal(a, [[1, 2], [3, np.nan]], equal_nan=True) and b is None and len(c) == 0 and d.tolist() == [[5, 6]]
+    assert [x.tolist() for x in signals._row_arrays(pa.array([[0], [1, 2]], pa.list_(pa.int32())).slice(1))] == [[1.0, 2.0]]
+    with pytest.raises(ValueError, match="differ in length"):
+        list(signals._row_arrays(pa.array([[[1.0], [1.0, 2.0]]])))
+    numbers = pa.ListArray.from_arrays(np.arange(0, 1_800_001, 3, dtype=np.int32), pa.array(np.arange(1_800_000.0)))
+    scans = pa.ListArray.from_arrays(np.arange(0, 600_001, 600, dtype=np.int32), numbers)
+    tracemalloc.start()
+    total = sum(float(x.sum()) for x in signals._row_arrays(scans))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 1_800_000 * 1_799_999 / 2 and peak < 10e6
