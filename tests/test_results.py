@@ -166,3 +166,17 @@ def test_split_summary_sees_leaks(spark):
     d = spark.createDataFrame([(s, "AB"[k % 2]) for s in range(9) for k in range(4)], "subject_id bigint, label string")
     assert {r.leak for r in metrics.split_summary(models.with_folds(d, folds=3)).collect()} == {False}
     assert {r.leak for r in metrics.split_summary(models.with_folds(d, "random", folds=2)).collect()} <= {True, False}
+
+
+@pytest.mark.parametrize("name", ["text_sleep", "text_daily_value"])
+def test_exports_hold_many_users(spark, name, tmp_path, monkeypatch):
+    """An export's files grow with users by the fifty, not one by one."""
+    import glob
+
+    from tidemark.plans import text_queries
+
+    rows = [(u, dt.datetime(2024, 1, 1 + u % 9, 12), "view", 60.0) for u in range(200)]
+    spark.createDataFrame(rows, "user_id bigint, ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(text_queries, "shared", lambda _: f"{tmp_path}/export")
+    assert plans.QUERIES[name](spark, str(tmp_path)).count() == (200 if name == "text_sleep" else 9)
+    assert len(glob.glob(f"{tmp_path}/export/*.txt")) == 4

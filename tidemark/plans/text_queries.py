@@ -11,6 +11,10 @@ from tidemark.sources import layouts, text
 ZONE = "Asia/Seoul"
 
 
+#: Fixed value: users whose export is one file; a file for each would leave more files than rows can pay for.
+USERS = 50
+
+
 def _stamp(ts="ts"):
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
 
@@ -30,11 +34,11 @@ STAGES = {"purchase": "deep", "view": "light", "error": "wake", "signup": "rem",
 
 @query("SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS start, strftime(date_trunc('second', ts) + to_seconds(CAST(floor(value) AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS \"end\" FROM events WHERE event_type IN ('purchase', 'view', 'signup')")
 def text_sleep(spark, read):
-    """A sleep export of each user, a file a user: the stretches asleep."""
+    """Sleep exports, a file for USERS user numbers: the stretches asleep."""
     stage = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in STAGES.items()])
     stretch = F.struct(_stamp().alias("dateTime"), stage.alias("level"), F.floor("value").alias("seconds"))
     logs = read("events").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.collect_list(stretch).alias("data"))
-    export = logs.groupBy("user_id").agg(F.to_json(F.collect_list(F.struct(F.col("d").cast("string").alias("dateOfSleep"), F.struct("data").alias("levels")))).alias("value"))
+    export = logs.groupBy(F.floor(F.col("user_id") / USERS).alias("users")).agg(F.to_json(F.collect_list(F.struct(F.col("d").cast("string").alias("dateOfSleep"), F.struct("data").alias("levels")))).alias("value"))
     path = shared(spark)
     export.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return text.read_sleep(spark, path).select(_stamp("start").alias("start"), _stamp("end").alias("end"))
@@ -42,10 +46,10 @@ def text_sleep(spark, read):
 
 @query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(sum(CAST(floor(value) AS BIGINT)) FILTER (event_type <> 'error') AS DOUBLE) AS steps FROM events GROUP BY 1")
 def text_daily_value(spark, read):
-    """Daily sums of step exports, a file a user; entries that are no numbers are skipped."""
+    """Daily sums of step exports, a file for USERS user numbers; entries that are no numbers are skipped."""
     entry = F.struct(_stamp().alias("dateTime"), F.when(F.col("event_type") == "error", "unknown").otherwise(F.floor("value").cast("string")).alias("value"))
     path = shared(spark)
-    read("events").groupBy("user_id").agg(F.to_json(F.collect_list(entry)).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    read("events").groupBy(F.floor(F.col("user_id") / USERS).alias("users")).agg(F.to_json(F.collect_list(entry)).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
     return text.read_daily_value(spark, path, "steps").select(F.col("day").cast("string").alias("day"), "steps")
 
 
