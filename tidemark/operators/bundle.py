@@ -76,8 +76,10 @@ def movement_features(x: np.ndarray, fs: float) -> dict:
     return dict(zip(MOVEMENT, (*map(float, g.mean(0)), *[_spread(g[:, k]) for k in range(3)], float(size.mean()), _spread(size), *_slopes(size, fs), float(np.abs(size - np.median(size)).mean())), strict=True))
 
 
-#: signal -> (its features, numbers in a sample)
-KINDS = {"BVP": (pulse_features, 1), "EDA": (skin_features, 1), "HR": (heart_rate_features, 1), "ACC": (movement_features, 3)}
+#: signal -> (its features, numbers in a sample, their names)
+KINDS = {
+    "BVP": (pulse_features, 1, (*PULSE, *INTERVALS, *SPECTRUM, "n_beats")), "EDA": (skin_features, 1, SKIN), "HR": (heart_rate_features, 1, HEART_RATE), "ACC": (movement_features, 3, MOVEMENT),
+}
 
 
 #: The first phase's slowest and fastest pulse (a minute), usable intervals for a good window, and the largest step
@@ -144,16 +146,21 @@ def sliced(t0: float, fs: float, x: np.ndarray, start: float, end: float) -> np.
 def features_of(pieces: dict[str, list[tuple[float, float, np.ndarray]]], start: float, end: float) -> dict:
     """A session's signals as (start, rate, samples) by name -> FEATURES of one window; what cannot be told is left out."""
     out: dict = {}
-    for name, (kernel, _) in KINDS.items():
+    for name, (kernel, *_) in KINDS.items():
         x, fs = max(((sliced(t0, fs, x, start, end), fs) for t0, fs, x in pieces.get(name, [])), key=lambda p: len(p[0]), default=(np.zeros(0), 1.0))
         out |= kernel(x, fs) if len(x) else {}
     return out
 
 
-def window_features(recordings: DataFrame, windows: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Signals (keys, name, t0, fs, values array<array<double>>) and windows (keys, start, end, ...) -> windows' columns, FEATURES."""
-    flat = recordings.where(F.col("name").isin(*KINDS)).select(*keys, "name", F.col("t0").cast("double").alias("t0"), F.col("fs").cast("double").alias("fs"), F.flatten("values").cast("array<double>").alias("values"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema] + [f"{c} double" for c in FEATURES])
+def window_features(recordings: DataFrame, windows: DataFrame, keys: list[str], start: str = "start", end: str = "end", features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """Signals (keys, name, t0, fs, values array<array<double>>) and windows (keys, start, end, ...) -> windows' columns, `features`.
+
+    Samples of signals that tell none of `features` cross no shuffle and meet no kernel; such a signal still makes its session one with a recording.
+    """
+    asked = [name for name, (*_, told) in KINDS.items() if set(told) & set(features)]
+    recordings = recordings.where(F.col("name").isin(*KINDS)).withColumn("values", F.when(F.col("name").isin(*asked) | F.col("values").isNull(), F.col("values")).otherwise(F.array().cast(recordings.schema["values"].dataType)))
+    flat = recordings.select(*keys, "name", F.col("t0").cast("double").alias("t0"), F.col("fs").cast("double").alias("fs"), F.flatten("values").cast("array<double>").alias("values"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema] + [f"{c} double" for c in features])
     types = to_arrow_schema(windows.limit(0).select(*windows.columns).schema)
 
     def bundle(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -166,7 +173,7 @@ def window_features(recordings: DataFrame, windows: DataFrame, keys: list[str],
                     pieces.setdefault(name, []).append((t0, fs, x[: len(x) // wide * wide].reshape(-1, wide) if wide > 1 else x))
         rows = [features_of(pieces, a, b) if pieces and a is not None and b is not None else {} for a, b in zip(right[start].to_pylist(), right[end].to_pylist(), strict=True)] if pieces else []
         right = right if pieces else right.slice(0, 0)
-        made = [pa.array([r.get(c) for r in rows], pa.float64()) for c in FEATURES]
-        return pa.table([*[right[c].cast(types.field(c).type) for c in types.names], *made], names=[*types.names, *FEATURES])
+        made = [pa.array([r.get(c) for r in rows], pa.float64()) for c in features]
+        return pa.table([*[right[c].cast(types.field(c).type) for c in types.names], *made], names=[*types.names, *features])
 
     return flat.groupBy(*keys).cogroup(windows.groupBy(*keys)).applyInArrow(bundle, schema)

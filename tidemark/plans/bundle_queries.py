@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions import arrays
 from tidemark.operators import bundle, signals
 from tidemark.operators.windows import sliding_windows
 from tidemark.plans.registry import query, rounded
@@ -17,19 +18,29 @@ def _value(k: Column) -> Column:
     return F.coalesce(F.get("embedding", (k % 64).cast("int")).cast("double"), F.lit(0.0))
 
 
-def _signal(name: str, t0: float, fs: int, seconds: int, sample) -> Column:
-    return F.struct(F.lit(name).alias("name"), F.lit(t0).alias("t0"), F.lit(float(fs)).alias("fs"), F.transform(F.sequence(F.lit(0), F.lit(seconds * fs - 1)), sample).alias("values"))
+def _signal(name: str, t0: float, fs: int, values: Column) -> Column:
+    return F.struct(F.lit(name).alias("name"), F.lit(t0).alias("t0"), F.lit(float(fs)).alias("fs"), values.alias("values"))
 
 
-def recordings(read, seconds: int = 130):
-    """Four signals a vector, of different starts and rates: a pulse of 60 + 3 * label beats a minute, skin, heart rate, movement."""
+def _upto(n: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(n - 1))
+
+
+def recordings(read, seconds: int = 130, only: tuple[str, ...] = ("BVP", "EDA", "HR", "ACC")):
+    """Four signals a vector, of different starts and rates: a pulse of 60 + 3 * label beats a minute, skin, heart rate, movement.
+
+    What repeats every 64 samples is computed for 64 of them, and what a vector has once, once.
+    """
     rate = (F.col("label") * 3 + 60) / 60.0
-    return read("embeddings").select("vec_id", F.inline(F.array(
-        _signal("BVP", 1000.0, 64, seconds, lambda k: F.array(F.sin(k / 64.0 * rate * TURN) + 0.1 * _value(k))),
-        _signal("EDA", 1000.5, 4, seconds, lambda k: F.array(2.0 + 0.3 * _value(F.floor(k / 8)))),
-        _signal("HR", 1010.0, 1, seconds - 10, lambda k: F.array(F.col("label") * 3.0 + 60 + 5 * _value(k))),
-        _signal("ACC", 999.75, 32, seconds, lambda k: F.array(10 * _value(k), 64 + 10 * _value(k + 21), 10 * _value(k + 42))),
-    )))
+    noise = F.transform(_upto(64), lambda k: 0.1 * _value(k))
+    pulse = arrays.let(rate, lambda r: arrays.let(noise, lambda x: F.transform(_upto(64 * seconds), lambda k: F.array(F.sin(k / 64.0 * r * TURN) + F.get(x, k % 64)))))
+    moved = F.transform(_upto(64), lambda k: F.array(10 * _value(k), 64 + 10 * _value(k + 21), 10 * _value(k + 42)))
+    signals_of = {
+        "BVP": _signal("BVP", 1000.0, 64, pulse), "EDA": _signal("EDA", 1000.5, 4, F.transform(_upto(4 * seconds), lambda k: F.array(2.0 + 0.3 * _value(F.floor(k / 8))))),
+        "HR": _signal("HR", 1010.0, 1, F.transform(_upto(seconds - 10), lambda k: F.array(F.col("label") * 3.0 + 60 + 5 * _value(k)))),
+        "ACC": _signal("ACC", 999.75, 32, F.slice(F.flatten(F.array_repeat(moved, (32 * seconds + 63) // 64)), 1, 32 * seconds)),
+    }
+    return read("embeddings").select("vec_id", F.inline(F.array(*[signals_of[name] for name in only])))
 
 
 def grid(read):
@@ -69,7 +80,8 @@ def bundle_arithmetic(spark, read):
 
 
 def window_bundle_rows(read):
-    return rounded(bundle.window_features(recordings(read), grid(read), ["vec_id"]), "start", *bundle.HEART_RATE, *bundle.MOVEMENT, digits=4)
+    asked = (*bundle.HEART_RATE, *bundle.MOVEMENT)
+    return rounded(bundle.window_features(recordings(read, only=("HR", "ACC")), grid(read), ["vec_id"], features=asked), "start", *asked, digits=4)
 
 
 @query()
