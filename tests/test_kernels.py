@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tidemark.operators import bundle
 from tidemark.operators import signals as sg
 
 
@@ -110,3 +111,10 @@ def test_a_scan_takes_few_transforms(monkeypatch):
     colours = [100 + np.stack([0.3 * x, 0.8 * x, 0.5 * x], axis=1) for x in faces()[:3]]
     still = [50 + 0.05 * np.sin(3.1 * t), 40 + 0.05 * np.sin(1.7 * t), np.full(360, 100.0), 120 + np.sin(0.9 * t)]
     assert transforms(monkeypatch, lambda: kernels[0](t, *colours, *still)) <= 12
+
+
+def test_a_pulse_is_not_searched_anew_for_every_beat(monkeypatch):
+    """Prominences come of one pass over the maxima: a window's searches do not grow with its beats."""
+    t, seen, plain = np.arange(60 * 64) / 64, [], np.flatnonzero
+    monkeypatch.setattr(np, "flatnonzero", lambda a: seen.append(1) or plain(a))
+    assert bundle.pulse_features(np.sin(2 * np.pi * 1.3 * t), 64.0)["n_beats"] > 70 and len(seen) <= 4
