@@ -98,6 +98,44 @@ def test_bundle_of_what_is_missing(spark):
     assert (found["parts", 1000.0].hr_mean, found["parts", 1045.0].hr_mean) == (14.5, 112.0) and found["parts", 1045.0].acc_mean is None
 
 
+def test_bundle_of_sessions_that_cross_batches(spark):
+    """Numbers may come in one array; sessions meet their windows whatever the batches, also those without a name."""
+    full = {s: recording(k, 70) for k, s in enumerate(("a", None, "c"))}
+    rows = [(s, name, t0, fs, np.ravel(x).tolist()) for s, signals in full.items() for name, (t0, fs, x) in signals.items()]
+    windows = [(s, a, a + 60) for s in (*full, "nobody") for a in (1003.3, 1005.0, 1008.5)]
+    nested, wide = spark.createDataFrame([r for s, signals in full.items() for r in as_rows(s, signals)], SIGNALS), spark.createDataFrame(rows, "session string, name string, t0 double, fs double, values array<double>")
+    grid = spark.createDataFrame(windows, "session string, start double, end double")
+    want = {(r.session, r.start): r for r in bundle.window_features(nested, grid, ["session"]).collect()}
+    assert len(want) == 9 and all(r.n_beats > 50 and r.acc_mean > 0 for r in want.values())
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+        got = bundle.window_features(wide, grid, ["session"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 9
+    for r in got:
+        assert {k: v for k, v in r.asDict().items() if k != "session"} == pytest.approx({k: v for k, v in want[r.session, r.start].asDict().items() if k != "session"}, rel=1e-9, abs=1e-12)
+
+
+def test_recordings_by_plain_formulas(spark, monkeypatch):
+    from tidemark.plans import bundle_queries as bq
+
+    read = lambda table: spark.read.parquet(f"{SF}/{table}.parquet").where("vec_id < 30")
+    given = {r.vec_id: r for r in read("embeddings").collect()}
+    for few in (bq.FEW, 0):
+        monkeypatch.setattr(bq, "FEW", few)
+        rows = bq.recordings(read).collect()
+        assert len(rows) == 4 * len(given)
+        for r in rows:
+            e, label = given[r.vec_id].embedding, given[r.vec_id].label
+            want = {
+                "BVP": [math.sin(k / 64 * ((label * 3 + 60) / 60) * bq.TURN) + 0.1 * e[k % 64] for k in range(64 * 130)], "EDA": [2.0 + 0.3 * e[k // 8 % 64] for k in range(4 * 130)],
+                "HR": [label * 3.0 + 60 + 5 * e[k % 64] for k in range(120)], "ACC": [v for k in range(32 * 130) for v in (10 * e[k % 64], 64 + 10 * e[(k + 21) % 64], 10 * e[(k + 42) % 64])],
+            }[r.name]
+            assert len(r["values"]) == len(want) and np.abs(np.array(r["values"]) - np.array(want)).max() < 1e-9
+
+
 def test_planted_rates_of_the_bundle(spark):
     rows = plans.QUERIES["window_bundle"](spark, SF).collect()
     labels = {r.vec_id: r.label for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}

@@ -118,3 +118,35 @@ def test_a_pulse_is_not_searched_anew_for_every_beat(monkeypatch):
     t, seen, plain = np.arange(60 * 64) / 64, [], np.flatnonzero
     monkeypatch.setattr(np, "flatnonzero", lambda a: seen.append(1) or plain(a))
     assert bundle.pulse_features(np.sin(2 * np.pi * 1.3 * t), 64.0)["n_beats"] > 70 and len(seen) <= 4
+
+
+def sessions(n):
+    rng, t = np.random.default_rng(7), np.arange(130 * 64) / 64
+    for k in range(n):
+        yield {
+            "BVP": [(1000.0, 64.0, np.sin(2 * np.pi * (1 + 0.05 * k) * t + np.sin(t / 7)) + rng.normal(0, 0.05, len(t)))], "EDA": [(1000.5, 4.0, 2 + np.cumsum(rng.normal(0, 0.02, 520)))],
+            "HR": [(1010.0, 1.0, 70 + rng.normal(0, 3, 120))], "ACC": [(999.75, 32.0, rng.normal(0, 20, (130 * 32, 3)) + [0, 0, 64])],
+        }
+
+
+def test_windows_of_many_sessions_share_their_transforms(monkeypatch):
+    """Transforms grow with the lengths of slices and of interval series, not with the windows; and each window's figures are those it has alone."""
+    windows = [(pieces, a, a + 60) for pieces in sessions(10) for a in (1004.3, 1034.3, 1064.3)] + [({"HR": [(1000.0, 1.0, np.array([70.0]))], "EDA": [(1000.0, 4.0, np.ones(3))]}, 1000.0, 1060.0), ({}, 0.0, 60.0), ({}, None, 1.0)]
+    together = []
+    assert transforms(monkeypatch, lambda: together.extend(bundle.features_of(windows))) <= 20
+    for k, window in enumerate(windows):
+        for name, many, one in zip(bundle.FEATURES, together, bundle.features_of([window]), strict=True):
+            assert many[k].as_py() == (one[0].as_py() if one[0].as_py() is None else pytest.approx(one[0].as_py(), rel=1e-9, abs=1e-12)), (k, name)
+    monkeypatch.setattr(bundle, "MOST", 10_000)
+    cut = bundle.features_of(windows)
+    assert all(a.as_py() == b.as_py() or a.as_py() == pytest.approx(b.as_py(), rel=1e-9, abs=1e-12) for x, y in zip(together, cut, strict=True) for a, b in zip(x, y, strict=True))
+
+
+def test_peaks_of_rows_are_those_of_each_row():
+    rng = np.random.default_rng(3)
+    x = np.stack([rng.normal(size=90), rng.integers(0, 4, 90).astype(float), np.cumsum(rng.normal(size=90)), np.zeros(90), np.arange(90.0), np.sin(np.arange(90.0))])
+    for distance in (1, 5, 7.5):
+        least = np.array([0.5, 1.0, 1.5, -np.inf, 0.1, 3.0])
+        row, at = sg.peaks_of_rows(x, distance, least)
+        assert [at[row == k].tolist() for k in range(len(x))] == [plain_peaks(x[k], distance, least[k]) for k in range(len(x))]
+    assert [len(v) for v in sg.peaks_of_rows(x[:, :2], 3, 1.0)] == [0, 0] and len(sg.find_peaks(np.zeros(0))) == 0

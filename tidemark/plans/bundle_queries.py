@@ -12,6 +12,8 @@ from tidemark.plans.registry import query, rounded
 from tidemark.plans.signal_queries import scans
 
 TURN = 6.283185307179586
+#: Fixed value: labels whose waves (66 KB each) go to every task.
+FEW = 200
 
 
 def _value(k: Column) -> Column:
@@ -26,21 +28,35 @@ def _upto(n: int) -> Column:
     return F.sequence(F.lit(0), F.lit(n - 1))
 
 
+def _tiled(values: Column, period: int, n: int) -> Column:
+    """These `period` values over and over, n in all."""
+    times = -(-n // period)
+    whole = F.flatten(F.array_repeat(values, times))
+    return whole if times * period == n else F.slice(whole, 1, n)
+
+
 def recordings(read, seconds: int = 130, only: tuple[str, ...] = ("BVP", "EDA", "HR", "ACC")):
     """Four signals a vector, of different starts and rates: a pulse of 60 + 3 * label beats a minute, skin, heart rate, movement.
 
-    What repeats every 64 samples is computed for 64 of them, and what a vector has once, once.
+    What repeats is computed once and laid end to end, a label's wave once for all its vectors; `values` holds all numbers of all samples.
     """
-    rate = (F.col("label") * 3 + 60) / 60.0
+    d = read("embeddings")
+    wave = lambda label: arrays.let((label * 3 + 60) / 60.0, lambda r: F.transform(_upto(64 * seconds), lambda k: F.sin(k / 64.0 * r * TURN)))
+    labels = d.select(F.col("label").alias("_of")).distinct()
+    if "BVP" not in only or labels.count() > FEW:
+        d = d.withColumn("_wave", wave(F.col("label")))
+    else:
+        d = d.join(F.broadcast(labels.withColumn("_wave", wave(F.col("_of")))), F.col("label").eqNullSafe(F.col("_of")))
     noise = F.transform(_upto(64), lambda k: 0.1 * _value(k))
-    pulse = arrays.let(rate, lambda r: arrays.let(noise, lambda x: F.transform(_upto(64 * seconds), lambda k: F.array(F.sin(k / 64.0 * r * TURN) + F.get(x, k % 64)))))
-    moved = F.transform(_upto(64), lambda k: F.array(10 * _value(k), 64 + 10 * _value(k + 21), 10 * _value(k + 42)))
+    pulse = arrays.let(_tiled(noise, 64, 64 * seconds), lambda x: F.zip_with("_wave", x, lambda a, b: a + b))
+    skin = F.flatten(F.transform(_upto(64), lambda k: F.array_repeat(2.0 + 0.3 * _value(k), 8)))
+    rate = F.transform(_upto(64), lambda k: F.col("label") * 3.0 + 60 + 5 * _value(k))
+    moved = F.flatten(F.transform(_upto(64), lambda k: F.array(10 * _value(k), 64 + 10 * _value(k + 21), 10 * _value(k + 42))))
     signals_of = {
-        "BVP": _signal("BVP", 1000.0, 64, pulse), "EDA": _signal("EDA", 1000.5, 4, F.transform(_upto(4 * seconds), lambda k: F.array(2.0 + 0.3 * _value(F.floor(k / 8))))),
-        "HR": _signal("HR", 1010.0, 1, F.transform(_upto(seconds - 10), lambda k: F.array(F.col("label") * 3.0 + 60 + 5 * _value(k)))),
-        "ACC": _signal("ACC", 999.75, 32, F.slice(F.flatten(F.array_repeat(moved, (32 * seconds + 63) // 64)), 1, 32 * seconds)),
+        "BVP": _signal("BVP", 1000.0, 64, pulse), "EDA": _signal("EDA", 1000.5, 4, _tiled(skin, 64 * 8, 4 * seconds)),
+        "HR": _signal("HR", 1010.0, 1, _tiled(rate, 64, seconds - 10)), "ACC": _signal("ACC", 999.75, 32, _tiled(moved, 3 * 64, 3 * 32 * seconds)),
     }
-    return read("embeddings").select("vec_id", F.inline(F.array(*[signals_of[name] for name in only])))
+    return d.select("vec_id", F.inline(F.array(*[signals_of[name] for name in only])))
 
 
 def grid(read):
